@@ -95,6 +95,10 @@ def with_fx(body: str, *extra: tuple[str, str]) -> str:
             visit(name)
     # nested references inside extra CTEs or fx CTEs are covered by visit()
     parts = [f"{n} AS ({CTES[n][1]})" for n in needed] + [f"{n} AS ({sql})" for n, sql in extra]
+    stripped = body.lstrip()
+    if parts and stripped[:5].upper() == "WITH ":
+        # merge the body's own CTE list into ours
+        return "WITH " + ",\n".join(parts) + ",\n" + stripped[5:]
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
 
 

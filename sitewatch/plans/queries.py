@@ -22,6 +22,10 @@ ORACLE: dict[str, str] = {}
 # Budgets used by the queries: the job's default, and the budget of the
 # reference's own budget test (5 pages).
 SITE_INDEX_MAX_PAGES = 100
+# "now" of lifecycle queries: passed as an argument, never read from the clock.
+FIXED_NOW = "2024-03-15 12:00:00"
+FIXED_NOW_ISO = "2024-03-15T12:00:00+00:00"
+PUBLIC_BASE = "https://store.example/public"
 BUDGET_TEST_MAX_PAGES = 5
 
 
@@ -43,3 +47,5 @@ def crawl_job(spark: SparkSession, sf_dir: str, max_pages: int = SITE_INDEX_MAX_
 
 
 from . import queries_crawl  # noqa: E402,F401  (registers the crawl queries)
+from . import queries_model  # noqa: E402,F401  (read model)
+from . import queries_lifecycle  # noqa: E402,F401  (run lifecycle, webhooks)
