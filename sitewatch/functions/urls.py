@@ -138,10 +138,13 @@ def normalize_domain(domain) -> Column:
     return F.when(d.startswith("http"), d).otherwise(F.concat(F.lit(DEFAULT_SCHEME_PREFIX), d))
 
 
+# http(s) scheme, a host without blanks, optional port, optional rest without blanks.
+VALID_URL_RE = r"^https?://[^\s/?#@:]+(:[0-9]*)?([/?#][^\s]*)?$"
+
+
 def is_valid_url(url) -> Column:
-    """Server-side check: parsable with a non-empty host."""
-    host = F.try_parse_url(_col(url), F.lit("HOST"))
-    return host.isNotNull() & (host != "")
+    """Server-side check: an http(s) URL with a non-empty host and no blanks."""
+    return F.coalesce(_col(url).rlike(VALID_URL_RE), F.lit(False))
 
 
 def form_url_ok(url) -> Column:

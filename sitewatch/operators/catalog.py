@@ -213,3 +213,19 @@ def integrity_audit(tables: dict[str, DataFrame]) -> DataFrame:
     for f in findings[1:]:
         out = out.unionByName(f)
     return out
+
+
+def validate_projects(df: DataFrame) -> DataFrame:
+    """Project create/update check.  ``domain`` gets https:// unless it
+    starts with 'http'; name and domain are required; the normalised URL must
+    parse with a host.  Adds domain_input, domain (normalised), is_valid,
+    reject_reason and form_ok (the stricter client-side regex)."""
+    from ..functions import urls
+    norm = urls.normalize_domain(F.col("domain"))
+    required = (F.coalesce(F.col("name"), F.lit("")) != "") & (F.coalesce(F.col("domain"), F.lit("")) != "")
+    valid = urls.is_valid_url(norm)
+    return (df.withColumn("domain_input", F.col("domain")).withColumn("domain", norm)
+            .withColumn("is_valid", required & valid)
+            .withColumn("reject_reason", F.when(~required, F.lit("Name and domain are required"))
+                        .when(~valid, F.lit("Invalid domain URL")))
+            .withColumn("form_ok", urls.form_url_ok(F.col("domain"))))

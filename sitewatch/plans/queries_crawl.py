@@ -72,7 +72,8 @@ def q_http_ok(spark, sf_dir):
     return crawl_job(spark, sf_dir).crawled.select("project_id", "url", "crawl_rank")
 
 
-def _site_index_sql(max_pages: int) -> str:
+def site_index_ctes(max_pages: int) -> list[tuple[str, str]]:
+    """DuckDB CTEs ending in ``fx_documents(project_id, document)``."""
     line = ("concat('- [', CASE WHEN " + O.py_strip("coalesce(title,'')") + "<>'' THEN " + O.py_strip("title")
             + " ELSE url END, '](', url, ')', CASE WHEN " + O.py_strip("coalesce(description,'')")
             + "<>'' THEN ': ' || " + O.py_strip("description") + " ELSE '' END)")
@@ -85,11 +86,15 @@ def _site_index_sql(max_pages: int) -> str:
     netloc = "regexp_extract(s.start_url, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?(?://([^/?#]*))?', 1)"
     name = (f"coalesce(nullif({O.py_strip('d.sp_title')},''), nullif({netloc},''), nullif(s.start_url,''), 'Website')")
     desc = f"coalesce(nullif({O.py_strip('d.sp_desc')},''), 'Website content from ' || coalesce(s.start_url,''))"
-    body = (f"""SELECT m.project_id, concat('# ', {name}, chr(10), chr(10), '> ', {desc}, chr(10), chr(10), '## Pages', chr(10),
+    docs = ("fx_documents", f"""SELECT m.project_id, concat('# ', {name}, chr(10), chr(10), '> ', {desc}, chr(10), chr(10), '## Pages', chr(10),
         CASE WHEN coalesce(d.n_lines,0)>0 THEN chr(10) || d.body ELSE '' END) AS document
         FROM fx_summary m JOIN fx_projects s ON s.project_id=m.project_id LEFT JOIN fx_doc_parts d ON d.project_id=m.project_id
         WHERE m.has_changes""")
-    return O.with_fx(body, O.budget_cte(max_pages), crawled, per)
+    return [O.budget_cte(max_pages), crawled, per, docs]
+
+
+def _site_index_sql(max_pages: int) -> str:
+    return O.with_fx("SELECT project_id, document FROM fx_documents", *site_index_ctes(max_pages))
 
 
 @register("site_index", _site_index_sql(SITE_INDEX_MAX_PAGES))

@@ -1 +1,271 @@
+"""Registered queries of the run lifecycle and notifications: R1-R5, J11,
+P16-P18, P22-P25, P28, S5, S11, S12, A7, F5."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import labels, schedule, urls
+from ..operators import catalog, runs, webhooks
+from ..sources import jobs as jobsrc
+from . import oracle as O
+from .fixtures import Fixtures
+from .queries import FIXED_NOW, FIXED_NOW_ISO, PUBLIC_BASE, crawl_job, register
+from .queries_crawl import site_index_ctes
+
+NOW_SQL = f"TIMESTAMP '{FIXED_NOW}'"
+
+
+def _fx(spark, sf_dir):
+    return Fixtures(spark, sf_dir)
+
+
+def duck_two_am(n: str) -> str:
+    return f"(date_trunc('day', {n}) + INTERVAL 2 HOUR)"
+
+
+def duck_next_daily(n: str) -> str:
+    t = duck_two_am(n)
+    return f"(CASE WHEN {t} <= {n} THEN {t} + INTERVAL 1 DAY ELSE {t} END)"
+
+
+def duck_next_weekly(n: str, api: bool = False) -> str:
+    t = duck_two_am(n)
+    d = f"((7 - dayofweek({n})) % 7)"
+    days = f"(CASE WHEN {d}=0 THEN 7 ELSE {d} END)" if api else f"(CASE WHEN {d}=0 AND {t} <= {n} THEN 7 ELSE {d} END)"
+    return f"({t} + to_days(CAST({days} AS INTEGER)))"
+
+
+# --- R1 -----------------------------------------------------------------------
+@register("run_transition", O.with_fx(f"""SELECT id, project_id, status, created_at,
+  CASE WHEN status IN ('COMPLETE_NO_DIFFS','COMPLETE_WITH_DIFFS','FAILED') THEN coalesce(finished_at, {NOW_SQL}) END AS finished_at,
+  CASE WHEN status='FAILED' THEN CASE WHEN is_scheduled THEN 'Generation failed: scheduled run' ELSE 'Generation failed' END
+       WHEN status IN ('COMPLETE_NO_DIFFS','COMPLETE_WITH_DIFFS') AND is_scheduled THEN 'scheduled run' END AS summary,
+  {NOW_SQL} AS updated_at FROM fx_runs"""))
+def q_run_transition(spark, sf_dir):
+    r = _fx(spark, sf_dir).runs
+    base = r.select("id", "project_id", F.lit("QUEUED").alias("status"), "created_at",
+                    F.lit(None).cast("timestamp").alias("finished_at"), F.lit(None).cast("string").alias("summary"),
+                    F.lit(None).cast("timestamp").alias("updated_at"))
+    changes = r.select(F.col("id").alias("run_id"), "status",
+                       F.when(F.col("is_scheduled"), F.lit("scheduled run")).alias("summary"),
+                       "finished_at", F.lit(1).alias("seq"))
+    return runs.apply_transitions(base, changes, FIXED_NOW)
+
+
+# --- R2 / J11 / P24 ---------------------------------------------------------------
+def _actions(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    r = fx.runs
+    first = r.groupBy("project_id").agg(F.min(F.struct("created_at", "id")).alias("_first"))
+    r = (r.join(first, "project_id")
+         .withColumn("is_initial", F.struct("created_at", "id") == F.col("_first")).drop("_first"))
+    latest = catalog.latest_artifact_by_project(fx.artifacts, fx.runs).select(
+        "project_id", F.col("public_url").alias("latest_url"))
+    return runs.completion_actions(r, latest), fx
+
+
+ACTIONS_SQL = ("fx_actions", """SELECT r.id AS run_id, r.project_id, r.status,
+   (r.status IN ('COMPLETE_NO_DIFFS','COMPLETE_WITH_DIFFS','FAILED') AND r.project_id IS NOT NULL) AS touch_last_run,
+   (r.status IN ('COMPLETE_NO_DIFFS','COMPLETE_WITH_DIFFS') AND r.project_id IS NOT NULL AND (r.is_scheduled OR r.id = fr.first_id)) AS schedule_next,
+   (r.status IN ('COMPLETE_NO_DIFFS','COMPLETE_WITH_DIFFS') AND r.project_id IS NOT NULL AND coalesce(la.public_url,'')<>''
+     AND (NOT r.is_scheduled OR r.status='COMPLETE_WITH_DIFFS')) AS notify,
+   CASE WHEN r.status IN ('COMPLETE_NO_DIFFS','COMPLETE_WITH_DIFFS') AND r.project_id IS NOT NULL THEN la.public_url END AS notify_url
+   FROM fx_runs r
+   LEFT JOIN (SELECT project_id, id AS first_id FROM (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY created_at, id) AS rn FROM fx_runs) WHERE rn=1) fr ON fr.project_id=r.project_id
+   LEFT JOIN (SELECT project_id, public_url FROM (SELECT a.*, r2.project_id, row_number() OVER (PARTITION BY r2.project_id ORDER BY a.created_at DESC, a.id DESC) AS rn
+      FROM fx_artifacts a JOIN fx_runs r2 ON r2.id=a.run_id WHERE a.type='LLMS_TXT') WHERE rn=1) la ON la.project_id=r.project_id""")
+
+
+@register("completion_actions", O.with_fx("SELECT * FROM fx_actions", ACTIONS_SQL))
+def q_completion_actions(spark, sf_dir):
+    return _actions(spark, sf_dir)[0]
+
+
+@register("notification_fanout", O.with_fx(f"""SELECT a.run_id, a.project_id, w.id AS webhook_id, w.url AS webhook_url, 'run.complete' AS event_type,
+   json_object('created_at', '{FIXED_NOW_ISO}', 'llms_txt_url', a.notify_url)::VARCHAR AS payload,
+   '{{"Content-Type":"application/json","User-Agent":"llmstxt-crawler/1.0"}}' AS headers_json
+   FROM fx_actions a JOIN fx_webhooks w ON w.project_id=a.project_id WHERE a.notify AND w.is_active""", ACTIONS_SQL))
+def q_notification_fanout(spark, sf_dir):
+    actions, fx = _actions(spark, sf_dir)
+    out = webhooks.fanout(actions, fx.webhooks, FIXED_NOW)
+    return out.withColumn("headers_json", F.to_json("headers")).drop("headers")
+
+
+# --- P25 / S11 ------------------------------------------------------------------
+@register("webhook_event_append", """SELECT event_id AS id, user_id AS webhook_id, 'run.complete' AS event_type, props AS payload,
+   CASE WHEN event_type IN ('error','signup') THEN NULL WHEN event_type='purchase' THEN 200 WHEN event_type='click' THEN 204 ELSE 302 END AS status_code,
+   CASE WHEN event_type='error' THEN 'Request timeout' WHEN event_type='signup' THEN 'Connection refused'
+        WHEN event_type='purchase' THEN substring(repeat(props, 120), 1, 1000) WHEN event_type='click' THEN NULL ELSE props END AS response_body,
+   ts AS attempted_at FROM events""")
+def q_webhook_event_append(spark, sf_dir):
+    ev = _fx(spark, sf_dir).table("events")
+    et = F.col("event_type")
+    deliveries = ev.select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("webhook_id"), F.col("props").alias("payload"),
+        F.when(et == "purchase", 200).when(et == "click", 204).when(et == "signup", 404).otherwise(302).alias("status_code"),
+        F.when(et == "purchase", F.repeat("props", 120)).when(et == "click", F.lit("")).otherwise(F.col("props")).alias("body"),
+        F.when(et == "error", F.lit("timeout")).when(et == "signup", F.lit("error")).alias("error_kind"),
+        F.when(et == "signup", F.lit("Connection refused")).alias("error_message"),
+        F.col("ts").cast("timestamp").alias("attempted_at"))
+    return webhooks.event_rows(deliveries)
+
+
+# --- R3 ---------------------------------------------------------------------------
+@register("job_outcome", O.with_fx(f"""SELECT 'job_' || s.project_id AS job_id, 'run_' || s.project_id AS run_id, s.project_id,
+   CASE WHEN coalesce(m.has_changes,false) THEN 'COMPLETE_WITH_DIFFS' ELSE 'COMPLETE_NO_DIFFS' END AS status,
+   CASE WHEN coalesce(m.has_changes,false) THEN d.document END AS document,
+   CASE WHEN coalesce(m.has_changes,false) THEN '{PUBLIC_BASE}/llms-txt/llms_job_' || s.project_id || '.txt' END AS llms_txt_url,
+   CASE WHEN coalesce(m.has_changes,false) THEN 'Successfully generated llms.txt file. Artifact: {PUBLIC_BASE}/llms-txt/llms_job_' || s.project_id || '.txt'
+        ELSE 'No changes detected, skipping generation' END AS summary
+   FROM fx_projects s LEFT JOIN fx_summary m ON m.project_id=s.project_id LEFT JOIN fx_documents d ON d.project_id=s.project_id""",
+    *site_index_ctes(100)))
+def q_job_outcome(spark, sf_dir):
+    job = crawl_job(spark, sf_dir)
+    return runs.job_outcome(job.inputs.jobs.drop("start_url"), job.summary, job.documents, PUBLIC_BASE)
+
+
+# --- scheduling ---------------------------------------------------------------------
+SCHED_SQL = ("fx_sched", f"""SELECT * FROM (SELECT c.project_id, c.cron_expression, c.is_enabled, c.crawl_depth, p.domain,
+   CASE c.cron_expression WHEN '0 2 * * *' THEN {duck_next_daily(NOW_SQL)} WHEN '0 2 * * 0' THEN {duck_next_weekly(NOW_SQL)} END AS next_run_at
+   FROM fx_project_configs c JOIN fx_projects_tbl p ON p.id=c.project_id)
+   WHERE coalesce(is_enabled,false) AND coalesce(cron_expression,'')<>'' AND next_run_at IS NOT NULL AND coalesce(domain,'')<>''""")
+
+
+@register("schedulable_projects", O.with_fx("SELECT * FROM fx_sched", SCHED_SQL))
+def q_schedulable_projects(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return runs.schedulable(fx.project_configs, fx.projects_tbl, FIXED_NOW)
+
+
+def _duck_run_id(kind: str, project: str, at: str) -> str:
+    return f"('run_' || substr(sha256('{kind}|' || CAST({project} AS VARCHAR) || '|' || CAST(epoch_us({at}) AS VARCHAR)), 1, 16))"
+
+
+@register("schedule_next", O.with_fx(f"""SELECT project_id, {_duck_run_id('scheduled', 'project_id', 'next_run_at')} AS run_id, 'QUEUED' AS status,
+   {NOW_SQL} AS created_at, 'scheduled_' || CAST(project_id AS VARCHAR) || '_' || CAST(epoch_ms(next_run_at) // 1000 AS VARCHAR) AS job_id,
+   json_object('id', 'scheduled_' || CAST(project_id AS VARCHAR) || '_' || CAST(epoch_ms(next_run_at) // 1000 AS VARCHAR), 'projectId', project_id,
+     'url', domain, 'priority', 'scheduled', 'render_mode', 'scheduled', 'isScheduled', true, 'scheduledAt', epoch_ms(next_run_at),
+     'runId', {_duck_run_id('scheduled', 'project_id', 'next_run_at')},
+     'metadata', json_object('cron_expression', cron_expression, 'scheduled_by', 'worker'))::VARCHAR AS payload,
+   {NOW_SQL} AS last_run_at, next_run_at FROM fx_sched""", SCHED_SQL))
+def q_schedule_next(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return runs.schedule_next(fx.project_configs, fx.projects_tbl, FIXED_NOW)
+
+
+@register("next_run_times", f"""SELECT event_id, ts AS now_ts, {duck_next_daily('ts')} AS next_daily, {duck_next_weekly('ts')} AS next_weekly,
+   {duck_next_weekly('ts', api=True)} AS next_weekly_api FROM events""")
+def q_next_run_times(spark, sf_dir):
+    ev = _fx(spark, sf_dir).table("events").select("event_id", F.col("ts").cast("timestamp").alias("now_ts"))
+    return ev.select("event_id", "now_ts", schedule.next_run_daily("now_ts").alias("next_daily"),
+                     schedule.next_run_weekly("now_ts").alias("next_weekly"),
+                     schedule.next_run_weekly_api("now_ts").alias("next_weekly_api"))
+
+
+@register("schedule_to_cron", f"""SELECT c_custkey AS project_id, s AS schedule,
+   CASE s WHEN 'daily' THEN '0 2 * * *' WHEN 'weekly' THEN '0 2 * * 0' END AS cron_expression,
+   CASE s WHEN 'daily' THEN {duck_next_daily(NOW_SQL)} WHEN 'weekly' THEN {duck_next_weekly(NOW_SQL, api=True)} END AS next_run_at
+   FROM (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'daily' WHEN 'MACHINERY' THEN 'weekly' WHEN 'FURNITURE' THEN 'custom'
+   ELSE lower(c_mktsegment) END AS s FROM customer)""")
+def q_schedule_to_cron(spark, sf_dir):
+    c = _fx(spark, sf_dir).table("customer")
+    seg = F.col("c_mktsegment")
+    s = (F.when(seg == "BUILDING", "daily").when(seg == "MACHINERY", "weekly").when(seg == "FURNITURE", "custom")
+         .otherwise(F.lower(seg)))
+    c = c.select(F.col("c_custkey").alias("project_id"), s.alias("schedule"))
+    cron, nxt = schedule.schedule_to_cron("schedule", F.lit(FIXED_NOW).cast("timestamp"))
+    return c.select("project_id", "schedule", cron.alias("cron_expression"), nxt.alias("next_run_at"))
+
+
+# --- R5 / S12 ---------------------------------------------------------------------------
+@register("initial_runs", O.with_fx(f"""SELECT project_id, run_id, initiated_by, 'QUEUED' AS status, {NOW_SQL} AS created_at,
+   'job_' || substr(sha256(run_id), 1, 16) AS job_id,
+   json_object('id', 'job_' || substr(sha256(run_id), 1, 16), 'url', domain, 'projectId', project_id, 'runId', run_id, 'priority', 'NORMAL',
+     'render_mode', 'STATIC', 'isScheduled', false, 'isInitialRun', true)::VARCHAR AS payload
+   FROM (SELECT p.id AS project_id, p.created_by AS initiated_by, p.domain, {_duck_run_id('initial', 'p.id', NOW_SQL)} AS run_id
+     FROM fx_projects_tbl p JOIN fx_project_configs c ON c.project_id=p.id WHERE coalesce(c.is_enabled, true))"""))
+def q_initial_runs(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return runs.initial_runs(fx.projects_tbl, fx.project_configs, FIXED_NOW)
+
+
+@register("run_insert", O.with_fx(f"""SELECT {_duck_run_id('manual', 'id', NOW_SQL)} AS id, id AS project_id, created_by AS initiated_by,
+   'QUEUED' AS status, 'Generation run for ' || domain AS summary, {NOW_SQL} AS created_at, '{{}}' AS metrics FROM fx_projects_tbl"""))
+def q_run_insert(spark, sf_dir):
+    p = _fx(spark, sf_dir).projects_tbl
+    req = p.select(F.col("id").alias("project_id"), F.col("created_by").alias("initiated_by"), F.col("domain").alias("url"))
+    return runs.create_runs(req, FIXED_NOW)
+
+
+# --- P28 / P22 -------------------------------------------------------------------------------
+@register("fill_defaults", O.with_fx("""SELECT id, project_id, url, is_active, 'run.complete' AS event_types FROM fx_webhooks"""))
+def q_fill_defaults(spark, sf_dir):
+    wh = _fx(spark, sf_dir).webhooks
+    out = catalog.fill_defaults(wh, "webhook")
+    return out.select("id", "project_id", "url", "is_active", F.array_join("event_types", ",").alias("event_types"))
+
+
+VALID_URL_DUCK = r"^https?://[^\s/?#@:]+(:[0-9]*)?([/?#][^\s]*)?$"
+
+
+@register("validate_domain", f"""SELECT id, name, domain AS domain_input, norm AS domain,
+   (coalesce(name,'')<>'' AND coalesce(domain,'')<>'' AND regexp_matches(norm, '{VALID_URL_DUCK}')) AS is_valid,
+   CASE WHEN coalesce(name,'')='' OR coalesce(domain,'')='' THEN 'Name and domain are required'
+        WHEN NOT regexp_matches(norm, '{VALID_URL_DUCK}') THEN 'Invalid domain URL' END AS reject_reason,
+   regexp_matches(norm, '^https?:\\/\\/(www\\.)?[-a-zA-Z0-9@:%._\\+~#=]{{1,256}}\\.[a-zA-Z0-9()]{{1,6}}\\b([-a-zA-Z0-9()@:%_\\+.~#?&//=]*)$') AS form_ok
+   FROM (SELECT id, name, domain, CASE WHEN domain LIKE 'http%' THEN domain ELSE 'https://' || domain END AS norm FROM (
+     SELECT c_custkey AS id, CASE WHEN c_custkey%17=0 THEN '' ELSE c_name END AS name,
+       CASE c_custkey%3 WHEN 0 THEN lower(replace(c_name,'#','-')) || '.example.com' WHEN 1 THEN 'http://' || lower(replace(c_name,'#','-')) || '.example.org/x?y=1'
+       ELSE 'bad domain ' || c_name END AS domain FROM customer))""")
+def q_validate_domain(spark, sf_dir):
+    from ..operators.catalog import validate_projects
+    c = _fx(spark, sf_dir).table("customer")
+    k = F.col("c_custkey")
+    slug = F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("-")))
+    cand = c.select(k.alias("id"), F.when(k % 17 == 0, F.lit("")).otherwise(F.col("c_name")).alias("name"),
+                    F.when(k % 3 == 0, F.concat(slug, F.lit(".example.com")))
+                     .when(k % 3 == 1, F.concat(F.lit("http://"), slug, F.lit(".example.org/x?y=1")))
+                     .otherwise(F.concat(F.lit("bad domain "), F.col("c_name"))).alias("domain"))
+    return validate_projects(cand).select("id", "name", F.col("domain_input"), "domain", "is_valid", "reject_reason", "form_ok")
+
+
+# --- S5 / A7 ------------------------------------------------------------------------------------
+def _raw_jobs(spark, sf_dir):
+    r = _fx(spark, sf_dir).runs
+    i = F.col("id")
+    payload = F.to_json(F.struct(
+        F.when(i % 7 != 0, F.concat(F.lit("job_"), i.cast("string"))).alias("id"),
+        F.when(i % 11 != 0, F.concat(F.lit("https://site-"), F.col("project_id").cast("string"), F.lit(".example.com"))).alias("url"),
+        F.when(i % 13 != 0, F.col("project_id")).alias("projectId"),
+        F.when(i % 17 != 0, i.cast("string")).alias("runId"),
+        F.when(i % 2 == 0, F.col("is_scheduled")).alias("isScheduled")))
+    return r.select(i.alias("arrival"), payload.alias("value"))
+
+
+@register("job_intake", """SELECT id AS arrival, CASE WHEN id%7<>0 THEN 'job_' || CAST(id AS VARCHAR) END AS id,
+   CASE WHEN id%11<>0 THEN 'https://site-' || CAST(project_id AS VARCHAR) || '.example.com' END AS url,
+   CASE WHEN id%13<>0 THEN CAST(project_id AS VARCHAR) END AS projectId, CASE WHEN id%17<>0 THEN CAST(id AS VARCHAR) END AS runId,
+   CASE WHEN id%2=0 THEN is_scheduled ELSE false END AS isScheduled, false AS isInitialRun,
+   (id%7<>0 AND id%11<>0 AND id%13<>0 AND id%17<>0) AS accepted,
+   CASE WHEN NOT (id%7<>0 AND id%11<>0 AND id%13<>0 AND id%17<>0) THEN 'job must contain id+url+project id+run id' END AS reject_reason
+   FROM (SELECT o_orderkey AS id, o_custkey AS project_id, o_orderkey%3=0 AS is_scheduled FROM orders)""")
+def q_job_intake(spark, sf_dir):
+    return jobsrc.parse_jobs(_raw_jobs(spark, sf_dir)).drop("scheduledAt")
+
+
+@register("queue_dedup", """SELECT runId, arrival, id FROM (SELECT runId, arrival, id, row_number() OVER (PARTITION BY runId ORDER BY arrival) AS rn FROM (
+   SELECT o_orderkey AS arrival, 'job_' || CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS runId FROM orders
+   WHERE o_orderkey%7<>0 AND o_orderkey%11<>0 AND o_orderkey%13<>0 AND o_orderkey%17<>0)) WHERE rn=1""")
+def q_queue_dedup(spark, sf_dir):
+    """Jobs re-keyed so that every run id arrives many times (one per order
+    of the customer); the earliest arrival wins."""
+    r = _fx(spark, sf_dir).runs
+    i = F.col("id")
+    raw = r.select(i.alias("arrival"), F.to_json(F.struct(
+        F.concat(F.lit("job_"), i.cast("string")).alias("id"),
+        F.when(i % 11 != 0, F.concat(F.lit("https://site-"), F.col("project_id").cast("string"), F.lit(".example.com"))).alias("url"),
+        F.col("project_id").alias("projectId"),
+        F.col("project_id").cast("string").alias("runId"))).alias("value"))
+    ok = jobsrc.accepted_jobs(jobsrc.parse_jobs(raw.filter((i % 7 != 0) & (i % 13 != 0) & (i % 17 != 0))))
+    return jobsrc.dedup_jobs(ok.select("runId", "arrival", "id"), ["arrival"])
