@@ -162,3 +162,51 @@ class Fixtures:
              .otherwise(F.concat(F.lit("s3://llms-txt/llms_"), ok.cast("string"), F.lit(".txt")))
              .alias("storage_path"),
             F.col("l_shipdate").cast("timestamp").alias("created_at"))
+
+    # --- sitemap and robots documents (S2-S4, F1, F2) -----------------------
+    @cached_property
+    def sitemap_snapshot(self) -> DataFrame:
+        """Fetched sitemap documents built from ``fx_sitemap``.
+
+        Per project, by ``length(project_id) % 4``: 0 = index with two child
+        urlsets (URLs split by ``length(url) % 2``), 1 = plain urlset,
+        2 = urlset answered with 404, 3 = malformed urlset (unclosed).
+        """
+        from ..functions import urls as U
+        from ..sources import sitemaps as SM
+        kind = F.length("project_id") % 4
+        base = self.projects.select("project_id", SM.sitemap_location("start_url").alias("root"),
+                                    F.concat(U.url_part("start_url", "scheme"), F.lit("://"),
+                                             U.url_part("start_url", "netloc")).alias("origin"))
+        sm = self.sitemap.join(base, "project_id").withColumn("kind", kind)
+        whole = sm.groupBy("project_id", "root", "kind").agg(F.array_sort(F.collect_list("url")).alias("u"))
+        plain = whole.filter(F.col("kind") != 0).select(
+            "project_id", F.col("root").alias("url"),
+            F.when(F.col("kind") == 2, 404).otherwise(200).alias("status_code"),
+            F.when(F.col("kind") == 3, F.concat(F.replace(SM.urlset_document(F.col("u")), F.lit("</urlset>"), F.lit("")),
+                                                 F.lit("<url><loc>")))
+             .otherwise(SM.urlset_document(F.col("u"))).alias("body"))
+        idx = sm.filter(F.col("kind") == 0)
+        child_url = F.concat(F.col("origin"), F.when(F.length("url") % 2 == 0, F.lit("/sitemap-a.xml"))
+                             .otherwise(F.lit("/sitemap-b.xml")))
+        children = (idx.groupBy("project_id", child_url.alias("url"))
+                    .agg(SM.urlset_document(F.array_sort(F.collect_list("url"))).alias("body"))
+                    .select("project_id", "url", F.lit(200).alias("status_code"), "body"))
+        roots = (idx.select("project_id", "root", "origin").distinct().select(
+            "project_id", F.col("root").alias("url"), F.lit(200).alias("status_code"),
+            SM.index_document(F.array(F.concat(F.col("origin"), F.lit("/sitemap-a.xml")),
+                                      F.concat(F.col("origin"), F.lit("/sitemap-b.xml")))).alias("body")))
+        return plain.unionByName(children).unionByName(roots)
+
+    ROBOTS_AGENT = "sitewatch-bot"
+
+    @cached_property
+    def robots_snapshot(self) -> DataFrame:
+        """A robots.txt per project (404 when ``length(project_id) % 3 = 0``)."""
+        from ..functions import urls as U
+        body = F.concat(F.lit("# robots for "), F.col("project_id"), F.lit(
+            "\nUser-agent: otherbot\nDisallow: /\n\nUser-agent: *\nDisallow: /fr/\nAllow: /fr/1\nDisallow:\n"
+            "  Allow: /de/2  \nDisallow: /de/\nno colon here\nUser-agent: sitewatch-bot\nDisallow: /en/9\n"))
+        return self.projects.select(
+            "project_id", U.well_known("start_url", "robots.txt").alias("url"),
+            F.when(F.length("project_id") % 3 == 0, 404).otherwise(200).alias("status_code"), body.alias("body"))
