@@ -100,8 +100,9 @@ def artifact_rows(docs: DataFrame, now, public_base: str) -> DataFrame:
     run_id, job_id, document)."""
     name, path, public = artifact_location(F.col("job_id"), public_base)
     ts = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
+    from ..functions.labels import iso_utc
     meta = F.to_json(F.struct(public.alias("public_url"), F.lit(ARTIFACT_BUCKET).alias("bucket"),
-                              name.alias("key"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("uploaded_at")))
+                              name.alias("key"), iso_utc(ts).alias("uploaded_at")))
     return docs.select(
         F.concat(F.lit("art_"), F.col("run_id")).alias("id"), "project_id", "run_id",
         F.lit(ARTIFACT_LLMS_TXT).alias("type"), path.alias("storage_path"), name.alias("file_name"),

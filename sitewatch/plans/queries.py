@@ -50,3 +50,4 @@ from . import queries_crawl  # noqa: E402,F401  (registers the crawl queries)
 from . import queries_model  # noqa: E402,F401  (read model)
 from . import queries_lifecycle  # noqa: E402,F401  (run lifecycle, webhooks)
 from . import queries_sources  # noqa: E402,F401  (sources, URL and text functions)
+from . import queries_maint  # noqa: E402,F401  (cascade delete, patches, audit)

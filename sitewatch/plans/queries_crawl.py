@@ -105,3 +105,136 @@ def q_site_index(spark, sf_dir):
 @register("site_index_small_budget", _site_index_sql(BUDGET_TEST_MAX_PAGES))
 def q_site_index_small_budget(spark, sf_dir):
     return crawl_job(spark, sf_dir, BUDGET_TEST_MAX_PAGES).documents
+
+
+# --- crawl results, revisions, page upsert, artifacts -------------------------------------------
+from .queries import FIXED_NOW, FIXED_NOW_ISO, PUBLIC_BASE  # noqa: E402
+
+NOW_SQL = f"TIMESTAMP '{FIXED_NOW}'"
+CRAWLED = ("fx_crawled", "SELECT * FROM fx_budget WHERE fetched AND status_code=200")
+DEDUP = ("fx_dedup", """SELECT project_id, url, page_id IS NULL AS is_new_page, pid AS page_id, change_reason, title, description, content_sha256,
+   'run_' || project_id AS run_id, NOT same AS is_new_revision,
+   CASE WHEN same THEN old_revision_id ELSE 'rev_' || substr(sha256(pid || '|' || 'run_' || project_id), 1, 16) END AS revision_id, rk
+   FROM (SELECT *, coalesce(page_id, 'pg_' || substr(sha256(project_id || '|' || url), 1, 16)) AS pid,
+     coalesce(old_revision_id IS NOT NULL AND old_content_sha256 IS NOT NULL AND old_content_sha256 = content_sha256, false) AS same
+     FROM fx_crawled)""")
+
+
+@register("pages_crawled", O.with_fx("SELECT project_id, count(*) AS pages_crawled FROM fx_crawled GROUP BY project_id",
+                                     O.budget_cte(SITE_INDEX_MAX_PAGES), CRAWLED))
+def q_pages_crawled(spark, sf_dir):
+    return crawl_job(spark, sf_dir).crawled.groupBy("project_id").agg(F.count(F.lit(1)).alias("pages_crawled"))
+
+
+@register("crawl_result", O.with_fx(f"""SELECT m.project_id, s.start_url,
+   CASE WHEN m.has_changes THEN coalesce(c.n, 0) ELSE 0 END AS pages_crawled, {SITE_INDEX_MAX_PAGES} AS max_pages, 2 AS max_depth,
+   m.has_changes AS changes_detected, m.n_changed, m.n_new, m.n_unchanged,
+   CASE WHEN m.has_changes THEN coalesce(c.urls, '') ELSE '' END AS page_urls
+   FROM fx_summary m JOIN fx_projects s ON s.project_id=m.project_id
+   LEFT JOIN (SELECT project_id, count(*) AS n, string_agg(url, ' ' ORDER BY rk) AS urls FROM fx_crawled GROUP BY project_id) c ON c.project_id=m.project_id""",
+    O.budget_cte(SITE_INDEX_MAX_PAGES), CRAWLED))
+def q_crawl_result(spark, sf_dir):
+    r = crawl_job(spark, sf_dir).crawl_results
+    return r.select("project_id", "start_url", "pages_crawled", "max_pages", "max_depth", "changes_detected",
+                    "n_changed", "n_new", "n_unchanged",
+                    F.array_join(F.transform("pages", lambda p: p["url"]), " ").alias("page_urls"))
+
+
+@register("revision_dedup", O.with_fx("SELECT project_id, url, page_id, is_new_page, revision_id, is_new_revision FROM fx_dedup",
+                                      O.budget_cte(SITE_INDEX_MAX_PAGES), CRAWLED, DEDUP))
+def q_revision_dedup(spark, sf_dir):
+    return crawl_job(spark, sf_dir).crawled_with_ids.select(
+        "project_id", "url", "page_id", "is_new_page", "revision_id", "is_new_revision")
+
+
+@register("revision_append", O.with_fx(f"""SELECT d.revision_id AS id, d.page_id, d.run_id, length(f.body) AS content_chars, d.content_sha256,
+   d.title, d.description AS meta_description, {NOW_SQL} AS created_at,
+   json_object('change_reason', coalesce(d.change_reason, 'Unknown'))::VARCHAR AS metadata
+   FROM fx_dedup d LEFT JOIN fx_fetch f ON f.project_id=d.project_id AND f.url=d.url WHERE d.is_new_revision""",
+    O.budget_cte(SITE_INDEX_MAX_PAGES), CRAWLED, DEDUP))
+def q_revision_append(spark, sf_dir):
+    revs = crawl_job(spark, sf_dir).new_revisions(FIXED_NOW)
+    return revs.withColumn("content_chars", F.length("content")).drop("content")
+
+
+@register("page_upsert", O.with_fx(f"""SELECT p.id, p.project_id, p.url,
+   CASE WHEN d.page_id IS NOT NULL AND d.is_new_revision THEN d.revision_id ELSE p.current_revision_id END AS current_revision_id,
+   CASE WHEN d.page_id IS NOT NULL THEN {NOW_SQL} END AS last_seen_at
+   FROM fx_pages p LEFT JOIN (SELECT * FROM fx_dedup WHERE NOT is_new_page) d ON d.page_id=p.id
+   UNION ALL SELECT page_id, project_id, url, revision_id, {NOW_SQL} FROM fx_dedup WHERE is_new_page""",
+    O.budget_cte(SITE_INDEX_MAX_PAGES), CRAWLED, DEDUP))
+def q_page_upsert(spark, sf_dir):
+    job = crawl_job(spark, sf_dir)
+    pages = job.inputs.pages.withColumn("last_seen_at", F.lit(None).cast("timestamp"))
+    return crawl.upsert_pages(pages, job.crawled_with_ids, FIXED_NOW)
+
+
+@register("current_revision", O.with_fx("""SELECT page_id, arg_max(id, (created_at, id)) AS current_revision_id FROM (
+   SELECT id, page_id, TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM fx_revisions
+   UNION ALL SELECT revision_id, page_id, TIMESTAMP '2024-03-15 12:00:00' FROM fx_dedup WHERE is_new_revision) GROUP BY page_id""",
+    O.budget_cte(SITE_INDEX_MAX_PAGES), CRAWLED, DEDUP))
+def q_current_revision(spark, sf_dir):
+    job = crawl_job(spark, sf_dir)
+    old = job.inputs.revisions.select("id", "page_id", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"))
+    new = job.new_revisions(FIXED_NOW).select("id", "page_id", "created_at")
+    return crawl.current_revision(old.unionByName(new))
+
+
+@register("start_page", O.with_fx("""SELECT project_id, arg_min(url, (NOT is_start, rk)) AS url, arg_min(title, (NOT is_start, rk)) AS title
+   FROM fx_crawled GROUP BY project_id""", O.budget_cte(SITE_INDEX_MAX_PAGES), CRAWLED))
+def q_start_page(spark, sf_dir):
+    sp = index.start_page(crawl_job(spark, sf_dir).crawled)
+    return sp.select("project_id", F.col("sp.url").alias("url"), F.col("sp.title").alias("title"))
+
+
+def _line_sql() -> str:
+    return ("concat('- [', CASE WHEN " + O.py_strip("coalesce(title,'')") + "<>'' THEN " + O.py_strip("title")
+            + " ELSE url END, '](', url, ')', CASE WHEN " + O.py_strip("coalesce(description,'')")
+            + "<>'' THEN ': ' || " + O.py_strip("description") + " ELSE '' END)")
+
+
+@register("index_line", O.with_fx(f"SELECT project_id, url, rk AS crawl_rank, {_line_sql()} AS line FROM fx_crawled",
+                                  O.budget_cte(SITE_INDEX_MAX_PAGES), CRAWLED))
+def q_index_line(spark, sf_dir):
+    c = crawl_job(spark, sf_dir).crawled
+    return c.select("project_id", "url", "crawl_rank", index.index_line("url", "title", "description").alias("line"))
+
+
+@register("index_header", O.with_fx("SELECT project_id, split_part(document, chr(10) || '## Pages', 1) || chr(10) || '## Pages' || chr(10) AS header FROM fx_documents",
+                                    *site_index_ctes(SITE_INDEX_MAX_PAGES)))
+def q_index_header(spark, sf_dir):
+    job = crawl_job(spark, sf_dir)
+    sp = index.start_page(job.crawled)
+    flagged = job.summary.filter("has_changes").select("project_id")
+    j = flagged.join(job.projects, "project_id").join(sp, "project_id", "left")
+    return j.select("project_id", index.index_header(F.col("start_url"), F.col("sp.title"), F.col("sp.description")).alias("header"))
+
+
+@register("change_reason", O.with_fx("SELECT project_id, url, change_reason FROM fx_changes WHERE change_class='changed'"))
+def q_change_reason(spark, sf_dir):
+    ch_ = crawl_job(spark, sf_dir).changes
+    return ch_.filter(F.col("change_class") == "changed").select("project_id", "url", "change_reason")
+
+
+@register("artifact_records", O.with_fx(f"""SELECT 'art_run_' || project_id AS id, project_id, 'run_' || project_id AS run_id, 'LLMS_TXT' AS type,
+   's3://llms-txt/llms_job_' || project_id || '.txt' AS storage_path, 'llms_job_' || project_id || '.txt' AS file_name,
+   CAST(strlen(document) AS BIGINT) AS size_bytes, 0 AS downloaded_count, {NOW_SQL} AS created_at,
+   json_object('public_url', '{PUBLIC_BASE}/llms-txt/llms_job_' || project_id || '.txt', 'bucket', 'llms-txt', 'key', 'llms_job_' || project_id || '.txt',
+     'uploaded_at', '{FIXED_NOW_ISO}')::VARCHAR AS metadata, '{PUBLIC_BASE}/llms-txt/llms_job_' || project_id || '.txt' AS public_url
+   FROM fx_documents""", *site_index_ctes(SITE_INDEX_MAX_PAGES)))
+def q_artifact_records(spark, sf_dir):
+    return crawl_job(spark, sf_dir).artifacts(FIXED_NOW, PUBLIC_BASE)
+
+
+@register("artifact_sink", O.with_fx("""SELECT project_id, CAST(len(string_split(document, chr(10))) AS BIGINT) AS n_lines
+   FROM fx_documents""", *site_index_ctes(SITE_INDEX_MAX_PAGES)))
+def q_artifact_sink(spark, sf_dir):
+    """S7 round trip: write every document under the shared scratch folder,
+    read the files back and count lines per project."""
+    import uuid
+    from ..session import scratch_table_path
+    path = scratch_table_path(spark, f"documents-{uuid.uuid4().hex}")
+    index.write_documents(crawl_job(spark, sf_dir).documents, path)
+    back = spark.read.text(path)
+    return back.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_lines")).select(
+        F.col("project_id").cast("string").alias("project_id"), "n_lines")
