@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from .ranking import latest_per_key
 
 CHANGED, NEW, UNCHANGED = "changed", "new", "unchanged"
 
@@ -34,12 +35,17 @@ def digest_snapshot(snapshot: DataFrame) -> DataFrame:
     """
     stripped = text.strip_blocks("body")
     ok = F.col("status_code") == 200
-    return (snapshot
-            .select("project_id", "url", "status_code", F.when(ok, stripped).alias("_stripped"))
-            .select("project_id", "url", "status_code",
-                    text.fingerprint_from_stripped("_stripped").alias("content_sha256"),
-                    text.title_from_stripped("_stripped").alias("title"),
-                    text.description_from_stripped("_stripped").alias("description")))
+    digest = (snapshot
+              .select("project_id", "url", "status_code", F.when(ok, stripped).alias("_stripped"))
+              .select("project_id", "url", "status_code",
+                      text.fingerprint_from_stripped("_stripped").alias("content_sha256"),
+                      text.title_from_stripped("_stripped").alias("title"),
+                      text.description_from_stripped("_stripped").alias("description")))
+    # One fetch per URL: should a snapshot hold a URL twice, keep the OK one
+    # (then the greatest digest) -- a partial aggregate on the join key, so the
+    # join that follows reuses its partitioning.
+    return latest_per_key(digest, ["project_id", "url"],
+                          [(F.col("status_code") == 200), "content_sha256", "title", "description", "status_code"])
 
 
 def frontier(sitemap_urls: DataFrame, pages: DataFrame, projects: DataFrame) -> DataFrame:

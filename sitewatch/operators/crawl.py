@@ -37,7 +37,8 @@ def crawl_budget(changes: DataFrame, projects: DataFrame, max_pages: int) -> Dat
     cand = (crawl_candidates(changes)
             .join(starts, ["project_id", "url"], "left")
             .withColumn("is_start", F.coalesce(F.col("is_start"), F.lit(False))))
-    w = Window.partitionBy("project_id").orderBy(F.col("is_start").desc(), F.col("class_order"), F.col("url"))
+    w = Window.partitionBy("project_id").orderBy(F.col("is_start").desc(), F.col("class_order"), F.col("url"),
+                                                 F.col("page_id").asc_nulls_first())
     ranked = cand.withColumn("crawl_rank", F.row_number().over(w))
     if max_pages >= 1:
         return ranked.filter(F.col("crawl_rank") <= F.lit(max_pages))

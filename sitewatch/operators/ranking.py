@@ -7,7 +7,7 @@
   window: rows are range-partitioned on (key, order), so a hot key spans many
   partitions; each partition numbers its own rows and adds the count of the
   same key's rows in earlier partitions (a small aggregate).  The numbered
-  partitions are checkpointed once so both branches see the same split.
+  partitions are written once so both branches see the same split.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                    cols: Sequence[str] | None = None, newest: bool = True) -> DataFrame:
@@ -39,12 +41,11 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key_cols = [F.col(k) for k in keys]
     # The range bounds come from a sample; a second evaluation could pick other
-    # bounds, so the partition-numbered rows are materialised once with a
-    # reliable checkpoint (shared checkpoint folder, survives executor loss)
-    # before the two branches below read them.
-    parted = (df.repartitionByRange(n, *key_cols, *order)
-              .withColumn("_part", F.spark_partition_id())
-              .checkpoint(eager=True))
+    # bounds, so the partition-numbered rows are written once to the shared
+    # checkpoint folder (survives executor loss) before the two branches below
+    # read them.
+    parted = materialize(df.repartitionByRange(n, *key_cols, *order)
+                         .withColumn("_part", F.spark_partition_id()), "ranked-parts")
     w_local = Window.partitionBy("_part", *keys).orderBy(*order)
     local = parted.withColumn("_local_rn", F.row_number().over(w_local))
     counts = local.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -55,7 +55,7 @@ CTES = {
     "fx_sitemap": (["fx_base"], "SELECT project_id, url FROM fx_base WHERE page_id%2=0"),
     "fx_projects": (["fx_base"], "SELECT project_id, min(url) AS start_url FROM fx_base GROUP BY project_id"),
     "fx_frontier": (["fx_sitemap", "fx_pages", "fx_projects"], "SELECT project_id,url FROM fx_sitemap UNION SELECT project_id,url FROM fx_pages UNION SELECT project_id,start_url FROM fx_projects"),
-    "fx_digest": (["fx_fetch"], "SELECT project_id, url, status_code, CASE WHEN status_code=200 THEN sha256(" + norm("body") + ") END AS h, CASE WHEN status_code=200 THEN " + title("body") + " END AS title, CASE WHEN status_code=200 THEN " + description("body") + " END AS description FROM fx_fetch"),
+    "fx_digest": (["fx_fetch"], "SELECT project_id, url, status_code, h, title, description FROM (SELECT *, row_number() OVER (PARTITION BY project_id, url ORDER BY status_code=200 DESC, h DESC NULLS LAST, title DESC NULLS LAST, description DESC NULLS LAST, status_code DESC) AS dup_rn FROM (SELECT project_id, url, status_code, CASE WHEN status_code=200 THEN sha256(" + norm("body") + ") END AS h, CASE WHEN status_code=200 THEN " + title("body") + " END AS title, CASE WHEN status_code=200 THEN " + description("body") + " END AS description FROM fx_fetch)) WHERE dup_rn=1"),
     "fx_changes": (["fx_frontier", "fx_pages", "fx_revisions", "fx_digest"], """SELECT f.project_id,f.url, p.id AS page_id,
    CASE WHEN p.id IS NULL THEN 'new' WHEN x.url IS NULL OR x.status_code<>200 OR r.id IS NULL OR coalesce(r.content_sha256,'')='' OR r.content_sha256<>x.h THEN 'changed' ELSE 'unchanged' END AS change_class,
    CASE WHEN p.id IS NULL THEN NULL WHEN x.url IS NULL THEN 'Error checking content hash: fetch failed' WHEN x.status_code<>200 THEN concat('HTTP ',CAST(x.status_code AS STRING),' on full fetch')
@@ -106,5 +106,5 @@ def budget_cte(max_pages: int) -> tuple[str, str]:
     keep = f"rk <= {max_pages}" if max_pages >= 1 else "rk <= 1 AND is_start"
     return ("fx_budget", f"""SELECT * FROM (SELECT c.*, coalesce(c.url = CASE WHEN s.start_url LIKE 'http://%' OR s.start_url LIKE 'https://%' THEN s.start_url ELSE 'https://' || s.start_url END, false) AS is_start,
    row_number() OVER (PARTITION BY c.project_id ORDER BY coalesce(c.url = CASE WHEN s.start_url LIKE 'http://%' OR s.start_url LIKE 'https://%' THEN s.start_url ELSE 'https://' || s.start_url END, false) DESC,
-     CASE c.change_class WHEN 'changed' THEN 0 ELSE 1 END, c.url) AS rk
+     CASE c.change_class WHEN 'changed' THEN 0 ELSE 1 END, c.url, c.page_id ASC NULLS FIRST) AS rk
    FROM fx_changes c JOIN fx_projects s ON s.project_id = c.project_id WHERE c.change_class IN ('changed','new')) WHERE {keep}""")

@@ -76,3 +76,18 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for an intermediate table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` once as parquet under the shared checkpoint
+    folder and reading it back.
+
+    Unlike ``checkpoint()`` this computes the plan once (a reliable RDD
+    checkpoint of an unpersisted plan runs it twice), and the files live in the
+    folder the cluster shares, so a lost executor does not lose them.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = scratch_table_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..session import materialize
 
 # --- fixed values ----------------------------------------------------------
 SITEMAP_NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
@@ -65,17 +66,25 @@ def expand_index(docs: DataFrame, snapshot: DataFrame, max_levels: int = 5) -> D
     """URLs of the sitemaps, following index documents to their children
     (fetched documents in ``snapshot``, status 200) up to ``max_levels`` deep.
 
-    Every fetched document is parsed once into entries; index entries form an
-    edge table (doc -> child) that a bounded loop of equi-joins walks from the
-    root documents.  A cycle only repeats documents until the depth bound, and
-    the final semi-join takes each reachable document once.  Returns distinct
-    (project_id, url).
+    Every fetched document is parsed once into entries, which are written once
+    as a table in the shared checkpoint folder: the walk below reads
+    them at every level, and without the cut each level would re-run the
+    whole upstream plan.  Index entries form an edge table (doc -> child) that a
+    bounded loop of equi-joins walks from the root documents.  A cycle only
+    repeats documents until the depth bound; the final semi-join takes each
+    reachable document once.  Returns distinct (project_id, url).
     """
-    ok = snapshot.filter(F.col("status_code") == 200).select("project_id", "url", "body")
-    entries = parse_entries(docs.select("project_id", "url", "body").unionByName(ok).distinct())
+    roots = docs.select("project_id", "url", "body").withColumn("is_root", F.lit(True))
+    ok = (snapshot.filter(F.col("status_code") == 200).select("project_id", "url", "body")
+          .join(roots.select("project_id", "url"), ["project_id", "url"], "left_anti")
+          .withColumn("is_root", F.lit(False)))
+    both = roots.unionByName(ok)
+    entries = (parse_entries(both.select("project_id", "url", "body"))
+               .join(both.select("project_id", F.col("url").alias("doc_url"), "is_root"), ["project_id", "doc_url"]))
+    entries = materialize(entries, "sitemap-entries")
     edges = (entries.filter(F.col("kind") == "sitemap")
              .select("project_id", F.col("doc_url").alias("url"), F.col("loc").alias("child")))
-    level = docs.select("project_id", "url").distinct()
+    level = entries.filter(F.col("is_root")).select("project_id", F.col("doc_url").alias("url")).distinct()
     reach = level
     for _ in range(max_levels):
         level = level.join(edges, ["project_id", "url"]).select("project_id", F.col("child").alias("url")).distinct()
