@@ -54,27 +54,35 @@ def start_page(crawled: DataFrame) -> DataFrame:
                        F.col("url"), F.col("title"), F.col("description"))).alias("sp"))
 
 
-def site_index(crawled: DataFrame, projects: DataFrame, summary: DataFrame) -> DataFrame:
+def site_index(budget: DataFrame, projects: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """A4 (flagship): one markdown document per project that has changes.
 
-    ``crawled``: budgeted, fetched-OK pages (url, title, description, is_start,
-    crawl_rank).  Lines follow crawl order; pages without URL are left out of
-    the list but still count as start-page candidates; no trailing newline.
-    The group size is bounded by the crawl budget, so ``collect_list`` is safe.
+    ``budget``: the budgeted pages (W1) with url, title, description,
+    is_start, crawl_rank, fetched, status_code.  Only fetched-OK pages become
+    lines (F3); pages without URL are left out of the list but still count as
+    start-page candidates; no trailing newline.
+
+    Everything per project comes from ONE aggregate over the budget, which
+    Spark runs on the window's own hash partitioning (no extra shuffle); the
+    group size is bounded by the budget, so ``collect_list`` is safe.  A
+    project has changes exactly when its budget is not empty (for a budget of
+    at least one page); with ``summary`` (A1) the flag comes from there.
     """
-    line = F.when(F.coalesce(F.col("url"), F.lit("")) != "",
+    ok = F.coalesce(F.col("fetched"), F.lit(True)) & (F.coalesce(F.col("status_code"), F.lit(200)) == 200)
+    line = F.when(ok & (F.coalesce(F.col("url"), F.lit("")) != ""),
                   F.struct(F.col("crawl_rank"), index_line("url", "title", "description").alias("line")))
-    per_project = crawled.groupBy("project_id").agg(
-        F.min(F.struct((~F.col("is_start")).alias("not_start"), F.col("crawl_rank"),
-                       F.col("title"), F.col("description"))).alias("sp"),
+    per_project = budget.groupBy("project_id").agg(
+        F.min(F.when(ok, F.struct((~F.col("is_start")).alias("not_start"), F.col("crawl_rank"),
+                                  F.col("title"), F.col("description")))).alias("sp"),
         F.array_sort(F.collect_list(line)).alias("_lines"))
-    flagged = summary.filter(F.col("has_changes")).select("project_id")
+    if summary is not None:
+        per_project = (summary.filter(F.col("has_changes")).select("project_id")
+                       .join(per_project, "project_id", "left"))
     body = F.array_join(F.transform(F.coalesce(F.col("_lines"), F.array()), lambda z: z["line"]), "\n")
     doc = F.concat(index_header(F.col("start_url"), F.col("sp.title"), F.col("sp.description")),
                    F.when(F.coalesce(F.size(F.col("_lines")), F.lit(0)) > 0, F.concat(F.lit("\n"), body))
                     .otherwise(F.lit("")))
-    return (flagged.join(projects.select("project_id", "start_url"), "project_id")
-            .join(per_project, "project_id", "left")
+    return (per_project.join(projects.select("project_id", "start_url"), "project_id")
             .select("project_id", doc.alias("document")))
 
 

@@ -71,7 +71,10 @@ class CrawlJob:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return index.site_index(self.crawled, self.projects, self.summary)
+        # With a budget of at least one page, a non-empty budget is the same
+        # as "has changes", so no second pass over the change table is needed.
+        summary = self.summary if self.max_pages < 1 else None
+        return index.site_index(self.budget, self.projects, summary)
 
     @cached_property
     def crawl_results(self) -> DataFrame:

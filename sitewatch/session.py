@@ -91,3 +91,18 @@ def materialize(df, name: str):
     path = scratch_table_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give a CPU-heavy input at least as many partitions as the cluster has
+    cores.
+
+    A source stored as a few large row groups (a small test file, one big
+    crawl file) is otherwise parsed by a few tasks.  Large inputs already have
+    more partitions than cores and are returned unchanged (no shuffle).
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

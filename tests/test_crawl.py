@@ -79,6 +79,7 @@ def _doc(spark, pages, start_url="https://example.com"):
         "project_id string, url string, title string, description string, is_start boolean, crawl_rank int")
     projects = spark.createDataFrame([("p", start_url)], "project_id string, start_url string")
     summary = spark.createDataFrame([("p", True)], "project_id string, has_changes boolean")
+    crawled = crawled.withColumn("fetched", F.lit(True)).withColumn("status_code", F.lit(200))
     return index.site_index(crawled, projects, summary).collect()[0]["document"]
 
 
