@@ -25,8 +25,21 @@ ENTITY_CHAIN = (
     ("&quot;?", '"'),
     ("&amp;?", "&"),
 )
+# Numeric references (&#NNN; / &#xHH;, semicolon optional) are decoded
+# natively as well.  Code points 0x80-0x9F follow the Windows-1252 table of the
+# HTML standard:
+WINDOWS_1252_C1 = {
+    0x80: 0x20AC, 0x82: 0x201A, 0x83: 0x0192, 0x84: 0x201E, 0x85: 0x2026, 0x86: 0x2020, 0x87: 0x2021,
+    0x88: 0x02C6, 0x89: 0x2030, 0x8A: 0x0160, 0x8B: 0x2039, 0x8C: 0x0152, 0x8E: 0x017D, 0x91: 0x2018,
+    0x92: 0x2019, 0x93: 0x201C, 0x94: 0x201D, 0x95: 0x2022, 0x96: 0x2013, 0x97: 0x2014, 0x98: 0x02DC,
+    0x99: 0x2122, 0x9A: 0x0161, 0x9B: 0x203A, 0x9C: 0x0153, 0x9E: 0x017E, 0x9F: 0x0178,
+}
+# C1 code points kept as they are (no Windows-1252 meaning).
+C1_KEPT = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
 # ---------------------------------------------------------------------------
 
+NUMERIC_REF_RE = r"&#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
+
 BLOCKS_RE = "(?is)<!--.*?-->|" + "|".join(
     rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in REMOVED_ELEMENTS)
 TAG_RE = r"(?s)<[^>]*>"
@@ -52,12 +65,49 @@ def strip_blocks(html) -> Column:
     return F.regexp_replace(_col(html), BLOCKS_RE, "")
 
 
+def _char_of_numeric_ref(ref: Column) -> Column:
+    """The character a numeric reference stands for, as the HTML standard (and
+    Python's ``html.unescape``) decodes it; built from UTF-16 code units."""
+    digits = F.regexp_extract(ref, r"&#[xX]?([0-9a-fA-F]+)", 1)
+    is_hex = F.regexp_extract(ref, r"&#([xX]?)", 1) != ""
+    # more than 7 significant digits is beyond U+10FFFF in either base
+    too_long = F.length(F.regexp_replace(digits, "^0+", "")) > 7
+    cp = F.when(too_long, F.lit(0x110000)).when(is_hex, F.conv(digits, 16, 10).cast("long")) \
+        .otherwise(digits.cast("long"))
+    c1 = F.create_map(*[x for k, v in WINDOWS_1252_C1.items() for x in (F.lit(k), F.lit(v))])
+    mapped = F.when(cp.between(0x80, 0x9F), F.element_at(c1, cp.cast("int")).cast("long"))
+    cp = F.coalesce(mapped, cp)
+    bad = (cp == 0) | cp.between(0xD800, 0xDFFF) | (cp > 0x10FFFF)
+    dropped = (cp.between(0x1, 0x8) | (cp == 0xB) | cp.between(0xE, 0x1F) | cp.between(0x7F, 0x9F)
+               | cp.between(0xFDD0, 0xFDEF) | ((cp.bitwiseAND(0xFFFE)) == 0xFFFE))
+    dropped = dropped & ~cp.isin(*C1_KEPT) & ~cp.isin(*WINDOWS_1252_C1.values())
+    cp = F.when(bad, F.lit(0xFFFD)).otherwise(cp)
+    hi = F.lit(0xD800) + F.shiftright(cp - 0x10000, 10)
+    lo = F.lit(0xDC00) + (cp - 0x10000).bitwiseAND(0x3FF)
+    units = F.when(cp < 0x10000, F.lpad(F.hex(cp), 4, "0")) \
+        .otherwise(F.concat(F.lpad(F.hex(hi), 4, "0"), F.lpad(F.hex(lo), 4, "0")))
+    return F.when(dropped, F.lit("")).otherwise(F.decode(F.unhex(units), "UTF-16BE"))
+
+
+def decode_numeric_refs(text) -> Column:
+    """Replace every numeric character reference (longest first, so ``&#39``
+    never eats into ``&#390;``).  Rows without ``&#`` skip the work."""
+    t = _col(text)
+    refs = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(NUMERIC_REF_RE), 0)),
+                        lambda a, b: F.length(b) - F.length(a))
+    decoded = F.aggregate(refs, t, lambda acc, r: F.replace(acc, r, _char_of_numeric_ref(r)))
+    return F.when(F.instr(t, "&#") > 0, decoded).otherwise(t)
+
+
 def decode_entities(text) -> Column:
-    """Decode the fixed entity set natively (JVM)."""
+    """Decode entities natively (JVM): the fixed named set, then numeric
+    references, ``&amp;`` last (so ``&amp;#39;`` stays ``&#39;``)."""
     out = _col(text)
-    for pat, rep in ENTITY_CHAIN:
+    for pat, rep in ENTITY_CHAIN[:-1]:
         out = F.regexp_replace(out, pat, rep)
-    return out
+    out = decode_numeric_refs(out)
+    pat, rep = ENTITY_CHAIN[-1]
+    return F.regexp_replace(out, pat, rep)
 
 
 def py_strip(text) -> Column:

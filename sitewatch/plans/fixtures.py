@@ -200,7 +200,8 @@ class Fixtures:
             "project_id", F.col("root").alias("url"), F.lit(200).alias("status_code"),
             SM.index_document(F.array(F.concat(F.col("origin"), F.lit("/sitemap-a.xml")),
                                       F.concat(F.col("origin"), F.lit("/sitemap-b.xml")))).alias("body")))
-        return plain.unionByName(children).unionByName(roots)
+        # read by several branches of the sitemap queries
+        return plain.unionByName(children).unionByName(roots).cache()
 
     ROBOTS_AGENT = "sitewatch-bot"
 

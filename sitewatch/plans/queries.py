@@ -6,6 +6,7 @@ DuckDB twin in ``oracle_sql``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,14 @@ BUDGET_TEST_MAX_PAGES = 5
 
 
 def register(name: str, oracle: str | None = None):
+    """Register ``fn(spark, sf_dir)``; the session is pinned to UTC first, as
+    every timestamp expression of the data model assumes it."""
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if oracle is not None:
             ORACLE[name] = oracle
         return fn

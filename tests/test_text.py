@@ -85,3 +85,12 @@ def test_fingerprint_is_sha256_of_text(spark):
     html = "<p>x&quot;</p><p> y </p>"
     got = _eval(spark, html, text.fingerprint)
     assert got == hashlib.sha256('x" y'.encode()).hexdigest()
+
+
+def test_numeric_references_like_html_unescape(spark):
+    import html as pyhtml
+    cases = ["it&#39;s", "&#x27;q&#x27;", "a&#8212;b", "&#128512;", "&#150;", "&#0;x", "&#1;y", "&#39&#390;",
+             "&amp;#39;", "&#xD800;", "&#99999999999;", "&#x10FFFF;z"]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = [r[0] for r in df.select(text.decode_entities(F.col("t"))).collect()]
+    assert got == [pyhtml.unescape(c) for c in cases]
