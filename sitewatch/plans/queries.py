@@ -59,3 +59,4 @@ from . import queries_lifecycle  # noqa: E402,F401  (run lifecycle, webhooks)
 from . import queries_sources  # noqa: E402,F401  (sources, URL and text functions)
 from . import queries_maint  # noqa: E402,F401  (cascade delete, patches, audit)
 from . import queries_streaming  # noqa: E402,F401  (ST1-ST4)
+from . import queries_functions  # noqa: E402,F401  (scalar expressions)

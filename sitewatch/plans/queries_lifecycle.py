@@ -143,9 +143,9 @@ def _duck_run_id(kind: str, project: str, at: str) -> str:
 
 
 @register("schedule_next", O.with_fx(f"""SELECT project_id, {_duck_run_id('scheduled', 'project_id', 'next_run_at')} AS run_id, 'QUEUED' AS status,
-   {NOW_SQL} AS created_at, 'scheduled_' || CAST(project_id AS VARCHAR) || '_' || CAST(epoch_ms(next_run_at) // 1000 AS VARCHAR) AS job_id,
-   json_object('id', 'scheduled_' || CAST(project_id AS VARCHAR) || '_' || CAST(epoch_ms(next_run_at) // 1000 AS VARCHAR), 'projectId', project_id,
-     'url', domain, 'priority', 'scheduled', 'render_mode', 'scheduled', 'isScheduled', true, 'scheduledAt', epoch_ms(next_run_at),
+   {NOW_SQL} AS created_at, 'scheduled_' || CAST(project_id AS VARCHAR) || '_' || CAST(epoch_us(next_run_at) // 1000000 AS VARCHAR) AS job_id,
+   json_object('id', 'scheduled_' || CAST(project_id AS VARCHAR) || '_' || CAST(epoch_us(next_run_at) // 1000000 AS VARCHAR), 'projectId', project_id,
+     'url', domain, 'priority', 'scheduled', 'render_mode', 'scheduled', 'isScheduled', true, 'scheduledAt', epoch_us(next_run_at) // 1000,
      'runId', {_duck_run_id('scheduled', 'project_id', 'next_run_at')},
      'metadata', json_object('cron_expression', cron_expression, 'scheduled_by', 'worker'))::VARCHAR AS payload,
    {NOW_SQL} AS last_run_at, next_run_at FROM fx_sched""", SCHED_SQL))
