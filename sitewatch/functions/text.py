@@ -65,6 +65,12 @@ def strip_blocks(html) -> Column:
     return F.regexp_replace(_col(html), BLOCKS_RE, "")
 
 
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` to a lambda variable once (``body`` may use it often
+    without copying the expression tree)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _char_of_numeric_ref(ref: Column) -> Column:
     """The character a numeric reference stands for, as the HTML standard (and
     Python's ``html.unescape``) decodes it; built from UTF-16 code units."""
@@ -72,29 +78,40 @@ def _char_of_numeric_ref(ref: Column) -> Column:
     is_hex = F.regexp_extract(ref, r"&#([xX]?)", 1) != ""
     # more than 7 significant digits is beyond U+10FFFF in either base
     too_long = F.length(F.regexp_replace(digits, "^0+", "")) > 7
-    cp = F.when(too_long, F.lit(0x110000)).when(is_hex, F.conv(digits, 16, 10).cast("long")) \
-        .otherwise(digits.cast("long"))
-    c1 = F.create_map(*[x for k, v in WINDOWS_1252_C1.items() for x in (F.lit(k), F.lit(v))])
-    mapped = F.when(cp.between(0x80, 0x9F), F.element_at(c1, cp.cast("int")).cast("long"))
-    cp = F.coalesce(mapped, cp)
-    bad = (cp == 0) | cp.between(0xD800, 0xDFFF) | (cp > 0x10FFFF)
-    dropped = (cp.between(0x1, 0x8) | (cp == 0xB) | cp.between(0xE, 0x1F) | cp.between(0x7F, 0x9F)
-               | cp.between(0xFDD0, 0xFDEF) | ((cp.bitwiseAND(0xFFFE)) == 0xFFFE))
-    dropped = dropped & ~cp.isin(*C1_KEPT) & ~cp.isin(*WINDOWS_1252_C1.values())
-    cp = F.when(bad, F.lit(0xFFFD)).otherwise(cp)
-    hi = F.lit(0xD800) + F.shiftright(cp - 0x10000, 10)
-    lo = F.lit(0xDC00) + (cp - 0x10000).bitwiseAND(0x3FF)
-    units = F.when(cp < 0x10000, F.lpad(F.hex(cp), 4, "0")) \
-        .otherwise(F.concat(F.lpad(F.hex(hi), 4, "0"), F.lpad(F.hex(lo), 4, "0")))
-    return F.when(dropped, F.lit("")).otherwise(F.decode(F.unhex(units), "UTF-16BE"))
+    raw = (F.when(too_long, F.lit(0x110000)).when(is_hex, F.conv(digits, 16, 10).cast("long"))
+           .otherwise(digits.cast("long")))
+
+    def remap(c):
+        mapped = None
+        for k, v in WINDOWS_1252_C1.items():
+            mapped = (F.when(c == k, F.lit(v)) if mapped is None else mapped.when(c == k, F.lit(v)))
+        return mapped.otherwise(c)
+
+    def to_char(cp):
+        bad = (cp == 0) | cp.between(0xD800, 0xDFFF) | (cp > 0x10FFFF)
+        dropped = (cp.between(0x1, 0x8) | (cp == 0xB) | cp.between(0xE, 0x1F) | cp.between(0x7F, 0x9F)
+                   | cp.between(0xFDD0, 0xFDEF) | ((cp.bitwiseAND(0xFFFE)) == 0xFFFE))
+        dropped = dropped & ~cp.isin(*C1_KEPT) & ~cp.isin(*WINDOWS_1252_C1.values())
+
+        def units(c):
+            hi = F.lit(0xD800) + F.shiftright(c - 0x10000, 10)
+            lo = F.lit(0xDC00) + (c - 0x10000).bitwiseAND(0x3FF)
+            return (F.when(c < 0x10000, F.lpad(F.hex(c), 4, "0"))
+                    .otherwise(F.concat(F.lpad(F.hex(hi), 4, "0"), F.lpad(F.hex(lo), 4, "0"))))
+        safe = F.when(bad, F.lit(0xFFFD).cast("long")).otherwise(cp)
+        return F.when(dropped, F.lit("")).otherwise(F.decode(F.unhex(_let(safe, units)), "UTF-16BE"))
+
+    return _let(_let(raw, remap).cast("long"), to_char)
 
 
 def decode_numeric_refs(text) -> Column:
-    """Replace every numeric character reference (longest first, so ``&#39``
-    never eats into ``&#390;``).  Rows without ``&#`` skip the work."""
+    """Replace every numeric character reference (a reference before its
+    prefixes, so ``&#39`` never eats into ``&#390;``).  Rows without ``&#``
+    skip the work."""
     t = _col(text)
-    refs = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(NUMERIC_REF_RE), 0)),
-                        lambda a, b: F.length(b) - F.length(a))
+    # Descending string order puts every reference before its own prefixes
+    # ("&#390;" before "&#39"), which is all a literal replace needs.
+    refs = F.sort_array(F.array_distinct(F.regexp_extract_all(t, F.lit(NUMERIC_REF_RE), 0)), asc=False)
     decoded = F.aggregate(refs, t, lambda acc, r: F.replace(acc, r, _char_of_numeric_ref(r)))
     return F.when(F.instr(t, "&#") > 0, decoded).otherwise(t)
 
@@ -104,7 +121,11 @@ def decode_entities(text) -> Column:
     references, ``&amp;`` last (so ``&amp;#39;`` stays ``&#39;``)."""
     out = _col(text)
     for pat, rep in ENTITY_CHAIN[:-1]:
-        out = F.regexp_replace(out, pat, rep)
+        # "&name;?" as two byte-level literal replaces (with, then without the
+        # semicolon): same result as the regex, since no replacement contains
+        # "&", and no String round trip per pass.
+        name = pat[:-2]
+        out = F.replace(F.replace(out, F.lit(name + ";"), F.lit(rep)), F.lit(name), F.lit(rep))
     out = decode_numeric_refs(out)
     pat, rep = ENTITY_CHAIN[-1]
     return F.regexp_replace(out, pat, rep)
