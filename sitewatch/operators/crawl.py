@@ -139,27 +139,36 @@ def upsert_pages(pages: DataFrame, dedup: DataFrame, now) -> DataFrame:
 
     New pages are inserted with defaults (P4/P28) and point at their revision;
     existing crawled pages move ``current_revision_id`` when a new revision was
-    written and always get ``last_seen_at``.  Returns the whole new snapshot;
-    write it to a new path (never over the one being read).
+    written and always get ``last_seen_at``.  One full outer join on the page
+    id (so the run's result is read once): matched = update, page only =
+    unchanged, run only = insert.  Returns the whole new snapshot; write it to
+    a new path (never over the one being read).
     """
     ts = _lit_ts(now)
-    upd = dedup.filter(~F.col("is_new_page")).select(
-        F.col("page_id").alias("_id"), F.col("revision_id").alias("_rev"), F.col("is_new_revision").alias("_newrev"))
-    cols = pages.columns
-    joined = pages.join(upd, pages["id"] == upd["_id"], "left")
+    d = dedup.select(F.col("page_id").alias("_id"), F.col("project_id").alias("_project_id"),
+                     F.col("url").alias("_url"), F.col("revision_id").alias("_rev"),
+                     F.col("is_new_revision").alias("_newrev"), F.col("is_new_page").alias("_newpage"))
+    j = pages.join(d, pages["id"] == d["_id"], "full_outer")
     hit = F.col("_id").isNotNull()
-    updated = joined.select(*[
-        (F.when(hit & F.col("_newrev"), F.col("_rev")).otherwise(F.col(c)).alias(c) if c == "current_revision_id"
-         else F.when(hit, ts).otherwise(F.col(c)).alias(c) if c == "last_seen_at"
-         else F.col(c)) for c in cols])
-    inserted = dedup.filter(F.col("is_new_page")).select(
-        F.col("page_id").alias("id"), "project_id", "url",
-        urls.page_path("url").alias("path"), F.col("url").alias("canonical_url"),
-        ts.alias("last_seen_at"), F.lit("STATIC").alias("render_mode"), ts.alias("discovered_at"),
-        F.lit(True).alias("is_indexable"), F.lit("{}").alias("metadata"),
-        F.col("revision_id").alias("current_revision_id"))
-    inserted = inserted.select(*[(F.col(c) if c in inserted.columns else F.lit(None)).alias(c) for c in cols])
-    return updated.unionByName(inserted.select(*[F.col(c).cast(updated.schema[c].dataType) for c in cols]))
+    insert = F.col("id").isNull() & hit
+    defaults = {
+        "id": F.col("_id"), "project_id": F.col("_project_id"), "url": F.col("_url"),
+        "path": urls.page_path(F.col("_url")), "canonical_url": F.col("_url"), "last_seen_at": ts,
+        "render_mode": F.lit("STATIC"), "discovered_at": ts, "is_indexable": F.lit(True),
+        "metadata": F.lit("{}"), "current_revision_id": F.col("_rev"),
+    }
+    out = []
+    for c in pages.columns:
+        t = pages.schema[c].dataType
+        if c == "current_revision_id":
+            upd = F.when(hit & F.col("_newrev"), F.col("_rev")).otherwise(F.col(c))
+        elif c == "last_seen_at":
+            upd = F.when(hit, ts).otherwise(F.col(c))
+        else:
+            upd = F.col(c)
+        ins = defaults.get(c, F.lit(None))
+        out.append(F.when(insert, ins.cast(t)).otherwise(upd.cast(t)).alias(c))
+    return j.select(*out)
 
 
 def current_revision(revisions: DataFrame) -> DataFrame:

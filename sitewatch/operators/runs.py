@@ -119,13 +119,17 @@ def completion_actions(runs: DataFrame, latest_urls: DataFrame) -> DataFrame:
         F.when(complete & has_project, url).alias("notify_url"))
 
 
-def job_outcome(jobs: DataFrame, summary: DataFrame, documents: DataFrame, public_base: str) -> DataFrame:
+def job_outcome(jobs: DataFrame, summary: DataFrame | None, documents: DataFrame, public_base: str) -> DataFrame:
     """Per job, COMPLETE_NO_DIFFS without a document when nothing changed,
     else COMPLETE_WITH_DIFFS with its document and artifact URL."""
     from .index import artifact_location
     name, path, public = artifact_location(F.col("job_id"), public_base)
-    j = (jobs.join(summary.select("project_id", "has_changes"), "project_id", "left")
-         .join(documents, "project_id", "left"))
+    if summary is None:
+        # documents exist exactly for the projects with changes
+        j = jobs.join(documents.withColumn("has_changes", F.lit(True)), "project_id", "left")
+    else:
+        j = (jobs.join(summary.select("project_id", "has_changes"), "project_id", "left")
+             .join(documents, "project_id", "left"))
     changed = F.coalesce(F.col("has_changes"), F.lit(False))
     status = F.when(changed, F.lit(S.RUN_COMPLETE_WITH_DIFFS)).otherwise(F.lit(S.RUN_COMPLETE_NO_DIFFS))
     return j.select(

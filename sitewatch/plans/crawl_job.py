@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import changes as ch
-from ..operators import crawl, index
+from ..operators import crawl, index  # noqa: F401
 from ..schemas import DEFAULT_MAX_PAGES_JOB
 
 
@@ -52,6 +52,16 @@ class CrawlJob:
     def changes(self) -> DataFrame:
         return ch.classify_changes(self.frontier, self.inputs.pages, self.inputs.revisions, self.digest)
 
+    def cut_changes(self) -> "CrawlJob":
+        """Write the change table once to the shared folder and read it back,
+        for outputs that need it twice (the per-project counts and the budget):
+        the joins over every URL then run once instead of once per branch."""
+        from ..session import materialize
+        self.__dict__["changes"] = materialize(self.changes, "changes")
+        for dependent in ("summary", "budget", "crawled", "crawled_with_ids", "documents", "crawl_results"):
+            self.__dict__.pop(dependent, None)
+        return self
+
     @cached_property
     def summary(self) -> DataFrame:
         return ch.change_summary(self.changes)

@@ -134,7 +134,7 @@ def q_pages_crawled(spark, sf_dir):
    LEFT JOIN (SELECT project_id, count(*) AS n, string_agg(url, ' ' ORDER BY rk) AS urls FROM fx_crawled GROUP BY project_id) c ON c.project_id=m.project_id""",
     O.budget_cte(SITE_INDEX_MAX_PAGES), CRAWLED))
 def q_crawl_result(spark, sf_dir):
-    r = crawl_job(spark, sf_dir).crawl_results
+    r = crawl_job(spark, sf_dir).cut_changes().crawl_results
     return r.select("project_id", "start_url", "pages_crawled", "max_pages", "max_depth", "changes_detected",
                     "n_changed", "n_new", "n_unchanged",
                     F.array_join(F.transform("pages", lambda p: p["url"]), " ").alias("page_urls"))

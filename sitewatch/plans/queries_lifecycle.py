@@ -122,7 +122,7 @@ def q_webhook_event_append(spark, sf_dir):
     *site_index_ctes(100)))
 def q_job_outcome(spark, sf_dir):
     job = crawl_job(spark, sf_dir)
-    return runs.job_outcome(job.inputs.jobs.drop("start_url"), job.summary, job.documents, PUBLIC_BASE)
+    return runs.job_outcome(job.inputs.jobs.drop("start_url"), None, job.documents, PUBLIC_BASE)
 
 
 # --- scheduling ---------------------------------------------------------------------
