@@ -74,13 +74,9 @@ def expand_index(docs: DataFrame, snapshot: DataFrame, max_levels: int = 5) -> D
     repeats documents until the depth bound; the final semi-join takes each
     reachable document once.  Returns distinct (project_id, url).
     """
-    roots = docs.select("project_id", "url", "body").withColumn("is_root", F.lit(True))
-    ok = (snapshot.filter(F.col("status_code") == 200).select("project_id", "url", "body")
-          .join(roots.select("project_id", "url"), ["project_id", "url"], "left_anti")
-          .withColumn("is_root", F.lit(False)))
-    both = roots.unionByName(ok)
-    entries = (parse_entries(both.select("project_id", "url", "body"))
-               .join(both.select("project_id", F.col("url").alias("doc_url"), "is_root"), ["project_id", "doc_url"]))
+    ok = snapshot.filter(F.col("status_code") == 200).select("project_id", "url", "body")
+    entries = (parse_entries(docs.select("project_id", "url", "body")).withColumn("is_root", F.lit(True))
+               .unionByName(parse_entries(ok).withColumn("is_root", F.lit(False))))
     entries = materialize(entries, "sitemap-entries")
     edges = (entries.filter(F.col("kind") == "sitemap")
              .select("project_id", F.col("doc_url").alias("url"), F.col("loc").alias("child")))
