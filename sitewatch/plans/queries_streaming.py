@@ -66,7 +66,8 @@ def q_job_stream(spark, sf_dir):
      WHEN r.id IS NULL THEN 'No previous revision found' WHEN coalesce(r.content_sha256,'')='' THEN 'No stored content hash'
      WHEN r.content_sha256<>x.h THEN concat('Content hash changed: ',substring(r.content_sha256,1,8),'... -> ',substring(x.h,1,8),'...') ELSE 'No changes detected' END AS change_reason,
    r.id AS old_revision_id
-   FROM fx_digest x LEFT JOIN fx_pages p ON p.project_id=x.project_id AND p.url=x.url LEFT JOIN fx_revisions r ON r.id=p.current_revision_id"""))
+   FROM fx_digest x LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, url ORDER BY id DESC) AS dup_rn FROM fx_pages) WHERE dup_rn=1) p
+     ON p.project_id=x.project_id AND p.url=x.url LEFT JOIN fx_revisions r ON r.id=p.current_revision_id"""))
 def q_change_stream(spark, sf_dir):
     """ST2: stored revisions, then one fetch snapshot, as two micro-batches."""
     use_rocksdb_state(spark)

@@ -33,11 +33,15 @@ def _classify(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterat
     else:
         page_id = rev_id = sha = None
         known = False
-    rows = pd.concat(list(batches)).sort_values(["seq", "kind"], kind="stable")
+    # seeds before fetches
+    rows = pd.concat(list(batches)).sort_values(["seq", "kind", "page_id"], kind="stable", na_position="first")
     out = []
     for r in rows.itertuples(index=False):
         if r.kind == "seed":
-            known, page_id, rev_id, sha = True, r.page_id, r.revision_id, r.content_sha256
+            # a catalogue that holds a URL twice: the greatest page id wins,
+            # whatever micro-batch each copy arrives in
+            if not known or page_id is None or (r.page_id is not None and r.page_id >= page_id):
+                known, page_id, rev_id, sha = True, r.page_id, r.revision_id, r.content_sha256
             continue
         new = r.content_sha256
         if not known:
