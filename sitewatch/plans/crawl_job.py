@@ -99,3 +99,30 @@ class CrawlJob:
     def artifacts(self, now, public_base: str) -> DataFrame:
         docs = self.documents.join(self.inputs.jobs.select("project_id", "job_id", "run_id"), "project_id")
         return index.artifact_rows(docs, now, public_base)
+
+    def run(self, out_dir: str, now, public_base: str) -> dict[str, str]:
+        """Run the whole job for every project in ``inputs.jobs`` and write its
+        outputs as parquet under ``out_dir`` (one folder per table):
+
+        changes (the run's change log), revisions (S9), pages (S10, the new
+        page snapshot), documents (S7 text files per project), artifacts (S8)
+        and outcomes (R3).  The change table is written first and read back,
+        so the joins over every URL run once for all outputs.  Every output is
+        overwritten as a whole, so a retried run is idempotent.
+        """
+        from ..operators import runs as run_ops
+        base = out_dir.rstrip("/")
+        paths = {name: f"{base}/{name}" for name in
+                 ("changes", "revisions", "pages", "documents", "artifacts", "outcomes")}
+        self.changes.write.mode("overwrite").parquet(paths["changes"])
+        spark = self.inputs.jobs.sparkSession
+        self.__dict__["changes"] = spark.read.parquet(paths["changes"])
+        for dependent in ("summary", "budget", "crawled", "crawled_with_ids", "documents", "crawl_results"):
+            self.__dict__.pop(dependent, None)
+        self.new_revisions(now).write.mode("overwrite").parquet(paths["revisions"])
+        self.upserted_pages(now).write.mode("overwrite").parquet(paths["pages"])
+        index.write_documents(self.documents, paths["documents"])
+        self.artifacts(now, public_base).write.mode("overwrite").parquet(paths["artifacts"])
+        (run_ops.job_outcome(self.inputs.jobs.drop("start_url"), None, self.documents, public_base)
+         .drop("document").write.mode("overwrite").parquet(paths["outcomes"]))
+        return paths
