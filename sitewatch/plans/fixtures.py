@@ -40,15 +40,15 @@ class Fixtures:
         body = F.replace(body, F.lit("</body>"), F.when(
             pid % 4 == 0, F.lit('<noscript>ns</noscript><iframe src="x">if</iframe></body>'))
             .otherwise(F.lit("</body>")))
-        # HTML is the CPU-heavy input: spread it over all cores, and keep the
-        # derived view in memory because five fixture views read it (a lost
-        # block is recomputed from the parquet file).
+        # HTML is the CPU-heavy input: spread it over all cores.  Views that
+        # do not need the body read (page_id, url) only -- column pruning
+        # passes through the repartition.
         return spread(self.table("pages")).select(
             "page_id",
             F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("project_id"),
             F.regexp_replace("url", "#.*$", "").alias("url"),
             F.when(pid % 23 == 0, 404).when(pid % 29 == 0, 500).otherwise(200).alias("status_code"),
-            body.alias("body")).cache()
+            body.alias("body"))
 
     @cached_property
     def fetch(self) -> DataFrame:
