@@ -12,7 +12,7 @@ from ..streaming import changes as st_changes
 from ..streaming import deliveries as st_deliveries
 from ..streaming import jobs as st_jobs
 from ..streaming import runs as st_runs
-from ..streaming.common import run_available_now, stream_dirs, use_rocksdb_state
+from ..streaming.common import run_available_now, state_partitions, stream_dirs, use_rocksdb_state
 from . import oracle as O
 from .fixtures import Fixtures
 from .queries import FIXED_NOW, PUBLIC_BASE, SITE_INDEX_MAX_PAGES, crawl_job, register
@@ -55,8 +55,9 @@ def q_job_stream(spark, sf_dir):
     raw = (spark.readStream.schema("value string, received_at timestamp").option("maxFilesPerTrigger", 1)
            .parquet(d["input"]))
     out = st_jobs.job_stream(raw).select(*JOB_COLS)
-    run_available_now(out.writeStream.format("parquet").option("path", d["output"])
-                      .option("checkpointLocation", d["checkpoint"]).outputMode("append"))
+    with state_partitions(spark):
+        run_available_now(out.writeStream.format("parquet").option("path", d["output"])
+                          .option("checkpointLocation", d["checkpoint"]).outputMode("append"))
     return spark.read.parquet(d["output"])
 
 
@@ -87,8 +88,9 @@ def q_change_stream(spark, sf_dir):
               "content_sha256 string, seq long")
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d["input"])
     out = st_changes.change_stream(events).drop("seq")
-    run_available_now(out.writeStream.format("parquet").option("path", d["output"])
-                      .option("checkpointLocation", d["checkpoint"]).outputMode("append"))
+    with state_partitions(spark):
+        run_available_now(out.writeStream.format("parquet").option("path", d["output"])
+                          .option("checkpointLocation", d["checkpoint"]).outputMode("append"))
     return spark.read.parquet(d["output"])
 
 
@@ -104,8 +106,9 @@ def q_delivery_stream(spark, sf_dir):
     _write_parts([ev.filter(ok), ev.filter(~ok)], d["input"])
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(d["input"])
     agg = st_deliveries.delivery_stream(stream)
-    run_available_now(agg.writeStream.outputMode("update").option("checkpointLocation", d["checkpoint"])
-                      .foreachBatch(st_deliveries.batch_upsert_writer(d["output"])))
+    with state_partitions(spark):
+        run_available_now(agg.writeStream.outputMode("update").option("checkpointLocation", d["checkpoint"])
+                          .foreachBatch(st_deliveries.batch_upsert_writer(d["output"])))
     return st_deliveries.read_upserts(spark, d["output"], "webhook_id")
 
 
@@ -128,5 +131,6 @@ def q_run_flow_stream(spark, sf_dir):
            .parquet(d["input"]))
     jobs = st_jobs.job_stream(raw)
     writer = st_runs.run_batch_writer(job.inputs, d["output"], SITE_INDEX_MAX_PAGES, FIXED_NOW, PUBLIC_BASE)
-    run_available_now(jobs.writeStream.option("checkpointLocation", d["checkpoint"]).foreachBatch(writer))
+    with state_partitions(spark):
+        run_available_now(jobs.writeStream.option("checkpointLocation", d["checkpoint"]).foreachBatch(writer))
     return spark.read.parquet(f"{d['output']}/documents").select("project_id", "document")

@@ -35,3 +35,27 @@ def run_available_now(writer) -> None:
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+
+
+class state_partitions:
+    """Context manager: start stateful streams with ``n`` shuffle (= state)
+    partitions, restoring the session's value afterwards.
+
+    A stream fixes its number of state partitions in its checkpoint at the first
+    start; size it to the cluster (default: the default parallelism) instead of
+    inheriting a batch-oriented setting.
+    """
+
+    def __init__(self, spark: SparkSession, n: int | None = None):
+        self.spark = spark
+        self.n = n or spark.sparkContext.defaultParallelism
+        self.prev = None
+
+    def __enter__(self):
+        self.prev = self.spark.conf.get("spark.sql.shuffle.partitions")
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(self.n))
+        return self
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.shuffle.partitions", self.prev)
+        return False

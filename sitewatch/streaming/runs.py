@@ -2,7 +2,7 @@
 
 Each micro-batch of accepted, de-duplicated jobs runs the batch operators for
 its projects only (semi-joins on project_id) and writes documents and artifact
-rows partitioned by run id with dynamic partition overwrite, so a replayed
+rows into a folder of its own batch id, overwritten as a whole, so a replayed
 batch rewrites its own runs instead of adding copies.
 """
 
@@ -37,15 +37,13 @@ def run_batch_writer(inputs: CrawlInputs, out_dir: str, max_pages: int, now,
             job = CrawlJob(scoped, max_pages)
             docs = job.documents.join(jobs.select("project_id", "run_id", "job_id"), "project_id").persist()
             try:
-                # Dynamic partition overwrite as a writer option: a replayed batch
-                # rewrites only its own run_id partitions (a session conf would
-                # not reach the micro-batch's cloned session).
-                (docs.select("project_id", "job_id", "document", "run_id").write.mode("overwrite")
-                 .option("partitionOverwriteMode", "dynamic")
-                 .partitionBy("run_id").parquet(f"{out_dir}/documents"))
+                # One folder per micro-batch, overwritten as a whole: a replayed
+                # batch rewrites exactly its own output (every run id belongs
+                # to one batch after de-duplication).
+                (docs.select("project_id", "run_id", "job_id", "document").write.mode("overwrite")
+                 .parquet(f"{out_dir}/documents/batch_id={batch_id}"))
                 (index.artifact_rows(docs, now, public_base).write.mode("overwrite")
-                 .option("partitionOverwriteMode", "dynamic")
-                 .partitionBy("run_id").parquet(f"{out_dir}/artifacts"))
+                 .parquet(f"{out_dir}/artifacts/batch_id={batch_id}"))
             finally:
                 docs.unpersist()
         finally:
