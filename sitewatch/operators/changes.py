@@ -35,10 +35,15 @@ def digest_snapshot(snapshot: DataFrame) -> DataFrame:
     """
     stripped = text.strip_blocks("body")
     ok = F.col("status_code") == 200
+    # Staged projections: each intermediate text is computed once and read by
+    # column reference (Spark keeps a projection whose expensive output is used
+    # more than once), instead of being re-evaluated inside every consumer.
     digest = (snapshot
               .select("project_id", "url", "status_code", F.when(ok, stripped).alias("_stripped"))
+              .select("project_id", "url", "status_code", "_stripped",
+                      F.regexp_replace("_stripped", text.TAG_RE, "").alias("_tagless"))
               .select("project_id", "url", "status_code",
-                      text.fingerprint_from_stripped("_stripped").alias("content_sha256"),
+                      F.sha2(text.collapse_space(text.decode_entities("_tagless")), 256).alias("content_sha256"),
                       text.title_from_stripped("_stripped").alias("title"),
                       text.description_from_stripped("_stripped").alias("description")))
     # One fetch per URL: should a snapshot hold a URL twice, keep the OK one
