@@ -8,6 +8,8 @@ nothing in their place, entities decoded, whitespace collapsed).
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,6 +133,46 @@ def decode_entities(text) -> Column:
     return F.regexp_replace(out, pat, rep)
 
 
+# Prefixes of the references the native chain decodes itself.
+NATIVE_REF_PREFIXES = tuple(pat[:-2] for pat, _ in ENTITY_CHAIN) + ("&#",)
+
+
+def _count(text: Column, needle: str) -> Column:
+    """Occurrences of a literal (byte-level replaces, no regex)."""
+    return F.floor((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle))
+
+
+def needs_full_unescape(text) -> Column:
+    """True where a text holds an "&" that does not start a natively decoded
+    reference (e.g. ``&nbsp;``, ``&eacute;``, or a bare "&").  Cheap: a few
+    literal replaces, no regex."""
+    t = _col(text)
+    known = None
+    for prefix in NATIVE_REF_PREFIXES:
+        c = _count(t, prefix)
+        known = c if known is None else known + c
+    return F.coalesce(_count(t, "&") > known, F.lit(False))
+
+
+@functools.lru_cache(maxsize=1)
+def _unescape_udf():
+    import pandas as pd
+
+    def unescape(s):
+        import html
+        return s.map(lambda x: None if x is None else html.unescape(x))
+    # real classes (this module postpones annotation evaluation)
+    unescape.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(unescape, "string")
+
+
+def unescape_masked(text, mask) -> Column:
+    """Arrow-batched ``html.unescape`` (standard library) of ``text`` where
+    ``mask`` holds, null elsewhere: the slow path only carries the texts that
+    hold references outside the native set."""
+    return _unescape_udf()(F.when(_col(mask), _col(text)))
+
+
 def py_strip(text) -> Column:
     """Python-style ``str.strip()``: trims Unicode whitespace, not only blanks."""
     return F.regexp_replace(_col(text), EDGE_SPACE_RE, "")
@@ -169,13 +211,17 @@ def title(html) -> Column:
     return title_from_stripped(strip_blocks(html))
 
 
+def description_raw_from_stripped(stripped) -> Column:
+    """The undecoded content attribute of the first description meta tag."""
+    tag = F.regexp_extract(_col(stripped), META_DESC_TAG_RE, 0)
+    return F.concat(F.regexp_extract(tag, CONTENT_ATTR_RE, 1),
+                    F.regexp_extract(tag, CONTENT_ATTR_RE, 2),
+                    F.regexp_extract(tag, CONTENT_ATTR_RE, 3))
+
+
 def description_from_stripped(stripped) -> Column:
     """P6 on a block-stripped document."""
-    tag = F.regexp_extract(_col(stripped), META_DESC_TAG_RE, 0)
-    raw = F.concat(F.regexp_extract(tag, CONTENT_ATTR_RE, 1),
-                   F.regexp_extract(tag, CONTENT_ATTR_RE, 2),
-                   F.regexp_extract(tag, CONTENT_ATTR_RE, 3))
-    return py_strip(decode_entities(raw))
+    return py_strip(decode_entities(description_raw_from_stripped(stripped)))
 
 
 def description(html) -> Column:

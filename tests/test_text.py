@@ -94,3 +94,21 @@ def test_numeric_references_like_html_unescape(spark):
     df = spark.createDataFrame([(c,) for c in cases], "t string")
     got = [r[0] for r in df.select(text.decode_entities(F.col("t"))).collect()]
     assert got == [pyhtml.unescape(c) for c in cases]
+
+
+def test_digest_decodes_other_entities_like_html_unescape(spark):
+    import html as pyhtml
+    import re
+
+    from sitewatch.operators.changes import digest_snapshot
+    page = ('<html><head><title>Caf&eacute;&nbsp;Bar</title><meta name="description" content="A &hellip; B">'
+            '</head><body><p>Tom &amp; Jerry&nbsp;&#8212; caf&eacute;</p><p>AT&T</p></body></html>')
+    plain = "<html><head><title>Plain &amp; simple</title></head><body><p>x</p></body></html>"
+    snap = spark.createDataFrame([("p", "u1", 200, page), ("p", "u2", 200, plain)],
+                                 "project_id string, url string, status_code int, body string")
+    got = {r["url"]: r for r in digest_snapshot(snap).collect()}
+    text_py = re.sub(r"\s+", " ", pyhtml.unescape(re.sub(r"<[^>]*>", "", page))).strip()
+    assert got["u1"]["content_sha256"] == hashlib.sha256(text_py.encode()).hexdigest()
+    assert got["u1"]["title"] == "Café\xa0Bar".strip()
+    assert got["u1"]["description"] == "A … B"
+    assert got["u2"]["title"] == "Plain & simple"
