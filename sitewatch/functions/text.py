@@ -173,6 +173,15 @@ def unescape_masked(text, mask) -> Column:
     return _unescape_udf()(F.when(_col(mask), _col(text)))
 
 
+def full_decode(text) -> Column:
+    """Entity decoding as an HTML parser does it: the native JVM chain, or
+    ``html.unescape`` (Arrow-batched) for the texts that hold an "&" the
+    native chain does not cover."""
+    t = _col(text)
+    mask = needs_full_unescape(t)
+    return F.when(mask, unescape_masked(t, mask)).otherwise(decode_entities(t))
+
+
 def py_strip(text) -> Column:
     """Python-style ``str.strip()``: trims Unicode whitespace, not only blanks."""
     return F.regexp_replace(_col(text), EDGE_SPACE_RE, "")
@@ -184,7 +193,7 @@ def collapse_space(text) -> Column:
 
 def visible_text_from_stripped(stripped) -> Column:
     """Text of a document whose blocks were already removed (see ``strip_blocks``)."""
-    return collapse_space(decode_entities(F.regexp_replace(_col(stripped), TAG_RE, "")))
+    return collapse_space(full_decode(F.regexp_replace(_col(stripped), TAG_RE, "")))
 
 
 def visible_text(html) -> Column:
@@ -203,7 +212,7 @@ def fingerprint_from_stripped(stripped) -> Column:
 
 def title_from_stripped(stripped) -> Column:
     """P5 on a block-stripped document: first <title>, entities decoded, stripped."""
-    return py_strip(decode_entities(F.regexp_extract(_col(stripped), TITLE_RE, 1)))
+    return py_strip(full_decode(F.regexp_extract(_col(stripped), TITLE_RE, 1)))
 
 
 def title(html) -> Column:
@@ -221,7 +230,7 @@ def description_raw_from_stripped(stripped) -> Column:
 
 def description_from_stripped(stripped) -> Column:
     """P6 on a block-stripped document."""
-    return py_strip(decode_entities(description_raw_from_stripped(stripped)))
+    return py_strip(full_decode(description_raw_from_stripped(stripped)))
 
 
 def description(html) -> Column:

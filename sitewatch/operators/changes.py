@@ -36,33 +36,19 @@ def digest_snapshot(snapshot: DataFrame) -> DataFrame:
     stripped = text.strip_blocks("body")
     ok = F.col("status_code") == 200
     # Staged projections: each intermediate text is computed once and read by
-    # column reference (Spark keeps a projection whose expensive output is used
-    # more than once), instead of being re-evaluated inside every consumer.
-    # Texts holding entities outside the native set (&nbsp; &eacute; ...) take
-    # an Arrow-batched html.unescape; all others stay on the JVM chain.
+    # column reference.  Texts holding entities outside the native set take an
+    # Arrow-batched html.unescape (text.full_decode); all others stay on the
+    # JVM chain.
     digest = (snapshot
               .select("project_id", "url", "status_code", F.when(ok, stripped).alias("_stripped"))
               .select("project_id", "url", "status_code",
                       F.regexp_replace("_stripped", text.TAG_RE, "").alias("_tagless"),
                       F.regexp_extract("_stripped", text.TITLE_RE, 1).alias("_title"),
                       text.description_raw_from_stripped("_stripped").alias("_desc"))
-              .select("project_id", "url", "status_code", "_tagless", "_title", "_desc",
-                      text.needs_full_unescape("_tagless").alias("_py_text"),
-                      text.needs_full_unescape("_title").alias("_py_title"),
-                      text.needs_full_unescape("_desc").alias("_py_desc"))
-              .select("project_id", "url", "status_code", "_tagless", "_title", "_desc",
-                      "_py_text", "_py_title", "_py_desc",
-                      text.unescape_masked("_tagless", "_py_text").alias("_u_text"),
-                      text.unescape_masked("_title", "_py_title").alias("_u_title"),
-                      text.unescape_masked("_desc", "_py_desc").alias("_u_desc"))
               .select("project_id", "url", "status_code",
-                      F.sha2(text.collapse_space(F.when(F.col("_py_text"), F.col("_u_text"))
-                                                 .otherwise(text.decode_entities("_tagless"))), 256)
-                       .alias("content_sha256"),
-                      text.py_strip(F.when(F.col("_py_title"), F.col("_u_title"))
-                                    .otherwise(text.decode_entities("_title"))).alias("title"),
-                      text.py_strip(F.when(F.col("_py_desc"), F.col("_u_desc"))
-                                    .otherwise(text.decode_entities("_desc"))).alias("description")))
+                      F.sha2(text.collapse_space(text.full_decode("_tagless")), 256).alias("content_sha256"),
+                      text.py_strip(text.full_decode("_title")).alias("title"),
+                      text.py_strip(text.full_decode("_desc")).alias("description")))
     # One fetch per URL: should a snapshot hold a URL twice, keep the OK one
     # (then the greatest digest) -- a partial aggregate on the join key, so the
     # join that follows reuses its partitioning.
