@@ -168,38 +168,50 @@ class Fixtures:
             F.col("l_shipdate").cast("timestamp").alias("created_at"))
 
     # --- sitemap and robots documents (S2-S4, F1, F2) -----------------------
+    # A urlset holds at most this many URLs (sitemap protocol); larger sites
+    # get an index over several urlsets, so no document collects an unbounded
+    # group of URLs.
+    SITEMAP_MAX_URLS = 50000
+
     @cached_property
     def sitemap_snapshot(self) -> DataFrame:
         """Fetched sitemap documents built from ``fx_sitemap``.
 
-        Per project, by ``length(project_id) % 4``: 0 = index with two child
-        urlsets (URLs split by ``length(url) % 2``), 1 = plain urlset,
-        2 = urlset answered with 404, 3 = malformed urlset (unclosed).
+        Per project, by ``length(project_id) % 4``: 0 = index with child urlsets
+        (URLs split by ``length(url) % 2``), 1 = plain urlset, 2 = urlset
+        answered with 404, 3 = malformed urlset (unclosed).  A project with more
+        than ``SITEMAP_MAX_URLS`` URLs always gets an index whose children hold
+        hash-balanced parts of at most about that many URLs.
         """
         from ..functions import urls as U
         from ..sources import sitemaps as SM
-        kind = F.length("project_id") % 4
+        cap = self.SITEMAP_MAX_URLS
         base = self.projects.select("project_id", SM.sitemap_location("start_url").alias("root"),
                                     F.concat(U.url_part("start_url", "scheme"), F.lit("://"),
                                              U.url_part("start_url", "netloc")).alias("origin"))
-        sm = self.sitemap.join(base, "project_id").withColumn("kind", kind)
-        whole = sm.groupBy("project_id", "root", "kind").agg(F.array_sort(F.collect_list("url")).alias("u"))
-        plain = whole.filter(F.col("kind") != 0).select(
-            "project_id", F.col("root").alias("url"),
-            F.when(F.col("kind") == 2, 404).otherwise(200).alias("status_code"),
-            F.when(F.col("kind") == 3, F.concat(F.replace(SM.urlset_document(F.col("u")), F.lit("</urlset>"), F.lit("")),
-                                                 F.lit("<url><loc>")))
-             .otherwise(SM.urlset_document(F.col("u"))).alias("body"))
+        sizes = self.sitemap.groupBy("project_id").agg(F.count(F.lit(1)).alias("_n"))
+        sm = (self.sitemap.join(base, "project_id").join(sizes, "project_id")
+              .withColumn("kind", F.when(F.col("_n") > cap, F.lit(0)).otherwise(F.length("project_id") % 4))
+              .withColumn("part", F.pmod(F.xxhash64("url"), F.ceil(F.col("_n") / cap)).cast("int")))
+        plain = (sm.filter(F.col("kind") != 0)
+                 .groupBy("project_id", "root", "kind").agg(F.array_sort(F.collect_list("url")).alias("u"))
+                 .select("project_id", F.col("root").alias("url"),
+                         F.when(F.col("kind") == 2, 404).otherwise(200).alias("status_code"),
+                         F.when(F.col("kind") == 3,
+                                F.concat(F.replace(SM.urlset_document(F.col("u")), F.lit("</urlset>"), F.lit("")),
+                                         F.lit("<url><loc>")))
+                          .otherwise(SM.urlset_document(F.col("u"))).alias("body")))
         idx = sm.filter(F.col("kind") == 0)
-        child_url = F.concat(F.col("origin"), F.when(F.length("url") % 2 == 0, F.lit("/sitemap-a.xml"))
-                             .otherwise(F.lit("/sitemap-b.xml")))
+        half = F.when(F.length("url") % 2 == 0, F.lit("a")).otherwise(F.lit("b"))
+        suffix = F.when(F.col("_n") > cap, F.concat(F.lit("-"), F.col("part").cast("string"))).otherwise(F.lit(""))
+        child_url = F.concat(F.col("origin"), F.lit("/sitemap-"), half, suffix, F.lit(".xml"))
         children = (idx.groupBy("project_id", child_url.alias("url"))
                     .agg(SM.urlset_document(F.array_sort(F.collect_list("url"))).alias("body"))
                     .select("project_id", "url", F.lit(200).alias("status_code"), "body"))
-        roots = (idx.select("project_id", "root", "origin").distinct().select(
-            "project_id", F.col("root").alias("url"), F.lit(200).alias("status_code"),
-            SM.index_document(F.array(F.concat(F.col("origin"), F.lit("/sitemap-a.xml")),
-                                      F.concat(F.col("origin"), F.lit("/sitemap-b.xml")))).alias("body")))
+        roots = (idx.select("project_id", "root", child_url.alias("child")).distinct()
+                 .groupBy("project_id", "root").agg(F.array_sort(F.collect_list("child")).alias("c"))
+                 .select("project_id", F.col("root").alias("url"), F.lit(200).alias("status_code"),
+                         SM.index_document(F.col("c")).alias("body")))
         # read by several branches of the sitemap queries
         return plain.unionByName(children).unionByName(roots).cache()
 

@@ -79,19 +79,22 @@ def q_site_root_urls(spark, sf_dir):
 
 
 @register("sitemap_docs", O.with_fx(f"""SELECT DISTINCT s.project_id, {ORIGIN_DUCK.format(u='p.start_url')} || '/sitemap.xml' AS url
-   FROM fx_sitemap s JOIN fx_projects p ON p.project_id=s.project_id WHERE length(s.project_id)%4 <> 2"""))
+   FROM fx_sitemap s JOIN fx_projects p ON p.project_id=s.project_id WHERE length(s.project_id)%4 <> 2
+   OR s.project_id IN (SELECT project_id FROM fx_sitemap GROUP BY project_id HAVING count(*) > 50000)"""))
 def q_sitemap_docs(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     return SM.sitemap_docs(fx.sitemap_snapshot, fx.projects).select("project_id", "url")
 
 
-@register("sitemap_urls", O.with_fx("SELECT project_id, url FROM fx_sitemap WHERE length(project_id)%4 = 1"))
+@register("sitemap_urls", O.with_fx("""SELECT project_id, url FROM fx_sitemap WHERE length(project_id)%4 = 1
+   AND project_id IN (SELECT project_id FROM fx_sitemap GROUP BY project_id HAVING count(*) <= 50000)"""))
 def q_sitemap_urls(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     return SM.sitemap_urls(SM.sitemap_docs(fx.sitemap_snapshot, fx.projects))
 
 
-@register("sitemap_index_expand", O.with_fx("SELECT DISTINCT project_id, url FROM fx_sitemap WHERE length(project_id)%4 IN (0, 1)"))
+@register("sitemap_index_expand", O.with_fx("""SELECT DISTINCT project_id, url FROM fx_sitemap WHERE length(project_id)%4 IN (0, 1)
+   OR project_id IN (SELECT project_id FROM fx_sitemap GROUP BY project_id HAVING count(*) > 50000)"""))
 def q_sitemap_index_expand(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     return SM.expand_index(SM.sitemap_docs(fx.sitemap_snapshot, fx.projects), fx.sitemap_snapshot)
