@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__ as E
 from scripts.oracle_check import TABLES, norm
+from sitewatch.plans.queries import QUERIES as SITE_QUERIES
 
 SF = os.environ.get("SITEWATCH_TEST_SF", "/root/testdata/sf0.001")
-NAMES = sorted(E.queries())
+NAMES = sorted(SITE_QUERIES)
 
 
 @pytest.fixture(scope="module")
