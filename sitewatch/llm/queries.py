@@ -5,11 +5,13 @@ from __future__ import annotations
 from .ann import op6_ann
 from .bpe import op1_bpe
 from .chat import OP4_SQL, op4_chat
+from .packing import op5_packing
 from .topk import op7_topk
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_chat": op4_chat,
+    "op5_packing": op5_packing,
     "op6_ann": op6_ann,
     "op7_topk": op7_topk,
 }
