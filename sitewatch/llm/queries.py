@@ -5,7 +5,9 @@ from __future__ import annotations
 from .ann import op6_ann
 from .bpe import op1_bpe
 from .chat import OP4_SQL, op4_chat
+from .langid import op9_langid
 from .packing import op5_packing
+from .simhash import op8_simhash
 from .topk import op7_topk
 
 QUERIES = {
@@ -14,6 +16,8 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_ann": op6_ann,
     "op7_topk": op7_topk,
+    "op8_simhash": op8_simhash,
+    "op9_langid": op9_langid,
 }
 
 ORACLE = {
