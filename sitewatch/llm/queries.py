@@ -7,11 +7,13 @@ from .bpe import op1_bpe
 from .chat import OP4_SQL, op4_chat
 from .langid import op9_langid
 from .packing import op5_packing
+from .quality import op2_quality
 from .simhash import op8_simhash
 from .topk import op7_topk
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op4_chat": op4_chat,
     "op5_packing": op5_packing,
     "op6_ann": op6_ann,
