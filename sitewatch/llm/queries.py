@@ -6,6 +6,7 @@ from .ann import op6_ann
 from .bpe import op1_bpe
 from .chat import OP4_SQL, op4_chat
 from .langid import op9_langid
+from .linededup import op10_line_dedup
 from .packing import op5_packing
 from .quality import op2_quality
 from .simhash import op8_simhash
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_topk": op7_topk,
     "op8_simhash": op8_simhash,
     "op9_langid": op9_langid,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE = {
