@@ -44,3 +44,13 @@ def held_out(doc_id: str = "doc_id"):
     A null id counts as its empty text (remainder 0), so the flag is never null.
     """
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def with_text_key(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with two hashes of its text, __h1 and __h2; with the id they stand for a document."""
+    return df.withColumns({"__h1": F.xxhash64(F.col(f"`{text}`")), "__h2": F.xxhash64(F.lit(1), F.col(f"`{text}`"))})
+
+
+def same_document(docs: DataFrame, found: DataFrame, doc_id: str):
+    """Join condition of documents with a text key and rows (__id, __k1, __k2, ...) about them; null ids are equal."""
+    return docs[doc_id].eqNullSafe(found["__id"]) & (docs["__h1"] == found["__k1"]) & (docs["__h2"] == found["__k2"])

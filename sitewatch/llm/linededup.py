@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sitewatch.session import materialize
 
-from .common import in_arrow, table
+from .common import in_arrow, same_document, table, with_text_key
 
 WINDOW, DIVISOR, MIN_BYTES = 2, 4, 40
 _FACTOR, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -78,17 +78,9 @@ def _rolling(hashes: list[int], i: int) -> int:
     return r >> 32
 
 
-def _key(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return df.withColumns({"__h1": F.xxhash64(F.col(f"`{text}`")), "__h2": F.xxhash64(F.lit(1), F.col(f"`{text}`"))})
-
-
-def _same(a: DataFrame, b: DataFrame, doc_id: str):
-    return a[doc_id].eqNullSafe(b["__id"]) & (a["__h1"] == b["__k1"]) & (a["__h2"] == b["__k2"])
-
-
 def occurrences(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(__id, __k1, __k2, start, len, a, b): every chunk long enough, by place and 128-bit hash."""
-    given = _key(df, doc_id, text).select(F.col(f"`{doc_id}`").alias("__id"), F.col("__h1").alias("__k1"),
+    given = with_text_key(df, text).select(F.col(f"`{doc_id}`").alias("__id"), F.col("__h1").alias("__k1"),
                                           F.col("__h2").alias("__k2"), F.col(f"`{text}`").cast("binary").alias("data"))
     kind = given.schema["__id"].dataType.simpleString()
 
@@ -122,8 +114,8 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
              .groupBy("__id", "__k1", "__k2").agg(F.collect_set("c").alias("cs")))      # as many as the document has
     found = materialize(found, "repeated")
 
-    docs = _key(df, doc_id, text)
-    bytes_ = docs.join(found, _same(docs, found, doc_id)).select("__id", "__k1", "__k2", F.col(f"`{text}`").cast("binary").alias("data"),
+    docs = with_text_key(df, text)
+    bytes_ = docs.join(found, same_document(docs, found, doc_id)).select("__id", "__k1", "__k2", F.col(f"`{text}`").cast("binary").alias("data"),
                                                                  F.explode("cs").alias("c"))
     bytes_ = bytes_.select("__id", "__k1", "__k2", "c.*", F.substring("data", F.col("c.start") + 1, F.col("c.len")).alias("bytes"))
     first = bytes_.where("is_first").groupBy("a", "b").agg(F.min("bytes").alias("first_bytes"))
@@ -135,7 +127,7 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     ends = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda g: _behind(data, g["start"] + g["len"])))
     starts = F.concat(F.transform("__gone", lambda g: g["start"]), F.array(F.octet_length(data)))
     pieces = F.zip_with(ends, starts, lambda a, b: F.substring(data, a + 1, F.greatest(b - a, F.lit(0))).cast("string"))
-    out = docs.join(gone, _same(docs, gone, doc_id), "left")
+    out = docs.join(gone, same_document(docs, gone, doc_id), "left")
     cols = [F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(F.array_join(pieces, "")).alias(c) if c == text else F.col(f"`{c}`")
             for c in df.columns if c != removed]
     if removed:
