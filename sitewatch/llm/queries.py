@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
+from corpus_pipeline import run as pipeline
+
 from .ann import op6_ann
 from .bpe import op1_bpe
 from .chat import OP4_SQL, op4_chat
 from .langid import op9_langid
 from .linededup import op10_line_dedup
 from .packing import op5_packing
+from .pii import op3_pii
 from .quality import op2_quality
 from .simhash import op8_simhash
 from .topk import op7_topk
@@ -15,6 +19,7 @@ from .topk import op7_topk
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
+    "op3_pii": op3_pii,
     "op4_chat": op4_chat,
     "op5_packing": op5_packing,
     "op6_ann": op6_ann,
@@ -22,8 +27,11 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_langid": op9_langid,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLE = {
     "op4_chat": OP4_SQL,
 }
+if PIPELINE_SQL:
+    ORACLE["pipeline"] = PIPELINE_SQL
