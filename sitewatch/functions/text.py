@@ -1,8 +1,7 @@
 """HTML text functions: visible text, fingerprint, title, description.
 
 No DOM is built.  The recipe below is a fixed sequence of JVM regular
-expressions; it reproduces the text a forgiving HTML parser returns for
-well-formed pages (blocks removed with their content, tags removed with
+expressions; it reproduces the text a forgiving HTML parser returns (blocks removed with their content, tags removed with
 nothing in their place, entities decoded, whitespace collapsed).
 """
 
@@ -16,19 +15,7 @@ from pyspark.sql import functions as F
 # --- fixed values (must equal the reference's behaviour) -------------------
 # Elements removed together with their content before text is taken.
 REMOVED_ELEMENTS = ("script", "style", "noscript", "iframe")
-# Named entities decoded natively, in this order; "&amp;" is decoded last so
-# that "&amp;lt;" stays "&lt;".  The semicolon is optional (titles can be cut
-# inside an entity).
-ENTITY_CHAIN = (
-    ("&copy;?", "©"),
-    ("&middot;?", "·"),
-    ("&lt;?", "<"),
-    ("&gt;?", ">"),
-    ("&quot;?", '"'),
-    ("&amp;?", "&"),
-)
-# Numeric references (&#NNN; / &#xHH;, semicolon optional) are decoded
-# natively as well.  Code points 0x80-0x9F follow the Windows-1252 table of the
+# Numeric references (&#NNN; / &#xHH;, semicolon optional): code points 0x80-0x9F follow the Windows-1252 table of the
 # HTML standard:
 WINDOWS_1252_C1 = {
     0x80: 0x20AC, 0x82: 0x201A, 0x83: 0x0192, 0x84: 0x201E, 0x85: 0x2026, 0x86: 0x2020, 0x87: 0x2021,
@@ -40,24 +27,23 @@ WINDOWS_1252_C1 = {
 C1_KEPT = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
 # ---------------------------------------------------------------------------
 
-NUMERIC_REF_RE = r"&#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
+# what may be a reference, as far as it may go
+REF_RE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
-BLOCKS_RE = "(?is)<!--.*?-->|" + "|".join(
-    rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in REMOVED_ELEMENTS)
-TAG_RE = r"(?s)<[^>]*>"
+# a tag begins with a letter, "/", "!" or "?" and may hold ">" inside quotes; what never ends goes to the end
+ATTRIBUTES_RE = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+BLOCKS_RE = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(
+    rf"<{t}(?=[\s/>]){ATTRIBUTES_RE}>.*?(?:</{t}(?=[\s/>])[^>]*>|\z)" for t in REMOVED_ELEMENTS)
+TAG_RE = rf"(?s)<[A-Za-z/!?]{ATTRIBUTES_RE}>|<[A-Za-z/!?][^>]*>"
 SPACE_RE = r"(?U)\s+"
 EDGE_SPACE_RE = r"(?U)^\s+|\s+$"
 TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 # First <meta> whose name attribute is exactly "description" (value compared
 # case-sensitively, attribute order free).
 META_DESC_TAG_RE = (
-    r"(?is)<meta\b(?=[^>]*?\bname\s*=\s*(?:\"(?-i:description)\"|'(?-i:description)'"
+    r"(?is)<meta(?=\s)(?=[^>]*?\sname\s*=\s*(?:\"(?-i:description)\"|'(?-i:description)'"
     r"|(?-i:description)(?=[\s/>])))[^>]*>")
-CONTENT_ATTR_RE = r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-# Entities outside the native chain (numeric or other names).
-OTHER_ENTITY_RE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|(?!(?:copy|middot|lt|gt|quot|amp)\b)[A-Za-z][A-Za-z0-9]*);"
-
-
+CONTENT_ATTR_RE = r"(?is)\scontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -106,80 +92,38 @@ def _char_of_numeric_ref(ref: Column) -> Column:
     return _let(_let(raw, remap).cast("long"), to_char)
 
 
-def decode_numeric_refs(text) -> Column:
-    """Replace every numeric character reference (a reference before its
-    prefixes, so ``&#39`` never eats into ``&#390;``).  Rows without ``&#``
-    skip the work."""
-    t = _col(text)
-    # Descending string order puts every reference before its own prefixes
-    # ("&#390;" before "&#39"), which is all a literal replace needs.
-    refs = F.sort_array(F.array_distinct(F.regexp_extract_all(t, F.lit(NUMERIC_REF_RE), 0)), asc=False)
-    decoded = F.aggregate(refs, t, lambda acc, r: F.replace(acc, r, _char_of_numeric_ref(r)))
-    return F.when(F.instr(t, "&#") > 0, decoded).otherwise(t)
-
-
-def decode_entities(text) -> Column:
-    """Decode entities natively (JVM): the fixed named set, then numeric
-    references, ``&amp;`` last (so ``&amp;#39;`` stays ``&#39;``)."""
-    out = _col(text)
-    for pat, rep in ENTITY_CHAIN[:-1]:
-        # "&name;?" as two byte-level literal replaces (with, then without the
-        # semicolon): same result as the regex, since no replacement contains
-        # "&", and no String round trip per pass.
-        name = pat[:-2]
-        out = F.replace(F.replace(out, F.lit(name + ";"), F.lit(rep)), F.lit(name), F.lit(rep))
-    out = decode_numeric_refs(out)
-    pat, rep = ENTITY_CHAIN[-1]
-    return F.regexp_replace(out, pat, rep)
-
-
-# Prefixes of the references the native chain decodes itself.
-NATIVE_REF_PREFIXES = tuple(pat[:-2] for pat, _ in ENTITY_CHAIN) + ("&#",)
-
-
-def _count(text: Column, needle: str) -> Column:
-    """Occurrences of a literal (byte-level replaces, no regex)."""
-    return F.floor((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle))
-
-
-def needs_full_unescape(text) -> Column:
-    """True where a text holds an "&" that does not start a natively decoded
-    reference (e.g. ``&nbsp;``, ``&eacute;``, or a bare "&").  Cheap: a few
-    literal replaces, no regex."""
-    t = _col(text)
-    known = None
-    for prefix in NATIVE_REF_PREFIXES:
-        c = _count(t, prefix)
-        known = c if known is None else known + c
-    return F.coalesce(_count(t, "&") > known, F.lit(False))
-
-
 @functools.lru_cache(maxsize=1)
-def _unescape_udf():
-    import pandas as pd
-
-    def unescape(s):
-        import html
-        return s.map(lambda x: None if x is None else html.unescape(x))
-    # real classes (this module postpones annotation evaluation)
-    unescape.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(unescape, "string")
-
-
-def unescape_masked(text, mask) -> Column:
-    """Arrow-batched ``html.unescape`` (standard library) of ``text`` where
-    ``mask`` holds, null elsewhere: the slow path only carries the texts that
-    hold references outside the native set."""
-    return _unescape_udf()(F.when(_col(mask), _col(text)))
+def _named_refs() -> tuple[str, str, int]:
+    """JSON maps of all named references, and of those that need no semicolon, with
+    the longest of the latter; the table is the standard library's."""
+    import json
+    from html.entities import html5
+    short = {k: v for k, v in html5.items() if not k.endswith(";")}
+    return json.dumps(html5), json.dumps(short), max(map(len, short))
+
+
+def _decoded_ref(ref: Column) -> Column:
+    """What a reference stands for: a number's character, the named one, the longest
+    name it begins with and the rest, or itself."""
+    every, short, longest = _named_refs()
+    kind = "map<string,string>"
+    name = F.substring(ref, 2, 40)
+    # constants: the optimizer parses each map once
+    named = F.element_at(F.from_json(F.lit(every), kind), name)
+    prefixes = [F.concat(F.element_at(F.from_json(F.lit(short), kind), F.substring(name, 1, n)), F.substring(name, n + 1, 40))
+                for n in range(longest, 1, -1)]
+    return F.when(ref.startswith("&#"), _char_of_numeric_ref(ref)).otherwise(F.coalesce(named, *prefixes, ref))
 
 
-def full_decode(text) -> Column:
-    """Entity decoding as an HTML parser does it: the native JVM chain, or
-    ``html.unescape`` (Arrow-batched) for the texts that hold an "&" the
-    native chain does not cover."""
+def decode_entities(text) -> Column:
+    """Every character reference decoded as ``html.unescape`` of the standard library
+    does it, in the JVM: the text is cut at its references and put together again.
+    Texts without "&" skip the work."""
     t = _col(text)
-    mask = needs_full_unescape(t)
-    return F.when(mask, unescape_masked(t, mask)).otherwise(decode_entities(t))
+    between = F.split(t, REF_RE, -1)
+    refs = F.transform(F.regexp_extract_all(t, F.lit(REF_RE), 0), _decoded_ref)
+    whole = F.array_join(F.zip_with(between, F.concat(refs, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return F.when(F.instr(t, "&") > 0, whole).otherwise(t)
 
 
 def py_strip(text) -> Column:
@@ -193,7 +137,7 @@ def collapse_space(text) -> Column:
 
 def visible_text_from_stripped(stripped) -> Column:
     """Text of a document whose blocks were already removed (see ``strip_blocks``)."""
-    return collapse_space(full_decode(F.regexp_replace(_col(stripped), TAG_RE, "")))
+    return collapse_space(decode_entities(F.regexp_replace(_col(stripped), TAG_RE, "")))
 
 
 def visible_text(html) -> Column:
@@ -206,13 +150,9 @@ def fingerprint(html) -> Column:
     return F.sha2(visible_text(html), 256)
 
 
-def fingerprint_from_stripped(stripped) -> Column:
-    return F.sha2(visible_text_from_stripped(stripped), 256)
-
-
 def title_from_stripped(stripped) -> Column:
     """P5 on a block-stripped document: first <title>, entities decoded, stripped."""
-    return py_strip(full_decode(F.regexp_extract(_col(stripped), TITLE_RE, 1)))
+    return py_strip(decode_entities(F.regexp_extract(_col(stripped), TITLE_RE, 1)))
 
 
 def title(html) -> Column:
@@ -230,14 +170,9 @@ def description_raw_from_stripped(stripped) -> Column:
 
 def description_from_stripped(stripped) -> Column:
     """P6 on a block-stripped document."""
-    return py_strip(full_decode(description_raw_from_stripped(stripped)))
+    return py_strip(decode_entities(description_raw_from_stripped(stripped)))
 
 
 def description(html) -> Column:
     """Content of the first <meta name="description"> ('' if missing/empty)."""
     return description_from_stripped(strip_blocks(html))
-
-
-def has_other_entities(text) -> Column:
-    """True where a text holds an entity the native chain does not decode."""
-    return _col(text).rlike(OTHER_ENTITY_RE)

@@ -90,44 +90,45 @@ def _remove_dot_segments(path: Column) -> Column:
 
 
 def resolve_link(base, link) -> Column:
-    """Resolve ``link`` against ``base`` like a browser, drop the fragment.
+    """Resolve ``link`` against ``base`` like the standard library's ``urljoin``,
+    drop the fragment.
 
     Null for empty links, mailto:/tel:/javascript: and any non-http(s) result.
-    The query string is kept.
+    Line ends and tabs inside a link are dropped, an absolute link keeps its
+    path as written, and an empty query ("?") counts as none.  A link of another
+    scheme than the base's stays as it is; otherwise the scheme goes to lower case.
     """
     b, raw = _col(base), _col(link)
-    l = F.trim(raw)
-    b_scheme, b_netloc = url_part(b, "scheme"), url_part(b, "netloc")
+    trimmed = F.regexp_replace(raw, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    l = F.regexp_replace(trimmed, r"^[\x00-\x20]+|[\t\r\n]+", "")
+    b_scheme, b_netloc = F.lower(url_part(b, "scheme")), url_part(b, "netloc")
     b_path, b_query = url_part(b, "path"), url_part(b, "query")
-    l_scheme, l_netloc = url_part(l, "scheme"), url_part(l, "netloc")
+    l_scheme, l_netloc = F.lower(url_part(l, "scheme")), url_part(l, "netloc")
     l_path, l_query = url_part(l, "path"), url_part(l, "query")
-    l_has_query = has_query(l)
-    l_has_netloc = l.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//")
     b_dir = F.when(b_path == "", F.lit("/")).otherwise(F.regexp_extract(b_path, r"^(.*/)", 1))
     b_dir = F.when(b_dir == "", F.lit("/")).otherwise(b_dir)
 
-    def q(has, query):
-        return F.when(has, F.concat(F.lit("?"), query)).otherwise(F.lit(""))
+    def with_query(head, query):
+        return F.when(query != "", F.concat(head, F.lit("?"), query)).otherwise(head)
 
-    other_scheme = (l_scheme != "") & (F.lower(l_scheme) != F.lower(b_scheme))
+    def slashed(path):
+        return F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+
+    origin = F.concat(b_scheme, F.lit("://"), b_netloc)
+    other_scheme = (l_scheme != "") & (l_scheme != b_scheme)
     resolved = (
-        F.when(other_scheme | ((l_scheme != "") & l_has_netloc),
-               F.concat(l_scheme, F.lit(":"), F.when(l_has_netloc, F.concat(F.lit("//"), l_netloc)).otherwise(F.lit("")),
-                        F.when(l_path == "", F.lit("")).otherwise(_remove_dot_segments(l_path)), q(l_has_query, l_query)))
-        .when(l_has_netloc,
-              F.concat(b_scheme, F.lit("://"), l_netloc,
-                       F.when(l_path == "", F.lit("")).otherwise(_remove_dot_segments(l_path)), q(l_has_query, l_query)))
-        .when(l_path.startswith("/"),
-              F.concat(b_scheme, F.lit("://"), b_netloc, _remove_dot_segments(l_path), q(l_has_query, l_query)))
-        .when(l_path == "",
-              F.concat(b_scheme, F.lit("://"), b_netloc, b_path,
-                       F.when(l_has_query, F.concat(F.lit("?"), l_query))
-                        .otherwise(q(has_query(b), b_query))))
-        .otherwise(F.concat(b_scheme, F.lit("://"), b_netloc,
-                            _remove_dot_segments(F.concat(b_dir, l_path)), q(l_has_query, l_query))))
-    rejected = raw.isNull() | (l == "")
+        F.when(other_scheme & ~has_fragment(l), l)
+        .when(other_scheme | (l_netloc != ""),
+               with_query(F.concat(F.when(l_scheme == "", b_scheme).otherwise(l_scheme),
+                                   F.when(l_netloc == "", F.lit(":")).otherwise(F.concat(F.lit("://"), l_netloc)),
+                                   F.when(l_netloc == "", l_path).otherwise(slashed(l_path))), l_query))
+        .when(l_path.startswith("/"), with_query(F.concat(origin, _remove_dot_segments(l_path)), l_query))
+        .when(l_path == "", with_query(F.concat(origin, slashed(b_path)), F.when(l_query != "", l_query).otherwise(b_query)))
+        .otherwise(with_query(F.concat(origin, _remove_dot_segments(
+            F.regexp_replace(F.concat(b_dir, l_path), "/{2,}", "/"))), l_query)))
+    rejected = raw.isNull() | (raw == "")
     for p in REJECTED_LINK_PREFIXES:
-        rejected = rejected | l.startswith(p)
+        rejected = rejected | trimmed.startswith(p)
     ok_scheme = F.lower(url_part(resolved, "scheme")).isin(*ALLOWED_SCHEMES)
     return F.when(rejected | ~ok_scheme, F.lit(None).cast("string")).otherwise(resolved)
 
@@ -138,8 +139,8 @@ def normalize_domain(domain) -> Column:
     return F.when(d.startswith("http"), d).otherwise(F.concat(F.lit(DEFAULT_SCHEME_PREFIX), d))
 
 
-# http(s) scheme, a host without blanks, optional port, optional rest without blanks.
-VALID_URL_RE = r"^https?://[^\s/?#@:]+(:[0-9]*)?([/?#][^\s]*)?$"
+# http(s) scheme, optional user info, a host name or bracketed IPv6 address, optional port, a rest without blanks.
+VALID_URL_RE = r"(?i)^https?://(?:[^\s/?#@]*@)?(?:\[[0-9a-f:.]+\]|[^\s/?#@:\[\]]+)(:[0-9]*)?([/?#][^\s]*)?$"
 
 
 def is_valid_url(url) -> Column:

@@ -36,9 +36,7 @@ def digest_snapshot(snapshot: DataFrame) -> DataFrame:
     stripped = text.strip_blocks("body")
     ok = F.col("status_code") == 200
     # Staged projections: each intermediate text is computed once and read by
-    # column reference.  Texts holding entities outside the native set take an
-    # Arrow-batched html.unescape (text.full_decode); all others stay on the
-    # JVM chain.
+    # column reference; all of it stays in the JVM.
     digest = (snapshot
               .select("project_id", "url", "status_code", F.when(ok, stripped).alias("_stripped"))
               .select("project_id", "url", "status_code",
@@ -46,9 +44,9 @@ def digest_snapshot(snapshot: DataFrame) -> DataFrame:
                       F.regexp_extract("_stripped", text.TITLE_RE, 1).alias("_title"),
                       text.description_raw_from_stripped("_stripped").alias("_desc"))
               .select("project_id", "url", "status_code",
-                      F.sha2(text.collapse_space(text.full_decode("_tagless")), 256).alias("content_sha256"),
-                      text.py_strip(text.full_decode("_title")).alias("title"),
-                      text.py_strip(text.full_decode("_desc")).alias("description")))
+                      F.sha2(text.collapse_space(text.decode_entities("_tagless")), 256).alias("content_sha256"),
+                      text.py_strip(text.decode_entities("_title")).alias("title"),
+                      text.py_strip(text.decode_entities("_desc")).alias("description")))
     # One fetch per URL: should a snapshot hold a URL twice, keep the OK one
     # (then the greatest digest) -- a partial aggregate on the join key, so the
     # join that follows reuses its partitioning.

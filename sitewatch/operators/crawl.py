@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import text, urls
 from ..schemas import DEFAULT_MAX_DEPTH
 from .changes import CHANGED, NEW, crawl_candidates
+from .ranking import latest_per_key, rank_within
 
 
 def _lit_ts(now) -> Column:
@@ -29,16 +30,20 @@ def crawl_budget(changes: DataFrame, projects: DataFrame, max_pages: int) -> Dat
 
     The start page is flagged by an equi-join on ``(project_id, url)`` -- an even
     key -- rather than by joining the project table on ``project_id``, which
-    would put a huge site into one task.  The rank filter is a plain
-    ``row_number <= n`` so Spark plans a WindowGroupLimit that keeps at most
-    ``n`` rows per project in every map task before the shuffle.
+    would put a huge site into one task.  Up to the session's window group limit
+    the rank filter is a plain ``row_number <= n``, of which Spark keeps at most
+    ``n`` rows per project in every map task before the shuffle; beyond it the
+    rank comes from ``rank_within``, which splits a site over many tasks.
     """
     starts = start_urls(projects).withColumn("is_start", F.lit(True))
     cand = (crawl_candidates(changes)
             .join(starts, ["project_id", "url"], "left")
             .withColumn("is_start", F.coalesce(F.col("is_start"), F.lit(False))))
-    w = Window.partitionBy("project_id").orderBy(F.col("is_start").desc(), F.col("class_order"), F.col("url"),
-                                                 F.col("page_id").asc_nulls_first())
+    order = [F.col("is_start").desc(), F.col("class_order"), F.col("url"), F.col("page_id").asc_nulls_first()]
+    if max_pages > int(changes.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        ranked = rank_within(cand, ["project_id"], order, "crawl_rank")
+        return ranked.withColumn("crawl_rank", F.col("crawl_rank").cast("int")).filter(F.col("crawl_rank") <= F.lit(max_pages))
+    w = Window.partitionBy("project_id").orderBy(*order)
     ranked = cand.withColumn("crawl_rank", F.row_number().over(w))
     if max_pages >= 1:
         return ranked.filter(F.col("crawl_rank") <= F.lit(max_pages))
@@ -88,12 +93,12 @@ def crawl_result(changes: DataFrame, crawled_with_ids: DataFrame, projects: Data
 
 def new_page_id(project_id: Column, url: Column) -> Column:
     """Repeatable id for a page first seen in a run."""
-    return F.concat(F.lit("pg_"), F.substring(F.sha2(F.concat_ws("|", project_id, url), 256), 1, 16))
+    return F.concat(F.lit("pg_"), F.sha2(F.concat_ws("|", project_id, url), 256))
 
 
 def new_revision_id(page_id: Column, run_id: Column) -> Column:
     """Repeatable id for a revision written by a run."""
-    return F.concat(F.lit("rev_"), F.substring(F.sha2(F.concat_ws("|", page_id, run_id), 256), 1, 16))
+    return F.concat(F.lit("rev_"), F.sha2(F.concat_ws("|", page_id, run_id), 256))
 
 
 def dedup_revisions(crawled: DataFrame, run_id: Column | str) -> DataFrame:
@@ -120,18 +125,24 @@ def dedup_revisions(crawled: DataFrame, run_id: Column | str) -> DataFrame:
 
 
 def new_revisions(dedup: DataFrame, snapshot: DataFrame, run_id: Column | str, now) -> DataFrame:
-    """S9 rows: one revision per really new content.  The raw body is joined back
-    from the snapshot only for these pages (a runtime bloom filter prunes the
-    snapshot side before its shuffle)."""
+    """S9 rows: one revision per really new content.
+
+    The raw body is joined back for these pages only, from the 200 responses
+    whose text has the revision's fingerprint; of a URL that the snapshot holds
+    twice, the digest's choice is the one with that fingerprint.
+    """
     run = F.col(run_id) if isinstance(run_id, str) else run_id
-    fresh = dedup.filter(F.col("is_new_revision"))
-    bodies = snapshot.select("project_id", "url", F.col("body").alias("content"))
-    return (fresh.join(bodies, ["project_id", "url"], "left")
-            .select(F.col("revision_id").alias("id"), "page_id", run.alias("run_id"), "content",
-                    "content_sha256", "title", F.col("description").alias("meta_description"),
-                    _lit_ts(now).alias("created_at"),
-                    F.to_json(F.struct(F.coalesce(F.col("change_reason"), F.lit("Unknown"))
-                                       .alias("change_reason"))).alias("metadata")))
+    fresh = dedup.filter(F.col("is_new_revision")).withColumn("__run", run)
+    bodies = (snapshot.filter(F.col("status_code") == 200)
+              .select("project_id", "url", F.col("body").alias("content")))
+    found = (fresh.join(bodies, ["project_id", "url"])
+             .filter(text.fingerprint("content") == F.col("content_sha256"))
+             .select(F.col("revision_id").alias("id"), "page_id", F.col("__run").alias("run_id"), "content",
+                     "content_sha256", "title", F.col("description").alias("meta_description"),
+                     _lit_ts(now).alias("created_at"),
+                     F.to_json(F.struct(F.coalesce(F.col("change_reason"), F.lit("Unknown"))
+                                        .alias("change_reason"))).alias("metadata")))
+    return latest_per_key(found, ["id"], ["content"], newest=False)
 
 
 def upsert_pages(pages: DataFrame, dedup: DataFrame, now) -> DataFrame:

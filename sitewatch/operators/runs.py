@@ -155,8 +155,8 @@ def schedulable(configs: DataFrame, projects: DataFrame, now) -> DataFrame:
 
 def repeatable_run_id(project_id: Column, at: Column, kind: str) -> Column:
     """Run id from (project, time, kind) -- retried jobs produce the same id."""
-    return F.concat(F.lit("run_"), F.substring(
-        F.sha2(F.concat_ws("|", F.lit(kind), project_id.cast("string"), F.unix_micros(at).cast("string")), 256), 1, 16))
+    return F.concat(F.lit("run_"), F.sha2(
+        F.concat_ws("|", F.lit(kind), project_id.cast("string"), F.unix_micros(at).cast("string")), 256))
 
 
 def schedule_next(configs: DataFrame, projects: DataFrame, now) -> DataFrame:
@@ -191,7 +191,7 @@ def initial_runs(projects: DataFrame, configs: DataFrame, now) -> DataFrame:
     ts = _ts(now)
     j = projects.join(configs.select("project_id", "is_enabled"), projects["id"] == configs["project_id"])
     run_id = repeatable_run_id(F.col("id"), ts, "initial")
-    job_id = F.concat(F.lit("job_"), F.substring(F.sha2(run_id, 256), 1, 16))
+    job_id = F.concat(F.lit("job_"), F.sha2(run_id, 256))
     payload = F.to_json(F.struct(
         job_id.alias("id"), F.col("domain").alias("url"), F.col("id").alias("projectId"), run_id.alias("runId"),
         F.lit("NORMAL").alias("priority"), F.lit("STATIC").alias("render_mode"),

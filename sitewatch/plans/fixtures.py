@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import spread
 from ..sources.tables import read_table
 
 
@@ -35,15 +34,16 @@ class Fixtures:
         body = F.when(pid % 10 == 0, F.regexp_replace(html, "<title>.*?</title>", "<title></title>")).otherwise(html)
         body = F.replace(body, F.lit("</title>"), F.when(
             pid % 3 != 0,
-            F.concat(F.lit('</title><meta name="description" content=" Page '), pid.cast("string"),
+            F.concat(F.lit('</title><meta data-name="description" content="decoy"><meta name="description" content=" Page '), pid.cast("string"),
                      F.lit(' summary ">'))).otherwise(F.lit("</title>")))
         body = F.replace(body, F.lit("</body>"), F.when(
             pid % 4 == 0, F.lit('<noscript>ns</noscript><iframe src="x">if</iframe></body>'))
             .otherwise(F.lit("</body>")))
-        # HTML is the CPU-heavy input: spread it over all cores.  Views that
-        # do not need the body read (page_id, url) only -- column pruning
-        # passes through the repartition.
-        return spread(self.table("pages")).select(
+        # references, a bare "<" and "&", ">" in quotes; a script that is never closed
+        body = F.replace(body, F.lit("</body>"), F.when(
+            pid % 6 == 1, F.lit('<p data-x="a>b">caf&eacute; &#8217; R&D 5 < 6&nbsp;x &notit; &ltimes;</p></body>'))
+            .when(pid % 6 == 4, F.lit('<script>var t = "leak";</body>')).otherwise(F.lit("</body>")))
+        return self.table("pages").select(
             "page_id",
             F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("project_id"),
             F.regexp_replace("url", "#.*$", "").alias("url"),
@@ -168,52 +168,64 @@ class Fixtures:
             F.col("l_shipdate").cast("timestamp").alias("created_at"))
 
     # --- sitemap and robots documents (S2-S4, F1, F2) -----------------------
-    # A urlset holds at most this many URLs (sitemap protocol); larger sites
-    # get an index over several urlsets, so no document collects an unbounded
-    # group of URLs.
-    SITEMAP_MAX_URLS = 50000
+    SITEMAP_PAGE = 20       # URLs of one urlset document, about
+    SITEMAP_HOPS = 5        # indexes that only name the next one, in front of kind 0
 
     @cached_property
     def sitemap_snapshot(self) -> DataFrame:
         """Fetched sitemap documents built from ``fx_sitemap``.
 
-        Per project, by ``length(project_id) % 4``: 0 = index with child urlsets
-        (URLs split by ``length(url) % 2``), 1 = plain urlset, 2 = urlset
-        answered with 404, 3 = malformed urlset (unclosed).  A project with more
-        than ``SITEMAP_MAX_URLS`` URLs always gets an index whose children hold
-        hash-balanced parts of at most about that many URLs.
+        At every size alike, a project's URLs are dealt by hash into urlsets of
+        about ``SITEMAP_PAGE`` (split once more by ``length(url) % 2``), which a
+        binary tree of indexes names: index i names its urlsets and the indexes
+        2i+1 and 2i+2, and index 0 the root again (a cycle).  By
+        ``length(project_id) % 4``: 0 = the root leads to index 0 over a chain
+        of indexes, 1 = urlsets with a comment, a stylesheet line or prefixed
+        names, 2 = the root is answered with 404, 3 = the urlsets of odd URL
+        lengths are malformed (unclosed).
         """
         from ..functions import urls as U
         from ..sources import sitemaps as SM
-        cap = self.SITEMAP_MAX_URLS
-        base = self.projects.select("project_id", SM.sitemap_location("start_url").alias("root"),
-                                    F.concat(U.url_part("start_url", "scheme"), F.lit("://"),
-                                             U.url_part("start_url", "netloc")).alias("origin"))
-        sizes = self.sitemap.groupBy("project_id").agg(F.count(F.lit(1)).alias("_n"))
-        sm = (self.sitemap.join(base, "project_id").join(sizes, "project_id")
-              .withColumn("kind", F.when(F.col("_n") > cap, F.lit(0)).otherwise(F.length("project_id") % 4))
-              .withColumn("part", F.pmod(F.xxhash64("url"), F.ceil(F.col("_n") / cap)).cast("int")))
-        plain = (sm.filter(F.col("kind") != 0)
-                 .groupBy("project_id", "root", "kind").agg(F.array_sort(F.collect_list("url")).alias("u"))
-                 .select("project_id", F.col("root").alias("url"),
-                         F.when(F.col("kind") == 2, 404).otherwise(200).alias("status_code"),
-                         F.when(F.col("kind") == 3,
-                                F.concat(F.replace(SM.urlset_document(F.col("u")), F.lit("</urlset>"), F.lit("")),
-                                         F.lit("<url><loc>")))
-                          .otherwise(SM.urlset_document(F.col("u"))).alias("body")))
-        idx = sm.filter(F.col("kind") == 0)
+        origin = F.concat(U.url_part("start_url", "scheme"), F.lit("://"), U.url_part("start_url", "netloc"))
+        sizes = self.sitemap.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / self.SITEMAP_PAGE).cast("int").alias("parts"))
+        sites = (self.projects.join(sizes, "project_id")
+                 .select("project_id", "parts", origin.alias("origin"), SM.sitemap_location("start_url").alias("root"),
+                         (F.length("project_id") % 4).alias("kind")))
+        name = lambda kind, i: F.concat(F.col("origin"), F.lit(f"/{kind}-"), i.cast("string"), F.lit(".xml"))
         half = F.when(F.length("url") % 2 == 0, F.lit("a")).otherwise(F.lit("b"))
-        suffix = F.when(F.col("_n") > cap, F.concat(F.lit("-"), F.col("part").cast("string"))).otherwise(F.lit(""))
-        child_url = F.concat(F.col("origin"), F.lit("/sitemap-"), half, suffix, F.lit(".xml"))
-        children = (idx.groupBy("project_id", child_url.alias("url"))
-                    .agg(SM.urlset_document(F.array_sort(F.collect_list("url"))).alias("body"))
-                    .select("project_id", "url", F.lit(200).alias("status_code"), "body"))
-        roots = (idx.select("project_id", "root", child_url.alias("child")).distinct()
-                 .groupBy("project_id", "root").agg(F.array_sort(F.collect_list("child")).alias("c"))
-                 .select("project_id", F.col("root").alias("url"), F.lit(200).alias("status_code"),
-                         SM.index_document(F.col("c")).alias("body")))
-        # read by several branches of the sitemap queries
-        return plain.unionByName(children).unionByName(roots).cache()
+        sets = (self.sitemap.join(sites, "project_id")
+                .withColumn("part", F.pmod(F.xxhash64("url"), F.col("parts")).cast("int")).withColumn("half", half)
+                .groupBy("project_id", "origin", "kind", "part", "half").agg(F.array_sort(F.collect_list("url")).alias("u")))
+        plain = SM.urlset_document(F.col("u"))
+        prefixed = F.regexp_replace(F.replace(plain, F.lit("xmlns="), F.lit("xmlns:sm=")), "<(/?)(urlset|url|loc)", "<$1sm:$2")
+        variant = F.col("part") % 3
+        body = (F.when((F.col("kind") == 3) & (F.col("half") == "b"), F.concat(F.replace(plain, F.lit("</urlset>"), F.lit("")), F.lit("<url><loc>")))
+                .when((F.col("kind") == 1) & (variant == 0), F.concat(plain, F.lit("\n<!-- made by a generator -->\n")))
+                .when((F.col("kind") == 1) & (variant == 1), prefixed)
+                .when(F.col("kind") == 1, F.replace(plain, F.lit("?><"), F.lit('?><?xml-stylesheet type="text/xsl" href="s.xsl"?><!-- c --><')))
+                .otherwise(plain))
+        set_url = F.concat(name("sitemap", F.col("part")), F.lit("?"), F.col("half"))
+        children = sets.select("project_id", set_url.alias("url"), F.lit(200).alias("status_code"), body.alias("body"))
+        # the tree of indexes; node -1-h is the chain's hop h
+        i = F.col("i")
+        hops = F.when(F.col("kind") == 0, F.lit(self.SITEMAP_HOPS)).otherwise(F.lit(0))
+        nodes = sites.withColumn("i", F.explode(F.sequence(-hops, F.col("parts") - 1)))
+        node_url = F.when(i == -hops, F.col("root")).otherwise(name("sitemap-index", i))
+        named = sets.groupBy("project_id", F.col("part").alias("i")).agg(F.array_sort(F.collect_list(set_url)).alias("sets"))
+        more = F.filter(F.array(2 * i + 1, 2 * i + 2), lambda x: x < F.col("parts"))
+        next_ = (F.when(i < 0, F.array(name("sitemap-index", i + 1)))
+                 .otherwise(F.concat(F.coalesce("sets", F.array().cast("array<string>")),
+                                     F.transform(more, lambda x: name("sitemap-index", x)),
+                                     F.when(i == 0, F.array(F.col("root"))).otherwise(F.array().cast("array<string>")))))
+        indexes = nodes.join(named, ["project_id", "i"], "left").select(
+            "project_id", node_url.alias("url"), F.when((F.col("kind") == 2) & (i == 0), 404).otherwise(200).alias("status_code"),
+            SM.index_document(next_).alias("body"))
+        return children.unionByName(indexes)
+
+    @cached_property
+    def sitemap_sets(self) -> DataFrame:
+        """The urlset documents of ``sitemap_snapshot``."""
+        return self.sitemap_snapshot.filter(F.col("url").rlike(r"/sitemap-[0-9]+\.xml\?[ab]$"))
 
     ROBOTS_AGENT = "sitewatch-bot"
 

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import re
 
-BLOCKS = (r"<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-          r"|<noscript\b[^>]*>.*?</noscript\s*>|<iframe\b[^>]*>.*?</iframe\s*>")
+ATTRIBUTES = r"""(?:[^>"'']|"[^"]*"|''[^'']*'')*"""      # quotes doubled: stands inside SQL strings
+BLOCKS = r"<!--.*?(?:-->|\z)|" + "|".join(rf"<{t}(?:\s{ATTRIBUTES})?>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript", "iframe"))
 
 
 def strip_blocks(x: str) -> str:
@@ -17,14 +17,14 @@ def strip_blocks(x: str) -> str:
 
 
 def decode(x: str) -> str:
-    for pat, rep in (("&copy;?", "©"), ("&middot;?", "·"), ("&lt;?", "<"), ("&gt;?", ">"),
+    for pat, rep in (("&eacute;", "é"), ("&#8217;", "’"), ("&nbsp;", "\u00a0"), ("&notit;", "¬it;"), ("&ltimes;", "⋉"), ("&copy;?", "©"), ("&middot;?", "·"), ("&lt;?", "<"), ("&gt;?", ">"),
                      ("&quot;?", '"'), ("&amp;?", "&")):
         x = f"regexp_replace({x},'{pat}','{rep}','g')"
     return x
 
 
 def norm_from_stripped(x: str) -> str:
-    return "trim(regexp_replace(" + decode(f"regexp_replace({x},'<[^>]*>','','gs')") + r",'[\s\x{00a0}]+',' ','g'))"
+    return "trim(regexp_replace(" + decode(f"regexp_replace({x},'<[A-Za-z/!?]{ATTRIBUTES}>','','gs')") + r",'[\s\x{00a0}]+',' ','g'))"
 
 
 def norm(x: str) -> str:
@@ -46,9 +46,11 @@ def description(x: str) -> str:
 CTES = {
     "fx_base": ([], """SELECT page_id, regexp_extract(url,'^https?://([^/:?#]+)',1) AS project_id, regexp_replace(url,'#.*$','') AS url,
    CASE WHEN page_id%23=0 THEN 404 WHEN page_id%29=0 THEN 500 ELSE 200 END AS status_code,
-   replace(replace(CASE WHEN page_id%10=0 THEN regexp_replace(html,'<title>.*?</title>','<title></title>','s') ELSE html END,
-     '</title>', CASE WHEN page_id%3<>0 THEN concat('</title><meta name="description" content=" Page ',CAST(page_id AS STRING),' summary ">') ELSE '</title>' END),
-     '</body>', CASE WHEN page_id%4=0 THEN '<noscript>ns</noscript><iframe src="x">if</iframe></body>' ELSE '</body>' END) AS body FROM pages"""),
+   replace(replace(replace(CASE WHEN page_id%10=0 THEN regexp_replace(html,'<title>.*?</title>','<title></title>','s') ELSE html END,
+     '</title>', CASE WHEN page_id%3<>0 THEN concat('</title><meta data-name="description" content="decoy"><meta name="description" content=" Page ',CAST(page_id AS STRING),' summary ">') ELSE '</title>' END),
+     '</body>', CASE WHEN page_id%4=0 THEN '<noscript>ns</noscript><iframe src="x">if</iframe></body>' ELSE '</body>' END),
+     '</body>', CASE WHEN page_id%6=1 THEN '<p data-x="a>b">caf&eacute; &#8217; R&D 5 < 6&nbsp;x &notit; &ltimes;</p></body>'
+       WHEN page_id%6=4 THEN '<script>var t = "leak";</body>' ELSE '</body>' END) AS body FROM pages"""),
     "fx_fetch": (["fx_base"], "SELECT page_id, project_id, url, status_code, body FROM fx_base WHERE page_id%31<>0"),
     "fx_pages": (["fx_base"], "SELECT concat('pg_',CAST(page_id AS STRING)) AS id, project_id, url, CASE WHEN page_id%7=0 THEN NULL ELSE concat('rev_',CAST(page_id AS STRING)) END AS current_revision_id FROM fx_base WHERE page_id%5<>0"),
     "fx_revisions": (["fx_base"], "SELECT concat('rev_',CAST(page_id AS STRING)) AS id, concat('pg_',CAST(page_id AS STRING)) AS page_id, CASE WHEN page_id%11=0 THEN NULL WHEN page_id%13=0 THEN '' WHEN page_id%3=0 THEN sha256('old') ELSE sha256(" + norm("body") + ") END AS content_sha256 FROM fx_base WHERE page_id%5<>0 AND page_id%7<>0 AND page_id%17<>0"),

@@ -114,8 +114,8 @@ NOW_SQL = f"TIMESTAMP '{FIXED_NOW}'"
 CRAWLED = ("fx_crawled", "SELECT * FROM fx_budget WHERE fetched AND status_code=200")
 DEDUP = ("fx_dedup", """SELECT project_id, url, page_id IS NULL AS is_new_page, pid AS page_id, change_reason, title, description, content_sha256,
    'run_' || project_id AS run_id, NOT same AS is_new_revision,
-   CASE WHEN same THEN old_revision_id ELSE 'rev_' || substr(sha256(pid || '|' || 'run_' || project_id), 1, 16) END AS revision_id, rk
-   FROM (SELECT *, coalesce(page_id, 'pg_' || substr(sha256(project_id || '|' || url), 1, 16)) AS pid,
+   CASE WHEN same THEN old_revision_id ELSE 'rev_' || sha256(pid || '|' || 'run_' || project_id) END AS revision_id, rk
+   FROM (SELECT *, coalesce(page_id, 'pg_' || sha256(project_id || '|' || url)) AS pid,
      coalesce(old_revision_id IS NOT NULL AND old_content_sha256 IS NOT NULL AND old_content_sha256 = content_sha256, false) AS same
      FROM fx_crawled)""")
 

@@ -139,7 +139,7 @@ def q_schedulable_projects(spark, sf_dir):
 
 
 def _duck_run_id(kind: str, project: str, at: str) -> str:
-    return f"('run_' || substr(sha256('{kind}|' || CAST({project} AS VARCHAR) || '|' || CAST(epoch_us({at}) AS VARCHAR)), 1, 16))"
+    return f"('run_' || sha256('{kind}|' || CAST({project} AS VARCHAR) || '|' || CAST(epoch_us({at}) AS VARCHAR)))"
 
 
 @register("schedule_next", O.with_fx(f"""SELECT project_id, {_duck_run_id('scheduled', 'project_id', 'next_run_at')} AS run_id, 'QUEUED' AS status,
@@ -180,8 +180,8 @@ def q_schedule_to_cron(spark, sf_dir):
 
 # --- R5 / S12 ---------------------------------------------------------------------------
 @register("initial_runs", O.with_fx(f"""SELECT project_id, run_id, initiated_by, 'QUEUED' AS status, {NOW_SQL} AS created_at,
-   'job_' || substr(sha256(run_id), 1, 16) AS job_id,
-   json_object('id', 'job_' || substr(sha256(run_id), 1, 16), 'url', domain, 'projectId', project_id, 'runId', run_id, 'priority', 'NORMAL',
+   'job_' || sha256(run_id) AS job_id,
+   json_object('id', 'job_' || sha256(run_id), 'url', domain, 'projectId', project_id, 'runId', run_id, 'priority', 'NORMAL',
      'render_mode', 'STATIC', 'isScheduled', false, 'isInitialRun', true)::VARCHAR AS payload
    FROM (SELECT p.id AS project_id, p.created_by AS initiated_by, p.domain, {_duck_run_id('initial', 'p.id', NOW_SQL)} AS run_id
      FROM fx_projects_tbl p JOIN fx_project_configs c ON c.project_id=p.id WHERE coalesce(c.is_enabled, true))"""))

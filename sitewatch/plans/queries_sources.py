@@ -44,12 +44,40 @@ def q_ensure_scheme(spark, sf_dir):
     return p.select("page_id", raw.alias("raw")).select("page_id", "raw", urls.ensure_scheme("raw").alias("url"))
 
 
+# Reference forms of RFC 3986 5.4, and links as pages write them, all seen from LINK_BASE of every site.
+LINK_BASE = "/b/c/d;p?q"
+LINK_FORMS = [
+    "g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "g?y#s", ";x", "g;x", "g;x?y#s", "", ".", "./", "..", "../", "../g", "../..",
+    "../../", "../../g", "../../../g", "../../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g", "./../g", "./g/.", "g/./h", "g/../h",
+    "g;x=1/./y", "g;x=1/../y", "g?y/./x", "g?y/../x", "g#s/./x", "http://b.com/x/../y", "//c.com/p/./q", "HTTP://b.com/y", "?", " g ",
+    "a\tb\nc", "mailto:x@b.com", "tel:+1", "javascript:go()", "ftp://b.com/x", "data:text/plain,x",
+]
+
+
+def _link_values() -> str:
+    """SQL rows (form, resolved): the standard library's answer with the site left open as {origin}."""
+    from urllib.parse import urldefrag, urljoin, urlparse
+    rows = []
+    for form in LINK_FORMS:
+        got = urldefrag(urljoin("https://site" + LINK_BASE, form.strip()))[0]
+        ok = form and not form.startswith(("mailto:", "tel:", "javascript:")) and urlparse(got).scheme in ("http", "https")
+        got = got.replace("https://site", "{origin}") if ok else None
+        if got and form.startswith("//"):
+            got = got.replace("https:", "{scheme}:")
+        chars = " || ".join("chr(%d)" % ord(c) if c in "\t\n" else "'%s'" % c.replace("'", "''") for c in form) or "''"
+        rows.append("(%s, %s)" % (chars, "NULL" if got is None else "'%s'" % got))
+    return ", ".join(rows)
+
+
 @register("resolve_links", f"""SELECT page_id, href, {ORIGIN_DUCK.format(u='url')} || href AS resolved FROM
-   (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)""")
+   (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
+   UNION ALL SELECT page_id, href, replace(replace(resolved, '{{origin}}', {ORIGIN_DUCK.format(u='url')}), '{{scheme}}', split_part(url, ':', 1)) FROM pages, (VALUES {_link_values()}) AS l(href, resolved)""")
 def q_resolve_links(spark, sf_dir):
     p = _fx(spark, sf_dir).table("pages")
     hrefs = p.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("href"))
-    return hrefs.select("page_id", "href", urls.resolve_link(F.col("url"), F.col("href")).alias("resolved"))
+    origin = F.concat(urls.url_part("url", "scheme"), F.lit("://"), urls.url_part("url", "netloc"))
+    forms = p.select("page_id", F.concat(origin, F.lit(LINK_BASE)).alias("url"), F.explode(F.array(*map(F.lit, LINK_FORMS))).alias("href"))
+    return hrefs.unionByName(forms).select("page_id", "href", urls.resolve_link(F.col("url"), F.col("href")).alias("resolved"))
 
 
 @register("same_host", f"""SELECT p.page_id, q.page_id AS other_page_id, {HOST_DUCK.format(u='p.url')} IS NOT DISTINCT FROM {HOST_DUCK.format(u='q.url')} AS same_host
@@ -79,22 +107,19 @@ def q_site_root_urls(spark, sf_dir):
 
 
 @register("sitemap_docs", O.with_fx(f"""SELECT DISTINCT s.project_id, {ORIGIN_DUCK.format(u='p.start_url')} || '/sitemap.xml' AS url
-   FROM fx_sitemap s JOIN fx_projects p ON p.project_id=s.project_id WHERE length(s.project_id)%4 <> 2
-   OR s.project_id IN (SELECT project_id FROM fx_sitemap GROUP BY project_id HAVING count(*) > 50000)"""))
+   FROM fx_sitemap s JOIN fx_projects p ON p.project_id=s.project_id WHERE length(s.project_id)%4 <> 2"""))
 def q_sitemap_docs(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     return SM.sitemap_docs(fx.sitemap_snapshot, fx.projects).select("project_id", "url")
 
 
-@register("sitemap_urls", O.with_fx("""SELECT project_id, url FROM fx_sitemap WHERE length(project_id)%4 = 1
-   AND project_id IN (SELECT project_id FROM fx_sitemap GROUP BY project_id HAVING count(*) <= 50000)"""))
+@register("sitemap_urls", O.with_fx("SELECT project_id, url FROM fx_sitemap WHERE length(project_id)%4 <> 3 OR length(url)%2 = 0"))
 def q_sitemap_urls(spark, sf_dir):
-    fx = _fx(spark, sf_dir)
-    return SM.sitemap_urls(SM.sitemap_docs(fx.sitemap_snapshot, fx.projects))
+    return SM.sitemap_urls(_fx(spark, sf_dir).sitemap_sets)
 
 
-@register("sitemap_index_expand", O.with_fx("""SELECT DISTINCT project_id, url FROM fx_sitemap WHERE length(project_id)%4 IN (0, 1)
-   OR project_id IN (SELECT project_id FROM fx_sitemap GROUP BY project_id HAVING count(*) > 50000)"""))
+@register("sitemap_index_expand", O.with_fx("""SELECT DISTINCT project_id, url FROM fx_sitemap WHERE length(project_id)%4 <> 2
+   AND (length(project_id)%4 <> 3 OR length(url)%2 = 0)"""))
 def q_sitemap_index_expand(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     return SM.expand_index(SM.sitemap_docs(fx.sitemap_snapshot, fx.projects), fx.sitemap_snapshot)

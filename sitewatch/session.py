@@ -43,11 +43,8 @@ def get_session(master: str | None = None, app: str = "sitewatch",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     for k, v in conf.items():
-        if not k.startswith("spark.ui") and not k.startswith("spark.driver"):
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # static confs of an already running session
-                pass
+        if spark.conf.isModifiable(k):      # static settings of a running session stay
+            spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -55,8 +52,9 @@ def get_session(master: str | None = None, app: str = "sitewatch",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only fall back to a
-    private scratch folder when nothing is configured (local tests).
+    The cluster names it in ``spark.checkpoint.dir``; a private scratch folder is
+    made only for a local master (tests).  On a cluster an unset folder is an
+    error: executors would write to their own disks.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -66,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="sitewatch-ckpt-", dir=os.environ.get("SITEWATCH_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
@@ -91,18 +91,3 @@ def materialize(df, name: str):
     path = scratch_table_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def spread(df, min_partitions: int | None = None):
-    """Give a CPU-heavy input at least as many partitions as the cluster has
-    cores.
-
-    A source stored as a few large row groups (a small test file, one big
-    crawl file) is otherwise parsed by a few tasks.  Large inputs already have
-    more partitions than cores and are returned unchanged (no shuffle).
-    """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df

@@ -3,8 +3,8 @@ expansion (S4).
 
 XML is parsed with ``from_xml`` in PERMISSIVE mode: a malformed document
 yields no URLs and never fails the task (``xpath`` would throw).  Index
-expansion is a bounded loop of equi-joins ``loc = url`` against the fetched
-documents, with an anti-join on already visited documents against cycles.
+expansion is a loop of equi-joins ``loc = url`` against the fetched documents,
+with an anti-join on already visited documents, until none is left.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ SITEMAP_NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
 SITEMAP_FILE = "sitemap.xml"
 # ---------------------------------------------------------------------------
 
-XML_SCHEMA = "STRUCT<url: ARRAY<STRUCT<loc: STRING>>, sitemap: ARRAY<STRUCT<loc: STRING>>>"
-INDEX_ROOT_RE = r"(?s)^\s*(?:<\?xml[^>]*\?>\s*)?(?:<!--.*?-->\s*)*<(?:[\w.\-]+:)?sitemapindex\b"
-CLOSED_ROOT_RE = r"</(?:[\w.\-]+:)?(?:urlset|sitemapindex)\s*>\s*$"
+XML_SCHEMA = "STRUCT<url: ARRAY<STRUCT<loc: STRING>>, sitemap: ARRAY<STRUCT<loc: STRING>>, _malformed: STRING>"
+XML_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed", "ignoreNamespace": "true",
+               "ignoreSurroundingSpaces": "false"}
 NS_RE = r"xmlns(?::[\w.\-]+)?\s*=\s*[\"']" + SITEMAP_NAMESPACE.replace(".", r"\.") + r"[\"']"
 
 
@@ -40,18 +40,17 @@ def sitemap_docs(snapshot: DataFrame, projects: DataFrame) -> DataFrame:
 
 def parse_entries(docs: DataFrame) -> DataFrame:
     """Entries of sitemap documents: (project_id, doc_url, kind, loc) where kind
-    is 'url' for a urlset and 'sitemap' for an index.  Documents without the
-    sitemap namespace, that do not parse, or whose root element is not closed
-    at the end (a truncated download) give no entries."""
-    parsed = F.from_xml(F.col("body"), XML_SCHEMA,
-                        {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"})
-    is_index = F.col("body").rlike(INDEX_ROOT_RE)
-    with_ns = F.col("body").rlike(NS_RE) & F.col("body").rlike(CLOSED_ROOT_RE)
-    locs = F.when(is_index, parsed["sitemap"]).otherwise(parsed["url"])
-    return (docs.filter(with_ns)
-            .select("project_id", F.col("url").alias("doc_url"),
-                    F.when(is_index, F.lit("sitemap")).otherwise(F.lit("url")).alias("kind"),
-                    F.explode(F.coalesce(locs, F.array().cast("array<struct<loc:string>>"))).alias("_e"))
+    is 'url' for a urlset and 'sitemap' for an index.
+
+    The parsed structure decides: comments, processing instructions and
+    prefixes around it do not matter.  Documents that do not parse (among them
+    truncated ones) or do not name the sitemap namespace give no entries."""
+    parsed = docs.filter(F.col("body").rlike(NS_RE)).select(
+        "project_id", F.col("url").alias("doc_url"), F.from_xml(F.col("body"), XML_SCHEMA, XML_OPTIONS).alias("_p"))
+    is_index = F.col("_p.url").isNull()
+    return (parsed.filter(F.col("_p._malformed").isNull())
+            .select("project_id", "doc_url", F.when(is_index, F.lit("sitemap")).otherwise(F.lit("url")).alias("kind"),
+                    F.explode(F.coalesce("_p.url", "_p.sitemap")).alias("_e"))
             .select("project_id", "doc_url", "kind", F.col("_e.loc").alias("loc"))
             .filter(F.col("loc").isNotNull()))
 
@@ -62,32 +61,31 @@ def sitemap_urls(docs: DataFrame) -> DataFrame:
             .select("project_id", urls.ensure_scheme("loc").alias("url")))
 
 
-def expand_index(docs: DataFrame, snapshot: DataFrame, max_levels: int = 5) -> DataFrame:
+def expand_index(docs: DataFrame, snapshot: DataFrame) -> DataFrame:
     """URLs of the sitemaps, following index documents to their children
-    (fetched documents in ``snapshot``, status 200) up to ``max_levels`` deep.
-
-    Every fetched document is parsed once into entries, which are written once
-    as a table in the shared checkpoint folder: the walk below reads
-    them at every level, and without the cut each level would re-run the
-    whole upstream plan.  Index entries form an edge table (doc -> child) that a
-    bounded loop of equi-joins walks from the root documents.  A cycle only
-    repeats documents until the depth bound; the final semi-join takes each
-    reachable document once.  Returns distinct (project_id, url).
+    (fetched documents in ``snapshot``, status 200) to whatever depth.
+
+    Level by level: the children named by the last level's indexes that no
+    earlier level has visited are looked up in the snapshot by URL, and only
+    their bodies are parsed.  The walk ends when no unvisited document is
+    left, so cycles end too.  Entries and visited documents of a level are
+    tables in the shared checkpoint folder.  Returns distinct (project_id, url).
     """
     ok = snapshot.filter(F.col("status_code") == 200).select("project_id", "url", "body")
-    entries = (parse_entries(docs.select("project_id", "url", "body")).withColumn("is_root", F.lit(True))
-               .unionByName(parse_entries(ok).withColumn("is_root", F.lit(False))))
-    entries = materialize(entries, "sitemap-entries")
-    edges = (entries.filter(F.col("kind") == "sitemap")
-             .select("project_id", F.col("doc_url").alias("url"), F.col("loc").alias("child")))
-    level = entries.filter(F.col("is_root")).select("project_id", F.col("doc_url").alias("url")).distinct()
-    reach = level
-    for _ in range(max_levels):
-        level = level.join(edges, ["project_id", "url"]).select("project_id", F.col("child").alias("url")).distinct()
-        reach = reach.unionByName(level)
-    reach = reach.distinct().select("project_id", F.col("url").alias("doc_url"))
-    found = entries.filter(F.col("kind") == "url").join(reach, ["project_id", "doc_url"], "left_semi")
-    return found.select("project_id", urls.ensure_scheme("loc").alias("url")).distinct()
+    entries = materialize(parse_entries(docs.select("project_id", "url", "body")), "sitemap-entries")
+    visited = docs.select("project_id", "url")
+    found = entries
+    while True:
+        children = (entries.filter(F.col("kind") == "sitemap").select("project_id", F.col("loc").alias("url")).distinct()
+                    .join(visited, ["project_id", "url"], "left_anti"))
+        children = materialize(children, "sitemap-children")
+        if children.isEmpty():
+            break
+        visited = visited.unionByName(children)
+        entries = materialize(parse_entries(ok.join(children, ["project_id", "url"], "left_semi")), "sitemap-entries")
+        found = found.unionByName(entries)
+    return (found.filter(F.col("kind") == "url")
+            .select("project_id", urls.ensure_scheme("loc").alias("url")).distinct())
 
 
 def xml_escape(c) -> "F.Column":

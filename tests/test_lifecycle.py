@@ -63,14 +63,12 @@ def _allowed(spark, lines, paths, agent="TestBot/1.0"):
     return {r["path"]: r["allowed"] for r in robots.robots_filter(pages, rules).collect()}
 
 
-def test_robots_rules(spark):
-    got = _allowed(spark, ["User-agent: *", "Disallow: /admin/", "Allow: /public/"],
-                   ["/", "/public/", "/public/page.html", "/admin/", "/admin/users"])
-    assert got == {"/": True, "/public/": True, "/public/page.html": True, "/admin/": False, "/admin/users": False}
-    got = _allowed(spark, ["User-agent: *", "Disallow:"], ["/", "/admin/", "/any/path"])
-    assert all(got.values())
-    got = _allowed(spark, ["User-agent: other", "Disallow: /", "User-agent: TestBot/1.0", "Disallow: /x"], ["/x/1", "/y"])
-    assert got == {"/x/1": False, "/y": True}
-    pages = spark.createDataFrame([("none", "/admin")], "project_id string, path string")
-    empty_rules = robots.robots_rules(spark.createDataFrame([], "project_id string, body string"), "x")
-    assert robots.robots_filter(pages, empty_rules).collect()[0]["allowed"] is True
+def test_robots(spark):
+    lines = ["User-agent: elsewhere", "Disallow: /", "", "# all", "USER-AGENT: *", "Allow: /shop/open", "Disallow: /shop", "Disallow:", "no rule", "Disallow: /tmp/"]
+    want = {"/": True, "/shop/open/1": True, "/shop": False, "/shop/closed": False, "/tmp": True, "/tmp/x": False}
+    assert _allowed(spark, lines, list(want)) == want
+    own = ["User-agent: *", "Allow: /a", "User-agent: TestBot/1.0", "Disallow: /a/b"]
+    assert _allowed(spark, own, ["/a/b", "/c"]) == {"/a/b": True, "/c": True}
+    pages = spark.createDataFrame([("site", "/any")], "project_id string, path string")
+    none = robots.robots_rules(spark.createDataFrame([], "project_id string, body string"), "x")
+    assert robots.robots_filter(pages, none).first()["allowed"] is True
