@@ -55,23 +55,24 @@ LINK_FORMS = [
 
 
 def _link_values() -> str:
-    """SQL rows (form, resolved): the standard library's answer with the site left open as {origin}."""
+    """SQL rows (form, over https, over http): the standard library's answers with the site left open as {site}."""
     from urllib.parse import urldefrag, urljoin, urlparse
-    rows = []
-    for form in LINK_FORMS:
-        got = urldefrag(urljoin("https://site" + LINK_BASE, form.strip()))[0]
+
+    def answer(scheme: str, form: str) -> str:
+        got = urldefrag(urljoin(f"{scheme}://site{LINK_BASE}", form.strip()))[0]
         ok = form and not form.startswith(("mailto:", "tel:", "javascript:")) and urlparse(got).scheme in ("http", "https")
-        got = got.replace("https://site", "{origin}") if ok else None
-        if got and form.startswith("//"):
-            got = got.replace("https:", "{scheme}:")
-        chars = " || ".join("chr(%d)" % ord(c) if c in "\t\n" else "'%s'" % c.replace("'", "''") for c in form) or "''"
-        rows.append("(%s, %s)" % (chars, "NULL" if got is None else "'%s'" % got))
-    return ", ".join(rows)
+        return "'" + got.replace("//site/", "//{site}/") + "'" if ok else "NULL"
+
+    def quoted(form: str) -> str:
+        return " || ".join(f"chr({ord(c)})" if c in "\t\n" else f"'{c}'" for c in form) or "''"
+
+    return ", ".join(f"({quoted(x)}, {answer('https', x)}, {answer('http', x)})" for x in LINK_FORMS)
 
 
 @register("resolve_links", f"""SELECT page_id, href, {ORIGIN_DUCK.format(u='url')} || href AS resolved FROM
    (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
-   UNION ALL SELECT page_id, href, replace(replace(resolved, '{{origin}}', {ORIGIN_DUCK.format(u='url')}), '{{scheme}}', split_part(url, ':', 1)) FROM pages, (VALUES {_link_values()}) AS l(href, resolved)""")
+   UNION ALL SELECT page_id, href, replace(CASE WHEN url LIKE 'https:%' THEN over_https ELSE over_http END, '{{site}}',
+   split_part(split_part({ORIGIN_DUCK.format(u='url')}, '://', 2), '/', 1)) FROM pages, (VALUES {_link_values()}) AS l(href, over_https, over_http)""")
 def q_resolve_links(spark, sf_dir):
     p = _fx(spark, sf_dir).table("pages")
     hrefs = p.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("href"))
