@@ -52,7 +52,7 @@ WITH RECURSIVE state AS (
     WHERE s.pos <> b.gone
   ) n LEFT JOIN merges mm ON n.fresh AND mm.a = n.tok AND mm.b = n.nxt
 )
-SELECT s.w, s.pos, s.tok, max(s.k) OVER (PARTITION BY s.w) IS NOT NULL AS open
+SELECT s.w, s.pos, s.tok, s.round = {rounds} AS open
 FROM state s JOIN (SELECT w, max(round) AS round FROM state GROUP BY w) l ON l.w = s.w AND l.round = s.round
 ORDER BY s.w, s.pos
 """
@@ -221,10 +221,17 @@ class Engine:
             self.con.register("seq", pa.table({
                 "d": np.repeat(np.arange(len(lens), dtype=np.int32), lens),
                 "pos": np.arange(len(ids), dtype=np.int32), "tok": ids}))
-            self.con.execute("SELECT d, list(bytes ORDER BY pos) AS parts FROM seq JOIN vocabulary USING (tok) GROUP BY d")
-            while rows := self.con.fetchmany(512):
-                for d, parts in rows:
-                    out[d] = b"".join(parts)
+            rows = self.con.sql("SELECT d, list(bytes ORDER BY pos) AS parts FROM seq JOIN vocabulary USING (tok) "
+                                "GROUP BY d").to_arrow_table()
+            for d, parts in zip(rows["d"].chunks, rows["parts"].chunks):
+                # the bytes of a list's members lie behind one another
+                flat = parts.flatten()
+                flat = flat.cast(pa.large_binary())
+                at = np.frombuffer(flat.buffers()[1], dtype=np.int64)[flat.offset:flat.offset + len(flat) + 1]
+                at = at[np.append(0, np.cumsum(parts.value_lengths().to_numpy()))].tolist()
+                data = memoryview(flat.buffers()[2])
+                for i, a, b in zip(d.to_pylist(), at, at[1:]):
+                    out[i] = data[a:b].tobytes()
             self.con.unregister("seq")
         return out
 
