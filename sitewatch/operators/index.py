@@ -119,9 +119,16 @@ def artifact_rows(docs: DataFrame, now, public_base: str) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """Write each document as ``{path}/project_id=.../part-*.txt``.
+    """Write each document (``docs`` has job_id and document) under the name its
+    artifact row records: ``{path}/file_name=llms_{job}.txt/part-*.txt``, one part each.
 
     Overwrite of the run's own output folder keeps a retried job idempotent.
     """
-    (docs.select("project_id", "document").write.mode("overwrite")
-     .partitionBy("project_id").text(path))
+    (docs.select(artifact_file_name(F.col("job_id")).alias("file_name"), "document")
+     .repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(path))
+
+
+def read_documents(spark, path: str) -> DataFrame:
+    """(file_name, document) of what ``write_documents`` wrote."""
+    lines = spark.read.schema("document string, file_name string").text(path, wholetext=True)
+    return lines.select("file_name", F.regexp_replace("document", r"\n\z", "").alias("document"))

@@ -59,20 +59,25 @@ def apply_transitions(runs: DataFrame, changes: DataFrame, now) -> DataFrame:
     """Apply status changes to runs.
 
     ``changes``: run_id, status, summary, finished_at (optional), seq (order of
-    changes of one run; the last wins).  ``updated_at`` is always set;
-    ``finished_at`` and ``summary`` only for COMPLETE_* / FAILED, where a given
-    ``finished_at`` wins over ``now``.  FAILED summaries get the prefix once.
+    changes of one run).  The outcome is that of applying them one by one: the
+    last one gives the status and always ``updated_at``; the last one to
+    COMPLETE_* / FAILED gives ``finished_at`` (its own, else ``now``), and the
+    last of those that says something gives the summary, FAILED with its prefix.
+    A partial aggregate per run, whatever the number of its changes.
     """
     ts = _ts(now)
-    last = latest_per_key(changes, ["run_id"], ["seq"], ["status", "summary", "finished_at"])
-    last = last.select(F.col("run_id").alias("_rid"), F.col("status").alias("_st"),
-                       F.col("summary").alias("_sum"), F.col("finished_at").alias("_fin"))
+    given = F.col("finished_at") if "finished_at" in changes.columns else F.lit(None).cast("timestamp")
+    terminal = F.col("status").isin(*S.TERMINAL_STATUSES)
+    said = (F.when(F.col("status") == S.RUN_FAILED, labels.failed_summary(F.col("summary")))
+            .when(terminal & (F.col("summary") != ""), F.col("summary")))
+    last = changes.groupBy(F.col("run_id").alias("_rid")).agg(
+        F.max_by("status", "seq").alias("_st"),
+        F.max_by(F.struct(given.alias("at")), F.when(terminal, F.col("seq"))).alias("_fin"),
+        F.max_by(said, F.when(said.isNotNull(), F.col("seq"))).alias("_sum"))
     j = runs.join(last, runs["id"] == last["_rid"], "left")
     hit = F.col("_rid").isNotNull()
-    terminal = F.col("_st").isin(*S.TERMINAL_STATUSES)
-    new_summary = (F.when(F.col("_st") == S.RUN_FAILED, labels.failed_summary(F.col("_sum")))
-                   .when(F.col("_sum").isNotNull() & (F.col("_sum") != ""), F.col("_sum"))
-                   .otherwise(F.col("summary")))
+    terminal = F.col("_fin").isNotNull()
+    new_summary = F.coalesce(F.col("_sum"), F.col("summary")) if "summary" in runs.columns else F.col("_sum")
     out = []
     for c in runs.columns:
         if c == "status":
@@ -80,7 +85,7 @@ def apply_transitions(runs: DataFrame, changes: DataFrame, now) -> DataFrame:
         elif c == "updated_at":
             out.append(F.when(hit, ts).otherwise(F.col(c)).alias(c))
         elif c == "finished_at":
-            out.append(F.when(hit & terminal, F.coalesce(F.col("_fin"), ts)).otherwise(F.col(c)).alias(c))
+            out.append(F.when(hit & terminal, F.coalesce(F.col("_fin.at"), ts)).otherwise(F.col(c)).alias(c))
         elif c == "summary":
             out.append(F.when(hit & terminal, new_summary).otherwise(F.col(c)).alias(c))
         else:

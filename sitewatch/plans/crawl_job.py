@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import changes as ch
-from ..operators import crawl, index  # noqa: F401
+from ..operators import crawl, index
+from ..operators.ranking import latest_per_key
 from ..schemas import DEFAULT_MAX_PAGES_JOB
 
 
@@ -26,19 +27,32 @@ class CrawlInputs:
     pages: DataFrame          # id, project_id, url, current_revision_id, ...
     revisions: DataFrame      # id, page_id, content_sha256, ...
     snapshot: DataFrame       # project_id, url, status_code, body
-    jobs: DataFrame           # project_id, start_url, job_id, run_id
+    jobs: DataFrame           # project_id, start_url, job_id, run_id; a project may have several runs
 
 
 class CrawlJob:
-    """Lazily wired DataFrames of one run of every project in ``inputs.jobs``."""
+    """Lazily wired DataFrames of one run of every project in ``inputs.jobs``.
+
+    Of a project with several runs the first one (by run id) has its ``turn``;
+    the ``later`` ones must see what it leaves behind, so they are jobs of
+    another ``CrawlJob`` over the tables as they are then (``plans.pipeline``).
+    """
 
     def __init__(self, inputs: CrawlInputs, max_pages: int = DEFAULT_MAX_PAGES_JOB):
         self.inputs = inputs
         self.max_pages = max_pages
 
+    @cached_property
+    def turn(self) -> DataFrame:
+        return latest_per_key(self.inputs.jobs, ["project_id"], ["run_id"], newest=False)
+
+    @cached_property
+    def later(self) -> DataFrame:
+        return self.inputs.jobs.join(self.turn.select("run_id"), "run_id", "left_anti")
+
     @cached_property
     def projects(self) -> DataFrame:
-        return self.inputs.jobs.select("project_id", "start_url")
+        return self.turn.select("project_id", "start_url")
 
     @cached_property
     def digest(self) -> DataFrame:
@@ -76,7 +90,7 @@ class CrawlJob:
 
     @cached_property
     def crawled_with_ids(self) -> DataFrame:
-        runs = self.inputs.jobs.select("project_id", "run_id")
+        runs = self.turn.select("project_id", "run_id")
         return crawl.dedup_revisions(self.crawled.join(runs, "project_id"), "run_id")
 
     @cached_property
@@ -86,6 +100,11 @@ class CrawlJob:
         summary = self.summary if self.max_pages < 1 else None
         return index.site_index(self.budget, self.projects, summary)
 
+    @cached_property
+    def run_documents(self) -> DataFrame:
+        """``documents`` with their run and job."""
+        return self.documents.join(self.turn.select("project_id", "job_id", "run_id"), "project_id")
+
     @cached_property
     def crawl_results(self) -> DataFrame:
         return crawl.crawl_result(self.changes, self.crawled_with_ids, self.projects, self.max_pages)
@@ -97,32 +116,4 @@ class CrawlJob:
         return crawl.upsert_pages(self.inputs.pages, self.crawled_with_ids, now)
 
     def artifacts(self, now, public_base: str) -> DataFrame:
-        docs = self.documents.join(self.inputs.jobs.select("project_id", "job_id", "run_id"), "project_id")
-        return index.artifact_rows(docs, now, public_base)
-
-    def run(self, out_dir: str, now, public_base: str) -> dict[str, str]:
-        """Run the whole job for every project in ``inputs.jobs`` and write its
-        outputs as parquet under ``out_dir`` (one folder per table):
-
-        changes (the run's change log), revisions (S9), pages (S10, the new
-        page snapshot), documents (S7 text files per project), artifacts (S8)
-        and outcomes (R3).  The change table is written first and read back,
-        so the joins over every URL run once for all outputs.  Every output is
-        overwritten as a whole, so a retried run is idempotent.
-        """
-        from ..operators import runs as run_ops
-        base = out_dir.rstrip("/")
-        paths = {name: f"{base}/{name}" for name in
-                 ("changes", "revisions", "pages", "documents", "artifacts", "outcomes")}
-        self.changes.write.mode("overwrite").parquet(paths["changes"])
-        spark = self.inputs.jobs.sparkSession
-        self.__dict__["changes"] = spark.read.parquet(paths["changes"])
-        for dependent in ("summary", "budget", "crawled", "crawled_with_ids", "documents", "crawl_results"):
-            self.__dict__.pop(dependent, None)
-        self.new_revisions(now).write.mode("overwrite").parquet(paths["revisions"])
-        self.upserted_pages(now).write.mode("overwrite").parquet(paths["pages"])
-        index.write_documents(self.documents, paths["documents"])
-        self.artifacts(now, public_base).write.mode("overwrite").parquet(paths["artifacts"])
-        (run_ops.job_outcome(self.inputs.jobs.drop("start_url"), None, self.documents, public_base)
-         .drop("document").write.mode("overwrite").parquet(paths["outcomes"]))
-        return paths
+        return index.artifact_rows(self.run_documents, now, public_base)

@@ -91,6 +91,14 @@ class Fixtures:
             F.concat(F.lit("job_"), F.col("project_id")).alias("job_id"),
             F.concat(F.lit("run_"), F.col("project_id")).alias("run_id"))
 
+    @cached_property
+    def all_jobs(self) -> DataFrame:
+        """``jobs`` and, for about half of the projects, a second, scheduled run in the same batch."""
+        second = self.jobs.filter(F.length("project_id") % 2 == 0).select(
+            "project_id", "start_url", F.concat("job_id", F.lit("_2")).alias("job_id"), F.concat("run_id", F.lit("_2")).alias("run_id"),
+            F.lit(True).alias("is_scheduled"))
+        return self.jobs.withColumn("is_scheduled", F.lit(False)).unionByName(second)
+
     # --- read model side --------------------------------------------------
     @cached_property
     def webhook_events(self) -> DataFrame:

@@ -49,7 +49,7 @@ def crawl_job(spark: SparkSession, sf_dir: str, max_pages: int = SITE_INDEX_MAX_
     fx = Fixtures(spark, sf_dir)
     inputs = CrawlInputs(sitemap_urls=fx.sitemap, pages=fx.pages, revisions=fx.revisions,
                          snapshot=fx.fetch.select("project_id", "url", "status_code", "body"),
-                         jobs=fx.jobs)
+                         jobs=fx.all_jobs)
     return CrawlJob(inputs, max_pages)
 
 

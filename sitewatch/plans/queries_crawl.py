@@ -226,15 +226,12 @@ def q_artifact_records(spark, sf_dir):
     return crawl_job(spark, sf_dir).artifacts(FIXED_NOW, PUBLIC_BASE)
 
 
-@register("artifact_sink", O.with_fx("""SELECT project_id, CAST(len(string_split(document, chr(10))) AS BIGINT) AS n_lines
-   FROM fx_documents""", *site_index_ctes(SITE_INDEX_MAX_PAGES)))
+@register("artifact_sink", O.with_fx("SELECT 'llms_job_' || project_id || '.txt' AS file_name, document FROM fx_documents",
+                                     *site_index_ctes(SITE_INDEX_MAX_PAGES)))
 def q_artifact_sink(spark, sf_dir):
-    """S7 round trip: write every document under the shared scratch folder,
-    read the files back and count lines per project."""
+    """S7 round trip: write every document under the shared scratch folder and read the files back."""
     import uuid
     from ..session import scratch_table_path
     path = scratch_table_path(spark, f"documents-{uuid.uuid4().hex}")
-    index.write_documents(crawl_job(spark, sf_dir).documents, path)
-    back = spark.read.text(path)
-    return back.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_lines")).select(
-        F.col("project_id").cast("string").alias("project_id"), "n_lines")
+    index.write_documents(crawl_job(spark, sf_dir).run_documents, path)
+    return index.read_documents(spark, path)

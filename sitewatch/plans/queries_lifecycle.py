@@ -10,7 +10,7 @@ from ..operators import catalog, runs, webhooks
 from ..sources import jobs as jobsrc
 from . import oracle as O
 from .fixtures import Fixtures
-from .queries import FIXED_NOW, FIXED_NOW_ISO, PUBLIC_BASE, crawl_job, register
+from .queries import FIXED_NOW, FIXED_NOW_ISO, PUBLIC_BASE, SITE_INDEX_MAX_PAGES, crawl_job, register
 from .queries_crawl import site_index_ctes
 
 NOW_SQL = f"TIMESTAMP '{FIXED_NOW}'"
@@ -37,7 +37,7 @@ def duck_next_weekly(n: str, api: bool = False) -> str:
 
 
 # --- R1 -----------------------------------------------------------------------
-@register("run_transition", O.with_fx(f"""SELECT id, project_id, status, created_at,
+@register("run_transition", O.with_fx(f"""SELECT id, project_id, CASE WHEN id%4=1 THEN 'IN_PROGRESS' ELSE status END AS status, created_at,
   CASE WHEN status IN ('COMPLETE_NO_DIFFS','COMPLETE_WITH_DIFFS','FAILED') THEN coalesce(finished_at, {NOW_SQL}) END AS finished_at,
   CASE WHEN status='FAILED' THEN CASE WHEN is_scheduled THEN 'Generation failed: scheduled run' ELSE 'Generation failed' END
        WHEN status IN ('COMPLETE_NO_DIFFS','COMPLETE_WITH_DIFFS') AND is_scheduled THEN 'scheduled run' END AS summary,
@@ -50,7 +50,11 @@ def q_run_transition(spark, sf_dir):
     changes = r.select(F.col("id").alias("run_id"), "status",
                        F.when(F.col("is_scheduled"), F.lit("scheduled run")).alias("summary"),
                        "finished_at", F.lit(1).alias("seq"))
-    return runs.apply_transitions(base, changes, FIXED_NOW)
+    # every run was in progress before, and some are again afterwards
+    again = changes.select("run_id", F.lit("IN_PROGRESS").alias("status"), F.lit("started").alias("summary"),
+                           F.lit(None).cast("timestamp").alias("finished_at"),
+                           F.explode(F.when(F.col("run_id") % 4 == 1, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))).alias("seq"))
+    return runs.apply_transitions(base, changes.unionByName(again), FIXED_NOW)
 
 
 # --- R2 / J11 / P24 ---------------------------------------------------------------
@@ -119,10 +123,10 @@ def q_webhook_event_append(spark, sf_dir):
    CASE WHEN coalesce(m.has_changes,false) THEN 'Successfully generated llms.txt file. Artifact: {PUBLIC_BASE}/llms-txt/llms_job_' || s.project_id || '.txt'
         ELSE 'No changes detected, skipping generation' END AS summary
    FROM fx_projects s LEFT JOIN fx_summary m ON m.project_id=s.project_id LEFT JOIN fx_documents d ON d.project_id=s.project_id""",
-    *site_index_ctes(100)))
+    *site_index_ctes(SITE_INDEX_MAX_PAGES)))
 def q_job_outcome(spark, sf_dir):
     job = crawl_job(spark, sf_dir)
-    return runs.job_outcome(job.inputs.jobs.drop("start_url"), None, job.documents, PUBLIC_BASE)
+    return runs.job_outcome(job.turn.select("project_id", "job_id", "run_id"), None, job.documents, PUBLIC_BASE)
 
 
 # --- scheduling ---------------------------------------------------------------------
@@ -269,3 +273,65 @@ def q_queue_dedup(spark, sf_dir):
         F.col("project_id").cast("string").alias("runId"))).alias("value"))
     ok = jobsrc.accepted_jobs(jobsrc.parse_jobs(raw.filter((i % 7 != 0) & (i % 13 != 0) & (i % 17 != 0))))
     return jobsrc.dedup_jobs(ok.select("runId", "arrival", "id"), ["arrival"])
+
+
+# --- whole runs, two of a project in one batch ------------------------------------
+def pipeline_tables(fx):
+    """The tables of ``run_pipeline`` around the crawl fixtures."""
+    from .pipeline import SiteTables
+    none = F.lit(None)
+    jobs = fx.all_jobs
+    return jobs, SiteTables(
+        pages=fx.pages, revisions=fx.revisions, snapshot=fx.fetch.select("project_id", "url", "status_code", "body"),
+        sitemap_urls=fx.sitemap,
+        runs=jobs.select(F.col("run_id").alias("id"), "project_id", F.lit("QUEUED").alias("status"),
+                         F.lit("2024-03-14 00:00:00").cast("timestamp").alias("created_at"), none.cast("timestamp").alias("finished_at"),
+                         none.cast("string").alias("summary"), none.cast("timestamp").alias("updated_at")),
+        projects=fx.projects.select(F.col("project_id").alias("id"), F.col("start_url").alias("domain")),
+        configs=fx.projects.select("project_id", F.when(F.length("project_id") % 3 != 1, F.lit("0 2 * * *")).alias("cron_expression"),
+                                   F.lit(True).alias("is_enabled"), none.cast("timestamp").alias("last_run_at"),
+                                   none.cast("timestamp").alias("next_run_at"), F.lit(2).alias("crawl_depth")),
+        webhooks=fx.projects.select(F.concat(F.lit("wh_"), "project_id").alias("id"), "project_id",
+                                    F.concat(F.lit("https://hook.example/"), "project_id").alias("url"),
+                                    (F.length("project_id") % 5 != 0).alias("is_active")),
+        artifacts=fx.projects.limit(0).select(F.lit("").alias("id"), "project_id", F.lit("").alias("type"), F.lit("").alias("public_url"),
+                                              F.lit(None).cast("timestamp").alias("created_at")))
+
+
+def second_turn(ctes):
+    """The same CTEs over the pages as the first runs leave them."""
+    import re
+    rename = lambda x: re.sub(r"\bfx_(changes|summary|budget|crawled|doc_parts|documents)\b", r"fx_\1_2", x)
+    changes = ("fx_changes_2", """SELECT c.* REPLACE (CASE WHEN k.url IS NULL THEN c.change_class ELSE 'unchanged' END AS change_class)
+       FROM fx_changes c LEFT JOIN fx_crawled k ON k.project_id=c.project_id AND k.url=c.url""")
+    summary = ("fx_summary_2", "SELECT project_id, bool_or(change_class IN ('changed','new')) AS has_changes FROM fx_changes_2 GROUP BY project_id")
+    return [changes, summary, *((rename(n), rename(sql)) for n, sql in ctes)]
+
+
+@register("run_pipeline", O.with_fx(f"""SELECT o.run_id, o.project_id, o.status,
+   CASE WHEN o.document IS NULL THEN 'No changes detected, skipping generation'
+        ELSE 'Successfully generated llms.txt file. Artifact: {PUBLIC_BASE}/llms-txt/llms_' || o.job_id || '.txt' END AS summary,
+   {NOW_SQL} AS finished_at, o.document,
+   CASE WHEN w.project_id IS NOT NULL AND (NOT o.scheduled OR o.document IS NOT NULL) THEN 1 ELSE 0 END AS notifications,
+   {NOW_SQL} AS last_run_at, CASE WHEN length(o.project_id)%2=0 AND length(o.project_id)%3<>1 THEN {duck_next_daily(NOW_SQL)} END AS next_run_at
+   FROM (SELECT 'run_' || s.project_id AS run_id, 'job_' || s.project_id AS job_id, s.project_id, false AS scheduled, d.document, d.document AS any_document,
+           CASE WHEN d.document IS NULL THEN 'COMPLETE_NO_DIFFS' ELSE 'COMPLETE_WITH_DIFFS' END AS status
+         FROM fx_projects s LEFT JOIN fx_documents d ON d.project_id=s.project_id
+         UNION ALL SELECT 'run_' || s.project_id || '_2', 'job_' || s.project_id || '_2', s.project_id, true, d2.document, coalesce(d.document, d2.document),
+           CASE WHEN d2.document IS NULL THEN 'COMPLETE_NO_DIFFS' ELSE 'COMPLETE_WITH_DIFFS' END
+         FROM fx_projects s LEFT JOIN fx_documents d ON d.project_id=s.project_id LEFT JOIN fx_documents_2 d2 ON d2.project_id=s.project_id
+         WHERE length(s.project_id)%2=0) o
+   LEFT JOIN (SELECT project_id FROM fx_projects WHERE length(project_id)%5<>0) w ON w.project_id=o.project_id AND o.any_document IS NOT NULL""",
+    *site_index_ctes(SITE_INDEX_MAX_PAGES), *second_turn(site_index_ctes(SITE_INDEX_MAX_PAGES))))
+def q_run_pipeline(spark, sf_dir):
+    """Two turns of runs; per run its row, document, notifications, and its project's times afterwards."""
+    from .pipeline import run_pipeline
+    jobs, tables = pipeline_tables(_fx(spark, sf_dir))
+    done = run_pipeline(jobs, tables, FIXED_NOW, PUBLIC_BASE, SITE_INDEX_MAX_PAGES)
+    notes = done.outbox.groupBy("run_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    ran = done.tables.runs.join(jobs.select(F.col("run_id").alias("id")), "id").select(
+        F.col("id").alias("run_id"), "project_id", "status", "summary", "finished_at")
+    return (ran.join(done.documents.select("run_id", "document"), "run_id", "left").join(notes, "run_id", "left")
+            .join(done.tables.configs.select("project_id", "last_run_at", "next_run_at"), "project_id")
+            .select("run_id", "project_id", "status", "summary", "finished_at", "document",
+                    F.coalesce("n", F.lit(0)).alias("notifications"), "last_run_at", "next_run_at"))

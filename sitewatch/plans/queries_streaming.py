@@ -12,11 +12,12 @@ from ..streaming import changes as st_changes
 from ..streaming import deliveries as st_deliveries
 from ..streaming import jobs as st_jobs
 from ..streaming import runs as st_runs
-from ..streaming.common import run_available_now, state_partitions, stream_dirs, use_rocksdb_state
+from ..streaming.common import run_available_now, state_partitions, stream_dirs
 from . import oracle as O
 from .fixtures import Fixtures
-from .queries import FIXED_NOW, PUBLIC_BASE, SITE_INDEX_MAX_PAGES, crawl_job, register
+from .queries import FIXED_NOW, PUBLIC_BASE, SITE_INDEX_MAX_PAGES, register
 from .queries_crawl import site_index_ctes
+from .queries_lifecycle import pipeline_tables, second_turn
 
 JOB_COLS = ["id", "url", "projectId", "runId", "isScheduled", "isInitialRun"]
 
@@ -54,44 +55,60 @@ def q_job_stream(spark, sf_dir):
     _write_parts(_raw_job_parts(spark, sf_dir), d["input"])
     raw = (spark.readStream.schema("value string, received_at timestamp").option("maxFilesPerTrigger", 1)
            .parquet(d["input"]))
-    out = st_jobs.job_stream(raw).select(*JOB_COLS)
-    with state_partitions(spark):
-        run_available_now(out.writeStream.format("parquet").option("path", d["output"])
-                          .option("checkpointLocation", d["checkpoint"]).outputMode("append"))
-    return spark.read.parquet(d["output"])
+    intake = st_jobs.JobIntake(spark, d["output"])
+    run_available_now(raw.writeStream.option("checkpointLocation", d["checkpoint"]).foreachBatch(intake.writer()))
+    return intake.accepted().select(*JOB_COLS)
 
 
-@register("change_stream", O.with_fx("""SELECT x.project_id, x.url, p.id AS page_id,
-   CASE WHEN p.id IS NULL THEN 'new' WHEN x.status_code<>200 OR r.id IS NULL OR coalesce(r.content_sha256,'')='' OR r.content_sha256<>x.h THEN 'changed' ELSE 'unchanged' END AS change_class,
-   CASE WHEN p.id IS NULL THEN NULL WHEN x.status_code<>200 THEN concat('HTTP ',CAST(x.status_code AS STRING),' on full fetch')
-     WHEN r.id IS NULL THEN 'No previous revision found' WHEN coalesce(r.content_sha256,'')='' THEN 'No stored content hash'
-     WHEN r.content_sha256<>x.h THEN concat('Content hash changed: ',substring(r.content_sha256,1,8),'... -> ',substring(x.h,1,8),'...') ELSE 'No changes detected' END AS change_reason,
-   r.id AS old_revision_id
+# the state before the first fetch, and what each fetch brings
+CHANGE_STREAM_BASE = """SELECT *, 'rev_' || sha256(pid || '|fetch_1') AS rev1, 'rev_' || sha256(pid || '|fetch_2') AS rev2 FROM (
+   SELECT x.project_id, x.url, x.status_code AS s1, x.h AS h1, coalesce(x.h, sha256(x.url)) AS h2,
+     CASE WHEN length(x.url)%4=0 THEN sha256(x.url || 'v3') ELSE coalesce(x.h, sha256(x.url)) END AS h3,
+     p.id IS NOT NULL AS known0, coalesce(p.id, 'pg_' || sha256(x.project_id || '|' || x.url)) AS pid, r.id AS rev0, r.content_sha256 AS stored0
    FROM fx_digest x LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, url ORDER BY id DESC) AS dup_rn FROM fx_pages) WHERE dup_rn=1) p
-     ON p.project_id=x.project_id AND p.url=x.url LEFT JOIN fx_revisions r ON r.id=p.current_revision_id"""))
+     ON p.project_id=x.project_id AND p.url=x.url LEFT JOIN fx_revisions r ON r.id=p.current_revision_id)"""
+
+
+def _turn_sql(seq, known, ok, rev, stored, h, status="200"):
+    """A turn's row out of the state before it, as SQL."""
+    cls = (f"CASE WHEN NOT ({known}) THEN 'new' WHEN NOT ({ok}) OR {rev} IS NULL OR coalesce({stored},'')='' OR {stored}<>{h} "
+           "THEN 'changed' ELSE 'unchanged' END")
+    reason = (f"CASE WHEN NOT ({known}) THEN NULL WHEN NOT ({ok}) THEN concat('HTTP ',CAST({status} AS STRING),' on full fetch') "
+              f"WHEN {rev} IS NULL THEN 'No previous revision found' WHEN coalesce({stored},'')='' THEN 'No stored content hash' "
+              f"WHEN {stored}<>{h} THEN concat('Content hash changed: ',substring({stored},1,8),'... -> ',substring({h},1,8),'...') ELSE 'No changes detected' END")
+    return f"SELECT project_id, url, CAST({seq} AS BIGINT) AS seq, {cls} AS change_class, {reason} AS change_reason, {rev} AS old_revision_id", cls
+
+
+def _change_stream_sql() -> str:
+    one, cls1 = _turn_sql(1, "known0", "s1=200", "rev0", "stored0", "h1", "s1")
+    taken = f"(s1=200 AND {cls1}<>'unchanged')"
+    two, cls2 = _turn_sql(2, "known1", "true", "old1", "stored1", "h2")
+    three, _ = _turn_sql(3, "true", "true", "old2", "h2", "h3")
+    return O.with_fx(f"""{one} FROM b UNION ALL {two} FROM b1 UNION ALL {three} FROM b2""", ("b", CHANGE_STREAM_BASE),
+                     ("b1", f"SELECT *, known0 OR s1=200 AS known1, CASE WHEN {taken} THEN rev1 ELSE rev0 END AS old1, "
+                            f"CASE WHEN {taken} THEN h1 ELSE stored0 END AS stored1 FROM b"),
+                     ("b2", f"SELECT *, CASE WHEN {cls2}<>'unchanged' THEN rev2 ELSE old1 END AS old2 FROM b1"))
+
+
+@register("change_stream", _change_stream_sql())
 def q_change_stream(spark, sf_dir):
-    """ST2: stored revisions, then one fetch snapshot, as two micro-batches."""
-    use_rocksdb_state(spark)
+    """ST2: every page fetched three times, the last two in one micro-batch: as it is, found
+    again (what failed answers now), and with new content for some."""
     fx = Fixtures(spark, sf_dir)
     d = stream_dirs(spark, "changes")
-    revs = fx.revisions.select(F.col("id").alias("revision_id"), F.col("content_sha256").alias("stored"))
-    seeds = (fx.pages.join(revs, fx.pages["current_revision_id"] == revs["revision_id"], "left")
-             .select(F.lit("seed").alias("kind"), "project_id", "url", F.col("id").alias("page_id"), "revision_id",
-                     F.lit(None).cast("int").alias("status_code"), F.col("stored").alias("content_sha256"),
-                     F.lit(0).cast("long").alias("seq")))
-    fetches = ch.digest_snapshot(fx.fetch).select(
-        F.lit("fetch").alias("kind"), "project_id", "url", F.lit(None).cast("string").alias("page_id"),
-        F.lit(None).cast("string").alias("revision_id"), F.col("status_code").cast("int"), "content_sha256",
-        F.lit(1).cast("long").alias("seq"))
-    _write_parts([seeds, fetches], d["input"])
-    schema = ("kind string, project_id string, url string, page_id string, revision_id string, status_code int, "
-              "content_sha256 string, seq long")
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d["input"])
-    out = st_changes.change_stream(events).drop("seq")
-    with state_partitions(spark):
-        run_available_now(out.writeStream.format("parquet").option("path", d["output"])
-                          .option("checkpointLocation", d["checkpoint"]).outputMode("append"))
-    return spark.read.parquet(d["output"])
+    one = ch.digest_snapshot(fx.fetch).select("project_id", "url", F.col("status_code").cast("int"), "content_sha256",
+                                              F.lit(1).cast("long").alias("seq"))
+    two = one.withColumns({"status_code": F.lit(200), "seq": F.lit(2).cast("long"),
+                           "content_sha256": F.coalesce("content_sha256", F.sha2("url", 256))})
+    three = two.withColumns({"seq": F.lit(3).cast("long"), "content_sha256": F.when(
+        F.length("url") % 4 == 0, F.sha2(F.concat("url", F.lit("v3")), 256)).otherwise(F.col("content_sha256"))})
+    run_id = F.concat(F.lit("fetch_"), F.col("seq").cast("string"))
+    _write_parts([one.withColumn("run_id", run_id).coalesce(1), two.unionByName(three).withColumn("run_id", run_id).coalesce(1)], d["input"])
+    schema = "project_id string, url string, status_code int, content_sha256 string, seq long, run_id string"
+    fetches = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d["input"])
+    writer = st_changes.change_batch_writer(spark, fx.pages, fx.revisions, d["output"], FIXED_NOW)
+    run_available_now(fetches.writeStream.option("checkpointLocation", d["checkpoint"]).foreachBatch(writer))
+    return spark.read.parquet(f"{d['output']}/changes").select("project_id", "url", "seq", "change_class", "change_reason", "old_revision_id")
 
 
 @register("delivery_stream", O.with_fx("""SELECT webhook_id, id, attempted_at, status_code,
@@ -112,25 +129,24 @@ def q_delivery_stream(spark, sf_dir):
     return st_deliveries.read_upserts(spark, d["output"], "webhook_id")
 
 
-@register("run_flow_stream", O.with_fx("SELECT project_id, document FROM fx_documents", *site_index_ctes(SITE_INDEX_MAX_PAGES)))
+@register("run_flow_stream", O.with_fx("""SELECT 'run_' || project_id AS run_id, document FROM fx_documents
+   UNION ALL SELECT 'run_' || project_id || '_2', document FROM fx_documents_2 WHERE length(project_id)%2=0""",
+   *site_index_ctes(SITE_INDEX_MAX_PAGES), *second_turn(site_index_ctes(SITE_INDEX_MAX_PAGES))))
 def q_run_flow_stream(spark, sf_dir):
-    """ST4: one job per site arriving in two parts (plus a re-delivery); each
-    micro-batch runs the crawl job for its sites; documents by run id."""
-    job = crawl_job(spark, sf_dir)
+    """ST4: jobs of two runs of some sites in one micro-batch, of the others in the
+    next, then all over again; documents by run id."""
+    jobs, tables = pipeline_tables(Fixtures(spark, sf_dir))
     d = stream_dirs(spark, "runs")
-    j = job.inputs.jobs
-    value = F.to_json(F.struct(F.col("job_id").alias("id"), F.col("start_url").alias("url"),
-                               F.col("project_id").alias("projectId"), F.col("run_id").alias("runId")))
+    value = F.to_json(F.struct(F.col("job_id").alias("id"), F.col("start_url").alias("url"), F.col("project_id").alias("projectId"),
+                               F.col("run_id").alias("runId"), F.col("is_scheduled").alias("isScheduled")))
     base = F.lit("2024-01-01 00:00:00").cast("timestamp")
     even = F.length("project_id") % 2 == 0
-    parts = [j.filter(even).select(value.alias("value"), base.alias("received_at")),
-             j.filter(~even).select(value.alias("value"), (base + F.expr("INTERVAL 1 MINUTE")).alias("received_at")),
-             j.filter(even).select(value.alias("value"), (base + F.expr("INTERVAL 2 MINUTES")).alias("received_at"))]
-    _write_parts(parts, d["input"])
+    parts = [jobs.filter(even).select(value.alias("value"), base.alias("received_at")),
+             jobs.filter(~even).select(value.alias("value"), (base + F.expr("INTERVAL 1 MINUTE")).alias("received_at")),
+             jobs.filter(even).select(value.alias("value"), (base + F.expr("INTERVAL 2 MINUTES")).alias("received_at"))]
+    _write_parts([p.coalesce(1) for p in parts], d["input"])     # one file, one micro-batch
     raw = (spark.readStream.schema("value string, received_at timestamp").option("maxFilesPerTrigger", 1)
            .parquet(d["input"]))
-    jobs = st_jobs.job_stream(raw)
-    writer = st_runs.run_batch_writer(job.inputs, d["output"], SITE_INDEX_MAX_PAGES, FIXED_NOW, PUBLIC_BASE)
-    with state_partitions(spark):
-        run_available_now(jobs.writeStream.option("checkpointLocation", d["checkpoint"]).foreachBatch(writer))
-    return spark.read.parquet(f"{d['output']}/documents").select("project_id", "document")
+    writer = st_runs.run_batch_writer(spark, tables, d["output"], SITE_INDEX_MAX_PAGES, FIXED_NOW, PUBLIC_BASE)
+    run_available_now(raw.writeStream.option("checkpointLocation", d["checkpoint"]).foreachBatch(writer))
+    return spark.read.parquet(f"{d['output']}/documents").select("run_id", "document")

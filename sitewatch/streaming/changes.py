@@ -1,82 +1,59 @@
-"""ST2: change detection as a stream with per-page state.
+"""ST2: change detection of fetched pages as they arrive.
 
-State per (project_id, url): whether the page is known, its current revision
-id and stored fingerprint.  ``seed`` rows (the stored revisions) establish the
-state; ``fetch`` rows are classified exactly like the batch operator J3 for a
-fetched page (HTTP status, no revision, no stored hash, hash differs, same) and
-then move the state to the new fingerprint.  Fingerprints are computed in the
-JVM before the stateful step; the Python function only compares strings.
+Each micro-batch is classified by the batch operators (J3, J10, S10) against the page
+and revision tables that the batch before left.  Fetches of one URL within a
+batch take turns in order of ``seq``; all URLs take a turn together.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text
+from ..operators import changes as ch
+from ..operators import crawl
+from ..operators.ranking import latest_per_key
+from ..session import materialize
+from .common import VersionedTables, write_batch
 
-OUTPUT_SCHEMA = ("project_id string, url string, page_id string, change_class string, change_reason string, "
-                 "old_revision_id string, seq long")
-STATE_SCHEMA = "page_id string, revision_id string, sha string"
+OUTPUT = ["project_id", "url", "seq", "page_id", "change_class", "change_reason", "old_revision_id"]
 
 
-def _classify(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    project_id, url = key
-    if state.exists:
-        page_id, rev_id, sha = state.get
-        known = True
-    else:
-        page_id = rev_id = sha = None
-        known = False
-    # seeds before fetches
-    rows = pd.concat(list(batches)).sort_values(["seq", "kind", "page_id"], kind="stable", na_position="first")
-    out = []
-    for r in rows.itertuples(index=False):
-        if r.kind == "seed":
-            # a catalogue that holds a URL twice: the greatest page id wins,
-            # whatever micro-batch each copy arrives in
-            if not known or page_id is None or (r.page_id is not None and r.page_id >= page_id):
-                known, page_id, rev_id, sha = True, r.page_id, r.revision_id, r.content_sha256
-            continue
-        new = r.content_sha256
-        if not known:
-            cls, reason, old = "new", None, None
-        elif r.status_code != 200:
-            cls, reason, old = "changed", f"HTTP {int(r.status_code)} on full fetch", rev_id
-        elif rev_id is None:
-            cls, reason, old = "changed", "No previous revision found", None
-        elif not sha:
-            cls, reason, old = "changed", "No stored content hash", rev_id
-        elif sha != new:
-            cls, reason, old = "changed", f"Content hash changed: {sha[:8]}... -> {new[:8]}...", rev_id
-        else:
-            cls, reason, old = "unchanged", "No changes detected", rev_id
-        out.append((project_id, url, page_id, cls, reason, old, int(r.seq)))
-        if r.status_code == 200 and cls != "unchanged":
-            known, sha = True, new
-            rev_id = "rev_" + hashlib.sha256(f"{project_id}|{url}|{new}".encode()).hexdigest()[:16]
-    state.update((page_id, rev_id, sha))
-    if out:
-        yield pd.DataFrame(out, columns=["project_id", "url", "page_id", "change_class", "change_reason",
-                                         "old_revision_id", "seq"])
+def change_batch_writer(spark: SparkSession, pages: DataFrame, revisions: DataFrame, out_dir: str, now) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` on a stream of fetches: project_id, url, status_code, seq, run_id
+    and ``content_sha256`` or a raw ``body``.
 
-
-def change_stream(events: DataFrame) -> DataFrame:
-    """Classify fetched pages of a stream against per-page state.
-
-    ``events``: kind ('seed' | 'fetch'), project_id, url, page_id, revision_id,
-    status_code, seq, and either ``content_sha256`` or a raw ``body`` (the
-    fingerprint is then computed here, statelessly, in the JVM).
+    ``pages`` (id, project_id, url, current_revision_id, ...) and ``revisions`` (id, page_id,
+    content_sha256) are the tables to start from; of a URL that the catalogue
+    holds twice the greatest page id counts.
     """
-    if "content_sha256" not in events.columns:
-        events = events.withColumn("content_sha256", F.when(F.col("status_code") == 200, text.fingerprint("body")))
-    cols = ["kind", "project_id", "url", "page_id", "revision_id", "status_code", "content_sha256", "seq"]
-    return (events.select(*cols)
-            .groupBy("project_id", "url")
-            .applyInPandasWithState(_classify, OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.NoTimeout))
+    pages = latest_per_key(pages, ["project_id", "url"], ["id"], pages.columns).select(*pages.columns)
+    state = VersionedTables(spark, f"{out_dir}/tables", {"pages": pages, "revisions": revisions.select("id", "page_id", "content_sha256")})
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if "content_sha256" not in batch.columns:
+            batch = batch.withColumn("content_sha256", F.when(F.col("status_code") == 200, text.fingerprint("body")))
+        fetches = batch.select("project_id", "url", "status_code", "content_sha256", "seq", "run_id",
+                               F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("description"))
+        # an even key with the few fetches of one URL in one batch
+        turns = Window.partitionBy("project_id", "url").orderBy("seq", "run_id")
+        fetches = materialize(fetches.withColumn("turn", F.row_number().over(turns)), "fetches")
+        tables = state.read(batch_id)
+        known, revs, out = tables["pages"], tables["revisions"], []
+        last = fetches.agg(F.max("turn")).first()[0] or 0
+        for turn in range(1, last + 1):
+            now_ = fetches.filter(F.col("turn") == turn)
+            found = ch.classify_changes(now_.select("project_id", "url"), known, revs, now_.drop("turn", "seq", "run_id"))
+            found = materialize(found.join(now_.select("project_id", "url", "seq", "run_id"), ["project_id", "url"]), "changes")
+            out.append(found.select(*OUTPUT))
+            crawled = found.filter((F.col("change_class") != ch.UNCHANGED) & (F.col("status_code") == 200))
+            ids = materialize(crawl.dedup_revisions(crawled, "run_id"), "crawled")
+            known = materialize(crawl.upsert_pages(known, ids, now), "pages")
+            revs = revs.unionByName(ids.filter("is_new_revision").select(F.col("revision_id").alias("id"), "page_id", "content_sha256"))
+        state.write(batch_id, {"pages": known, "revisions": revs})
+        for i, part in enumerate(out):
+            write_batch(part, f"{out_dir}/changes/turn={i}", batch_id)
+    return run

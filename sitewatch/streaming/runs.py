@@ -1,51 +1,49 @@
-"""ST4: jobs arriving on a stream drive the whole per-run crawl job.
+"""ST4: jobs arriving on a stream drive whole runs.
 
-Each micro-batch of accepted, de-duplicated jobs runs the batch operators for
-its projects only (semi-joins on project_id) and writes documents and artifact
-rows into a folder of its own batch id, overwritten as a whole, so a replayed
-batch rewrites its own runs instead of adding copies.
+Each micro-batch of new jobs (ST1) goes through ``run_pipeline`` over the tables
+as the batch before left them, and leaves the new tables, its documents,
+outcomes and outbox.  Every output folder belongs to one batch and is overwritten
+as a whole, so a replayed batch adds nothing twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import index
-from ..plans.crawl_job import CrawlInputs, CrawlJob
+from .. import schemas as S
+from ..plans.pipeline import SiteTables, run_pipeline
+from .common import VersionedTables, write_batch
+from .jobs import JobIntake
 
+#: What runs change; the other tables are read as they are.
+CHANGING = ("pages", "revisions", "runs", "configs", "artifacts")
 
-def run_batch_writer(inputs: CrawlInputs, out_dir: str, max_pages: int, now,
+
+def run_batch_writer(spark: SparkSession, tables: SiteTables, out_dir: str, max_pages: int, now,
                      public_base: str) -> Callable[[DataFrame, int], None]:
-    def run(jobs_batch: DataFrame, batch_id: int) -> None:
-        # The micro-batch feeds several joins and two writes: cache it once
-        # (a lost cache is recomputed from the replayable batch plan).
-        jobs = (jobs_batch.select(F.col("projectId").alias("project_id"), F.col("url").alias("start_url"),
-                                  F.col("id").alias("job_id"), F.col("runId").alias("run_id")).persist())
-        try:
-            if jobs.isEmpty():
-                return
-            keys = jobs.select("project_id").distinct()
-            scoped = CrawlInputs(
-                sitemap_urls=inputs.sitemap_urls.join(keys, "project_id", "left_semi"),
-                pages=inputs.pages.join(keys, "project_id", "left_semi"),
-                revisions=inputs.revisions,
-                snapshot=inputs.snapshot.join(keys, "project_id", "left_semi"),
-                jobs=jobs)
-            job = CrawlJob(scoped, max_pages)
-            docs = job.documents.join(jobs.select("project_id", "run_id", "job_id"), "project_id").persist()
-            try:
-                # One folder per micro-batch, overwritten as a whole: a replayed
-                # batch rewrites exactly its own output (every run id belongs
-                # to one batch after de-duplication).
-                (docs.select("project_id", "run_id", "job_id", "document").write.mode("overwrite")
-                 .parquet(f"{out_dir}/documents/batch_id={batch_id}"))
-                (index.artifact_rows(docs, now, public_base).write.mode("overwrite")
-                 .parquet(f"{out_dir}/artifacts/batch_id={batch_id}"))
-            finally:
-                docs.unpersist()
-        finally:
-            jobs.unpersist()
+    """For ``foreachBatch`` on a stream of (value, received_at)."""
+    assert set(CHANGING) <= {f.name for f in fields(SiteTables)}
+    intake = JobIntake(spark, f"{out_dir}/jobs")
+    state = VersionedTables(spark, f"{out_dir}/tables", {n: getattr(tables, n) for n in CHANGING})
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        jobs = intake.take(batch, batch_id).select(
+            F.col("projectId").alias("project_id"), F.col("url").alias("start_url"), F.col("id").alias("job_id"),
+            F.col("runId").alias("run_id"), F.col("isScheduled").alias("is_scheduled"), F.col("isInitialRun").alias("is_initial"))
+        if jobs.isEmpty():
+            return
+        now_tables = replace(tables, **state.read(batch_id))
+        # a job may come before its run row
+        missing = jobs.select(F.col("run_id").alias("id"), "project_id", F.lit(S.RUN_QUEUED).alias("status")).join(
+            now_tables.runs.select("id"), "id", "left_anti")
+        now_tables = replace(now_tables, runs=now_tables.runs.unionByName(missing, allowMissingColumns=True))
+        done = run_pipeline(jobs, now_tables, now, public_base, max_pages)
+        state.write(batch_id, {n: getattr(done.tables, n) for n in CHANGING})
+        write_batch(done.documents, f"{out_dir}/documents", batch_id)
+        write_batch(done.outcomes.drop("document"), f"{out_dir}/outcomes", batch_id)
+        write_batch(done.outbox, f"{out_dir}/outbox", batch_id)
     return run
