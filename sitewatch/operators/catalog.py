@@ -123,13 +123,18 @@ CASCADE = {
 }
 
 
+# References that become null when what they name is deleted.
+SET_NULL = (("webhook_events", "webhook_id", "webhooks"), ("artifacts", "run_id", "runs"),
+            ("page_revisions", "run_id", "runs"), ("pages", "current_revision_id", "page_revisions"))
+
+
 def cascade_delete(tables: dict[str, DataFrame], project_ids: DataFrame) -> dict[str, DataFrame]:
     """Remove projects everywhere.
 
-    ``project_ids`` has one column ``id``.  Cascades: configs, webhooks, runs,
-    pages, artifacts by project; page_revisions by page; webhook_events lose
-    their webhook (set null); artifacts keep rows whose run was deleted only
-    if they belong to another project (run_id set null).
+    ``project_ids`` has one column ``id``.  Configs, webhooks, runs, pages and
+    artifacts go with their project, page revisions with their page.  What
+    stays loses its reference to what went: events to webhooks, artifacts and
+    revisions to runs, pages to revisions.
     """
     gone = project_ids.select(F.col("id").alias("project_id")).distinct()
     out = dict(tables)
@@ -141,25 +146,23 @@ def cascade_delete(tables: dict[str, DataFrame], project_ids: DataFrame) -> dict
     if "page_revisions" in tables and "pages" in tables:
         dead_pages = tables["pages"].join(gone, "project_id", "left_semi").select(F.col("id").alias("page_id"))
         out["page_revisions"] = tables["page_revisions"].join(dead_pages, "page_id", "left_anti")
-    if "webhook_events" in tables and "webhooks" in tables:
-        dead = (tables["webhooks"].join(gone, "project_id", "left_semi")
-                .select(F.col("id").alias("_dead"), F.lit(True).alias("_is_dead")))
-        ev = tables["webhook_events"]
-        j = ev.join(dead, ev["webhook_id"] == dead["_dead"], "left")
-        out["webhook_events"] = j.select(*[
-            F.when(F.col("_is_dead"), F.lit(None)).otherwise(F.col(c)).cast(ev.schema[c].dataType).alias(c)
-            if c == "webhook_id" else F.col(c) for c in ev.columns])
-    if "artifacts" in tables and "runs" in tables and "run_id" in tables["artifacts"].columns:
-        dead_runs = (tables["runs"].join(gone, "project_id", "left_semi")
-                     .select(F.col("id").alias("_drun"), F.lit(True).alias("_run_dead")))
-        a = out["artifacts"]
-        j = a.join(dead_runs, a["run_id"] == dead_runs["_drun"], "left")
-        out["artifacts"] = j.select(*[
-            F.when(F.col("_run_dead"), F.lit(None)).otherwise(F.col(c)).cast(a.schema[c].dataType).alias(c)
-            if c == "run_id" else F.col(c) for c in a.columns])
+    for child, col, parent in SET_NULL:
+        if child in out and parent in out and col in out[child].columns:
+            if parent == "page_revisions":
+                dead = tables[parent].join(dead_pages, "page_id", "left_semi")
+            else:
+                dead = tables[parent].join(gone, "project_id", "left_semi")
+            out[child] = _without_reference(out[child], col, dead.select("id"))
     return out
 
 
+def _without_reference(df: DataFrame, col: str, dead: DataFrame) -> DataFrame:
+    """``df`` with ``col`` null where it names one of the ids of ``dead``."""
+    mark = dead.select(F.col("id").alias("_dead")).distinct()
+    j = df.join(mark, df[col] == mark["_dead"], "left")
+    return j.select(*[F.when(F.col("_dead").isNull(), F.col(c)).alias(c) if c == col else F.col(c) for c in df.columns])
+
+
 def apply_patches(df: DataFrame, patches: DataFrame, key: str = "id") -> DataFrame:
     """Partial update.  ``patches`` has the key, and per field ``x`` a flag
     ``has_x`` and the value ``x``; only provided fields change, and an explicit
@@ -193,7 +196,8 @@ def integrity_audit(tables: dict[str, DataFrame], skip: tuple[str, ...] = ()) ->
     fks = [("project_configs", "project_id", "projects", "id"), ("webhooks", "project_id", "projects", "id"),
            ("runs", "project_id", "projects", "id"), ("pages", "project_id", "projects", "id"),
            ("page_revisions", "page_id", "pages", "id"), ("webhook_events", "webhook_id", "webhooks", "id"),
-           ("artifacts", "run_id", "runs", "id")]
+           ("artifacts", "run_id", "runs", "id"), ("artifacts", "project_id", "projects", "id"),
+           ("page_revisions", "run_id", "runs", "id"), ("pages", "current_revision_id", "page_revisions", "id")]
     for child, col, parent, pcol in fks:
         if f"{child}.{col}" in skip:
             continue

@@ -210,7 +210,24 @@ def q_fill_defaults(spark, sf_dir):
     return out.select("id", "project_id", "url", "is_active", F.array_join("event_types", ",").alias("event_types"))
 
 
-VALID_URL_DUCK = r"^https?://[^\s/?#@:]+(:[0-9]*)?([/?#][^\s]*)?$"
+@register("fill_defaults_project", O.with_fx("""SELECT id, name, 2 AS crawl_depth, CASE WHEN id%3=0 THEN 'weekly' ELSE 'daily' END AS cron_expression,
+   id%2=0 AS is_enabled, '{}' AS metadata FROM fx_projects_tbl"""))
+def q_fill_defaults_project(spark, sf_dir):
+    p = _fx(spark, sf_dir).projects_tbl
+    given = p.select("id", "name", F.when(F.col("id") % 3 == 0, "weekly").alias("cron_expression"),
+                     F.when(F.col("id") % 2 != 0, F.lit(False)).alias("is_enabled"))
+    return catalog.fill_defaults(given, "project").select("id", "name", "crawl_depth", "cron_expression", "is_enabled", "metadata")
+
+
+@register("fill_defaults_run_request", O.with_fx("""SELECT id, CASE WHEN id%5=0 THEN 'HIGH' ELSE 'NORMAL' END AS priority,
+   'STATIC' AS render_mode, CASE WHEN is_scheduled THEN '{"by":"timer"}' ELSE '{}' END AS metadata FROM fx_runs"""))
+def q_fill_defaults_run_request(spark, sf_dir):
+    r = _fx(spark, sf_dir).runs
+    given = r.select("id", F.when(F.col("id") % 5 == 0, "HIGH").alias("priority"), F.when(F.col("is_scheduled"), '{"by":"timer"}').alias("metadata"))
+    return catalog.fill_defaults(given, "run_request").select("id", "priority", "render_mode", "metadata")
+
+
+VALID_URL_DUCK = r"(?i)^https?://(?:[^\s/?#@]*@)?(?:\[[0-9a-f:.]+\]|[^\s/?#@:\[\]]+)(:[0-9]*)?([/?#][^\s]*)?$"
 
 
 @register("validate_domain", f"""SELECT id, name, domain AS domain_input, norm AS domain,
@@ -267,11 +284,11 @@ def q_queue_dedup(spark, sf_dir):
     r = _fx(spark, sf_dir).runs
     i = F.col("id")
     raw = r.select(i.alias("arrival"), F.to_json(F.struct(
-        F.concat(F.lit("job_"), i.cast("string")).alias("id"),
+        F.when(i % 7 != 0, F.concat(F.lit("job_"), i.cast("string"))).alias("id"),
         F.when(i % 11 != 0, F.concat(F.lit("https://site-"), F.col("project_id").cast("string"), F.lit(".example.com"))).alias("url"),
-        F.col("project_id").alias("projectId"),
-        F.col("project_id").cast("string").alias("runId"))).alias("value"))
-    ok = jobsrc.accepted_jobs(jobsrc.parse_jobs(raw.filter((i % 7 != 0) & (i % 13 != 0) & (i % 17 != 0))))
+        F.when(i % 13 != 0, F.col("project_id")).alias("projectId"),
+        F.when(i % 17 != 0, F.col("project_id").cast("string")).alias("runId"))).alias("value"))
+    ok = jobsrc.accepted_jobs(jobsrc.parse_jobs(raw))
     return jobsrc.dedup_jobs(ok.select("runId", "arrival", "id"), ["arrival"])
 
 

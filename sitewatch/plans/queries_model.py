@@ -128,11 +128,46 @@ def q_owned_runs(spark, sf_dir):
     return catalog.owned_runs(fx.runs, fx.projects_tbl)
 
 
-@register("owner_scope", O.with_fx(
+ASKING = (3, 7, 11)     # users who ask, one after the other
+
+
+def _asked(read):
+    """What ``read(user)`` returns for each asking user."""
+    out = None
+    for user in ASKING:
+        part = read(user).withColumn("asking", F.lit(user).cast("bigint"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("owner_scope", O.with_fx(f"SELECT *, created_by AS asking FROM fx_projects_tbl WHERE created_by IN {ASKING}"))
+def q_owner_scope(spark, sf_dir):
+    """each asking user's projects."""
+    projects = _fx(spark, sf_dir).projects_tbl
+    return _asked(lambda user: catalog.owner_scope(projects, user))
+
+
+@register("owned_runs_by_user", O.with_fx(
+    f"SELECT r.*, p.created_by AS asking FROM fx_runs r JOIN fx_projects_tbl p ON p.id=r.project_id WHERE p.created_by IN {ASKING}"))
+def q_owned_runs_by_user(spark, sf_dir):
+    """J7 as a user asks for it."""
+    fx = _fx(spark, sf_dir)
+    return _asked(lambda user: catalog.owned_runs(fx.runs, fx.projects_tbl, user))
+
+
+@register("webhook_owner_check_by_user", O.with_fx(f"""SELECT w.*, p.created_by AS owner, p.created_by AS asking
+   FROM fx_webhooks w JOIN fx_projects_tbl p ON p.id=w.project_id WHERE p.created_by IN {ASKING}"""))
+def q_webhook_owner_check_by_user(spark, sf_dir):
+    """J6 as a user asks for it."""
+    fx = _fx(spark, sf_dir)
+    return _asked(lambda user: webhooks.owned_webhooks(fx.webhooks, fx.projects_tbl, user))
+
+
+@register("owned_by_counts", O.with_fx(
     """SELECT p.created_by AS owner, count(*) AS n_projects, count(c.project_id) AS n_configured
     FROM fx_projects_tbl p LEFT JOIN fx_project_configs c ON c.project_id=p.id GROUP BY p.created_by"""))
-def q_owner_scope(spark, sf_dir):
-    """F9 for every user at once: what each owner's scope holds."""
+def q_owned_by_counts(spark, sf_dir):
+    """What each owner's scope holds."""
     fx = _fx(spark, sf_dir)
     j = catalog.projects_with_config(fx.projects_tbl, fx.project_configs)
     return j.groupBy(F.col("created_by").alias("owner")).agg(

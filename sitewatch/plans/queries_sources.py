@@ -24,7 +24,12 @@ def _fx(spark, sf_dir):
 
 @register("crawl_snapshot", O.with_fx("SELECT project_id, url, status_code, length(body) AS body_chars FROM fx_fetch"))
 def q_crawl_snapshot(spark, sf_dir):
-    s = tables.snapshot_view(_fx(spark, sf_dir).fetch)
+    """The fetched pages as a snapshot at rest, read back with its fixed schema."""
+    import uuid
+    from ..session import scratch_table_path
+    path = scratch_table_path(spark, f"snapshot-{uuid.uuid4().hex}")
+    tables.snapshot_view(_fx(spark, sf_dir).fetch).write.parquet(path)
+    s = tables.read_snapshot(spark, path)
     return s.select("project_id", "url", "status_code", F.length("body").alias("body_chars"))
 
 
