@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # One Arrow batch sent to a Python worker holds at most this many bytes (or one
@@ -54,3 +54,14 @@ def with_text_key(df: DataFrame, text: str) -> DataFrame:
 def same_document(docs: DataFrame, found: DataFrame, doc_id: str):
     """Join condition of documents with a text key and rows (__id, __k1, __k2, ...) about them; null ids are equal."""
     return docs[doc_id].eqNullSafe(found["__id"]) & (docs["__h1"] == found["__k1"]) & (docs["__h2"] == found["__k2"])
+
+
+def smallest_by_hash(df: DataFrame, key: str, order: list[str], n: int, salts: int = 8) -> DataFrame:
+    """The ``n`` first rows of each ``key`` by ``order``, which begins with a hash.
+
+    First within parts of a key by that hash, so that no task reads more of a
+    frequent key than those parts' first rows.
+    """
+    salt = Window.partitionBy(key, F.pmod(F.col(order[0]), F.lit(salts))).orderBy(*order)
+    firsts = df.withColumn("__n", F.row_number().over(salt)).where(F.col("__n") <= n)
+    return firsts.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__n") <= n).drop("__n")

@@ -21,12 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.session import materialize
 
-from .common import held_out, in_arrow, table
+from .common import held_out, in_arrow, smallest_by_hash, table
 
 DIM = 1 << 14
 NGRAMS = 3
@@ -139,8 +139,7 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
                      F.col(f"`{lang}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{doc_id}`")).alias("h"))
     docs = docs.where(F.col("lang").isNotNull() & ~held_out())
-    by_hash = Window.partitionBy("lang").orderBy("h")
-    cutoffs = (docs.select("lang", "h").distinct().withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= PER_LANG)
+    cutoffs = (smallest_by_hash(docs.select("lang", "h").distinct(), "lang", ["h"], PER_LANG)
                .groupBy("lang").agg(F.max("h").alias("upto"), F.count(F.lit(1)).alias("n"))
                .orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect())
     langs = sorted(r["lang"] for r in cutoffs)

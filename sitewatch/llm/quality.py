@@ -23,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, in_arrow, table
+from .common import held_out, in_arrow, smallest_by_hash, table
 
 CHUNK, WIDTH, STRIDE, EMBED, FILTERS = 512, 8, 2, 6, 24
 STEP = CHUNK - WIDTH + STRIDE           # from one chunk to the next; no window is lost
@@ -165,8 +165,7 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = (labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{quality}`").cast("int").alias("y"))
              .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
              .groupBy("doc_id").agg(F.min("y").alias("y")).withColumn("h", F.xxhash64("doc_id")))
-    first = Window.partitionBy("y").orderBy("h", "doc_id")
-    picked = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= PER_LABEL).select("doc_id", "y", "h")
+    picked = smallest_by_hash(known, "y", ["h", "doc_id"], PER_LABEL)
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     # at most 2 * PER_LABEL rows: a broadcast of proven size
     rows = docs.join(F.broadcast(picked), "doc_id").select("text", "y", "h", "doc_id")
