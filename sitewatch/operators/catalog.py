@@ -207,14 +207,17 @@ def integrity_audit(tables: dict[str, DataFrame], skip: tuple[str, ...] = ()) ->
             add(f"fk_{col}", child, orphans)
     enums = [("runs", "status", S.KNOWN_RUN_STATUSES), ("pages", "render_mode", S.RENDER_MODES),
              ("artifacts", "type", S.ARTIFACT_TYPES)]
-    for table, col, allowed in enums:
-        if table in t and col in t[table].columns:
-            add(f"enum_{col}", table, t[table].filter(F.col(col).isNull() | ~F.col(col).isin(*allowed)))
     not_null = [("projects", "name"), ("projects", "domain"), ("pages", "url"), ("webhooks", "url"),
                 ("runs", "status")]
-    for table, col in not_null:
-        if table in t and col in t[table].columns:
-            add(f"not_null_{col}", table, t[table].filter(F.col(col).isNull()))
+    # what a row shows by itself: one pass over each table
+    for table in t:
+        own = [(f"enum_{c}", F.col(c).isNull() | ~F.col(c).isin(*allowed)) for n, c, allowed in enums if n == table and c in t[table].columns]
+        own += [(f"not_null_{c}", F.col(c).isNull()) for n, c in not_null if n == table and c in t[table].columns]
+        if own:
+            counted = t[table].agg(*[F.count_if(bad).alias(check) for check, bad in own])
+            findings.append(counted.select(F.explode(F.array(*[
+                F.struct(F.lit(check).alias("check_name"), F.lit(table).alias("table_name"), F.col(check).alias("n_violations"))
+                for check, _ in own])).alias("f")).select("f.*"))
     out = findings[0]
     for f in findings[1:]:
         out = out.unionByName(f)

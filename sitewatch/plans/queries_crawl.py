@@ -147,10 +147,11 @@ def q_revision_dedup(spark, sf_dir):
         "project_id", "url", "page_id", "is_new_page", "revision_id", "is_new_revision")
 
 
-@register("revision_append", O.with_fx(f"""SELECT d.revision_id AS id, d.page_id, d.run_id, length(f.body) AS content_chars, d.content_sha256,
+@register("revision_append", O.with_fx(f"""SELECT d.revision_id AS id, d.page_id, d.run_id, length(f.content) AS content_chars, d.content_sha256,
    d.title, d.description AS meta_description, {NOW_SQL} AS created_at,
    json_object('change_reason', coalesce(d.change_reason, 'Unknown'))::VARCHAR AS metadata
-   FROM fx_dedup d LEFT JOIN fx_fetch f ON f.project_id=d.project_id AND f.url=d.url WHERE d.is_new_revision""",
+   FROM fx_dedup d JOIN (SELECT project_id, url, sha256({O.norm("body")}) AS h, min(body) AS content FROM fx_fetch WHERE status_code=200 GROUP BY ALL) f
+     ON f.project_id=d.project_id AND f.url=d.url AND f.h=d.content_sha256 WHERE d.is_new_revision""",
     O.budget_cte(SITE_INDEX_MAX_PAGES), CRAWLED, DEDUP))
 def q_revision_append(spark, sf_dir):
     revs = crawl_job(spark, sf_dir).new_revisions(FIXED_NOW)

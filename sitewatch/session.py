@@ -72,10 +72,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_scratch: list[str] = []
+
+
 def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for an intermediate table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}"
+    _scratch.append(f"{base}/tables/{name}")
+    return _scratch[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables that this process has made.
+
+    Results are lazy and may read them: call it once what is wanted is written.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _scratch:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df, name: str):

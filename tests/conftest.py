@@ -13,6 +13,8 @@ def spark():
     s = get_session("local[4]", app="sitewatch-tests", shuffle_partitions=8)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from sitewatch.session import drop_scratch
+    drop_scratch(s)
 
 
 def one(df, col):
