@@ -205,3 +205,25 @@ def initial_runs(projects: DataFrame, configs: DataFrame, now) -> DataFrame:
             .select(F.col("id").alias("project_id"), run_id.alias("run_id"),
                     F.col("created_by").alias("initiated_by"), F.lit(S.RUN_QUEUED).alias("status"),
                     ts.alias("created_at"), job_id.alias("job_id"), payload.alias("payload")))
+
+
+def create_projects(requests: DataFrame, now) -> dict[str, DataFrame]:
+    """A request becomes a project with its configuration and, if enabled, a first run.
+
+    ``requests``: request_id, created_by, name, domain, description and, where given,
+    crawl_depth, cron_expression (a schedule's name) and is_enabled.  P22 decides;
+    what it refuses is ``rejected`` with the reason.  P28 fills in, P18 turns the
+    schedule into a cron expression and the next time, R5 makes the first runs.
+    The project's id is made from the request's, so a retried request makes the same rows.
+    """
+    from .catalog import fill_defaults, validate_projects
+    ts = _ts(now)
+    checked = fill_defaults(validate_projects(requests), "project")
+    ok = checked.filter("is_valid").withColumn("id", F.concat(F.lit("prj_"), F.sha2(F.col("request_id").cast("string"), 256)))
+    cron, next_run_at = schedule.schedule_to_cron("cron_expression", ts)
+    projects = ok.select("id", "created_by", "name", "domain", "description", ts.alias("created_at"), ts.alias("updated_at"), "metadata")
+    configs = ok.select(F.col("id").alias("project_id"), "crawl_depth", cron.alias("cron_expression"),
+                        F.lit(None).cast("timestamp").alias("last_run_at"), next_run_at.alias("next_run_at"), "is_enabled",
+                        F.lit("{}").alias("config"))
+    return {"projects": projects, "configs": configs, "runs": initial_runs(projects, configs, now),
+            "rejected": checked.filter(~F.col("is_valid")).select("request_id", "reject_reason")}

@@ -251,6 +251,39 @@ def q_validate_domain(spark, sf_dir):
     return validate_projects(cand).select("id", "name", F.col("domain_input"), "domain", "is_valid", "reject_reason", "form_ok")
 
 
+@register("create_projects", f"""WITH asked AS (SELECT c_custkey AS id, c_nationkey AS created_by,
+     CASE WHEN c_custkey%17=0 THEN '' ELSE c_name END AS name,
+     CASE WHEN c_custkey%19=0 THEN 'bad domain' WHEN c_custkey%2=0 THEN 'http://site-' || c_custkey || '.example.org' ELSE 'site-' || c_custkey || '.example.com' END AS domain,
+     CASE c_custkey%4 WHEN 0 THEN NULL WHEN 1 THEN 'daily' WHEN 2 THEN 'weekly' ELSE 'custom' END AS cron,
+     CASE WHEN c_custkey%5=0 THEN false END AS enabled FROM customer),
+   good AS (SELECT *, 'prj_' || sha256(CAST(id AS VARCHAR)) AS pid, coalesce(cron, 'daily') AS sched, coalesce(enabled, true) AS on_,
+     CASE WHEN domain LIKE 'http%' THEN domain ELSE 'https://' || domain END AS norm FROM asked WHERE name <> '' AND domain <> 'bad domain')
+   SELECT pid AS project_id, created_by, name, norm AS domain, 2 AS crawl_depth,
+     CASE sched WHEN 'daily' THEN '0 2 * * *' WHEN 'weekly' THEN '0 2 * * 0' END AS cron_expression,
+     CASE sched WHEN 'daily' THEN {duck_next_daily(NOW_SQL)} WHEN 'weekly' THEN {duck_next_weekly(NOW_SQL, api=True)} END AS next_run_at,
+     on_ AS is_enabled, CASE WHEN on_ THEN 'QUEUED' END AS run_status, NULL::VARCHAR AS reject_reason FROM good
+   UNION ALL SELECT CAST(id AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+     CASE WHEN name='' THEN 'Name and domain are required' ELSE 'Invalid domain URL' END FROM asked WHERE name='' OR domain='bad domain'""")
+def q_create_projects(spark, sf_dir):
+    """Requests of every customer to projects, configurations and first runs; refused ones with their reason."""
+    c = _fx(spark, sf_dir).table("customer")
+    k = F.col("c_custkey")
+    no = F.lit(None)
+    asked = c.select(
+        k.alias("request_id"), F.col("c_nationkey").alias("created_by"), F.when(k % 17 == 0, F.lit("")).otherwise(F.col("c_name")).alias("name"),
+        F.when(k % 19 == 0, F.lit("bad domain")).when(k % 2 == 0, F.concat(F.lit("http://site-"), k.cast("string"), F.lit(".example.org")))
+         .otherwise(F.concat(F.lit("site-"), k.cast("string"), F.lit(".example.com"))).alias("domain"), no.cast("string").alias("description"),
+        F.when(k % 4 == 0, no).when(k % 4 == 1, "daily").when(k % 4 == 2, "weekly").otherwise("custom").alias("cron_expression"),
+        F.when(k % 5 == 0, F.lit(False)).alias("is_enabled"))
+    t = runs.create_projects(asked, FIXED_NOW)
+    made = (t["projects"].select(F.col("id").alias("project_id"), "created_by", "name", "domain")
+            .join(t["configs"].select("project_id", "crawl_depth", "cron_expression", "next_run_at", "is_enabled"), "project_id")
+            .join(t["runs"].select("project_id", F.col("status").alias("run_status")), "project_id", "left")
+            .withColumn("reject_reason", no.cast("string")))
+    refused = t["rejected"].select(F.col("request_id").cast("string").alias("project_id"), "reject_reason")
+    return made.unionByName(refused, allowMissingColumns=True)
+
+
 # --- S5 / A7 ------------------------------------------------------------------------------------
 def _raw_jobs(spark, sf_dir):
     r = _fx(spark, sf_dir).runs
