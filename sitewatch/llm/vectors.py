@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewatch.session import scratch_table_path
+from sitewatch.session import materialize, scratch_table_path
 
 BLOCK_BYTES = 4 << 20      # of query vectors sent to the tasks together
 BLOCK_ROWS = 4096
@@ -34,7 +34,7 @@ def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 def query_blocks(queries: DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(dim, ids, vectors) of all queries in order of (dim, id), a bounded number at a time."""
-    rest = queries.dropDuplicates()
+    every = rest = materialize(queries.dropDuplicates(), "queries")
     while True:
         first = rest.select("dim", "id").orderBy("dim", "id").limit(1).collect()
         if not first:
@@ -44,7 +44,7 @@ def query_blocks(queries: DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarr
         rows = rest.where(F.col("dim") == dim).orderBy("id", "v").limit(n).collect()
         yield dim, np.array([r["id"] for r in rows], dtype=np.int64), _matrix([r["v"] for r in rows], dim)
         last = rows[-1]
-        rest = rest.where((F.col("dim") > dim) | (F.col("dim") == dim) & (
+        rest = every.where((F.col("dim") > dim) | (F.col("dim") == dim) & (
             (F.col("id") > last["id"]) | (F.col("id") == last["id"]) & (F.col("v") > F.lit(list(last["v"])).cast("array<double>"))))
 
 

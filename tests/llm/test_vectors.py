@@ -81,3 +81,12 @@ def test_ann_recall(spark, name):
     found = {(r["query_id"], r["vec_id"], round(r["score"], 9)) for r in got}
     want = {(a, c, d) for a, _, c, d in true}
     assert len(found & want) >= 0.9 * len(want)
+
+
+def test_several_blocks_of_queries(spark, monkeypatch):
+    from sitewatch.llm import vectors
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 3)
+    rows = fixture(200, 2)[:-len(ODD)] + [(100, [1.0, 2.0, 3.0]), (150, [0.5, 2.0, 1.0])]
+    df = frame(spark, rows).repartition(3)
+    got = ann.nearest(df, F.col("id") % 50 == 0, 10, goal=1.0).collect()
+    assert {(a, b, c, round(d, 9)) for a, b, c, d in got} == brute(rows, 50, 10, True)
