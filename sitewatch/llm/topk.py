@@ -40,7 +40,7 @@ def scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
 
 def _count(rows, dim, state):
     """Per query and bin the number of scores, down to the bin that holds the task's k-th."""
-    qids, queries, lo, width, need = state
+    qids, queries, lo, hi, width, need = state
     n = len(qids)
     counts = np.zeros((n, BINS), dtype=np.int64)
     step = max(1, (1 << 21) // max(1, n))
@@ -48,7 +48,7 @@ def _count(rows, dim, state):
         for i in range(0, len(ids), step):
             s = scores(vecs[i:i + step], queries)
             at = (s - lo[:, None]) // width[:, None]
-            ok = (at >= 0) & (at < BINS)
+            ok = (at >= 0) & (s < hi[:, None])      # what lies above the interval is counted already
             ok[own_rows(ids[i:i + step], qids)] = False
             flat = (np.arange(n)[:, None] * BINS + at)[ok]
             counts += np.bincount(flat, minlength=n * BINS).reshape(n, BINS)
@@ -87,12 +87,13 @@ def _block(spark: SparkSession, rows: DataFrame, dim: int, qids: np.ndarray, que
     sc, n = spark.sparkContext, len(qids)
     rows = rows.where(F.col("dim") == dim).select("id", "v")
     lo = np.full(n, -bound, dtype=np.int64)
+    hi = np.full(n, bound + 1, dtype=np.int64)
     width = np.full(n, max(1, (2 * bound) // BINS + 1), dtype=np.int64)
     need = np.full(n, k, dtype=np.int64)
     least, going = lo.copy(), np.ones(n, dtype=bool)
     while going.any():
         g = np.flatnonzero(going)
-        state = sc.broadcast((qids[g], queries[g], lo[g], width[g], need[g]))
+        state = sc.broadcast((qids[g], queries[g], lo[g], hi[g], width[g], need[g]))
         parts = mapped(rows, lambda it, s=state: _count(it, dim, s.value), "q int, bin int, n long")
         summed = parts.groupBy("q", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("q").orderBy(F.desc("bin"))
@@ -106,7 +107,7 @@ def _block(spark: SparkSession, rows: DataFrame, dim: int, qids: np.ndarray, que
             least[i] = lo[i] + r["bin"] * width[i]
             left = need[i] - (r["upto"] - r["n"])
             if width[i] > 1 and r["n"] > left + 4 * k:
-                lo[i], need[i], still[i] = least[i], left, True
+                lo[i], hi[i], need[i], still[i] = least[i], min(hi[i], least[i] + width[i]), left, True
                 width[i] = (width[i] + BINS - 1) // BINS
         state.unpersist()
         going = still

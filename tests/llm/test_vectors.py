@@ -51,6 +51,16 @@ def test_topk_equals_brute_force(spark):
     assert {tuple(r) for r in got} == brute(rows, 50, 5, False)
 
 
+def test_topk_narrows_over_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BINS", 7)
+    rnd = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rnd.standard_normal(3).astype(np.float32)]) for i in range(3000)]
+    df = frame(spark, rows).repartition(3)
+    whole = df.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(256 * x).cast("double")).alias("w"))
+    got = topk.exact_topk(whole, F.col("id") % 50 == 0, 5, vector="w").collect()
+    assert {tuple(r) for r in got} == brute(rows, 50, 5, False)
+
+
 def test_topk_few_rows_large_values_and_none(spark):
     df = frame(spark, [(0, [1e30, 0.0]), (50, [1e30, -1e30]), (7, [-1e30, 3.0])])
     got = topk.exact_topk(df, F.col("id") % 50 == 0, 5, vector="embedding").collect()
