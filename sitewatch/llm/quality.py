@@ -1,6 +1,7 @@
 """Quality score by a byte-level convolutional network in numpy (operator 2).
 
-Bytes have learned embeddings; ``FILTERS`` learned filters of ``WIDTH`` bytes slide
+A byte has a learned embedding and one more channel that tells whether it ends an
+echo of the bytes before (words repeated); ``FILTERS`` learned filters of ``WIDTH`` bytes slide
 with a stride over chunks that overlap so far that every window of the whole
 document lies in one.  A chunk keeps each filter's largest response; a document
 the largest and the mean over its chunks, and a logistic layer makes one
@@ -35,6 +36,18 @@ EPOCHS, BATCH, RATE = 8, 32, 0.01
 SHORT = (15, 200)                       # bytes of the short pieces that training adds, one a row
 TOGETHER = 256                          # chunks that go through the network at a time
 THRESHOLD = 0.7
+LAGS = range(2, 25)                     # bytes back at which a run of equal bytes counts as an echo
+CHANNELS = EMBED + 1
+
+
+def echoes(x: np.ndarray) -> np.ndarray:
+    """(chunks, CHUNK): true where four bytes end that stood up to 24 bytes before in the chunk."""
+    out = np.zeros(x.shape, dtype=bool)
+    for lag in LAGS:
+        one = (x[:, lag:] == x[:, :-lag]) & (x[:, lag:] != 0)
+        two = one[:, 1:] & one[:, :-1]
+        out[:, lag + 3:] |= two[:, 2:] & two[:, :-2]
+    return out
 
 
 def chunks(data: bytes) -> np.ndarray:
@@ -48,7 +61,7 @@ def chunks(data: bytes) -> np.ndarray:
 @dataclass
 class Network:
     embed: np.ndarray           # (256, EMBED)
-    filters: np.ndarray         # (WIDTH * EMBED, FILTERS)
+    filters: np.ndarray         # (WIDTH * CHANNELS, FILTERS)
     bias: np.ndarray            # (FILTERS,)
     out: np.ndarray             # (2 * FILTERS + 1,)
 
@@ -56,18 +69,20 @@ class Network:
     def fresh(cls) -> Network:
         rnd = np.random.default_rng(11)
         return cls(*(x.astype(np.float32) for x in (
-            rnd.normal(0, 0.5, (256, EMBED)), rnd.normal(0, (WIDTH * EMBED) ** -0.5, (WIDTH * EMBED, FILTERS)),
+            rnd.normal(0, 0.5, (256, EMBED)), rnd.normal(0, (WIDTH * CHANNELS) ** -0.5, (WIDTH * CHANNELS, FILTERS)),
             np.zeros(FILTERS), rnd.normal(0, 0.1, 2 * FILTERS + 1))))
 
     def windows(self, x: np.ndarray) -> np.ndarray:
-        """(chunks, places, WIDTH * EMBED): what each filter sees."""
-        e = self.embed[x].reshape(len(x), -1)
-        return np.lib.stride_tricks.sliding_window_view(e, WIDTH * EMBED, axis=1)[:, ::STRIDE * EMBED]
+        """(chunks, places, WIDTH * CHANNELS): what each filter sees."""
+        e = np.empty((len(x), CHUNK, CHANNELS), dtype=np.float32)
+        e[:, :, :EMBED] = self.embed[x]
+        e[:, :, EMBED] = echoes(x)
+        return np.lib.stride_tricks.sliding_window_view(e.reshape(len(x), -1), WIDTH * CHANNELS, axis=1)[:, ::STRIDE * CHANNELS]
 
     def pooled(self, x: np.ndarray) -> np.ndarray:
         """(chunks, FILTERS): each filter's largest response, at least 0."""
         w = self.windows(x)
-        y = np.ascontiguousarray(w).reshape(-1, WIDTH * EMBED) @ self.filters
+        y = np.ascontiguousarray(w).reshape(-1, WIDTH * CHANNELS) @ self.filters
         return np.maximum(y.reshape(len(x), -1, FILTERS).max(axis=1) + self.bias, 0)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -131,7 +146,7 @@ def fit(rows: list[tuple[bytes, int]]) -> Network:
             number = np.array([len(data[i]) for i in pick])
             own = np.repeat(np.arange(len(pick)), number)
             w = net.windows(x)
-            resp = (np.ascontiguousarray(w).reshape(-1, WIDTH * EMBED) @ net.filters).reshape(len(x), -1, FILTERS)
+            resp = (np.ascontiguousarray(w).reshape(-1, WIDTH * CHANNELS) @ net.filters).reshape(len(x), -1, FILTERS)
             at = resp.argmax(axis=1)                                            # (chunks, FILTERS)
             pool = np.maximum(np.take_along_axis(resp, at[:, None], axis=1)[:, 0] + net.bias, 0)
             starts = np.cumsum(number) - number
@@ -145,9 +160,9 @@ def fit(rows: list[tuple[bytes, int]]) -> Network:
             won = pool == top[own]
             won = won / np.maximum(np.add.reduceat(won, starts), 1)[own]
             g_pool = (won * g_f[own, :FILTERS] + g_f[own, FILTERS:2 * FILTERS] / number[own][:, None]) * (pool > 0)
-            seen = w[np.arange(len(x))[:, None], at]                            # (chunks, FILTERS, WIDTH * EMBED)
+            seen = w[np.arange(len(x))[:, None], at]                            # (chunks, FILTERS, WIDTH * CHANNELS)
             g_filters = np.einsum("cfw,cf->wf", seen, g_pool)
-            g_seen = (g_pool[:, :, None] * net.filters.T[None]).reshape(len(x), FILTERS, WIDTH, EMBED)
+            g_seen = (g_pool[:, :, None] * net.filters.T[None]).reshape(len(x), FILTERS, WIDTH, CHANNELS)[..., :EMBED]
             places = at[:, :, None] * STRIDE + np.arange(WIDTH)
             values = np.take_along_axis(x[:, None, :].repeat(FILTERS, axis=1), places, axis=2)
             g_embed = np.zeros_like(net.embed)
