@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..operators import robots
 from ..sources import sitemaps as SM
+from ..session import materialize
 from ..sources import tables
 from . import oracle as O
 from .fixtures import Fixtures
@@ -128,7 +129,8 @@ def q_sitemap_urls(spark, sf_dir):
    AND (length(project_id)%4 <> 3 OR length(url)%2 = 0)"""))
 def q_sitemap_index_expand(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return SM.expand_index(SM.sitemap_docs(fx.sitemap_snapshot, fx.projects), fx.sitemap_snapshot)
+    snapshot = materialize(fx.sitemap_snapshot, "sitemap-snapshot")     # a table at rest, read at every level
+    return SM.expand_index(SM.sitemap_docs(snapshot, fx.projects), snapshot)
 
 
 ROBOTS_RULES_DUCK = ("fx_robot_rules", """SELECT project_id, pos, key, pattern FROM (
