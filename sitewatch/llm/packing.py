@@ -2,7 +2,8 @@
 
 ``pieces`` tokenizes whole texts.  The vocabulary's normalizer and pattern never
 look across white space, so a text's ids are those of its blank-separated words
-in order; each distinct word goes through the tokenizer once a worker.
+in order; each distinct word goes through the tokenizer once a worker (words of
+plain letters without the normalizer and the pattern, which leave them alone).
 
 ``pack`` deals the pieces into shards of a set size by a hash of their place in
 the written piece table, and packs each shard alone: a piece goes where the sum
@@ -20,8 +21,10 @@ the table stay out.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from math import ceil
 
@@ -35,11 +38,12 @@ from pyspark.sql import functions as F
 
 from sitewatch.session import materialize
 
-from .common import in_arrow, strings, table
+from .common import in_arrow, ship_package, strings, table
 
 CAPACITY = 2048
 SHARD = 60_000             # pieces packed together
-KNOWN_WORDS = 600_000      # words a worker remembers; beyond it starts anew (only speed depends on it)
+KNOWN_WORDS = 1_000_000     # words a worker remembers; beyond it starts anew (only speed depends on it)
+TOGETHER = 1 << 20         # characters whose new words are learned together
 _BEYOND = re.compile(r"[^\x00-įı-ɏ]")
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")    # white space to str.split, not to the vocabulary
 
@@ -51,6 +55,13 @@ class Words:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True     # their strings are ordinary text
+        # words of plain small letters are what normalizer and pattern make of them
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        config["normalizer"] = None
+        config["pre_tokenizer"] = next(p for p in config["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel")
+        self.letters = Tokenizer.from_str(json.dumps(config))
+        self.letters.model._resize_cache(0)             # each word comes once
         self.known: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
@@ -61,17 +72,29 @@ class Words:
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) > KNOWN_WORDS:
             self.known = {}
-        for text in texts:
-            words = self.split(text)
-            try:
-                yield b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                new = list(set(words).difference(self.known))
-                for a in range(0, len(new), 4096):
-                    part = new[a:a + 4096]
-                    for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                        self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-                yield b"".join(map(self.known.__getitem__, words))
+        group: list[list[str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            group.append(self.split(text))
+            size += len(text)
+            if size >= TOGETHER or i == len(texts) - 1:
+                self._learn(set().union(*group).difference(self.known))
+                for words in group:
+                    yield b"".join(map(self.known.__getitem__, words))
+                group, size = [], 0
+
+    def _learn(self, new: set[str]) -> None:
+        # a mark behind letters is a token run of its own, whatever the letters are
+        marked = {w: w[-1] for w in new if w[-1] in ".," and w[:-1].isalpha()}
+        stems = new.difference(marked).union(w[:-1] for w in marked).union(marked.values()).difference(self.known)
+        plain = {w for w in stems if w.isalpha() and not _BEYOND.search(w) and w == w.lower()}
+        for tokenizer, words in ((self.letters, list(plain)), (self.tokenizer, list(stems.difference(plain)))):
+            for a in range(0, len(words), 4096):
+                part = words[a:a + 4096]
+                for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                    self.known[w] = array("I", e.ids).tobytes()
+        for w, m in marked.items():
+            self.known[w] = self.known[w[:-1]] + self.known[m]
 
 
 _words: dict[str, Words] = {}
@@ -165,6 +188,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
     """``parts`` (columns length and place at least) with sequence_id and offset."""
     parts = materialize(parts, "pieces")        # from here on a piece has one place, whatever is computed anew
     n = max(1, ceil(parts.count() / shard))
+    ship_package(parts.sparkSession)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("__order", kind="stable").reset_index(drop=True)
