@@ -30,6 +30,7 @@ from .common import in_arrow, strings, table
 SLICE_CHARS = 4 << 20      # texts encoded together
 KNOWN_CHUNKS = 400_000     # chunks a worker remembers; beyond it starts anew (only speed depends on it)
 PIECE_BYTES = 4 << 20      # bytes of new pieces that one recursive query takes
+MARKS = frozenset(".,!?")
 ROUNDS = 24                # rounds of one recursive query; longer pieces go through several
 
 _CONTRACT = """
@@ -196,9 +197,17 @@ class Engine:
         self._learn(self.led, led, " ")
         return [b"".join([self.raw[c] for c in a] + list(map(self.led.__getitem__, b))) for a, b in cut]
 
+    def _split(self, lead: str, chunk: str) -> list[str]:
+        """The pattern's matches; letters alone, or with one mark behind them, are plain to see."""
+        if chunk.isalpha():
+            return [lead + chunk]
+        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+            return [lead + chunk[:-1], chunk[-1]]
+        return self.pattern.findall(lead + chunk)
+
     def _learn(self, known: dict[str, bytes], chunks: set[str], lead: str) -> None:
         pieces: dict[str, bytes] = {}
-        split = {c: self.pattern.findall(lead + c) for c in chunks}
+        split = {c: self._split(lead, c) for c in chunks}
         for ps in split.values():
             for p in ps:
                 pieces[p] = b""
