@@ -4,9 +4,12 @@ TF-IDF character n-grams, trained with FTRL-proximal, then temperature calibrati
 Features: the lower-cased text with every run of other characters than letters as
 one blank; its 1- to 3-grams hashed to ``DIM`` buckets; 1 + log of the count times
 the inverse document frequency, to unit length.  Document frequencies count all
-rows that may be learned from.  Weights come from at most ``PER_LANG`` of these
-rows a language (those of smallest id hash), of which every fifth is kept back to
-find the temperature.  The elastic net (l1, l2) leaves most weights at zero.
+rows that may be learned from.  Every language of these rows is learned; weights
+come from at most ``PER_LANG`` rows of each (those of smallest id hash), and from
+fewer a language where there are more than ``MOST_ROWS / PER_LANG`` languages, so
+that they are at most ``MOST_ROWS`` in all, or ``FEWEST`` a language.  Every fifth
+is kept back to find the temperature.  The elastic net (l1, l2) leaves most weights
+at zero.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is
 every text when no row has a language; rows whose crc32(doc_id) mod 4 is 2 and rows
@@ -30,7 +33,7 @@ from .common import held_out, in_arrow, smallest_by_hash, table
 
 DIM = 1 << 14
 NGRAMS = 3
-PER_LANG, MOST_LANGS = 600, 100     # bounds of the sample that weights are learned from
+PER_LANG, MOST_ROWS, FEWEST = 600, 60_000, 50   # bounds of the sample that weights are learned from
 CUT = 1 << 18                       # characters hashed together
 UNKNOWN = "und"
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -139,9 +142,10 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
                      F.col(f"`{lang}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{doc_id}`")).alias("h"))
     docs = docs.where(F.col("lang").isNotNull() & ~held_out())
-    cutoffs = (smallest_by_hash(docs.select("lang", "h").distinct(), "lang", ["h"], PER_LANG)
-               .groupBy("lang").agg(F.max("h").alias("upto"), F.count(F.lit(1)).alias("n"))
-               .orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect())
+    ids = docs.select("lang", "h").distinct()
+    n_langs = max(1, docs.select("lang").distinct().count())
+    per_lang = min(PER_LANG, max(FEWEST, MOST_ROWS // n_langs))
+    cutoffs = smallest_by_hash(ids, "lang", ["h"], per_lang).groupBy("lang").agg(F.max("h").alias("upto")).collect()
     langs = sorted(r["lang"] for r in cutoffs)
     upto = {r["lang"]: r["upto"] for r in cutoffs}
 
@@ -197,7 +201,7 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     rows, kept = [], []
     number = {l: i for i, l in enumerate(langs)}
     picked = sample.groupBy("lang", "h").agg(F.min(F.struct("at", "n")).alias("x")).orderBy("h", "lang").collect()
-    for r in picked:                # at most PER_LANG * MOST_LANGS rows
+    for r in picked:                # at most MOST_ROWS rows, or FEWEST a language
         n = np.zeros(DIM, dtype=np.int64)
         n[np.frombuffer(r["x"]["at"], dtype=np.int32)] = np.frombuffer(r["x"]["n"], dtype=np.int32)
         (kept if r["h"] % 5 == 0 else rows).append((*tfidf(n, idf), number[r["lang"]]))
@@ -211,7 +215,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang_out: str = "la
     """``df`` with the predicted language and its calibrated probability."""
     keep = [c for c in df.columns if c.lower() not in (lang_out.lower(), score_out.lower())]
     given = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    state = df.sparkSession.sparkContext.broadcast(model)       # (DIM + 1) x at most MOST_LANGS numbers
+    state = df.sparkSession.sparkContext.broadcast(model)       # (DIM + 1) x languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

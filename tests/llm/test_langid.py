@@ -58,3 +58,21 @@ def test_only_allowed_rows_teach(spark):
     skip = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2][:20]
     rows = [(i, "the cat and", "en") for i in learn[:20]] + [(i, "der hund und", "de") for i in learn[20:]] + [(i, "xx yy zz", "xx") for i in skip]
     assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == ["de", "en"]
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """Many languages with as many rows each: none is left out, the rows a language become fewer."""
+    names = [f"l{i:03d}" for i in range(104)]
+    word = {l: chr(0x4E00 + 2 * i) + chr(0x4E01 + 2 * i) for i, l in enumerate(names)}
+    learn = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(d, word[l] * 3, l) for d, l in zip(learn, names * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    seen = []
+    real = langid.ftrl
+    monkeypatch.setattr(langid, "ftrl", lambda rows, classes: seen.append(len(rows)) or real(rows, classes))
+    model = langid.train(df)
+    assert model.langs == names
+    assert [model.predict(word[l])[0] for l in names] == names
+    monkeypatch.setattr(langid, "MOST_ROWS", 208)
+    monkeypatch.setattr(langid, "FEWEST", 1)
+    assert langid.train(df).langs == names and seen[1] <= 208 < seen[0]
