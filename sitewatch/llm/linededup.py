@@ -1,13 +1,15 @@
 """Line dedup with content-defined chunks of lines (operator 10).
 
 A text is cut into lines at line ends; a line of several sentences counts as so
-many lines (cut behind ". ").  Runs of lines form chunks: a line end closes a chunk
-beside a line of several sentences, and elsewhere a rolling hash over the hashes of
-the last ``WINDOW`` lines closes it where it is 0 mod ``DIVISOR``, so that boundaries
-depend on nearby lines alone and come back after a shift.  A chunk of two lines and
-``MIN_BYTES`` or more that occurs again anywhere is removed everywhere but at its
-first place (smallest doc_id, then place), after its bytes were compared with those
-of the first one.  Hashes only say which chunks to compare.
+many lines (cut behind ". ").  Runs of lines form chunks of ``MIN_BYTES`` or more: a
+line end closes a chunk beside a line of several sentences, behind a line that has
+``MIN_BYTES`` itself, before such a line, and elsewhere where the hash of the line is
+0 mod ``DIVISOR``; a shorter rest of a run belongs to the chunk before it.  So
+boundaries depend on nearby lines alone and come back after a shift, and a passage
+inside other lines is found line by line, but for shorter lines at its two ends.  A
+chunk that occurs again anywhere is removed everywhere but at its first place
+(smallest doc_id, then place), after its bytes were compared with those of the first
+one.  Hashes only say which chunks to compare.
 
 Hashes are counted over all documents; texts are dealt out by document, and the bytes
 of repeated chunks by hash.  Neither gathers a frequent chunk's places in one task
@@ -20,6 +22,7 @@ extra columns pass through.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,50 +35,51 @@ from sitewatch.session import materialize
 
 from .common import in_arrow, same_document, table, with_text_key
 
-WINDOW, DIVISOR, MIN_BYTES = 2, 4, 40
-_FACTOR, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+DIVISOR, MIN_BYTES = 2, 40
+SENTENCE_END = re.compile(rb"(\.) ")
 
 
 def chunks(data: bytes) -> list[tuple[int, int]]:
-    """(start, end) of the chunks of two lines or more, without the separator behind them."""
+    """(start, end) of the chunks, without the separator behind them."""
     out = []
     place = 0
     run: list[tuple[int, int]] = []     # single-sentence lines behind one another
     for line in data.split(b"\n"):
-        parts = line.split(b". ")
-        if len(parts) == 1:
-            run.append((place, place + len(line)))
+        spans = _sentences(data, place, place + len(line))
+        if len(spans) == 1:
+            run += spans
         else:
             _cut(data, run, out)
             run = []
-            spans, at = [], place
-            for p in parts[:-1]:
-                spans.append((at, at + len(p) + 1))     # with its full stop
-                at += len(p) + 2
-            spans.append((at, place + len(line)))
             _cut(data, spans, out)
         place += len(line) + 1
     _cut(data, run, out)
     return out
 
 
+def _sentences(data: bytes, start: int, end: int) -> list[tuple[int, int]]:
+    """A line's sentences with their marks, without the blank behind them."""
+    out, at = [], start
+    for m in SENTENCE_END.finditer(data, start, end):
+        if m.end(1) < end and m.end(1) > at:
+            out.append((at, m.end(1)))
+            at = m.end()
+    out.append((at, end))
+    return out
+
+
 def _cut(data: bytes, spans: list[tuple[int, int]], out: list[tuple[int, int]]) -> None:
-    if len(spans) < 2:
+    if not spans or spans[-1][1] - spans[0][0] < MIN_BYTES:
         return
-    hashes = [xxhash.xxh64_intdigest(data[a:b]) for a, b in spans]
-    first = 0
-    for i in range(1, len(spans)):
-        last = i == len(spans) - 1
-        if last or i > first and i < len(spans) - 2 and _rolling(hashes, i) % DIVISOR == 0:
-            out.append((spans[first][0], spans[i][1]))
-            first = i + 1
-
-
-def _rolling(hashes: list[int], i: int) -> int:
-    r = 0
-    for h in hashes[max(0, i - WINDOW + 1):i + 1]:
-        r = (r * _FACTOR + h) & _MASK
-    return r >> 32
+    start, done, last = spans[0][0], len(out), len(spans) - 1
+    for i, (a, b) in enumerate(spans):
+        if b - start < MIN_BYTES:
+            if i == last and len(out) > done:       # too short a rest belongs to the chunk before
+                out[-1] = (out[-1][0], b)
+        elif (i == last or b - a >= MIN_BYTES or spans[i + 1][1] - spans[i + 1][0] >= MIN_BYTES
+              or xxhash.xxh64_intdigest(data[a:b]) % DIVISOR == 0):
+            out.append((start, b))
+            start = spans[i + 1][0] if i < last else b
 
 
 def occurrences(df: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -93,3 +93,37 @@ def test_query(spark, sf):
     got = L.op10_line_dedup(spark, sf).collect()
     assert sorted(map(tuple, got), key=str) == sorted(brute(rows), key=str)
     assert sum(r["removed_chunks"] for r in got) > 0
+
+
+def passages_in_other_lines(spark, rnd, lines, words, within="\n", n=60):
+    """Share of the lines of passages, each set in two texts of other lines, that the later text loses; lines of others it loses."""
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(5))
+    line = lambda: " ".join(word() for _ in range(words))
+    around = lambda: [line() for _ in range(rnd.randrange(5, 20))]
+    rows, passage, others = [], {}, {}
+    for d in range(n):
+        p = [line() for _ in range(lines)]
+        for i in (d, 1000 + d):
+            before, behind = around(), around()
+            rows.append((i, within.join(before + p + behind)))
+            passage[i], others[i] = p, before + behind
+    got = {r["doc_id"]: r["text"] for r in L.remove_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] == t for d, t in rows if d < 1000)
+    gone = sum(x not in got[1000 + d] for d in range(n) for x in passage[1000 + d])
+    return gone / (n * lines), sum(x not in got[1000 + d] for d in range(n) for x in others[1000 + d])
+
+
+@pytest.mark.parametrize("within", ["\n", ". "])
+def test_passages_inside_a_run_are_found(spark, within):
+    """Against the passages themselves, without chunks()."""
+    rnd = random.Random(11)
+    for lines in (2, 5, 10):
+        assert passages_in_other_lines(spark, rnd, lines, 8, within) == (1.0, 0)
+    share, others = passages_in_other_lines(spark, rnd, 12, 5, within)      # lines shorter than a chunk
+    assert share > 0.5 and others == 0
+
+
+def test_a_copy_leaves_no_short_lines(spark):
+    text = "a longer sentence that is a chunk by its own length. Oh. another one that is long enough to be a chunk. No"
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in L.remove_repeated_chunks(df).collect()} == {1: text, 2: ""}
