@@ -1,7 +1,9 @@
 """Line dedup with content-defined chunks of lines (operator 10).
 
 A text is cut into lines at line ends; a line of several sentences counts as so
-many lines (cut behind ". ").  Runs of lines form chunks of ``MIN_BYTES`` or more: a
+many lines (cut behind the marks of ``SENTENCE_END``), and so does a sentence of more
+than ``LONG`` bytes (cut behind words, or behind letters where no blanks are, by the
+hash of what stands there).  Runs of lines form chunks of ``MIN_BYTES`` or more: a
 line end closes a chunk beside a line of several sentences, behind a line that has
 ``MIN_BYTES`` itself, before such a line, and elsewhere where the hash of the line is
 0 mod ``DIVISOR``; a shorter rest of a run belongs to the chunk before it.  So
@@ -36,7 +38,12 @@ from sitewatch.session import materialize
 from .common import in_arrow, same_document, table, with_text_key
 
 DIVISOR, MIN_BYTES = 2, 40
-SENTENCE_END = re.compile(rb"(\.) ")
+LONG, WORDS, LETTERS = 160, 8, 16       # bytes of a sentence that is cut, mean words and letters between cuts
+# marks of sentences (with quotes and brackets that close them) before a blank, or of scripts that set none
+SENTENCE_END = re.compile(rb"""((?:[.!?]|\xe2\x80\xa6|\xd8\x9f|\xdb\x94|\xe0\xa5\xa4|\xd6\x89)["')\]]*) """
+                          rb"|((?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)+(?:\xe3\x80\x8d|\xe3\x80\x8f|\xe2\x80\x9d)*) ?")
+WORD = re.compile(rb"[^ ]+")
+LETTER = re.compile(rb"[^\x80-\xbf][\x80-\xbf]*")
 
 
 def chunks(data: bytes) -> list[tuple[int, int]]:
@@ -58,16 +65,35 @@ def chunks(data: bytes) -> list[tuple[int, int]]:
 
 
 def _sentences(data: bytes, start: int, end: int) -> list[tuple[int, int]]:
-    """A line's sentences with their marks, without the blank behind them."""
+    """A line's sentences with their marks, without the blank behind them; long ones in parts."""
     out, at = [], start
     for m in SENTENCE_END.finditer(data, start, end):
-        if m.end(1) < end and m.end(1) > at:
-            out.append((at, m.end(1)))
+        mark = m.end(m.lastindex)
+        if m.end() < end:
+            _parts(data, at, mark, out)
             at = m.end()
-    out.append((at, end))
+    _parts(data, at, end, out)
     return out
 
 
+def _parts(data: bytes, start: int, end: int, out: list[tuple[int, int]]) -> None:
+    """Parts of a long sentence, cut behind words, and in words that are long behind letters, by what stands there."""
+    if end - start > LONG:
+        for m in WORD.finditer(data, start, end):
+            a, b = m.span()
+            if b - a > LONG:
+                before = a
+                for x in LETTER.finditer(data, a, b):
+                    if x.end() < b and xxhash.xxh64_intdigest(data[before:x.end()]) % LETTERS == 0:
+                        out.append((start, x.end()))
+                        start = x.end()
+                    before = x.start()
+            elif b < end and xxhash.xxh64_intdigest(data[a:b]) % WORDS == 0:
+                out.append((start, b))
+                start = b + 1
+    out.append((start, end))
+
+
 def _cut(data: bytes, spans: list[tuple[int, int]], out: list[tuple[int, int]]) -> None:
     if not spans or spans[-1][1] - spans[0][0] < MIN_BYTES:
         return
@@ -140,8 +166,8 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 
 def _behind(data, end):
-    """The place after a chunk's separator: a line end is one byte, and so is the blank after a full stop."""
-    return F.least(end + 1, F.octet_length(data))
+    """The place after a chunk's separator, a line end or a blank; in scripts without blanks there may be none."""
+    return end + F.substring(data, end + 1, F.lit(1)).isin(bytearray(b"\n"), bytearray(b" ")).cast("int")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

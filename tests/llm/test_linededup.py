@@ -127,3 +127,33 @@ def test_a_copy_leaves_no_short_lines(spark):
     text = "a longer sentence that is a chunk by its own length. Oh. another one that is long enough to be a chunk. No"
     df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in L.remove_repeated_chunks(df).collect()} == {1: text, 2: ""}
+
+
+@pytest.mark.parametrize("letters, blank, end, least", [
+    ("abcdefghijklmnop", " ", "! ", 1), ("abcdefghijklmnop", " ", "? ", 1), ("天地玄黄宇宙洪荒日月盈昃辰宿列张", "", "。", 1),
+    ("abcdefghijklmnop", " ", " ", 0.6), ("天地玄黄宇宙洪荒日月盈昃辰宿列张", "", "", 0.6), ("天地玄黄宇宙洪荒日月盈昃辰宿列张", "", "，", 0.6)])
+def test_passages_inside_a_line_without_full_stops(spark, letters, blank, end, least):
+    """Share of a passage's letters that the later of two lines around it loses; the rest of both stays."""
+    rnd = random.Random(5)
+    part = lambda: blank.join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(8))
+    some = lambda n: end.join(part() for _ in range(n)) + end
+    rows, around, size = [], {}, 0
+    for d in range(40):
+        p = some(10)
+        size += len(p)
+        for i in (d, 1000 + d):
+            around[i] = some(rnd.randrange(8, 16)), some(rnd.randrange(8, 16))
+            rows.append((i, around[i][0] + p + around[i][1]))
+    got = {r["doc_id"]: r["text"] for r in L.remove_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] == t for d, t in rows if d < 1000)
+    assert all(got[1000 + d].startswith(around[1000 + d][0].rstrip()) and got[1000 + d].endswith(around[1000 + d][1]) for d in range(40))
+    assert sum(len(t) - len(got[d]) for d, t in rows) >= least * size - 80 * 40 * (least == 1)
+
+
+def test_a_lone_long_line_goes_where_it_repeats(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    line = " ".join(word() for _ in range(60))
+    rows = [(1, line), (2, line), (3, f"One sentence here. Another one.\n{line}\nA third sentence. And one more.")]
+    got = {r["doc_id"]: r["text"] for r in L.remove_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: line, 2: "", 3: "One sentence here. Another one.\nA third sentence. And one more."}
