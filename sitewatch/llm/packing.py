@@ -67,7 +67,7 @@ class Words:
     def split(self, text: str) -> list[str]:
         # lower case letter by letter, as the vocabulary's normalizer does, where both agree for certain
         text = text if _BEYOND.search(text) else text.lower()
-        return regex.split(r"\p{White_Space}+", text) if _SEPARATORS.search(text) else text.split()
+        return regex.findall(r"\P{White_Space}+", text) if _SEPARATORS.search(text) else text.split()
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) > KNOWN_WORDS:

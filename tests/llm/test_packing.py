@@ -94,3 +94,10 @@ def test_ids_on_request(spark, library):
     df = spark.createDataFrame([(1, "word " * 3000)], "doc_id long, text string")
     rows = sorted(packing.pieces(df, PATH, with_ids=True).collect(), key=lambda r: r["piece"])
     assert sum((list(r["ids"]) for r in rows), []) == library("word " * 3000)
+
+
+def test_separators_with_white_space_at_the_ends(library):
+    w = packing.Words(PATH)
+    texts = ["a\x1fb foo\n", " a\x1cb", "\n\x1d\n", "\x1e", " \x1f ", "\x1f x. \x1c,\n", "　a\x1db\x85"]
+    for t, ids in zip(texts, w.ids(texts)):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == library(t)[:-1], repr(t)
