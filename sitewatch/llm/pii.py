@@ -3,7 +3,9 @@
 ``detect`` finds e-mail addresses, phone, card and social security numbers, IBANs,
 IP addresses, secrets (values of password-like assignments, access keys) and
 names (behind a form of address, or a common given name with a surname).  A name's
-parts are entities of their own, so "Mr Smith" and "John Smith" stay related.
+parts, however many, are entities of their own, so "Mr Smith" and "John Smith" stay
+related; particles ("de la", "von") stay, an initial becomes another initial of the
+script's basic letters (other letters stay).
 
 Each distinct entity (kind and canonical form) of the whole table gets one
 surrogate, drawn by HMAC from a key: of the same kind, with the original's length
@@ -69,6 +71,10 @@ SURNAME_ENDS = {("latin", "n"): "ford ton man er well ley".split(), ("cyrillic",
                 ("cyrillic", "f"): "ова ина ская".split(), ("greek", "n"): "ίδης άκης όπουλος".split(), ("greek", "f"): "ίδου άκη οπούλου".split()}
 ALPHABETS = {"LATIN": "abcdefghijklmnopqrstuvwxyz", "CYRILLIC": "абвгдежзиклмнопрстуфхцчшэюя", "GREEK": "αβγδεζηθικλμνξοπρστυφχψω"}
 
+# Small words inside a name, and those that only follow such a word; they stay.
+PARTICLES = set("de del della di da do dos du van von vom bin ibn af av ter ten".split())
+BEHIND_PARTICLES = set("la las los le les der den dem het".split())
+
 WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 EMAIL = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
@@ -127,22 +133,36 @@ def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
             if text[nxt:nxt + 1] != " ":
                 continue
             at, nxt = nxt + 1, nxt + 1
-        words = []
+        words = []          # (start, end, word, what it is besides a name)
         place = at
-        while len(words) < 3 and (m := NAME_WORD.match(text, place)) and m[0][0].isupper() and script_of(m[0]):
-            if words and script_of(m[0]) != script_of(words[0][2]) or (len(m[0]) > 1 and m[0].isupper() != word.isupper()):
+        while m := NAME_WORD.match(text, place):
+            w, what = m[0], "initial" if len(m[0]) == 1 else ""
+            if w == w.lower() or w.isupper() and word.isupper():
+                if w.lower() in PARTICLES or words and words[-1][3] == "particle" and w.lower() in BEHIND_PARTICLES:
+                    what = "particle"
+            if what != "particle" and not (w[0].isupper() and script_of(w)):
+                break
+            if words and script_of(w) != script_of(words[0][2]) or not what and w.isupper() != word.isupper():
                 break
-            words.append((m.start(), m.end(), m[0]))
-            if text[m.end():m.end() + 1] != " ":
+            words.append((m.start(), m.end(), w, what))
+            stop = what == "initial" and text[m.end():m.end() + 1] == "."
+            place = m.end() + stop
+            if text[place:place + 1] == " ":
+                place += 1
+            elif not stop:          # initials may stand close, as in J.F. Kennedy
                 break
-            place = m.end() + 1
+        while words and words[-1][3]:
+            words.pop()
         # a given name alone is no person
         if not words or script and len(words) < 2:
             continue
         kind_of = script_of(words[0][2])
-        for i, (a, b, w) in enumerate(words):
-            last = i == len(words) - 1
-            if last:
+        for i, (a, b, w, what) in enumerate(words):
+            if what == "particle":
+                continue
+            if what == "initial":
+                kind = f"initial {kind_of}"
+            elif i == len(words) - 1:
                 kind = _surname_kind(kind_of, gender, w)
             else:
                 known = next((g for (s, g), ns in GIVEN.items() if s == kind_of and w.title() in ns), gender)
@@ -220,6 +240,13 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     d = _Draw(key, kind, canon, attempt)
     extra = attempt // 64
     sort, *rest = kind.split(" ")
+    if sort == "initial":       # one cycle through the alphabet, so that equal stays equal and different different
+        letters = list(ALPHABETS[rest[0].upper()])
+        of_script = _Draw(key, kind)
+        for i in range(len(letters) - 1, 0, -1):
+            j = of_script.below(i + 1)
+            letters[i], letters[j] = letters[j], letters[i]
+        return letters[(letters.index(canon) + 1) % len(letters)] if canon in letters else canon
     if sort in ("given", "surname"):
         script, gender = rest
         if sort == "given" and attempt < 4 and (script, gender) in GIVEN:
@@ -261,7 +288,7 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
 
 def render(mention: str, kind: str, new: str) -> str:
     """A surrogate in the writing of a mention."""
-    if kind.startswith(("given", "surname")):
+    if kind.startswith(("given", "surname", "initial")):
         return new.upper() if mention.isupper() and len(mention) > 1 else new.title() if mention[:1].isupper() else new
     if kind == "email":
         return new.upper() if mention.isupper() else new
@@ -305,7 +332,9 @@ def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=["kind", "canon", "new"])
         return in_arrow(rows, run, "kind string, canon string, new string")
 
-    settled, todo, attempt = None, entities, 0
+    # an alphabet is too small for draws that are no entity: initials have their place in a keyed cycle
+    initials = draw(entities.where("kind LIKE 'initial %'"), 0)
+    settled, todo, attempt = None, entities.where("kind NOT LIKE 'initial %'"), 0
     while True:
         drawn = materialize(draw(todo, attempt), "drawn")
         # of the entities that drew the same, the first in order has it, if no entity is it and none had it before
@@ -317,7 +346,7 @@ def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
         settled = free if settled is None else settled.unionByName(free)
         todo = materialize(drawn.select("kind", "canon").join(free.select("kind", "canon"), ["kind", "canon"], "left_anti"), "todo")
         if todo.isEmpty():
-            return settled
+            return settled.unionByName(initials)
         attempt += 1
 
 

@@ -85,3 +85,23 @@ def test_query(spark, sf):
         for (*_, k, a), (*_, k2, b) in zip(found, new):
             assert b not in real and seen.setdefault((k, a), b) == b
     assert len(set(seen.values())) == len(seen) > 5
+
+
+@pytest.mark.parametrize("text, canons", [
+    ("Frau Anna Maria Luise Schmidt kam", "anna maria luise schmidt"), ("John F. Kennedy spoke", "john f kennedy"), ("Mr J.F. Kennedy.", "j f kennedy"),
+    ("by Carlos de la Cruz, Mr Carlos de la Cruz and", "carlos cruz carlos cruz"), ("Herr von Trapp und Frau Ursula von der Leyen", "trapp ursula leyen"),
+    ("CARLOS DE LA CRUZ", "carlos cruz"), ("Mr Smith I think of the", "smith"), ("Herr Müller der Chef", "müller"),
+])
+def test_whole_names(text, canons):
+    found = [(k, c) for *_, k, c in pii.detect(text)]
+    assert " ".join(c for _, c in found) == canons
+    assert [k.split(" ")[0] for k, _ in found] == ["surname" if c in ("schmidt", "kennedy", "cruz", "trapp", "leyen", "smith", "müller")
+                                                 else "initial" if len(c) == 1 else "given" for _, c in found]
+
+
+def test_initials_stay_initials(spark):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    out = dict(replaced(spark, [(i, f"John {c}. Kennedy and Carlos de la Cruz, again John {c} Kennedy") for i, c in enumerate(letters)]))
+    parts = [re.fullmatch(r"(\w+) ([A-Z])\. (\w+) and (\w+) de la (\w+), again \1 \2 \3", out[i]) for i in range(26)]
+    assert len({m[2] for m in parts}) == 26 and all(m[2] != c for m, c in zip(parts, letters))
+    assert not any(w in t for t in out.values() for w in ("John", "Kennedy", "Carlos", "Cruz"))
