@@ -5,7 +5,8 @@ DataFrame that is written as Parquet and read again as the next one's docs.  All
 the last return the columns of ``documents``.
 
 1. language ID: learned from the docs given; without a letter, or with a best
-   language of less than ``MIN_SCORE``, a document goes
+   language of less than ``MIN_SCORE``, a document goes; where no row has a language
+   to learn from, every document with a letter stays
 2. line dedup: repeated chunks of lines go, but for their first place
 3. SimHash near-dedup: of each group the document of smallest doc_id stays
 4. PII: surrogates for personal data
@@ -31,6 +32,8 @@ KEY = b"surrogates of the corpus pipeline"      # an own secret key for real use
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.predict(docs, model, lang_out="__lang", score_out="__score")
     return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
 

@@ -75,3 +75,9 @@ def test_run_on_empty_and_odd_tables(spark, tmp_path):
     odd = [(None, None, None, None, None), (None, text, "en", None, None), (1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, "", "en", "s", 0)]
     spark.createDataFrame(odd, schema).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert np.unique([r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/b").collect() if r["doc_id"]]).tolist() == [1]
+
+
+def test_without_a_language_texts_stay(spark):
+    given = [(1, "some words", None), (2, "12 !", None), (3, None, None), (4, "слова 日本", None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    assert sorted(rows(corpus_pipeline.identify_language(spark, docs, ""))) == [given[0], given[3]]
