@@ -8,6 +8,7 @@ from corpus_pipeline import run as pipeline
 from .ann import op6_ann
 from .bpe import op1_bpe
 from .chat import OP4_SQL, op4_chat
+from .decontam import OP11_SQL, op11_decontamination
 from .langid import op9_langid
 from .linededup import op10_line_dedup
 from .packing import op5_packing
@@ -27,11 +28,13 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_langid": op9_langid,
     "op10_line_dedup": op10_line_dedup,
+    "op11_decontamination": op11_decontamination,
     "pipeline": pipeline,
 }
 
 ORACLE = {
     "op4_chat": OP4_SQL,
+    "op11_decontamination": OP11_SQL,
 }
 if PIPELINE_SQL:
     ORACLE["pipeline"] = PIPELINE_SQL
