@@ -8,6 +8,7 @@ from corpus_pipeline import run as pipeline
 from .ann import op6_ann
 from .bpe import op1_bpe
 from .chat import OP4_SQL, op4_chat
+from .codes import OP13_SQL, op13_codes
 from .decontam import OP11_SQL, op11_decontamination
 from .langid import op9_langid
 from .linededup import op10_line_dedup
@@ -29,12 +30,14 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_line_dedup": op10_line_dedup,
     "op11_decontamination": op11_decontamination,
+    "op13_codes": op13_codes,
     "pipeline": pipeline,
 }
 
 ORACLE = {
     "op4_chat": OP4_SQL,
     "op11_decontamination": OP11_SQL,
+    "op13_codes": OP13_SQL,
 }
 if PIPELINE_SQL:
     ORACLE["pipeline"] = PIPELINE_SQL
