@@ -17,6 +17,7 @@ from .pii import op3_pii
 from .quality import op2_quality
 from .simhash import op8_simhash
 from .topk import op7_topk
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_bpe": op1_bpe,
@@ -30,6 +31,7 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_line_dedup": op10_line_dedup,
     "op11_decontamination": op11_decontamination,
+    "op12_whitening": op12_whitening,
     "op13_codes": op13_codes,
     "pipeline": pipeline,
 }
