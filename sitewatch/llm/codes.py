@@ -40,7 +40,7 @@ from .common import in_arrow, table
 from .wholes import as_longs, exact, lengths, matrix, size, sums_of, whole_vectors
 
 SCALE, PARTS, ENTRIES, ROUNDS = 4096, 8, 16, 6
-CELL = 512                  # side of a grid cell
+CELL = 256                  # side of a grid cell
 MOST_CELLS = 1 << 17
 STEP = 1 << 14              # rows or cells worked on together
 SALTS = 16
