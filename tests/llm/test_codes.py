@@ -85,6 +85,7 @@ def test_other_columns_and_names(spark):
 
 
 def test_cells_keep_what_may_be_nearest(monkeypatch):
+    monkeypatch.setattr(codes, "CELL", 512)
     rnd = np.random.default_rng(5)
     book, x = rnd.integers(-2000, 2000, (16, 2)), rnd.integers(-3000, 3000, (5000, 2))
     d = ((x[:, None, :] - book[None]) ** 2).sum(axis=2)
