@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -55,6 +55,36 @@ class Fixtures:
         return self.base.filter(F.col("page_id") % 31 != 0).select(
             "page_id", "project_id", "url", "status_code", "body")
 
+    @cached_property
+    def linked_fetch(self) -> DataFrame:
+        """``fetch`` with links between the pages of a site.
+
+        A site's URLs in order of URL, from 0, are a binary tree: page i names pages 2i+1
+        and 2i+2, in the forms that pages write links in, and the start page again
+        (a cycle).  Beside them stand links to other hosts, other schemes and
+        to the page itself, and anchors in comments and scripts.
+        """
+        order = Window.partitionBy("project_id").orderBy("url")
+        urls_ = self.base.select("project_id", "url").distinct().withColumn("i", F.row_number().over(order) - 1)
+        child = urls_.filter("i > 0").select("project_id", F.expr("(i - 1) div 2").alias("i"), F.col("i").alias("k"), F.col("url").alias("to"))
+        scheme = "^(https?):.*$"
+        same = F.regexp_replace("to", scheme, "$1") == F.regexp_replace("url", scheme, "$1")
+        to, k = F.replace("to", F.lit("&"), F.lit("&amp;")), F.when(same, F.col("k") % 5).otherwise(0)
+        rooted = F.regexp_replace(to, "^https?://[^/]*", "")
+        link = (F.when(k == 0, F.concat(F.lit('<a class="x" href="'), to, F.lit('">a</a>')))
+                .when(k == 1, F.concat(F.lit("<A title='>' data-href=\"/no\" HREF = '"), rooted, F.lit("'>b</A>")))
+                .when(k == 2, F.concat(F.lit("<a\nhref="), rooted, F.lit(">c</a>")))
+                .when(k == 3, F.concat(F.lit('<a href=" '), rooted, F.lit('#top " rel=next>d</a>')))
+                .otherwise(F.concat(F.lit('<a href="'), F.regexp_replace(to, "^https?:", ""), F.lit('">e</a>'))))
+        tree = (urls_.join(child, ["project_id", "i"], "left").groupBy("project_id", "url", "i")
+                .agg(F.array_join(F.array_sort(F.collect_list(link)), " ").alias("links")))
+        first = urls_.filter("i = 0").select("project_id", F.col("url").alias("start"))
+        noise = ('<a href="#here">f</a><a href="mailto:a@b.example">g</a><a href="https://other.example/x">h</a><a name="n">i</a>'
+                 '<!-- <a href="/hidden">j</a> --><script>var s = "<a href=\'/script\'>";</script>')
+        more = F.concat(F.col("links"), F.lit(noise + '<a href="'), F.replace("start", F.lit("&"), F.lit("&amp;")), F.lit('">k</a></title>'))
+        return (self.fetch.join(tree.join(first, "project_id"), ["project_id", "url"])
+                .withColumn("body", F.concat(more, "body")).drop("links", "i", "start"))
+
     @cached_property
     def pages(self) -> DataFrame:
         pid = F.col("page_id")

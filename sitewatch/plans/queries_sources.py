@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import robots
+from ..operators import links, robots
 from ..sources import sitemaps as SM
 from ..session import materialize
 from ..sources import tables
@@ -183,3 +183,31 @@ def q_visible_text(spark, sf_dir):
 @register("content_fingerprint", O.with_fx(f"SELECT page_id, sha256({O.norm('body')}) AS content_sha256 FROM fx_base"))
 def q_content_fingerprint(spark, sf_dir):
     return _fx(spark, sf_dir).base.select("page_id", text.fingerprint("body").alias("content_sha256"))
+
+
+# What linked_fetch adds is known by its rule; the other links of these pages are rooted paths
+LINK_EDGES_DUCK = ("fx_edges", f"""SELECT DISTINCT project_id, url, link FROM (
+   SELECT f.project_id, f.url, c.url AS link FROM fx_ok f JOIN fx_ranked r ON r.project_id=f.project_id AND r.url=f.url
+     JOIN fx_ranked c ON c.project_id=r.project_id AND (c.i=0 OR (c.i-1)//2=r.i)
+   UNION ALL SELECT project_id, url, {ORIGIN_DUCK.format(u='url')} || unnest(regexp_extract_all(body, '<a href="(/[^"]*)"', 1)) FROM fx_ok)
+   WHERE link<>url""")
+LINK_CTES = [("fx_ok", "SELECT project_id, url, body FROM fx_fetch WHERE status_code=200"),
+             ("fx_ranked", "SELECT project_id, url, row_number() OVER (PARTITION BY project_id ORDER BY url)-1 AS i FROM (SELECT DISTINCT project_id, url FROM fx_base)"),
+             LINK_EDGES_DUCK]
+
+
+@register("link_edges", O.with_fx("SELECT * FROM fx_edges", *LINK_CTES))
+def q_link_edges(spark, sf_dir):
+    return links.link_edges(_fx(spark, sf_dir).linked_fetch)
+
+
+# a third of the sites go to any depth (the tree of pages is never 40 deep), the others to 0 to 5 links
+@register("depth_limited_frontier", O.with_fx("""WITH fx_walk AS (
+   SELECT project_id, start_url AS url, 0 AS depth, CASE WHEN length(project_id)%3=0 THEN 40 ELSE length(project_id)%6 END AS most FROM fx_projects
+   UNION SELECT w.project_id, e.link, w.depth+1, w.most FROM fx_walk w JOIN fx_edges e ON e.project_id=w.project_id AND e.url=w.url WHERE w.depth<w.most)
+   SELECT project_id, url, min(depth) AS depth FROM fx_walk GROUP BY project_id, url""", *LINK_CTES).replace("WITH ", "WITH RECURSIVE ", 1))
+def q_depth_limited_frontier(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    size = F.length("project_id")
+    sites = fx.projects.withColumn("crawl_depth", F.when(size % 3 != 0, size % 6))
+    return links.depth_limited_frontier(links.link_edges(fx.linked_fetch), sites, None)

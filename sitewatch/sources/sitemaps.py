@@ -3,8 +3,8 @@ expansion (S4).
 
 XML is parsed with ``from_xml`` in PERMISSIVE mode: a malformed document
 yields no URLs and never fails the task (``xpath`` would throw).  Index
-expansion is a loop of equi-joins ``loc = url`` against the fetched documents,
-with an anti-join on already visited documents, until none is left.
+expansion parses each document once and then walks the table of their entries
+by equi-joins, with an anti-join on visited documents, until none is left.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..session import materialize
+from .tables import clustered
 
 # --- fixed values ----------------------------------------------------------
 SITEMAP_NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
@@ -61,30 +62,34 @@ def sitemap_urls(docs: DataFrame) -> DataFrame:
             .select("project_id", urls.ensure_scheme("loc").alias("url")))
 
 
-def expand_index(docs: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """URLs of the sitemaps, following index documents to their children
-    (fetched documents in ``snapshot``, status 200) to whatever depth.
-
-    Level by level: the children named by the last level's indexes that no
-    earlier level has visited are looked up in the snapshot by URL, and only
-    their bodies are parsed.  The walk ends when no unvisited document is
-    left, so cycles end too.  Entries and visited documents of a level are
-    tables in the shared checkpoint folder.  Returns distinct (project_id, url).
+def entry_table(snapshot: DataFrame) -> DataFrame:
+    """Distinct entries of every site map document in ``snapshot``, laid out by document.
+
+    One pass over the bodies: what does not name the sitemap namespace is not parsed.
     """
     ok = snapshot.filter(F.col("status_code") == 200).select("project_id", "url", "body")
-    entries = materialize(parse_entries(docs.select("project_id", "url", "body")), "sitemap-entries")
-    visited = docs.select("project_id", "url")
-    found = entries
+    return clustered(parse_entries(ok).distinct(), ["project_id", "doc_url"], "sitemap-entries")
+
+
+def expand_index(docs: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """URLs of the site maps ``docs`` (project_id, url), following index documents to their
+    children (fetched documents in ``snapshot``, status 200) to whatever depth.
+
+    The walk is over the table of entries, (parent, child) rows without bodies: level by
+    level the children that the last level's indexes name and no earlier level
+    has visited, until none is left, so cycles end too.  Returns distinct
+    (project_id, url).
+    """
+    entries = entry_table(snapshot)
+    named = entries.filter(F.col("kind") == "sitemap").select("project_id", "doc_url", F.col("loc").alias("child"))
+    level = visited = materialize(docs.select("project_id", F.col("url").alias("doc_url")).distinct(), "sitemap-level")
     while True:
-        children = (entries.filter(F.col("kind") == "sitemap").select("project_id", F.col("loc").alias("url")).distinct()
-                    .join(visited, ["project_id", "url"], "left_anti"))
-        children = materialize(children, "sitemap-children")
-        if children.isEmpty():
+        children = named.join(level, ["project_id", "doc_url"]).select("project_id", F.col("child").alias("doc_url")).distinct()
+        level = materialize(children.join(visited, ["project_id", "doc_url"], "left_anti"), "sitemap-level")
+        if level.isEmpty():
             break
-        visited = visited.unionByName(children)
-        entries = materialize(parse_entries(ok.join(children, ["project_id", "url"], "left_semi")), "sitemap-entries")
-        found = found.unionByName(entries)
-    return (found.filter(F.col("kind") == "url")
+        visited = visited.unionByName(level)
+    return (entries.filter(F.col("kind") == "url").join(visited, ["project_id", "doc_url"], "left_semi")
             .select("project_id", urls.ensure_scheme("loc").alias("url")).distinct())
 
 

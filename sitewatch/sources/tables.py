@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import scratch_table_path
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +41,24 @@ def existing_pages(pages: DataFrame, project_ids: DataFrame | None = None) -> Da
     if project_ids is not None:
         out = out.join(project_ids.select("project_id").distinct(), "project_id", "left_semi")
     return out
+
+
+def write_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Write ``df`` at ``path`` bucketed and sorted by ``keys``, and read it back as a table.
+
+    Spark then knows how the rows lie: joins and aggregates on ``keys`` with at least
+    that many shuffle partitions read the buckets as they are, without an exchange or a
+    sort of this side.  One file a bucket; the number of buckets is the session's number
+    of shuffle partitions unless given.  The table's name lives in this session's
+    catalog, its files stay at ``path``.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    (df.repartition(n, *keys).write.option("path", path).bucketBy(n, *keys).sortBy(*keys).format("parquet").saveAsTable(name))
+    return spark.table(name)
+
+
+def clustered(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``df`` written once to the shared scratch folder in buckets of ``keys``, for several joins on them."""
+    return write_bucketed(df, scratch_table_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}"), keys)
