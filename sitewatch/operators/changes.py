@@ -10,7 +10,7 @@ key ``(project_id, url)``, which lets Spark reuse one hash partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
@@ -91,6 +91,26 @@ def match_frontier(frontier_df: DataFrame, pages: DataFrame) -> DataFrame:
             .withColumn("is_known", F.col("page_id").isNotNull()))
 
 
+def change_class(is_new: Column, failed: Column, status: Column, rev_id: Column, old: Column, new: Column) -> tuple[Column, Column]:
+    """Class and reason (P9) of one look at a page, in the order of checks of J3."""
+    bad_status = status != 200
+    no_rev = rev_id.isNull()
+    no_hash = F.coalesce(old, F.lit("")) == ""
+    differs = old != new
+    cls = (F.when(is_new, F.lit(NEW))
+           .when(failed | bad_status | no_rev | no_hash | differs, F.lit(CHANGED))
+           .otherwise(F.lit(UNCHANGED)))
+    reason = (F.when(is_new, F.lit(None).cast("string"))
+              .when(failed, F.lit(REASON_FETCH_FAILED))
+              .when(bad_status, F.concat(F.lit("HTTP "), status.cast("string"), F.lit(" on full fetch")))
+              .when(no_rev, F.lit(REASON_NO_REVISION))
+              .when(no_hash, F.lit(REASON_NO_HASH))
+              .when(differs, F.concat(F.lit("Content hash changed: "), F.substring(old, 1, 8),
+                                      F.lit("... -> "), F.substring(new, 1, 8), F.lit("...")))
+              .otherwise(F.lit(REASON_SAME)))
+    return cls, reason
+
+
 def classify_changes(frontier_df: DataFrame, pages: DataFrame, revisions: DataFrame,
                      digest: DataFrame) -> DataFrame:
     """New / changed / unchanged with the reason, per frontier URL.
@@ -110,25 +130,7 @@ def classify_changes(frontier_df: DataFrame, pages: DataFrame, revisions: DataFr
          .join(fetched, ["project_id", "url"], "left"))
     rev_id = F.col("current_revision.id")
     old = F.col("current_revision.content_sha256")
-    new = F.col("content_sha256")
-    is_new = F.col("page_id").isNull()
-    failed = F.col("_fetched").isNull()
-    bad_status = F.col("status_code") != 200
-    no_rev = rev_id.isNull()
-    no_hash = F.coalesce(old, F.lit("")) == ""
-    differs = old != new
-    cls = (F.when(is_new, F.lit(NEW))
-           .when(failed | bad_status | no_rev | no_hash | differs, F.lit(CHANGED))
-           .otherwise(F.lit(UNCHANGED)))
-    reason = (F.when(is_new, F.lit(None).cast("string"))
-              .when(failed, F.lit(REASON_FETCH_FAILED))
-              .when(bad_status, F.concat(F.lit("HTTP "), F.col("status_code").cast("string"),
-                                         F.lit(" on full fetch")))
-              .when(no_rev, F.lit(REASON_NO_REVISION))
-              .when(no_hash, F.lit(REASON_NO_HASH))
-              .when(differs, F.concat(F.lit("Content hash changed: "), F.substring(old, 1, 8),
-                                      F.lit("... -> "), F.substring(new, 1, 8), F.lit("...")))
-              .otherwise(F.lit(REASON_SAME)))
+    cls, reason = change_class(F.col("page_id").isNull(), F.col("_fetched").isNull(), F.col("status_code"), rev_id, old, F.col("content_sha256"))
     return j.select("project_id", "url", "page_id", cls.alias("change_class"), reason.alias("change_reason"),
                     rev_id.alias("old_revision_id"), old.alias("old_content_sha256"),
                     F.coalesce(F.col("_fetched"), F.lit(False)).alias("fetched"),

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..schemas import DEFAULT_MAX_DEPTH
+from ..session import materialize
+from .bloom import bloom_filter, may_hold
 from .changes import CHANGED, NEW, crawl_candidates
 from .ranking import latest_per_key, rank_within
 
 
+PAGE_ID_PREFIX, REVISION_ID_PREFIX = "pg_", "rev_"
+
+
 def _lit_ts(now) -> Column:
     return now if isinstance(now, Column) else F.lit(now).cast("timestamp")
 
@@ -93,12 +98,12 @@ def crawl_result(changes: DataFrame, crawled_with_ids: DataFrame, projects: Data
 
 def new_page_id(project_id: Column, url: Column) -> Column:
     """Repeatable id for a page first seen in a run."""
-    return F.concat(F.lit("pg_"), F.sha2(F.concat_ws("|", project_id, url), 256))
+    return F.concat(F.lit(PAGE_ID_PREFIX), F.sha2(F.concat_ws("|", project_id, url), 256))
 
 
 def new_revision_id(page_id: Column, run_id: Column) -> Column:
     """Repeatable id for a revision written by a run."""
-    return F.concat(F.lit("rev_"), F.sha2(F.concat_ws("|", page_id, run_id), 256))
+    return F.concat(F.lit(REVISION_ID_PREFIX), F.sha2(F.concat_ws("|", page_id, run_id), 256))
 
 
 def dedup_revisions(crawled: DataFrame, run_id: Column | str) -> DataFrame:
@@ -127,22 +132,27 @@ def dedup_revisions(crawled: DataFrame, run_id: Column | str) -> DataFrame:
 def new_revisions(dedup: DataFrame, snapshot: DataFrame, run_id: Column | str, now) -> DataFrame:
     """S9 rows: one revision per really new content.
 
-    The raw body is joined back for these pages only, from the 200 responses
-    whose text has the revision's fingerprint; of a URL that the snapshot holds
-    twice, the digest's choice is the one with that fingerprint.
+    The raw bodies come from the 200 responses of the snapshot.  A Bloom filter of the
+    fresh pages dismisses the others at the scan, so what is shuffled is in proportion to
+    the new revisions.  Of a URL that the snapshot holds with several bodies, the digest's
+    choice is the one with the revision's fingerprint (the smallest, if several have
+    it); no other body is hashed again.
     """
     run = F.col(run_id) if isinstance(run_id, str) else run_id
-    fresh = dedup.filter(F.col("is_new_revision")).withColumn("__run", run)
-    bodies = (snapshot.filter(F.col("status_code") == 200)
-              .select("project_id", "url", F.col("body").alias("content")))
-    found = (fresh.join(bodies, ["project_id", "url"])
-             .filter(text.fingerprint("content") == F.col("content_sha256"))
-             .select(F.col("revision_id").alias("id"), "page_id", F.col("__run").alias("run_id"), "content",
-                     "content_sha256", "title", F.col("description").alias("meta_description"),
-                     _lit_ts(now).alias("created_at"),
-                     F.to_json(F.struct(F.coalesce(F.col("change_reason"), F.lit("Unknown"))
-                                        .alias("change_reason"))).alias("metadata")))
-    return latest_per_key(found, ["id"], ["content"], newest=False)
+    key = ["project_id", "url"]
+    fresh = materialize(dedup.filter(F.col("is_new_revision")).select(
+        *key, "revision_id", "page_id", run.alias("_run"), "content_sha256", "title", "description", "change_reason"), "fresh")
+    bodies = may_hold(snapshot.filter(F.col("status_code") == 200).select(*key, F.col("body").alias("content")), key, bloom_filter(fresh, key))
+    found = bodies.join(fresh, key)
+    same_url = Window.partitionBy(*key)
+    several = F.min("content").over(same_url) != F.max("content").over(same_url)
+    found = (found.withColumn("_several", several).filter(~F.col("_several") | (text.fingerprint("content") == F.col("content_sha256")))
+             .withColumn("_nth", F.row_number().over(same_url.orderBy("content"))).filter("_nth = 1"))
+    return found.select(F.col("revision_id").alias("id"), "page_id", F.col("_run").alias("run_id"), "content",
+                        "content_sha256", "title", F.col("description").alias("meta_description"),
+                        _lit_ts(now).alias("created_at"),
+                        F.to_json(F.struct(F.coalesce(F.col("change_reason"), F.lit("Unknown"))
+                                           .alias("change_reason"))).alias("metadata"))
 
 
 def upsert_pages(pages: DataFrame, dedup: DataFrame, now) -> DataFrame:
@@ -155,11 +165,20 @@ def upsert_pages(pages: DataFrame, dedup: DataFrame, now) -> DataFrame:
     unchanged, run only = insert.  Returns the whole new snapshot; write it to
     a new path (never over the one being read).
     """
+    return _upserted(pages, dedup, now, "full_outer")
+
+
+def page_changes(pages: DataFrame, dedup: DataFrame, now) -> DataFrame:
+    """Only the rows that a run updates or inserts, as they are after it."""
+    return _upserted(pages, dedup, now, "right")
+
+
+def _upserted(pages: DataFrame, dedup: DataFrame, now, how: str) -> DataFrame:
     ts = _lit_ts(now)
     d = dedup.select(F.col("page_id").alias("_id"), F.col("project_id").alias("_project_id"),
                      F.col("url").alias("_url"), F.col("revision_id").alias("_rev"),
                      F.col("is_new_revision").alias("_newrev"), F.col("is_new_page").alias("_newpage"))
-    j = pages.join(d, pages["id"] == d["_id"], "full_outer")
+    j = pages.join(d, pages["id"] == d["_id"], how)
     hit = F.col("_id").isNotNull()
     insert = F.col("id").isNull() & hit
     defaults = {

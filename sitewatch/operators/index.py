@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..schemas import ARTIFACT_BUCKET, ARTIFACT_LLMS_TXT, ARTIFACT_PREFIX, ARTIFACT_SUFFIX
+from ..sources.documents import write_objects
 
 # --- fixed values: document layout -----------------------------------------
 DEFAULT_NAME = "Website"
@@ -96,17 +97,17 @@ def artifact_file_name(job_id: Column) -> Column:
     return F.concat(F.lit(ARTIFACT_PREFIX), job_id, F.lit(ARTIFACT_SUFFIX))
 
 
-def artifact_location(job_id: Column, public_base: str) -> tuple[Column, Column, Column]:
-    """File name, storage path ``s3://{bucket}/{file}`` and public URL."""
+def artifact_location(job_id: Column, public_base: str, store: str = f"s3://{ARTIFACT_BUCKET}") -> tuple[Column, Column, Column]:
+    """File name, storage path ``s3://{bucket}/{file}`` (or in another ``store``) and public URL."""
     name = artifact_file_name(job_id)
-    return (name, F.concat(F.lit(f"s3://{ARTIFACT_BUCKET}/"), name),
+    return (name, F.concat(F.lit(store.rstrip("/") + "/"), name),
             F.concat(F.lit(public_base.rstrip("/") + f"/{ARTIFACT_BUCKET}/"), name))
 
 
-def artifact_rows(docs: DataFrame, now, public_base: str) -> DataFrame:
+def artifact_rows(docs: DataFrame, now, public_base: str, store: str = f"s3://{ARTIFACT_BUCKET}") -> DataFrame:
     """One artifact row per written document (``docs`` has project_id,
-    run_id, job_id, document)."""
-    name, path, public = artifact_location(F.col("job_id"), public_base)
+    run_id, job_id, document); ``storage_path`` is the object S7 writes into ``store``."""
+    name, path, public = artifact_location(F.col("job_id"), public_base, store)
     ts = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
     from ..functions.labels import iso_utc
     meta = F.to_json(F.struct(public.alias("public_url"), F.lit(ARTIFACT_BUCKET).alias("bucket"),
@@ -118,17 +119,7 @@ def artifact_rows(docs: DataFrame, now, public_base: str) -> DataFrame:
         ts.alias("created_at"), meta.alias("metadata"), public.alias("public_url"))
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    """Write each document (``docs`` has job_id and document) under the name its
-    artifact row records: ``{path}/file_name=llms_{job}.txt/part-*.txt``, one part each.
-
-    Overwrite of the run's own output folder keeps a retried job idempotent.
-    """
-    (docs.select(artifact_file_name(F.col("job_id")).alias("file_name"), "document")
-     .repartition("file_name").write.mode("overwrite").partitionBy("file_name").text(path))
-
-
-def read_documents(spark, path: str) -> DataFrame:
-    """(file_name, document) of what ``write_documents`` wrote."""
-    lines = spark.read.schema("document string, file_name string").text(path, wholetext=True)
-    return lines.select("file_name", F.regexp_replace("document", r"\n\z", "").alias("document"))
+def write_documents(docs: DataFrame, store: str) -> None:
+    """Write each document (``docs`` has job_id and document) as the one object that
+    its artifact row names: ``{store}/llms_{job}.txt``."""
+    write_objects(docs.select(artifact_file_name(F.col("job_id")).alias("file_name"), "document"), store)

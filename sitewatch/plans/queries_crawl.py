@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import changes as ch
 from ..operators import crawl, index
+from ..session import materialize
 from . import oracle as O
 from .queries import BUDGET_TEST_MAX_PAGES, SITE_INDEX_MAX_PAGES, crawl_job, register
 
@@ -230,9 +231,15 @@ def q_artifact_records(spark, sf_dir):
 @register("artifact_sink", O.with_fx("SELECT 'llms_job_' || project_id || '.txt' AS file_name, document FROM fx_documents",
                                      *site_index_ctes(SITE_INDEX_MAX_PAGES)))
 def q_artifact_sink(spark, sf_dir):
-    """S7 round trip: write every document under the shared scratch folder and read the files back."""
+    """S7 round trip: every document becomes an object in a store under the shared scratch
+    folder, and is read from the place that its artifact row (S8) names."""
     import uuid
     from ..session import scratch_table_path
-    path = scratch_table_path(spark, f"documents-{uuid.uuid4().hex}")
-    index.write_documents(crawl_job(spark, sf_dir).run_documents, path)
-    return index.read_documents(spark, path)
+    from ..sources.documents import read_objects
+    store = scratch_table_path(spark, f"documents-{uuid.uuid4().hex}")
+    docs = materialize(crawl_job(spark, sf_dir).run_documents, "run-documents")
+    index.write_documents(docs, store)
+    rows = index.artifact_rows(docs, FIXED_NOW, PUBLIC_BASE, store)
+    objects = read_objects(spark, store).withColumn("storage_path", F.concat(F.lit(store + "/"), "file_name"))
+    return objects.join(rows.select("storage_path", "size_bytes"), "storage_path").filter(
+        F.octet_length("document") == F.col("size_bytes")).select("file_name", "document")

@@ -1,7 +1,7 @@
 """Registered streaming queries (ST1-ST4).  Each writes its input stream from
-the driver tables into the shared scratch folder as several files, runs the
-stream with an available-now trigger (one file per micro-batch) and returns the
-sink's content as a batch DataFrame, so it can be compared with its batch twin."""
+the driver tables into the shared scratch folder, in several arrivals, runs the
+stream with an available-now trigger and returns the sink's content as a batch
+DataFrame, so it can be compared with its batch twin."""
 
 from __future__ import annotations
 
@@ -56,8 +56,9 @@ def q_job_stream(spark, sf_dir):
     raw = (spark.readStream.schema("value string, received_at timestamp").option("maxFilesPerTrigger", 1)
            .parquet(d["input"]))
     intake = st_jobs.JobIntake(spark, d["output"])
-    run_available_now(raw.writeStream.option("checkpointLocation", d["checkpoint"]).foreachBatch(intake.writer()))
-    return intake.accepted().select(*JOB_COLS)
+    with state_partitions(spark):
+        run_available_now(st_jobs.job_stream(raw).writeStream.option("checkpointLocation", d["checkpoint"]).foreachBatch(intake.writer()))
+    return intake.jobs(st_jobs.ACCEPTED).select(*JOB_COLS)
 
 
 # the state before the first fetch, and what each fetch brings
@@ -103,12 +104,15 @@ def q_change_stream(spark, sf_dir):
     three = two.withColumns({"seq": F.lit(3).cast("long"), "content_sha256": F.when(
         F.length("url") % 4 == 0, F.sha2(F.concat("url", F.lit("v3")), 256)).otherwise(F.col("content_sha256"))})
     run_id = F.concat(F.lit("fetch_"), F.col("seq").cast("string"))
-    _write_parts([one.withColumn("run_id", run_id).coalesce(1), two.unionByName(three).withColumn("run_id", run_id).coalesce(1)], d["input"])
     schema = "project_id string, url string, status_code int, content_sha256 string, seq long, run_id string"
-    fetches = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d["input"])
-    writer = st_changes.change_batch_writer(spark, fx.pages, fx.revisions, d["output"], FIXED_NOW)
-    run_available_now(fetches.writeStream.option("checkpointLocation", d["checkpoint"]).foreachBatch(writer))
-    return spark.read.parquet(f"{d['output']}/changes").select("project_id", "url", "seq", "change_class", "change_reason", "old_revision_id")
+    # an arrival is what its run of the stream finds new, all its files in one micro-batch
+    for arrival in (one, two.unionByName(three)):
+        _write_parts([arrival.withColumn("run_id", run_id)], d["input"])
+        fetches = spark.readStream.schema(schema).parquet(d["input"])
+        found = st_changes.change_stream(fetches, fx.pages, fx.revisions)
+        with state_partitions(spark):
+            run_available_now(found.writeStream.format("parquet").option("checkpointLocation", d["checkpoint"]).option("path", d["output"]))
+    return spark.read.parquet(d["output"]).select("project_id", "url", "seq", "change_class", "change_reason", "old_revision_id")
 
 
 @register("delivery_stream", O.with_fx("""SELECT webhook_id, id, attempted_at, status_code,
@@ -144,9 +148,10 @@ def q_run_flow_stream(spark, sf_dir):
     parts = [jobs.filter(even).select(value.alias("value"), base.alias("received_at")),
              jobs.filter(~even).select(value.alias("value"), (base + F.expr("INTERVAL 1 MINUTE")).alias("received_at")),
              jobs.filter(even).select(value.alias("value"), (base + F.expr("INTERVAL 2 MINUTES")).alias("received_at"))]
-    _write_parts([p.coalesce(1) for p in parts], d["input"])     # one file, one micro-batch
-    raw = (spark.readStream.schema("value string, received_at timestamp").option("maxFilesPerTrigger", 1)
-           .parquet(d["input"]))
-    writer = st_runs.run_batch_writer(spark, tables, d["output"], SITE_INDEX_MAX_PAGES, FIXED_NOW, PUBLIC_BASE)
-    run_available_now(raw.writeStream.option("checkpointLocation", d["checkpoint"]).foreachBatch(writer))
+    flow = st_runs.RunFlow(spark, tables, d["output"], FIXED_NOW, PUBLIC_BASE, SITE_INDEX_MAX_PAGES)
+    for arrival in parts:       # what a run of the stream finds new is one micro-batch
+        _write_parts([arrival], d["input"])
+        raw = spark.readStream.schema("value string, received_at timestamp").parquet(d["input"])
+        with state_partitions(spark):
+            run_available_now(st_jobs.job_stream(raw).writeStream.option("checkpointLocation", d["checkpoint"]).foreachBatch(flow.writer()))
     return spark.read.parquet(f"{d['output']}/documents").select("run_id", "document")

@@ -1,59 +1,95 @@
 """ST2: change detection of fetched pages as they arrive.
 
-Each micro-batch is classified by the batch operators (J3, J10, S10) against the page
-and revision tables that the batch before left.  Fetches of one URL within a
-batch take turns in order of ``seq``; all URLs take a turn together.
+What is known of a page -- its id, current revision and that one's hash -- is keyed state
+of the stream (RocksDB), seeded from the page and revision tables.  The fetches of a URL
+in a micro-batch go through it in one pass in order of ``seq``; no table is read or
+copied.  Class and reason come from the batch operator's rules (J3), ids from J10's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import text
 from ..operators import changes as ch
 from ..operators import crawl
 from ..operators.ranking import latest_per_key
-from ..session import materialize
-from .common import VersionedTables, write_batch
+from ..session import ship_package
+from .common import use_rocksdb_state
 
-OUTPUT = ["project_id", "url", "seq", "page_id", "change_class", "change_reason", "old_revision_id"]
+STATE = "page_id string, revision_id string, content_sha256 string"
+LOOKS = ("project_id string, url string, seq long, run_id string, status_code int, content_sha256 string, known_id string, "
+         "old_revision_id string, old_content_sha256 string, page_id string, revision_id string, is_new_revision boolean")
 
 
-def change_batch_writer(spark: SparkSession, pages: DataFrame, revisions: DataFrame, out_dir: str, now) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch`` on a stream of fetches: project_id, url, status_code, seq, run_id
-    and ``content_sha256`` or a raw ``body``.
+def _digest(*parts: str | None) -> str:
+    return hashlib.sha256("|".join(p for p in parts if p is not None).encode()).hexdigest()
 
-    ``pages`` (id, project_id, url, current_revision_id, ...) and ``revisions`` (id, page_id,
-    content_sha256) are the tables to start from; of a URL that the catalogue
-    holds twice the greatest page id counts.
+
+class _PageHistory(StatefulProcessor):
+    """Per (project, URL): each fetch beside what was known before it, and what is afterwards."""
+
+    def init(self, handle) -> None:
+        self.page = handle.getValueState("page", STATE)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.page.update((initialState["page_id"], initialState["revision_id"], initialState["content_sha256"]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        project_id, url = key
+        was = known = self.page.get() if self.page.exists() else (None, None, None)
+        # some hundred bytes a fetch of this one URL in this one micro-batch
+        for seq, run_id, status, sha in sorted(((r["seq"], r["run_id"], r["status_code"], r["content_sha256"]) for r in rows), key=_order):
+            page_id, revision_id, stored = known
+            same = page_id is not None and revision_id is not None and bool(stored) and (sha is None or stored == sha)
+            fresh = status == 200 and not same
+            if fresh:
+                page = page_id or crawl.PAGE_ID_PREFIX + _digest(project_id, url)
+                known = (page, crawl.REVISION_ID_PREFIX + _digest(page, run_id), sha)
+            yield Row(project_id=project_id, url=url, seq=seq, run_id=run_id, status_code=status, content_sha256=sha, known_id=page_id,
+                      old_revision_id=revision_id, old_content_sha256=stored, page_id=known[0], revision_id=known[1], is_new_revision=fresh)
+        if known != was:
+            self.page.update(known)
+
+    def close(self) -> None:
+        pass
+
+
+def _order(fetch: tuple) -> tuple:
+    return tuple((x is not None, x) for x in fetch)
+
+
+def known_pages(pages: DataFrame, revisions: DataFrame) -> DataFrame:
+    """The state to start from; of a URL that the catalogue holds twice the greatest page id counts."""
+    pages = latest_per_key(pages, ["project_id", "url"], ["id"], ["id", "project_id", "url", "current_revision_id"])
+    found = ch.with_current_revision(pages, revisions)
+    return found.select("project_id", "url", F.col("id").alias("page_id"), F.col("current_revision.id").alias("revision_id"),
+                        F.col("current_revision.content_sha256").alias("content_sha256"))
+
+
+def change_stream(fetches: DataFrame, pages: DataFrame, revisions: DataFrame) -> DataFrame:
+    """A stream of fetches (project_id, url, status_code, seq, run_id and ``content_sha256`` or a
+    raw ``body``) as a row each: change_class, change_reason, old_revision_id, and the page and
+    revision as they are after it.
+
+    ``pages`` (id, project_id, url, current_revision_id) and ``revisions`` (id, content_sha256)
+    are read when the stream starts for the first time.
     """
-    pages = latest_per_key(pages, ["project_id", "url"], ["id"], pages.columns).select(*pages.columns)
-    state = VersionedTables(spark, f"{out_dir}/tables", {"pages": pages, "revisions": revisions.select("id", "page_id", "content_sha256")})
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if "content_sha256" not in batch.columns:
-            batch = batch.withColumn("content_sha256", F.when(F.col("status_code") == 200, text.fingerprint("body")))
-        fetches = batch.select("project_id", "url", "status_code", "content_sha256", "seq", "run_id",
-                               F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("description"))
-        # an even key with the few fetches of one URL in one batch
-        turns = Window.partitionBy("project_id", "url").orderBy("seq", "run_id")
-        fetches = materialize(fetches.withColumn("turn", F.row_number().over(turns)), "fetches")
-        tables = state.read(batch_id)
-        known, revs, out = tables["pages"], tables["revisions"], []
-        last = fetches.agg(F.max("turn")).first()[0] or 0
-        for turn in range(1, last + 1):
-            now_ = fetches.filter(F.col("turn") == turn)
-            found = ch.classify_changes(now_.select("project_id", "url"), known, revs, now_.drop("turn", "seq", "run_id"))
-            found = materialize(found.join(now_.select("project_id", "url", "seq", "run_id"), ["project_id", "url"]), "changes")
-            out.append(found.select(*OUTPUT))
-            crawled = found.filter((F.col("change_class") != ch.UNCHANGED) & (F.col("status_code") == 200))
-            ids = materialize(crawl.dedup_revisions(crawled, "run_id"), "crawled")
-            known = materialize(crawl.upsert_pages(known, ids, now), "pages")
-            revs = revs.unionByName(ids.filter("is_new_revision").select(F.col("revision_id").alias("id"), "page_id", "content_sha256"))
-        state.write(batch_id, {"pages": known, "revisions": revs})
-        for i, part in enumerate(out):
-            write_batch(part, f"{out_dir}/changes/turn={i}", batch_id)
-    return run
+    spark: SparkSession = fetches.sparkSession
+    use_rocksdb_state(spark)
+    ship_package(spark)
+    if "content_sha256" not in fetches.columns:
+        fetches = fetches.withColumn("content_sha256", F.when(F.col("status_code") == 200, text.fingerprint("body")))
+    given = fetches.select("project_id", "url", F.col("seq").cast("long").alias("seq"), "run_id", F.col("status_code").cast("int").alias("status_code"),
+                           "content_sha256")
+    looks = given.groupBy("project_id", "url").transformWithState(
+        _PageHistory(), LOOKS, "append", "none", initialState=known_pages(pages, revisions).groupBy("project_id", "url"))
+    cls, reason = ch.change_class(F.col("known_id").isNull(), F.lit(False), F.col("status_code"), F.col("old_revision_id"),
+                                  F.col("old_content_sha256"), F.col("content_sha256"))
+    return looks.select("project_id", "url", "seq", "run_id", F.col("known_id").isNull().alias("is_new_page"), cls.alias("change_class"),
+                        reason.alias("change_reason"), "old_revision_id", "page_id", "revision_id", "is_new_revision", "status_code", "content_sha256")

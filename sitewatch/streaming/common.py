@@ -5,8 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from ..session import scratch_table_path
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -59,33 +57,16 @@ class state_partitions:
         return False
 
 
-class VersionedTables:
-    """Tables that micro-batches read and replace: one folder a table and batch.
-
-    A batch reads the newest version older than itself and writes its own, and
-    a list of finished versions last; replayed, it reads and writes the same
-    folders again.  Version -1 holds the tables a stream starts from.
-    """
-
-    def __init__(self, spark: SparkSession, base: str, initial: dict[str, DataFrame]):
-        self.spark, self.base = spark, base.rstrip("/")
-        self.schemas = {n: df.schema for n, df in initial.items()}
-        self.write(-1, initial)
-
-    def _path(self, name: str, version: int) -> str:
-        return f"{self.base}/{name}/version={version}"
+def write_batch(df: DataFrame, out_dir: str, batch_id: int) -> None:
+    """A batch's rows in a folder of its own, overwritten as a whole when the batch is replayed."""
+    df.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
-    def read(self, batch_id: int) -> dict[str, DataFrame]:
-        done = self.spark.read.schema("version long").parquet(f"{self.base}/versions")
-        version = done.filter(F.col("version") < batch_id).agg(F.max("version")).first()[0]
-        return {n: self.spark.read.schema(s).parquet(self._path(n, version)) for n, s in self.schemas.items()}
 
-    def write(self, batch_id: int, tables: dict[str, DataFrame]) -> None:
-        for n, s in self.schemas.items():
-            tables[n].select(*s.names).write.mode("overwrite").parquet(self._path(n, batch_id))
-        self.spark.range(1).select(F.lit(batch_id).cast("long").alias("version")).write.mode("append").parquet(f"{self.base}/versions")
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
-def write_batch(df: DataFrame, out_dir: str, batch_id: int) -> None:
-    """A batch's rows in a folder of its own, overwritten as a whole when the batch is replayed."""
-    df.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+def is_written(spark: SparkSession, path: str) -> bool:
+    """True once a write to ``path`` has been committed."""
+    return exists(spark, f"{path}/_SUCCESS")

@@ -1,51 +1,98 @@
-"""ST1: continuous job intake -- parse, validate, one task per run id, nothing lost."""
+"""ST1: continuous job intake -- parse, validate, one task per run id, nothing lost.
+
+Which run ids were accepted is keyed state of the stream (RocksDB): a micro-batch
+looks up the run ids it brings and no others, whatever was accepted before.  Run ids
+are kept for good, so neither a late job is dropped nor a late repetition run again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from ..session import materialize
-from ..sources.jobs import dedup_jobs, parse_jobs
-from .common import write_batch
+from ..session import ship_package
+from ..sources.jobs import parse_jobs
+from .common import use_rocksdb_state
 
+ACCEPTED, REJECTED, REPEATED = "accepted", "rejected", "repeated"
 JOB_SCHEMA = ("id string, url string, projectId string, runId string, isScheduled boolean, isInitialRun boolean, "
-              "scheduledAt long, received_at timestamp, batch_id long")
+              "scheduledAt long, received_at timestamp, reject_reason string")
+JOB_FIELDS = [x.split()[0] for x in JOB_SCHEMA.split(", ")]
 
 
-class JobIntake:
-    """Tables of a job stream under ``out_dir``: ``accepted`` (one row per run id, whenever
-    it arrives), ``rejected`` (with the reason) and ``repeated`` (deliveries of a run id
-    that was accepted before).
+class _OncePerRun(StatefulProcessor):
+    """Marks a run id's first job as accepted and all others as repeated; rejected ones pass without state."""
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "accepted boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        good, _ = key
+        if not good:
+            yield from (Row(**r.asDict() | {"outcome": REJECTED}) for r in map(_job, rows))
+            return
+        first, seen = None, self.seen.exists()
+        for row in map(_job, rows):
+            if not seen and (first is None or _order(row) < _order(first)):
+                first, row = row, first     # the earliest so far is held back
+            if row is not None:
+                yield Row(**row.asDict() | {"outcome": REPEATED})
+        if first is not None:
+            self.seen.update((True,))
+            yield Row(**first.asDict() | {"outcome": ACCEPTED})
+
+    def close(self) -> None:
+        pass
+
+
+def _job(row: Row) -> Row:
+    return Row(**{c: row[c] for c in JOB_FIELDS})
+
+
+def _order(row: Row) -> tuple:
+    return (row["received_at"] is not None, row["received_at"], row["id"], row["url"], row["projectId"])
 
-    A run id is looked up among all accepted ones, so neither a late job is
-    dropped nor a late repetition run again.
+
+def job_stream(raw: DataFrame, value_col: str = "value") -> DataFrame:
+    """A stream of (value, received_at) as jobs with their ``outcome`` and, where rejected, the reason.
+
+    Of the jobs of a run id in one micro-batch the earliest (by received_at, id,
+    url, project) is accepted; the others, and any later one, are repeated.
     """
+    spark = raw.sparkSession
+    use_rocksdb_state(spark)
+    ship_package(spark)
+    parsed = parse_jobs(raw.select(value_col, "received_at"), value_col).withColumn("scheduledAt", F.col("scheduledAt").cast("long"))
+    # rejected jobs have no run id to meet at: they are dealt out by what they hold
+    key = F.when(F.col("accepted"), F.col("runId")).otherwise(F.xxhash64(*JOB_FIELDS).cast("string"))
+    keyed = parsed.select(F.col("accepted").alias("good"), key.alias("key"), *JOB_FIELDS)
+    return keyed.groupBy("good", "key").transformWithState(_OncePerRun(), f"{JOB_SCHEMA}, outcome string", "append", "none")
+
+
+class JobIntake:
+    """The sink of ``job_stream``: tables under ``out_dir`` by outcome, a folder a micro-batch."""
+
+    def __init__(self, spark: SparkSession, out_dir: str):
+        self.spark, self.out_dir = spark, out_dir.rstrip("/")
 
-    def __init__(self, spark: SparkSession, out_dir: str, value_col: str = "value"):
-        self.spark, self.out_dir, self.value_col = spark, out_dir.rstrip("/"), value_col
-        write_batch(spark.createDataFrame([], JOB_SCHEMA).drop("batch_id"), f"{self.out_dir}/accepted", -1)
-
-    def accepted(self, before: int | None = None) -> DataFrame:
-        rows = self.spark.read.schema(JOB_SCHEMA).parquet(f"{self.out_dir}/accepted")
-        return rows if before is None else rows.filter(F.col("batch_id") < before)
-
-    def take(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        """Write a micro-batch to the tables; the jobs that are new."""
-        cols = JOB_SCHEMA.replace("batch_id long", "").replace(",", " ").split()[::2]
-        parsed = materialize(parse_jobs(batch.select(self.value_col, "received_at"), self.value_col), "jobs")
-        write_batch(parsed.filter(~F.col("accepted")), f"{self.out_dir}/rejected", batch_id)
-        good = parsed.filter("accepted").withColumn("scheduledAt", F.col("scheduledAt").cast("long")).select(*cols)
-        known = self.accepted(batch_id).select("runId")
-        fresh = good.join(known, "runId", "left_anti")
-        write_batch(dedup_jobs(fresh, ("received_at", "id", "url", "projectId")).select(*cols), f"{self.out_dir}/accepted", batch_id)
-        write_batch(good.join(known, "runId", "left_semi"), f"{self.out_dir}/repeated", batch_id)
-        return self.accepted().filter(F.col("batch_id") == batch_id).drop("batch_id")
+    def write(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """Write a micro-batch, overwritten as a whole when it is replayed; its accepted jobs."""
+        path = f"{self.out_dir}/batch_id={batch_id}"
+        batch.write.mode("overwrite").partitionBy("outcome").parquet(path)
+        return self._read(path).filter(F.col("outcome") == ACCEPTED).select(*JOB_FIELDS)
 
     def writer(self) -> Callable[[DataFrame, int], None]:
-        """For ``foreachBatch`` on a stream of (value, received_at)."""
+        """For ``foreachBatch``."""
         def run(batch: DataFrame, batch_id: int) -> None:
-            self.take(batch, batch_id)
+            self.write(batch, batch_id)
         return run
+
+    def _read(self, path: str, more: str = "") -> DataFrame:
+        return self.spark.read.schema(f"{JOB_SCHEMA}, outcome string{more}").parquet(path)
+
+    def jobs(self, outcome: str) -> DataFrame:
+        """All jobs of an outcome so far, with their ``batch_id``."""
+        return self._read(self.out_dir, ", batch_id long").filter(F.col("outcome") == outcome).drop("outcome")

@@ -1,11 +1,13 @@
 """Whole runs over small tables, and site maps as they come."""
 
+import os
+from dataclasses import replace
+
 import pytest
+from pyspark.sql import functions as F
 
 from sitewatch.plans.pipeline import SiteTables, run_pipeline
 from sitewatch.sources import sitemaps
-from sitewatch.streaming.common import VersionedTables
-from sitewatch.streaming.jobs import JobIntake
 
 NOW, BASE = "2024-03-15 12:00:00", "https://files.example.org"
 NS = f'xmlns="{sitemaps.SITEMAP_NAMESPACE}"'
@@ -19,7 +21,7 @@ def tables(spark, snapshot, pages=(), revisions=(), runs=()):
         snapshot=make(snapshot, "project_id string, url string, status_code int, body string"),
         runs=make([(r, "p", "QUEUED", None, None) for r in runs], "id string, project_id string, status string, summary string, finished_at timestamp"),
         projects=make([("p", "https://p.org")], "id string, domain string"),
-        configs=make([("p", "0 2 * * *", True, None, None)], "project_id string, cron_expression string, is_enabled boolean, last_run_at timestamp, next_run_at timestamp"),
+        configs=make([("p", "0 2 * * *", True, None, None, None)], "project_id string, cron_expression string, is_enabled boolean, last_run_at timestamp, next_run_at timestamp, crawl_depth int"),
         webhooks=make([("w", "p", "https://hook", True)], "id string, project_id string, url string, is_active boolean"),
         artifacts=make([], "id string, project_id string, type string, public_url string, created_at timestamp"))
 
@@ -86,23 +88,47 @@ def test_deep_and_circular_indexes(spark):
     assert [tuple(r) for r in sitemaps.expand_index(root, snapshot).collect()] == [("p", "https://u")]
 
 
-def test_intake_loses_and_repeats_nothing(spark, tmp_path):
-    def job(run, at, **more):
-        import json
-        return json.dumps({"id": "j" + run, "url": "u", "projectId": "p", "runId": run, **more}), f"2024-01-01 {at}"
-    intake = JobIntake(spark, str(tmp_path))
-    batches = [[job("1", "12:00:00"), job("1", "12:00:01"), job("", "12:00:00")], [job("2", "01:00:00"), job("1", "18:00:00"), ("{", "2024-01-01 12:00:00")]]
-    for replay in range(2):
-        for i, rows in enumerate(batches):
-            df = spark.createDataFrame(rows, "value string, t string").selectExpr("value", "cast(t as timestamp) received_at")
-            intake.take(df, i)
-    assert sorted(r["runId"] for r in intake.accepted().collect()) == ["1", "2"]
-    assert spark.read.parquet(f"{tmp_path}/rejected").count() == 2 and spark.read.parquet(f"{tmp_path}/repeated").count() == 1
-
-
-def test_versions_are_those_before_a_batch(spark, tmp_path):
-    state = VersionedTables(spark, str(tmp_path), {"t": spark.range(1)})
-    state.write(0, {"t": spark.range(2)})
-    state.write(3, {"t": spark.range(3)})
-    state.write(3, {"t": spark.range(4)})
-    assert [state.read(b)["t"].count() for b in (0, 1, 3, 4)] == [1, 2, 2, 4]
+def test_no_jobs_leave_the_tables(spark):
+    given = tables(spark, site("https://p.org"), pages=[("pg", "p", "https://p.org", None)], runs=("r",))
+    jobs = spark.createDataFrame([], "project_id string, start_url string, job_id string, run_id string")
+    done = run_pipeline(jobs, given, NOW, BASE)
+    assert [r["id"] for r in done.tables.pages.collect()] == ["pg"] and [r["status"] for r in done.tables.runs.collect()] == ["QUEUED"]
+    for df in (done.documents, done.outcomes, done.actions, done.outbox, done.scheduled, done.changes, *done.changed.values()):
+        assert df.count() == 0
+
+
+def test_a_failing_site_stops_no_other(spark, tmp_path):
+    urls = ["https://p.org", "https://p.org/a"]
+    long = "j" * 300
+    rows = [("p", "https://p.org", "j1", "r1"), ("gone", "https://gone.org", "j2", "r2"), ("p", "not an address", "j3", "r3"), ("q", "https://p.org", long, "r4")]
+    jobs = spark.createDataFrame([(*r, True, False) for r in rows], "project_id string, start_url string, job_id string, run_id string, is_scheduled boolean, is_initial boolean")
+    given = tables(spark, site(*urls) + [("q", u, s, b) for _, u, s, b in site(*urls)], runs=("r1", "r2", "r3", "r4"))
+    given = replace(given, projects=given.projects.unionByName(spark.createDataFrame([("q", "https://q.org")], "id string, domain string")))
+    done = run_pipeline(jobs, given, NOW, BASE, store=str(tmp_path / "store"))
+    runs = {r["id"]: r for r in done.tables.runs.collect()}
+    assert {i: runs[i]["status"] for i in ("r1", "r2", "r3", "r4")} == {"r1": "COMPLETE_WITH_DIFFS", "r2": "FAILED", "r3": "FAILED", "r4": "FAILED"}
+    assert runs["r2"]["summary"] == "Generation failed: Project not found: gone"
+    assert runs["r3"]["summary"] == "Generation failed: Invalid URL: not an address"
+    assert runs["r4"]["summary"].startswith("Generation failed: Document could not be written: llms_jjj")
+    assert all(str(runs[r]["finished_at"]) == NOW for r in ("r1", "r2", "r3", "r4"))
+    actions = {r["run_id"]: r for r in done.actions.collect()}
+    assert all(actions[r]["touch_last_run"] and not actions[r]["schedule_next"] and not actions[r]["notify"] for r in ("r2", "r3", "r4"))
+    assert [r["run_id"] for r in done.outbox.collect()] == ["r1"] and done.tables.artifacts.count() == 1
+    assert os.listdir(tmp_path / "store") == ["llms_j1.txt"]
+    # the address is read, as for any run, though its document got lost
+    assert {r["project_id"] for r in done.tables.pages.collect()} == {"p", "q"}
+
+
+def test_links_of_the_project_s_depth_are_found(spark):
+    def linking(*to):
+        return "<title>t</title>" + "".join(f"<a href='{x}'>l</a>" for x in to)
+    rows = [("p", "https://p.org", 200, linking("/a")), ("p", "https://p.org/a", 200, linking("b")), ("p", "https://p.org/b", 200, linking("/c")),
+            ("p", "https://p.org/c", 200, linking())]
+    jobs = spark.createDataFrame([("p", "https://p.org", "j", "r")], "project_id string, start_url string, job_id string, run_id string")
+    given = tables(spark, rows, runs=("r",))
+
+    def found(**kw):
+        return sorted(r["url"][len("https://p.org"):] for r in run_pipeline(jobs, given, NOW, BASE, **kw).tables.pages.collect())
+    assert found() == [""] and found(follow_links=True) == ["", "/a", "/b"]
+    given = replace(given, configs=given.configs.withColumn("crawl_depth", F.lit(1)))
+    assert found(follow_links=True) == ["", "/a"]
