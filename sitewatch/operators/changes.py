@@ -111,6 +111,13 @@ def change_class(is_new: Column, failed: Column, status: Column, rev_id: Column,
     return cls, reason
 
 
+def known_pages(pages: DataFrame, revisions: DataFrame) -> DataFrame:
+    """J2 for J3: (project_id, url, page_id, old_revision_id, old_content_sha256) of the catalogue."""
+    found = with_current_revision(pages.select("id", "project_id", "url", "current_revision_id"), revisions)
+    return found.select("project_id", "url", F.col("id").alias("page_id"), F.col("current_revision.id").alias("old_revision_id"),
+                        F.col("current_revision.content_sha256").alias("old_content_sha256"))
+
+
 def classify_changes(frontier_df: DataFrame, pages: DataFrame, revisions: DataFrame,
                      digest: DataFrame) -> DataFrame:
     """New / changed / unchanged with the reason, per frontier URL.
@@ -121,18 +128,33 @@ def classify_changes(frontier_df: DataFrame, pages: DataFrame, revisions: DataFr
     old_revision_id, plus the fetch digest (status_code, content_sha256, title,
     description) for the later steps.
     """
-    known = (with_current_revision(pages.select("id", "project_id", "url", "current_revision_id"), revisions)
-             .select("project_id", "url", F.col("id").alias("page_id"), "current_revision"))
+    looked = frontier_df.select("project_id", "url").join(known_pages(pages, revisions), ["project_id", "url"], "left")
+    return _classified(looked, digest)
+
+
+def classify_laid_out(found: DataFrame, known: DataFrame, digest: DataFrame) -> DataFrame:
+    """J3 over ``known_pages`` and the digest as tables bucketed by (project_id, url): neither is moved.
+
+    ``found``: the URLs of site maps and start pages.  What the catalogue holds is looked
+    at where it lies; of what was found only the rest, which is new, is met with the
+    digest.  Same rows as ``classify_changes`` over the frontier of both.
+    """
+    none = F.lit(None).cast("string")
+    new = (found.select("project_id", "url").filter(F.col("url").isNotNull()).distinct()
+           .join(known, ["project_id", "url"], "left_anti")
+           .select("project_id", "url", none.alias("page_id"), none.alias("old_revision_id"), none.alias("old_content_sha256")))
+    return _classified(known.filter(F.col("url").isNotNull()), digest).unionByName(_classified(new, digest))
+
+
+def _classified(looked: DataFrame, digest: DataFrame) -> DataFrame:
+    """Pages to look at with what is known of them, met with the digest."""
     fetched = digest.select("project_id", "url", F.lit(True).alias("_fetched"), "status_code",
                             "content_sha256", "title", "description")
-    j = (frontier_df.select("project_id", "url")
-         .join(known, ["project_id", "url"], "left")
-         .join(fetched, ["project_id", "url"], "left"))
-    rev_id = F.col("current_revision.id")
-    old = F.col("current_revision.content_sha256")
+    j = looked.join(fetched, ["project_id", "url"], "left")
+    rev_id, old = F.col("old_revision_id"), F.col("old_content_sha256")
     cls, reason = change_class(F.col("page_id").isNull(), F.col("_fetched").isNull(), F.col("status_code"), rev_id, old, F.col("content_sha256"))
     return j.select("project_id", "url", "page_id", cls.alias("change_class"), reason.alias("change_reason"),
-                    rev_id.alias("old_revision_id"), old.alias("old_content_sha256"),
+                    "old_revision_id", "old_content_sha256",
                     F.coalesce(F.col("_fetched"), F.lit(False)).alias("fetched"),
                     "status_code", "content_sha256", "title", "description")
 

@@ -69,6 +69,21 @@ def fanout(actions: DataFrame, webhooks: DataFrame, now) -> DataFrame:
                     payloads.webhook_headers(F.col("secret")).alias("headers"))
 
 
+def subscriptions(webhooks: DataFrame) -> DataFrame:
+    """An index from event type to webhooks: (project_id, event_type, id, url, secret), a row for each
+    type that an active webhook asks for; without ``event_types`` it asks for finished runs."""
+    asked = F.col("event_types") if "event_types" in webhooks.columns else F.lit(None).cast("array<string>")
+    types = F.array_distinct(F.coalesce(asked, F.array(F.lit(S.EVENT_RUN_COMPLETE))))
+    secret = F.col("secret") if "secret" in webhooks.columns else F.lit(None).cast("string")
+    return active_webhooks(webhooks).select("project_id", F.explode(types).alias("event_type"), "id", "url", secret.alias("secret"))
+
+
+def notify(events: DataFrame, index: DataFrame) -> DataFrame:
+    """What happened (project_id, event_type, ...) met with the webhooks that ask for it, by the index's key."""
+    asked = index.select("project_id", "event_type", F.col("id").alias("webhook_id"), F.col("url").alias("webhook_url"))
+    return events.join(asked, ["project_id", "event_type"])
+
+
 def event_rows(deliveries: DataFrame, now=None) -> DataFrame:
     """Delivery log rows from delivery results (P25).
 

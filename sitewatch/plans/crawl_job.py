@@ -19,6 +19,7 @@ from ..operators import changes as ch
 from ..operators import crawl, index
 from ..operators.ranking import latest_per_key
 from ..schemas import DEFAULT_MAX_PAGES_JOB
+from ..sources.tables import clustered
 
 
 @dataclass
@@ -28,6 +29,7 @@ class CrawlInputs:
     revisions: DataFrame      # id, page_id, content_sha256, ...
     snapshot: DataFrame       # project_id, url, status_code, body
     jobs: DataFrame           # project_id, start_url, job_id, run_id; a project may have several runs
+    digest: DataFrame | None = None     # digest_snapshot(snapshot), where it is there already
 
 
 class CrawlJob:
@@ -56,7 +58,8 @@ class CrawlJob:
 
     @cached_property
     def digest(self) -> DataFrame:
-        return ch.digest_snapshot(self.inputs.snapshot)
+        given = self.inputs.digest
+        return ch.digest_snapshot(self.inputs.snapshot) if given is None else given
 
     @cached_property
     def frontier(self) -> DataFrame:
@@ -66,6 +69,16 @@ class CrawlJob:
     def changes(self) -> DataFrame:
         return ch.classify_changes(self.frontier, self.inputs.pages, self.inputs.revisions, self.digest)
 
+    def laid_out(self) -> "CrawlJob":
+        """Lay the catalogue with its revision pointers and the digest out by (project_id, url),
+        bucketed tables, and classify over them: the joins move neither."""
+        key = ["project_id", "url"]
+        known = clustered(ch.known_pages(self.inputs.pages, self.inputs.revisions), key, "known-pages")
+        self.__dict__["digest"] = clustered(self.digest, key, "digest")
+        found = self.inputs.sitemap_urls.select(*key).unionByName(crawl.start_urls(self.projects))
+        self.__dict__["changes"] = ch.classify_laid_out(found, known, self.digest)
+        return self
+
     def cut_changes(self) -> "CrawlJob":
         """Write the change table once to the shared folder and read it back,
         for outputs that need it twice (the per-project counts and the budget):

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.ranking import rank_within
 from ..sources.tables import read_table
 
 
@@ -64,8 +65,8 @@ class Fixtures:
         (a cycle).  Beside them stand links to other hosts, other schemes and
         to the page itself, and anchors in comments and scripts.
         """
-        order = Window.partitionBy("project_id").orderBy("url")
-        urls_ = self.base.select("project_id", "url").distinct().withColumn("i", F.row_number().over(order) - 1)
+        ranked = rank_within(self.base.select("project_id", "url").distinct(), ["project_id"], [F.col("url")], "i")
+        urls_ = ranked.withColumn("i", F.col("i") - 1)
         child = urls_.filter("i > 0").select("project_id", F.expr("(i - 1) div 2").alias("i"), F.col("i").alias("k"), F.col("url").alias("to"))
         scheme = "^(https?):.*$"
         same = F.regexp_replace("to", scheme, "$1") == F.regexp_replace("url", scheme, "$1")
@@ -105,6 +106,27 @@ class Fixtures:
             F.concat(F.lit("pg_"), pid.cast("string")).alias("page_id"),
             h.alias("content_sha256"))
 
+    # validators of the fetched and of the stored pages
+    @cached_property
+    def fetch_with_validators(self) -> DataFrame:
+        pid = F.col("page_id")
+        tag = F.concat(F.lit('"v'), pid.cast("string"), F.lit('"'))
+        return self.fetch.withColumns({
+            "etag": F.when(pid % 4 == 0, F.concat(F.lit("W/"), tag)).when(pid % 4 == 1, tag),
+            "last_modified": F.when(pid % 3 != 0, F.concat(F.lit("Mon, 01 Jan 2024 00:00:"), F.lpad((pid % 60).cast("string"), 2, "0"), F.lit(" GMT")))})
+
+    @cached_property
+    def stored_validators(self) -> DataFrame:
+        """Of the pages with a current revision: the validators of its fetch, some of them others by now."""
+        heads = self.fetch_with_validators.select("page_id", "url", "etag", "last_modified")
+        rev = self.revisions.select(F.col("page_id").alias("id"), "content_sha256")
+        pid = F.col("page_id")
+        return (self.pages.join(rev, "id").select(F.regexp_extract("id", "[0-9]+", 0).cast("long").alias("page_id"), "project_id", "content_sha256")
+                .join(heads, "page_id").select(
+                    "project_id", "url", F.when(pid % 5 == 1, F.lit('"old"')).otherwise(F.replace("etag", F.lit("W/"), F.lit(""))).alias("etag"),
+                    F.when(pid % 5 == 2, F.lit("Sun, 31 Dec 2023 00:00:00 GMT")).otherwise(F.col("last_modified")).alias("last_modified"),
+                    "content_sha256"))
+
     @cached_property
     def sitemap(self) -> DataFrame:
         return self.base.filter(F.col("page_id") % 2 == 0).select("project_id", "url")

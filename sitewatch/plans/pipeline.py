@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import urls
-from ..operators import catalog, crawl, index, links, runs as run_ops, webhooks as wh
+from ..operators.bloom import bloom_filter, may_hold
+from ..operators import catalog, changes as ch, crawl, index, links, runs as run_ops, webhooks as wh
 from ..session import materialize
 from ..sources import sitemaps
 from ..sources.documents import object_names
 from ..sources.keyed import overlaid
+from ..sources.tables import clustered
 from .crawl_job import CrawlInputs, CrawlJob
 
 ERROR_NO_PROJECT, ERROR_BAD_URL, ERROR_NOT_WRITTEN = "Project not found: ", "Invalid URL: ", "Document could not be written: "
@@ -108,11 +110,15 @@ def run_pipeline(jobs: DataFrame, tables: SiteTables, now, public_base: str, max
     sitemap = tables.sitemap_urls
     if sitemap is None or follow_links:
         sitemap = materialize(site_frontier(tables, rest.select("project_id", "start_url").distinct(), follow_links), "sitemap-urls")
-    pages, revisions, changed_pages = tables.pages, tables.revisions, None
+    # of the sites that run alone; every turn reads the digest, so bodies are parsed once
+    sites = bloom_filter(rest.select("project_id").distinct(), ["project_id"])
+    snapshot, mine = (may_hold(t, ["project_id"], sites) for t in (tables.snapshot, tables.pages))
+    digest = clustered(ch.digest_snapshot(snapshot), ["project_id", "url"], "digest")
+    pages, revisions, changed_pages = mine, tables.revisions, None
     changes, documents, artifacts, new_revisions = [], [], [], []
     outcomes = [_failed_outcomes(failed, F.col("error"))]
     while True:
-        job = CrawlJob(CrawlInputs(sitemap, pages, revisions, tables.snapshot, rest), max_pages)
+        job = CrawlJob(CrawlInputs(sitemap, pages, revisions, snapshot, rest, digest), max_pages)
         job.turn = materialize(job.turn, "turn")
         job.frontier = job.frontier.join(job.turn.select("project_id"), "project_id", "left_semi")
         job.cut_changes()
@@ -126,7 +132,7 @@ def run_pipeline(jobs: DataFrame, tables: SiteTables, now, public_base: str, max
         new_revisions.append(materialize(job.new_revisions(now), "revisions"))
         touched = materialize(crawl.page_changes(pages, job.crawled_with_ids, now), "page-changes")
         changed_pages = touched if changed_pages is None else materialize(overlaid(changed_pages, touched, "id"), "page-changes")
-        pages = overlaid(tables.pages, changed_pages, "id")
+        pages = overlaid(mine, changed_pages, "id")
         revisions = revisions.unionByName(new_revisions[-1].select(*revisions.columns))
         documents.append(docs)
         artifacts.append(index.artifact_rows(docs, now, public_base, *([store] if store else [])))
@@ -141,8 +147,8 @@ def run_pipeline(jobs: DataFrame, tables: SiteTables, now, public_base: str, max
     done = _union(outcomes)
     status = done.select("run_id", "status", "summary", F.lit(2).alias("seq")).unionByName(
         jobs.select("run_id", F.lit(S.RUN_IN_PROGRESS).alias("status"), F.lit(None).cast("string").alias("summary"), F.lit(1).alias("seq")))
-    mine = tables.runs.join(jobs.select(F.col("run_id").alias("id")).distinct(), "id", "left_semi").select(*tables.runs.columns)
-    ran = materialize(run_ops.apply_transitions(mine, status, now), "runs")
+    due = tables.runs.join(jobs.select(F.col("run_id").alias("id")).distinct(), "id", "left_semi").select(*tables.runs.columns)
+    ran = materialize(run_ops.apply_transitions(due, status, now), "runs")
 
     made = _union(artifacts).select(*tables.artifacts.columns)
     arts = tables.artifacts.unionByName(made)
@@ -165,7 +171,7 @@ def run_pipeline(jobs: DataFrame, tables: SiteTables, now, public_base: str, max
     columns = [*tables.runs.columns, *(c for c in changed_runs.columns if c not in tables.runs.columns)]
     runs = (tables.runs.join(changed_runs.select("id"), "id", "left_anti")
             .unionByName(changed_runs, allowMissingColumns=True).select(*columns))
-    after = replace(tables, pages=pages, revisions=revisions, runs=runs, configs=overlaid(tables.configs, configs, "project_id"), artifacts=arts)
+    after = replace(tables, pages=overlaid(tables.pages, changed_pages, "id"), revisions=revisions, runs=runs, configs=overlaid(tables.configs, configs, "project_id"), artifacts=arts)
     changed = {"pages": changed_pages, "revisions": _union(new_revisions), "runs": changed_runs, "configs": configs, "artifacts": made}
     return RunResults(after, changed, _union(changes), _union(documents), done, actions, outbox, scheduled)
 
@@ -174,5 +180,5 @@ def _write_documents(docs: DataFrame, store: str) -> DataFrame:
     """Write a turn's documents; those that got no object, with the ``error``."""
     names = docs.withColumn("file_name", index.artifact_file_name(F.col("job_id")))
     index.write_documents(docs, store)
-    lost = names.join(object_names(docs.sparkSession, store).select("file_name"), "file_name", "left_anti")
+    lost = names.filter(F.octet_length("document") > 0).join(object_names(docs.sparkSession, store).select("file_name"), "file_name", "left_anti")
     return materialize(lost.withColumn("error", F.concat(F.lit(ERROR_NOT_WRITTEN), "file_name")), "lost-documents")

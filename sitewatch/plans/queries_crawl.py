@@ -45,6 +45,13 @@ def q_change_classify(spark, sf_dir):
     return crawl_job(spark, sf_dir).changes.select(*CHANGE_COLS)
 
 
+@register("change_classify_laid_out", O.with_fx(
+    "SELECT project_id, url, page_id, change_class, change_reason, old_revision_id FROM fx_changes"))
+def q_change_classify_laid_out(spark, sf_dir):
+    """J1 and J3 over tables bucketed by (project, URL)."""
+    return crawl_job(spark, sf_dir).laid_out().changes.select(*CHANGE_COLS)
+
+
 @register("change_summary", O.with_fx("SELECT * FROM fx_summary"))
 def q_change_summary(spark, sf_dir):
     return crawl_job(spark, sf_dir).summary

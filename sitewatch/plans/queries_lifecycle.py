@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import labels, schedule, urls
+from ..functions import labels, schedule, urls, variants
 from ..operators import catalog, runs, webhooks
 from ..sources import jobs as jobsrc
 from . import oracle as O
@@ -325,6 +325,33 @@ def q_queue_dedup(spark, sf_dir):
     return jobsrc.dedup_jobs(ok.select("runId", "arrival", "id"), ["arrival"])
 
 
+@register("job_metadata", """SELECT id AS arrival, CASE WHEN id%4=0 THEN 'daily' END AS cron, CASE WHEN id%4=0 THEN id%7 END AS retries,
+   CASE WHEN id%4=1 THEN 'tag' || CAST(id%3 AS VARCHAR) END AS first_tag, id%4<2 AS has_metadata
+   FROM (SELECT o_orderkey AS id FROM orders)""")
+def q_job_metadata(spark, sf_dir):
+    """Payloads with free metadata of several shapes, with none, and such that are no JSON."""
+    i = F.col("id")
+    text = (F.when(i % 4 == 0, F.to_json(F.struct(F.lit("daily").alias("cron"), F.struct((i % 7).alias("retries")).alias("queue"))))
+            .when(i % 4 == 1, F.to_json(F.array(F.concat(F.lit("tag"), (i % 3).cast("string")), F.lit("x")))))
+    value = F.when(i % 4 == 3, F.lit("{")).when(text.isNull(), F.lit('{"id": "j"}')).otherwise(F.concat(F.lit('{"id": "j", "metadata": '), text, F.lit("}")))
+    found = jobsrc.job_metadata(_fx(spark, sf_dir).runs.select(i.alias("arrival"), value.alias("value")))
+    return found.select("arrival", variants.field("metadata", "$.cron").alias("cron"), variants.field("metadata", "$.queue.retries", "long").alias("retries"),
+                        variants.field("metadata", "$[0]").alias("first_tag"), F.col("metadata").isNotNull().alias("has_metadata"))
+
+
+@register("event_type_filter", """WITH w AS (SELECT DISTINCT user_id AS id, user_id%50 AS project_id, user_id%4<>0 AS is_active FROM events),
+   t AS (SELECT DISTINCT event_type FROM events)
+   SELECT e.event_id, e.event_type, w.id AS webhook_id FROM events e JOIN w ON w.project_id=e.user_id%50 AND w.is_active
+   WHERE CASE w.id%3 WHEN 0 THEN e.event_type='run.complete' WHEN 1 THEN e.event_type IN ('click','error') ELSE e.event_type='purchase' END""")
+def q_event_type_filter(spark, sf_dir):
+    """Events of the sites to the webhooks that ask for their type."""
+    fx = _fx(spark, sf_dir)
+    kinds = (F.when(F.col("id") % 3 == 1, F.array(F.lit("click"), F.lit("error"), F.lit("click"))).when(F.col("id") % 3 == 2, F.array(F.lit("purchase"))))
+    index = webhooks.subscriptions(fx.webhooks.withColumn("event_types", kinds))
+    events = fx.table("events").select("event_id", "event_type", (F.col("user_id") % 50).alias("project_id"))
+    return webhooks.notify(events, index).select("event_id", "event_type", "webhook_id")
+
+
 # --- whole runs, two of a project in one batch ------------------------------------
 def pipeline_tables(fx):
     """The tables of ``run_pipeline`` around the crawl fixtures."""

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import links, robots
+from ..operators import links, robots, validators
 from ..sources import sitemaps as SM
 from ..session import materialize
 from ..sources import tables
@@ -211,3 +211,36 @@ def q_depth_limited_frontier(spark, sf_dir):
     size = F.length("project_id")
     sites = fx.projects.withColumn("crawl_depth", F.when(size % 3 != 0, size % 6))
     return links.depth_limited_frontier(links.link_edges(fx.linked_fetch), sites, None)
+
+
+# --- X1 -----------------------------------------------------------------------------
+VALIDATORS_DUCK = [
+    ("fx_heads", """SELECT *, CASE page_id%4 WHEN 0 THEN 'W/"v' || page_id || '"' WHEN 1 THEN '"v' || page_id || '"' END AS etag,
+      CASE WHEN page_id%3<>0 THEN 'Mon, 01 Jan 2024 00:00:' || lpad(CAST(page_id%60 AS VARCHAR), 2, '0') || ' GMT' END AS last_modified FROM fx_fetch"""),
+    ("fx_stored", """SELECT h.project_id, h.url, r.content_sha256, CASE WHEN h.page_id%5=1 THEN '"old"' WHEN h.page_id%4<2 THEN '"v' || h.page_id || '"' END AS etag,
+      CASE WHEN h.page_id%5=2 THEN 'Sun, 31 Dec 2023 00:00:00 GMT' ELSE h.last_modified END AS last_modified
+      FROM fx_heads h JOIN fx_revisions r ON r.page_id='pg_' || h.page_id"""),
+    ("fx_decided", """SELECT h.*, CASE WHEN h.status_code=200 THEN CASE WHEN s.etag IS NOT NULL AND h.etag IS NOT NULL THEN
+        CASE WHEN s.etag=replace(h.etag, 'W/', '') THEN 'Not modified: same ETag' END
+        WHEN s.last_modified=h.last_modified THEN 'Not modified: same Last-Modified' END END AS reason
+      FROM fx_heads h LEFT JOIN fx_stored s ON s.project_id=h.project_id AND s.url=h.url AND coalesce(s.content_sha256, '')<>''""")]
+
+
+@register("header_prefilter", O.with_fx("SELECT project_id, url, status_code, reason, reason IS NULL AS read FROM fx_decided", *VALIDATORS_DUCK))
+def q_header_prefilter(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return validators.header_prefilter(fx.fetch_with_validators, fx.stored_validators)
+
+
+@register("prefiltered_bodies", O.with_fx("""SELECT DISTINCT d.project_id, d.url, d.status_code, length(d.body) AS body_chars
+   FROM fx_heads d JOIN fx_decided x ON x.project_id=d.project_id AND x.url=d.url WHERE x.reason IS NULL""", *VALIDATORS_DUCK))
+def q_prefiltered_bodies(spark, sf_dir):
+    """The bodies that have to be read, out of a snapshot at rest."""
+    import uuid
+    from ..session import scratch_table_path
+    fx = _fx(spark, sf_dir)
+    path = scratch_table_path(spark, f"snapshot-{uuid.uuid4().hex}")
+    tables.write_snapshot(fx.fetch_with_validators, path)
+    decided = validators.header_prefilter(spark.read.parquet(path), fx.stored_validators)
+    rows = validators.bodies_to_read(spark, path, decided)
+    return rows.select("project_id", "url", "status_code", F.length("body").alias("body_chars")).distinct()

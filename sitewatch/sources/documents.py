@@ -115,12 +115,12 @@ def write_objects(docs: DataFrame, path: str) -> None:
 
 
 def object_names(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, size_bytes) of the objects under ``path``; none is opened."""
-    listed = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"))
-    return listed.select(F.url_decode(F.replace(F.substring_index("path", "/", -1), F.lit("+"), F.lit("%2B"))).alias("file_name"), "size_bytes")
+    """(file_name, size_bytes) of the objects under ``path``, but for empty ones; none is opened."""
+    listed = spark.read.format("binaryFile").load(path)
+    return listed.select(F.substring_index("path", "/", -1).alias("file_name"), F.col("length").alias("size_bytes"))
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, document) of the objects under ``path``."""
-    found = spark.read.text(path, wholetext=True)
-    return found.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("document"))
+    """(file_name, document) of the objects under ``path``, but for empty ones."""
+    found = spark.read.format("binaryFile").load(path)
+    return found.select(F.substring_index("path", "/", -1).alias("file_name"), F.col("content").cast("string").alias("document"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import variants
 from ..operators.ranking import latest_per_key
 
 # --- fixed values ----------------------------------------------------------
@@ -46,6 +47,15 @@ def parse_jobs(raw: DataFrame, value_col: str = "value") -> DataFrame:
         F.when(~ok, F.lit(REJECT_REASON)).alias("reject_reason"))
 
 
+def job_metadata(raw: DataFrame, value_col: str = "value") -> DataFrame:
+    """The free ``metadata`` of each payload as a VARIANT, beside the other columns of ``raw``.
+
+    Null where the payload is no JSON or has none; whatever shape it has, it is kept.
+    """
+    carry = [c for c in raw.columns if c != value_col]
+    return raw.select(*carry, variants.json_field(value_col, "$.metadata").alias("metadata"))
+
+
 def accepted_jobs(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("accepted"))
 

@@ -46,9 +46,9 @@ def existing_pages(pages: DataFrame, project_ids: DataFrame | None = None) -> Da
 def write_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Write ``df`` at ``path`` bucketed and sorted by ``keys``, and read it back as a table.
 
-    Spark then knows how the rows lie: joins and aggregates on ``keys`` with at least
-    that many shuffle partitions read the buckets as they are, without an exchange or a
-    sort of this side.  One file a bucket; the number of buckets is the session's number
+    Spark then knows how the rows lie: joins and aggregates on ``keys`` with at most
+    that many shuffle partitions read the buckets as they are, without an exchange of this
+    side.  One file a bucket; the number of buckets is the session's number
     of shuffle partitions unless given.  The table's name lives in this session's
     catalog, its files stay at ``path``.
     """
@@ -62,3 +62,13 @@ def write_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int |
 def clustered(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """``df`` written once to the shared scratch folder in buckets of ``keys``, for several joins on them."""
     return write_bucketed(df, scratch_table_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}"), keys)
+
+
+def write_snapshot(snapshot: DataFrame, path: str, buckets: int = 64) -> None:
+    """A crawl snapshot at rest in folders ``bucket=<n>`` by the hash of the site, so that later reads
+    can leave out the bodies of sites that they do not need."""
+    (snapshot.withColumn("bucket", site_bucket(buckets)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path))
+
+
+def site_bucket(buckets: int):
+    return F.pmod(F.xxhash64("project_id"), F.lit(buckets)).cast("int")

@@ -64,12 +64,10 @@ def _order(fetch: tuple) -> tuple:
     return tuple((x is not None, x) for x in fetch)
 
 
-def known_pages(pages: DataFrame, revisions: DataFrame) -> DataFrame:
+def first_states(pages: DataFrame, revisions: DataFrame) -> DataFrame:
     """The state to start from; of a URL that the catalogue holds twice the greatest page id counts."""
     pages = latest_per_key(pages, ["project_id", "url"], ["id"], ["id", "project_id", "url", "current_revision_id"])
-    found = ch.with_current_revision(pages, revisions)
-    return found.select("project_id", "url", F.col("id").alias("page_id"), F.col("current_revision.id").alias("revision_id"),
-                        F.col("current_revision.content_sha256").alias("content_sha256"))
+    return ch.known_pages(pages, revisions).withColumnsRenamed({"old_revision_id": "revision_id", "old_content_sha256": "content_sha256"})
 
 
 def change_stream(fetches: DataFrame, pages: DataFrame, revisions: DataFrame) -> DataFrame:
@@ -88,7 +86,7 @@ def change_stream(fetches: DataFrame, pages: DataFrame, revisions: DataFrame) ->
     given = fetches.select("project_id", "url", F.col("seq").cast("long").alias("seq"), "run_id", F.col("status_code").cast("int").alias("status_code"),
                            "content_sha256")
     looks = given.groupBy("project_id", "url").transformWithState(
-        _PageHistory(), LOOKS, "append", "none", initialState=known_pages(pages, revisions).groupBy("project_id", "url"))
+        _PageHistory(), LOOKS, "append", "none", initialState=first_states(pages, revisions).groupBy("project_id", "url"))
     cls, reason = ch.change_class(F.col("known_id").isNull(), F.lit(False), F.col("status_code"), F.col("old_revision_id"),
                                   F.col("old_content_sha256"), F.col("content_sha256"))
     return looks.select("project_id", "url", "seq", "run_id", F.col("known_id").isNull().alias("is_new_page"), cls.alias("change_class"),
