@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -48,6 +49,12 @@ _BEYOND = re.compile(r"[^\x00-įı-ɏ]")
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")    # white space to str.split, not to the vocabulary
 
 
+def _ends_in_a_letter(word: str) -> bool:
+    """True if no normal form turns the last letter into one with a mark behind it."""
+    return not _BEYOND.search(word) or all(
+        unicodedata.normalize(form, w)[-1].isalpha() for w in (word[-1], word[-1].lower()) for form in ("NFC", "NFKC"))
+
+
 class Words:
     """Ids of words by one tokenizer file, as bytes of unsigned 32-bit numbers."""
 
@@ -84,8 +91,8 @@ class Words:
                 group, size = [], 0
 
     def _learn(self, new: set[str]) -> None:
-        # a mark behind letters is a token run of its own, whatever the letters are
-        marked = {w: w[-1] for w in new if w[-1] in ".," and w[:-1].isalpha()}
+        # a mark behind letters is a token run of its own, where the normal form ends in a letter, too
+        marked = {w: w[-1] for w in new if w[-1] in ".," and w[:-1].isalpha() and _ends_in_a_letter(w[:-1])}
         stems = new.difference(marked).union(w[:-1] for w in marked).union(marked.values()).difference(self.known)
         plain = {w for w in stems if w.isalpha() and not _BEYOND.search(w) and w == w.lower()}
         for tokenizer, words in ((self.letters, list(plain)), (self.tokenizer, list(stems.difference(plain)))):

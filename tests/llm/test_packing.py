@@ -101,3 +101,17 @@ def test_separators_with_white_space_at_the_ends(library):
     texts = ["a\x1fb foo\n", " a\x1cb", "\n\x1d\n", "\x1e", " \x1f ", "\x1f x. \x1c,\n", "　a\x1db\x85"]
     for t, ids in zip(texts, w.ids(texts)):
         assert np.frombuffer(ids, dtype="<u4").tolist() == library(t)[:-1], repr(t)
+
+
+def test_every_letter_before_a_mark():
+    """Against the library: each letter, alone and behind another, with a full stop or a comma behind it."""
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    words = [lead + c + m for c in letters for lead in ("", "a") for m in ".,"]
+    mine = packing.Words(PATH)
+    for a in range(0, len(words), 50_000):
+        part = words[a:a + 50_000]
+        want = library.encode_batch(part, add_special_tokens=False)
+        wrong = [w for w, e, ids in zip(part, want, mine.ids(part)) if list(np.frombuffer(ids, dtype="<u4")) != e.ids]
+        assert wrong == []
