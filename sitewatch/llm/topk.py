@@ -9,7 +9,7 @@ as its own k best scores fill (the k-th score of all rows is never below that of
 a part), and in the last pass its own k best rows.
 
 Which rows take part and what repeated rows mean is told in ``vectors``.
-Components are whole numbers; a score beyond 2^61 either way is held at that limit.
+Components are whole numbers; a score that no long holds is held at the last one that does.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from .common import table
 from .vectors import best_of, gather_blocks, mapped, own_rows, query_blocks, shards, usable
 
 BINS = 256
-LIMIT = 2 ** 61
+LONGS = -2 ** 63, 2 ** 63 - 1
+SIGN = np.uint64(1 << 63)
 
 
 def scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -35,21 +36,30 @@ def scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
         return (queries @ rows.T).astype(np.int64)
     exact = np.array([[int(x) for x in r] for r in queries], dtype=object) @ \
         np.array([[int(x) for x in r] for r in rows], dtype=object).T
-    return np.clip(exact, -LIMIT, LIMIT).astype(np.int64)
+    return np.clip(exact, *LONGS).astype(np.int64)
+
+
+def places(scores: np.ndarray) -> np.ndarray:
+    """Scores as unsigned numbers in the same order: intervals of them never overflow."""
+    return scores.view(np.uint64) ^ SIGN
+
+
+def at_places(places: np.ndarray) -> np.ndarray:
+    return (places ^ SIGN).view(np.int64)
 
 
 def _count(rows, dim, state):
     """Per query and bin the number of scores, down to the bin that holds the task's k-th."""
-    qids, queries, lo, hi, width, need = state
+    qids, queries, lo, last, width, need = state
     n = len(qids)
     counts = np.zeros((n, BINS), dtype=np.int64)
     step = max(1, (1 << 21) // max(1, n))
     for ids, vecs in shards(rows, dim):
         for i in range(0, len(ids), step):
-            s = scores(vecs[i:i + step], queries)
-            at = (s - lo[:, None]) // width[:, None]
-            ok = (at >= 0) & (s < hi[:, None])      # what lies above the interval is counted already
+            s = places(scores(vecs[i:i + step], queries))
+            ok = (s >= lo[:, None]) & (s <= last[:, None])      # what lies above the interval is counted already
             ok[own_rows(ids[i:i + step], qids)] = False
+            at = ((s - lo[:, None]) // width[:, None]).astype(np.int64)
             flat = (np.arange(n)[:, None] * BINS + at)[ok]
             counts += np.bincount(flat, minlength=n * BINS).reshape(n, BINS)
     above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
@@ -86,14 +96,15 @@ def _block(spark: SparkSession, rows: DataFrame, dim: int, qids: np.ndarray, que
     """(query_id, rank, vec_id, score) of one block; the driver holds three numbers a query."""
     sc, n = spark.sparkContext, len(qids)
     rows = rows.where(F.col("dim") == dim).select("id", "v")
-    lo = np.full(n, -bound, dtype=np.int64)
-    hi = np.full(n, bound + 1, dtype=np.int64)
-    width = np.full(n, max(1, (2 * bound) // BINS + 1), dtype=np.int64)
+    bound = min(bound, LONGS[1])
+    lo = places(np.full(n, -bound if bound < LONGS[1] else LONGS[0], dtype=np.int64))
+    last = places(np.full(n, bound, dtype=np.int64))
+    width = (last - lo) // np.uint64(BINS) + np.uint64(1)
     need = np.full(n, k, dtype=np.int64)
     least, going = lo.copy(), np.ones(n, dtype=bool)
     while going.any():
         g = np.flatnonzero(going)
-        state = sc.broadcast((qids[g], queries[g], lo[g], hi[g], width[g], need[g]))
+        state = sc.broadcast((qids[g], queries[g], lo[g], last[g], width[g], need[g]))
         parts = mapped(rows, lambda it, s=state: _count(it, dim, s.value), "q int, bin int, n long")
         summed = parts.groupBy("q", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("q").orderBy(F.desc("bin"))
@@ -104,14 +115,14 @@ def _block(spark: SparkSession, rows: DataFrame, dim: int, qids: np.ndarray, que
         still = np.zeros(n, dtype=bool)
         for r in hit:       # a query without a row here has fewer than k candidates: all of them are its answer
             i = g[r["q"]]
-            least[i] = lo[i] + r["bin"] * width[i]
+            least[i] = lo[i] + np.uint64(r["bin"]) * width[i]
             left = need[i] - (r["upto"] - r["n"])
             if width[i] > 1 and r["n"] > left + 4 * k:
-                lo[i], hi[i], need[i], still[i] = least[i], min(hi[i], least[i] + width[i]), left, True
-                width[i] = (width[i] + BINS - 1) // BINS
+                lo[i], last[i], need[i], still[i] = least[i], min(int(last[i]), int(least[i]) + int(width[i]) - 1), left, True
+                width[i] = (int(width[i]) + BINS - 1) // BINS
         state.unpersist()
         going = still
-    state = sc.broadcast((qids, queries, least))
+    state = sc.broadcast((qids, queries, at_places(least)))
     found = mapped(rows, lambda it: _filter(it, dim, state.value, k), "q int, id long, score long")
     ids = spark.createDataFrame([(i, int(x)) for i, x in enumerate(qids)], "q int, query_id long")
     return (best_of(found, k, F.desc("score")).join(F.broadcast(ids), "q")      # a row for each query of the block
@@ -131,15 +142,16 @@ def exact_topk(df: DataFrame, is_query, k: int, vec_id: str = "vec_id", vector:
                 tops = {r["dim"]: r["top"] for r in rows.groupBy("dim").agg(
                     F.max(F.array_max(F.transform("v", F.abs))).alias("top")).collect()}
             bound = int(tops[dim] or 0) * int(np.abs(queries).max(initial=0)) * max(1, dim)
-            yield _block(spark, rows, dim, qids, queries, min(bound, LIMIT), k)
+            yield _block(spark, rows, dim, qids, queries, bound, k)
 
     return gather_blocks(spark, blocks(), schema, "topk")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(256 * x).cast("double"))
-        .alias("whole"), "embedding")
+    df = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    scaled = F.transform(F.col("embedding").cast("array<double>"), lambda x: 256 * x)
+    # a double of 2^53 or more is whole; floor() would hold it within a long
+    floors = F.transform(scaled, lambda x: F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x))
     # floor() turns what is not finite into a number: such vectors must go by their first components
-    whole = F.when(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.col("whole"))
+    whole = F.when(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), floors)
     return exact_topk(df.select("vec_id", whole.alias("whole")), F.col("id") % 50 == 0, 5, vector="whole")

@@ -64,10 +64,23 @@ def test_topk_narrows_over_many_rounds(spark, monkeypatch):
 def test_topk_few_rows_large_values_and_none(spark):
     df = frame(spark, [(0, [1e30, 0.0]), (50, [1e30, -1e30]), (7, [-1e30, 3.0])])
     got = topk.exact_topk(df, F.col("id") % 50 == 0, 5, vector="embedding").collect()
-    assert len(got) == 4 and all(abs(r["score"]) <= topk.LIMIT for r in got)
+    low, high = topk.LONGS          # beyond what a long holds
+    assert {tuple(r) for r in got} == {(0, 1, 50, high), (0, 2, 7, low), (50, 1, 0, high), (50, 2, 7, low)}
     assert topk.exact_topk(frame(spark, []), F.col("id") % 50 == 0, 5, vector="embedding").collect() == []
 
 
+def test_topk_over_all_longs(spark):
+    """Scores between 2^61 and 2^63 either way, with ties."""
+    rnd = np.random.default_rng(8)
+    rows = [(i, [float(a) * 2 ** 29, float(b) * 2 ** 28]) for i, (a, b) in enumerate(rnd.integers(-5, 6, (500, 2)).tolist())]
+    got = topk.exact_topk(frame(spark, rows).repartition(4), F.col("id") % 50 == 0, 5, vector="embedding").collect()
+    want = set()
+    for i, q in rows[::50]:
+        s = sorted((-sum(int(x) * int(y) for x, y in zip(q, v)), j) for j, v in rows if j != i)
+        want |= {(i, rank, j, -d) for rank, (d, j) in enumerate(s[:5], 1)}
+    assert {tuple(r) for r in got} == want and max(abs(w[3]) for w in want) > 2 ** 62
+
+
 def test_topk_query(spark, sf):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = topk.op7_topk(spark, sf)
