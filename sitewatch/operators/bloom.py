@@ -40,12 +40,14 @@ def bloom_filter(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
                                        for w in range(WORDS)]), blocks
 
 
-def may_hold(df: DataFrame, keys: Sequence[str], bloom: tuple[DataFrame, int]) -> DataFrame:
-    """The rows of ``df`` whose keys may be in the filter: all that are, and few others."""
+def may_hold(df: DataFrame, keys: Sequence[str], bloom: tuple[DataFrame, int], absent: bool = False) -> DataFrame:
+    """The rows of ``df`` whose keys may be in the filter: all that are, and few others.
+    With ``absent`` the other rows: those whose keys are not in it for certain."""
     table, blocks = bloom
     words = F.array(*[F.col(f"_w{w}") for w in range(WORDS)])
     hit = F.lit(True)
     for place in _places(keys):
         hit = hit & (F.get(words, F.shiftright(place, 6)).bitwiseAND(_bit(place)) != 0)
-    probed = df.withColumn("_block", _block(keys, blocks)).join(F.broadcast(table), "_block")      # at most MOST_BLOCKS rows
-    return probed.filter(hit).select(*df.columns)
+    keyed = df.withColumn("_block", _block(keys, blocks))
+    probed = keyed.join(F.broadcast(table), "_block", "left" if absent else "inner")       # at most MOST_BLOCKS rows
+    return probed.filter(~F.coalesce(hit, F.lit(False)) if absent else hit).select(*df.columns)

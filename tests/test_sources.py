@@ -50,6 +50,7 @@ def test_bloom_filter_loses_none_and_lets_few_through(spark, n):
     table = bloom.bloom_filter(rows, key)
     assert bloom.may_hold(rows, key, table).count() == n
     assert bloom.may_hold(others, key, table).count() < 2000
+    assert bloom.may_hold(others, key, table).count() + bloom.may_hold(others, key, table, absent=True).count() == 100_000
 
 
 def test_bloom_filter_beyond_its_size(spark, monkeypatch):
