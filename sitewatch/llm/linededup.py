@@ -1,30 +1,38 @@
 """Line dedup with content-defined chunks of lines (operator 10).
 
-A text is cut into lines at line ends; a line of several sentences counts as so
-many lines (cut behind the marks of ``SENTENCE_END``), and so does a sentence of more
-than ``LONG`` bytes (cut behind words, or behind letters where no blanks are, by the
-hash of what stands there).  Runs of lines form chunks of ``MIN_BYTES`` or more: a
-line end closes a chunk beside a line of several sentences, behind a line that has
-``MIN_BYTES`` itself, before such a line, and elsewhere where the hash of the line is
-0 mod ``DIVISOR``; a shorter rest of a run belongs to the chunk before it.  So
-boundaries depend on nearby lines alone and come back after a shift, and a passage
-inside other lines is found line by line, but for shorter lines at its two ends.  A
-chunk that occurs again anywhere is removed everywhere but at its first place
-(smallest doc_id, then place), after its bytes were compared with those of the first
-one.  Hashes only say which chunks to compare.
-
-Hashes are counted over all documents; texts are dealt out by document, and the bytes
-of repeated chunks by hash.  Neither gathers a frequent chunk's places in one task
-other than as a partial minimum and count; joins on a frequent hash can be split.
+A text is cut into lines at line ends; the sentences of a line count as so many lines
+(cut behind the marks of ``BOUNDARY``), and so do the parts of a sentence of more than
+``LONG`` bytes (cut behind words, or behind letters where no blanks are, by the hash of
+what stands there).  Empty lines count for nothing.
+
+A polynomial hash rolls over the hashes of the lines and of what stands between them:
+at each line it covers that line and the next ones, two at least and as many as make
+``MIN_BYTES``.  Where a window of lines occurs again anywhere, the chunk goes on; it
+begins and ends where the rolling hash is that of no other place.  So a chunk's
+boundaries depend on the lines beside them alone, come back after a shift, and a
+repeated chunk is found whole, wherever it stands.  A chunk has two lines or more: a
+lone common sentence stays.
+
+A window is removed everywhere but at its first place (smallest doc_id, then place),
+after its bytes were compared with those at the first one; a line goes if a removed
+window covers it, so each line stays somewhere.  Hashes only say what to compare: a
+collision may keep a copy, and never removes anything else.
+
+Windows are counted by hash alone, as partial counts.  A Bloom filter of the repeated
+hashes (bounded in size) dismisses the others where they lie; the texts that are moved are
+those with something to compare or to remove.  No place gathers a frequent
+window's occurrences other than as a partial minimum and count, and joins on a frequent
+hash can be split.
 
 Defined cases: null texts stay null and empty ones empty; a null doc_id comes after
 all others; rows that share id and text are one document and are treated alike;
-extra columns pass through.
+extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,51 +41,40 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitewatch.operators.bloom import bloom_filter, may_hold
 from sitewatch.session import materialize
 
-from .common import in_arrow, same_document, table, with_text_key
+from .common import in_arrow, table
 
-DIVISOR, MIN_BYTES = 2, 40
-LONG, WORDS, LETTERS = 160, 8, 16       # bytes of a sentence that is cut, mean words and letters between cuts
-# marks of sentences (with quotes and brackets that close them) before a blank, or of scripts that set none
-SENTENCE_END = re.compile(rb"""((?:[.!?]|\xe2\x80\xa6|\xd8\x9f|\xdb\x94|\xe0\xa5\xa4|\xd6\x89)["')\]]*) """
-                          rb"|((?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)+(?:\xe3\x80\x8d|\xe3\x80\x8f|\xe2\x80\x9d)*) ?")
+MIN_BYTES = 40                          # of a window of lines
+LONG, WORDS, LETTERS = 96, 8, 16        # bytes of a sentence that is cut, mean words and letters between cuts
+# a line end, marks of sentences (with quotes and brackets that close them) before a blank, or of scripts that set none
+BOUNDARY = re.compile(rb"""\n|((?:[.!?]|\xe2\x80\xa6|\xd8\x9f|\xdb\x94|\xe0\xa5\xa4|\xd6\x89)["')\]]*) """
+                      rb"|((?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)+(?:\xe3\x80\x8d|\xe3\x80\x8f|\xe2\x80\x9d)*) ?")
 WORD = re.compile(rb"[^ ]+")
 LETTER = re.compile(rb"[^\x80-\xbf][\x80-\xbf]*")
-
-
-def chunks(data: bytes) -> list[tuple[int, int]]:
-    """(start, end) of the chunks, without the separator behind them."""
-    out = []
-    place = 0
-    run: list[tuple[int, int]] = []     # single-sentence lines behind one another
-    for line in data.split(b"\n"):
-        spans = _sentences(data, place, place + len(line))
-        if len(spans) == 1:
-            run += spans
-        else:
-            _cut(data, run, out)
-            run = []
-            _cut(data, spans, out)
-        place += len(line) + 1
-    _cut(data, run, out)
-    return out
-
-
-def _sentences(data: bytes, start: int, end: int) -> list[tuple[int, int]]:
-    """A line's sentences with their marks, without the blank behind them; long ones in parts."""
-    out, at = [], start
-    for m in SENTENCE_END.finditer(data, start, end):
-        mark = m.end(m.lastindex)
-        if m.end() < end:
-            _parts(data, at, mark, out)
-            at = m.end()
-    _parts(data, at, end, out)
-    return out
-
-
-def _parts(data: bytes, start: int, end: int, out: list[tuple[int, int]]) -> None:
-    """Parts of a long sentence, cut behind words, and in words that are long behind letters, by what stands there."""
+BASE = 0x9E3779B97F4A7C15
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
+BETWEEN, LAST, MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
+KEY = ["id", "h1", "h2"]
+
+
+def lines(data: bytes) -> tuple[array, array]:
+    """Starts and ends of the lines, sentences and parts of long ones, in order; none is empty."""
+    starts, ends = array("q"), array("q")
+    at = 0
+    for m in BOUNDARY.finditer(data):
+        end = m.end(m.lastindex) if m.lastindex else m.start()
+        if end > at:
+            _add(data, at, end, starts, ends)
+        at = m.end()
+    if len(data) > at:
+        _add(data, at, len(data), starts, ends)
+    return starts, ends
+
+
+def _add(data: bytes, start: int, end: int, starts: array, ends: array) -> None:
+    """A line; a long one in parts, cut behind words, and in words that are long behind letters, by what stands there."""
     if end - start > LONG:
         for m in WORD.finditer(data, start, end):
             a, b = m.span()
@@ -85,84 +82,121 @@ def _parts(data: bytes, start: int, end: int, out: list[tuple[int, int]]) -> Non
                 before = a
                 for x in LETTER.finditer(data, a, b):
                     if x.end() < b and xxhash.xxh64_intdigest(data[before:x.end()]) % LETTERS == 0:
-                        out.append((start, x.end()))
+                        starts.append(start)
+                        ends.append(x.end())
                         start = x.end()
                     before = x.start()
             elif b < end and xxhash.xxh64_intdigest(data[a:b]) % WORDS == 0:
-                out.append((start, b))
+                starts.append(start)
+                ends.append(b)
                 start = b + 1
-    out.append((start, end))
-
-
-def _cut(data: bytes, spans: list[tuple[int, int]], out: list[tuple[int, int]]) -> None:
-    if not spans or spans[-1][1] - spans[0][0] < MIN_BYTES:
-        return
-    start, done, last = spans[0][0], len(out), len(spans) - 1
-    for i, (a, b) in enumerate(spans):
-        if b - start < MIN_BYTES:
-            if i == last and len(out) > done:       # too short a rest belongs to the chunk before
-                out[-1] = (out[-1][0], b)
-        elif (i == last or b - a >= MIN_BYTES or spans[i + 1][1] - spans[i + 1][0] >= MIN_BYTES
-              or xxhash.xxh64_intdigest(data[a:b]) % DIVISOR == 0):
-            out.append((start, b))
-            start = spans[i + 1][0] if i < last else b
-
-
-def occurrences(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(__id, __k1, __k2, start, len, a, b): every chunk long enough, by place and 128-bit hash."""
-    given = with_text_key(df, text).select(F.col(f"`{doc_id}`").alias("__id"), F.col("__h1").alias("__k1"),
-                                          F.col("__h2").alias("__k2"), F.col(f"`{text}`").cast("binary").alias("data"))
-    kind = given.schema["__id"].dataType.simpleString()
+    starts.append(start)
+    ends.append(end)
+
+
+def windows(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, rolling hash) of the window of lines at each line that has one."""
+    first, last = lines(data)
+    n = len(first)
+    starts, ends = np.frombuffer(first, dtype=np.int64) if n else np.zeros(0, np.int64), np.frombuffer(last, dtype=np.int64) if n else np.zeros(0, np.int64)
+    # the line at which a window ends: the next one at least
+    upto = np.maximum(np.arange(n) + 1, np.searchsorted(ends, starts + MIN_BYTES))
+    at = np.flatnonzero(upto < n)
+    if not len(at):
+        return starts[:0], starts[:0], np.zeros(0, dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    line = np.fromiter((digest(data[a:b]) for a, b in zip(first, last)), dtype=np.uint64, count=n)
+    gaps = {b: digest(b) for b in {data[b:a] for b, a in zip(last, first[1:])}}
+    between = np.fromiter((gaps[data[b:a]] for b, a in zip(last, first[1:])), dtype=np.uint64, count=n - 1)
+    power, inverse = _powers(n)
+    sums = np.zeros(n, dtype=np.uint64)
+    np.cumsum((line[:-1] + between * BETWEEN) * power[:n - 1], out=sums[1:])
+    to = upto[at]
+    rolled = (sums[to] - sums[at]) * inverse[at] + line[to] * power[to - at] * LAST
+    rolled ^= rolled >> np.uint64(31)
+    return starts[at], ends[to] - starts[at], rolled * MIX
+
+
+_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of BASE and of its inverse, mod 2^64."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((BASE, BASE_INVERSE)):
+            x = np.full(max(n, 1 << 12), base, dtype=np.uint64)
+            x[0] = 1
+            _POWERS[i] = np.cumprod(x, dtype=np.uint64)
+    return _POWERS
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(id, h1, h2, ws): the windows (start, len, a) of each document (id, h1, h2, data)."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, place, digest = [], [], bytearray()
-            for i, data in enumerate(batch.column(3).to_pylist()):
-                for a, b in chunks(data or b""):
-                    if b - a >= MIN_BYTES:
-                        rows.append(i)
-                        place.append((a, b - a))
-                        digest += xxhash.xxh128_digest(data[a:b])
-            at = pa.array(rows, pa.int64())
-            starts, sizes = zip(*place) if place else ((), ())
-            halves = np.frombuffer(bytes(digest), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(k).take(at) for k in range(3)]
-                + [pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
-                names=["__id", "__k1", "__k2", "start", "len", "a", "b"])
-
-    return in_arrow(given, run, f"__id {kind}, __k1 long, __k2 long, start int, len int, a long, b long")
+            found = [windows(data or b"") for data in batch.column(3).to_pylist()]
+            ends = np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32)
+            flat = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
+            cells = pa.StructArray.from_arrays([pa.array(flat[0].astype(np.int32)), pa.array(flat[1].astype(np.int32)),
+                                                pa.array(flat[2].astype(np.uint64).view(np.int64))], names=["start", "len", "a"])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)] + [pa.ListArray.from_arrays(pa.array(ends), cells)],
+                                             names=[*KEY, "ws"])
+
+    return in_arrow(docs, run, f"id {kind}, h1 long, h2 long, ws array<struct<start: int, len: int, a: long>>")
 
 
 def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
     """``df`` with repeated chunks taken out of ``text``; ``removed`` names a column for their number."""
-    place = F.struct(F.col("__id").isNull().alias("none"), "__id", "__k1", "__k2", "start")
-    occ = materialize(occurrences(df, doc_id, text), "chunks")
-    repeated = occ.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")).where("times > 1")
-    found = (occ.join(repeated.select("a", "b", "first"), ["a", "b"])
-             .select("__id", "__k1", "__k2", F.struct("start", "len", "a", "b", place.eqNullSafe(F.col("first")).alias("is_first")).alias("c"))
-             .groupBy("__id", "__k1", "__k2").agg(F.collect_set("c").alias("cs")))      # as many as the document has
-    found = materialize(found, "repeated")
-
-    docs = with_text_key(df, text)
-    bytes_ = docs.join(found, same_document(docs, found, doc_id)).select("__id", "__k1", "__k2", F.col(f"`{text}`").cast("binary").alias("data"),
-                                                                 F.explode("cs").alias("c"))
-    bytes_ = bytes_.select("__id", "__k1", "__k2", "c.*", F.substring("data", F.col("c.start") + 1, F.col("c.len")).alias("bytes"))
-    first = bytes_.where("is_first").groupBy("a", "b").agg(F.min("bytes").alias("first_bytes"))
-    gone = (bytes_.where("not is_first").join(first, ["a", "b"]).where("bytes = first_bytes")
-            .groupBy("__id", "__k1", "__k2").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("__gone")))
-
-    data = F.col(f"`{text}`").cast("binary")
-    # what stays: between the end of one removed chunk, its separator included, and the start of the next
-    ends = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda g: _behind(data, g["start"] + g["len"])))
-    starts = F.concat(F.transform("__gone", lambda g: g["start"]), F.array(F.octet_length(data)))
+    t = F.col(f"`{text}`")
+    docs = df.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"),
+                     t.cast("binary").alias("data"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"))
+    found = materialize(occurrences(docs.select(*KEY, "data")), "windows")
+    flat = found.select(*KEY, F.explode("ws").alias("w")).select(*KEY, "w.start", "w.len", "w.a")
+    again = materialize(flat.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "repeated")
+    hits = materialize(may_hold(flat, ["a"], bloom_filter(again, ["a"])).join(again, "a", "left_semi").dropDuplicates([*KEY, "start"]), "hits")
+
+    place = F.struct(F.col("id").isNull().alias("none"), *KEY, "start")
+    first = hits.groupBy("a").agg(F.min(F.struct(place.alias("p"), "len")).alias("f"))
+    first = materialize(first.select("a", F.col("f.p.id").alias("id"), F.col("f.p.h1").alias("h1"), F.col("f.p.h2").alias("h2"),
+                                     F.col("f.p.start").alias("start"), F.col("f.len").alias("len")), "first")
+    # bytes at the first places, from the documents that hold some
+    holding = first.groupBy(*KEY).agg(F.collect_list(F.struct("a", "start", "len")).alias("ws"))       # as many as the document has
+    cut = _met(may_hold(docs.select(*KEY, "data"), KEY, bloom_filter(first.select(*KEY).distinct(), KEY)).dropDuplicates(KEY), holding, "inner")
+    bytes_ = cut.select(*KEY, "data", F.explode("ws").alias("w")).select(
+        F.col("w.a").alias("a"), F.struct(*KEY, "w.start").alias("f"), F.substring("data", F.col("w.start") + 1, F.col("w.len")).alias("bytes"))
+    later = hits.join(bytes_, "a").where(~F.struct(*KEY, "start").eqNullSafe(F.col("f")))
+    asked = materialize(later.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "len", "bytes"))).alias("ws")), "asked")
+
+    none = F.array().cast("array<struct<start: int, end: int>>")
+    maybe = bloom_filter(asked.select(*KEY), KEY)
+    touched = _met(may_hold(docs, KEY, maybe), asked, "left")
+    same = F.filter("ws", lambda w: F.substring("data", w["start"] + 1, w["len"]) == w["bytes"])
+    gone = F.coalesce(F.transform(same, lambda w: F.struct(w["start"].alias("start"), (w["start"] + w["len"]).alias("end"))), none)
+    touched = touched.select("row", "data", gone.alias("gone"))
+    rest = may_hold(docs.withColumn("gone", none), KEY, maybe, absent=True).select("row", "data", "gone")
+    whole = touched.unionByName(rest)
+
+    data = F.col("data")
+    # what stays: between the end of one removed window, its separator included, and the start of the next
+    ends = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: _behind(data, g["end"])))
+    starts = F.concat(F.transform("gone", lambda g: g["start"]), F.array(F.octet_length(data)))
     pieces = F.zip_with(ends, starts, lambda a, b: F.substring(data, a + 1, F.greatest(b - a, F.lit(0))).cast("string"))
-    out = docs.join(gone, same_document(docs, gone, doc_id), "left")
-    cols = [F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(F.array_join(pieces, "")).alias(c) if c == text else F.col(f"`{c}`")
-            for c in df.columns if c != removed]
+    cols = [F.when(F.size("gone") > 0, F.array_join(pieces, "")).otherwise(F.col(f"row.c{i}")).alias(c) if c == text else F.col(f"row.c{i}").alias(c)
+            for i, c in enumerate(df.columns) if c != removed]
     if removed:
-        cols.append(F.coalesce(F.size("__gone"), F.lit(0)).alias(removed))
-    return out.select(*cols)
+        # windows that overlap or touch are one chunk
+        runs = F.size(F.filter(F.zip_with(ends, starts, lambda a, b: b > a), lambda apart: apart))
+        outer = (F.element_at(starts, 1) > 0).cast("int") + (F.element_at(ends, -1) < F.octet_length(data)).cast("int")
+        cols.append(F.when(F.size("gone") > 0, runs - outer + 1).otherwise(F.lit(0)).alias(removed))
+    return whole.select(*cols)
+
+
+def _met(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Documents with what was found of them; null ids are equal."""
+    other = found.withColumnsRenamed({k: f"of_{k}" for k in KEY})
+    return docs.join(other, docs["id"].eqNullSafe(other["of_id"]) & (docs["h1"] == other["of_h1"]) & (docs["h2"] == other["of_h2"]), how)
 
 
 def _behind(data, end):

@@ -7,24 +7,34 @@ from sitewatch.llm import linededup as L
 
 
 def brute(rows):
-    """Texts after removal, for (doc_id, text) rows; compares bytes only."""
+    """(doc_id, text after removal, chunks removed) for (doc_id, text) rows; compares bytes only."""
     docs = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0, *keys(r[1])))
     seen, out = set(), {}
     for d, t in docs:
         data = t.encode()
-        kept, at, n = b"", 0, 0
-        for a, b in L.chunks(data):
-            if b - a < L.MIN_BYTES:
-                continue
+        gone = []
+        for a, b in spans(data):
             if data[a:b] in seen:
-                kept += data[at:a]
-                at = min(b + 1, len(data))
-                n += 1
+                gone.append((a, b))
             seen.add(data[a:b])
+        kept, at, n = b"", 0, 0
+        for a, b in gone:
+            n += a > at or not n
+            kept += data[at:a]
+            at = b + (data[b:b + 1] in (b"\n", b" "))
         out[d, t] = ((kept + data[at:]).decode(), n)
     return [(d, *out.get((d, t), (t, 0))) for d, t in rows]
 
 
+def spans(data):
+    """Windows: each line with the next ones, one at least, as many as make 40 bytes."""
+    starts, ends = L.lines(data)
+    for i, a in enumerate(starts):
+        b = next((b for b in ends[i + 1:] if b - a >= 40), None)
+        if b is not None:
+            yield a, b
+
+
 def keys(text):
     """Order of texts with the same id: the two hashes that stand for the text."""
     def signed(x):
@@ -38,19 +48,29 @@ def xxhash_int(value, seed):
     return xxhash.xxh64_intdigest(value.to_bytes(4, "little"), seed)
 
 
-def test_chunks_cover_lines_and_come_back_after_a_shift():
+def test_windows_are_rolled_as_they_are_defined_and_come_back_after_a_shift():
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choice("abcdé") for _ in range(6))
     lines = [". ".join(" ".join(word() for _ in range(4)) for _ in range(rnd.choice([1, 1, 1, 2, 6, 12]))) + "." for _ in range(60)]
+    lines[7:7] = ["", "a", "b", "", "c", " d", "x y" * 70, "天地玄黄宇宙洪荒。" * 30]
     text = "\n".join(lines).encode()
-    spans = L.chunks(text)
-    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:])) and all(text[b:b + 1] in (b"\n", b" ", b"") for _, b in spans)
-    pieces = {text[a:b] for a, b in spans}
+    starts, ends = L.lines(text)
+    assert all(a < b for a, b in zip(starts, ends)) and all(text[b:a] in (b"\n", b"\n\n", b" ", b"") for b, a in zip(ends, starts[1:]))
+    at, size, rolled = L.windows(text)
+    assert list(zip(at.tolist(), (at + size).tolist())) == list(spans(text))
+    content = [text[a:a + n] for a, n in zip(at, size)]
+    assert len(set(rolled.tolist())) == len(set(content))
     for lead in (b"new line\n", b"new. lines. here.\n", b"x\ny\nz\n"):
-        moved = lead + text
-        shifted = {moved[a:b] for a, b in L.chunks(moved)}
-        assert len(pieces - shifted) <= 2
-    assert L.chunks(b"") == L.chunks(b"one line") == []
+        moved, m, r = L.windows(lead + text)
+        shifted = dict(zip(r.tolist(), ((lead + text)[a:a + n] for a, n in zip(moved, m))))
+        assert all(shifted[h] == c for h, c in zip(rolled.tolist(), content))
+    for few in (b"", b"one line", b"a\nb", b"\n\n"):
+        assert len(L.windows(few)[0]) == 0
+
+
+def test_equal_lines_between_other_separators_differ():
+    a, b = (L.windows(f"a line of some words here{x}another line of some words".encode())[2].tolist() for x in ("\n", "\n\n"))
+    assert len(a) == len(b) == 1 and a != b
 
 
 def some_rows(rnd):
@@ -84,7 +104,8 @@ def test_equal_hashes_are_not_enough(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     real = L.occurrences
     from pyspark.sql import functions as F
-    monkeypatch.setattr(L, "occurrences", lambda *a: real(*a).withColumns({"a": F.lit(1).cast("long"), "b": F.lit(1).cast("long")}))
+    one = lambda w: F.struct(w["start"].alias("start"), w["len"].alias("len"), F.lit(1).cast("long").alias("a"))
+    monkeypatch.setattr(L, "occurrences", lambda docs: real(docs).withColumn("ws", F.transform("ws", one)))
     assert {r["doc_id"]: r["text"] for r in L.remove_repeated_chunks(df).collect()} == {1: rows[0][1], 2: rows[1][1], 3: ""}
 
 
@@ -123,6 +144,37 @@ def test_passages_inside_a_run_are_found(spark, within):
     assert share > 0.5 and others == 0
 
 
+@pytest.mark.parametrize("within", ["\n", ". "])
+@pytest.mark.parametrize("lines", [5, 8, 10])
+def test_passages_of_some_lines_are_found(spark, within, lines):
+    """0.9 or better of their lines, short and long ones, and none of the others'."""
+    rnd = random.Random(lines)
+    for words in (6, 9, 14):
+        share, others = passages_in_other_lines(spark, rnd, lines, words, within)
+        assert share >= 0.9 and others == 0
+
+
+@pytest.mark.parametrize("within", ["\n", ". "])
+def test_a_lone_common_sentence_stays(spark, within):
+    """A sentence of many words in many texts, each time beside other ones."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(5))
+    line = lambda: " ".join(word() for _ in range(9))
+    common = [line() for _ in range(3)]
+    rows = [(d, within.join([line(), rnd.choice(common), line(), rnd.choice(common), line()])) for d in range(200)]
+    got = {r["doc_id"]: r["text"] for r in L.remove_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["id", "h1", "h2", "data", "row", "gone", "ws", "__gone", "__id", "start", "a", "_block", "_w0"]
+    text = "a line of some words here\nanother line of some words"
+    rows = [(i, text, *[f"{n}{i}" for n in names]) for i in (1, 2)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = sorted(tuple(r) for r in L.remove_repeated_chunks(df, removed="n").collect())
+    assert got == [(*rows[0], 0), (2, "", *rows[1][2:], 1)]
+
+
 def test_a_copy_leaves_no_short_lines(spark):
     text = "a longer sentence that is a chunk by its own length. Oh. another one that is long enough to be a chunk. No"
     df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
