@@ -109,6 +109,7 @@ class Engine:
         ids = sorted(self.ranks, key=self.ranks.get)
         self._load("vocabulary", pa.table({"tok": pa.array([self.ranks[t] for t in ids], pa.int32()),
                                            "bytes": pa.array(ids, pa.binary())}))
+        self.tokens = {t: r.to_bytes(4, "little") for t, r in self.ranks.items()}
         self.raw: dict[str, bytes] = {}     # chunk -> its ids as int32 bytes
         self.led: dict[str, bytes] = {}     # the same for " " + chunk
 
@@ -197,30 +198,28 @@ class Engine:
         self._learn(self.led, led, " ")
         return [b"".join([self.raw[c] for c in a] + list(map(self.led.__getitem__, b))) for a, b in cut]
 
-    def _split(self, lead: str, chunk: str) -> list[str]:
-        """The pattern's matches; letters alone, or with one mark behind them, are plain to see."""
-        if chunk.isalpha():
-            return [lead + chunk]
-        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
-            return [lead + chunk[:-1], chunk[-1]]
-        return self.pattern.findall(lead + chunk)
-
     def _learn(self, known: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        pieces: dict[str, bytes] = {}
-        split = {c: self._split(lead, c) for c in chunks}
-        for ps in split.values():
-            for p in ps:
-                pieces[p] = b""
-        todo = []
-        for p in pieces:
-            # a piece that is itself a token is that token
-            if (r := self.ranks.get(p.encode())) is None:
-                todo.append(p)
-            else:
-                pieces[p] = r.to_bytes(4, "little")
-        pieces.update(zip(todo, self._contract([p.encode() for p in todo])))
+        """Ids of new chunks.  Letters alone are one match of the pattern, and one mark behind them is another."""
+        plain = {c for c in chunks if c.isalpha()}
+        marked = {c for c in chunks.difference(plain) if c[-1:] in MARKS and c[:-1].isalpha()}
+        stems = list(plain.union([c[:-1] for c in marked]).difference(known))
+        split = {c: self.pattern.findall(lead + c) for c in chunks.difference(plain, marked)}
+        rest = list({p for ps in split.values() for p in ps})
+        ids = self._ids([(lead + c).encode() for c in stems] + [p.encode() for p in rest])
+        known.update(zip(stems, ids))
+        for c in marked:
+            known[c] = known[c[:-1]] + self.tokens[c[-1].encode()]
+        pieces = dict(zip(rest, ids[len(stems):]))
         for c, ps in split.items():
-            known[c] = b"".join([pieces[p] for p in ps])
+            known[c] = b"".join(map(pieces.__getitem__, ps))
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces as int32 bytes; one that is itself a token is that token."""
+        out = list(map(self.tokens.get, pieces))
+        todo = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(todo, self._contract([pieces[i] for i in todo])):
+            out[i] = x
+        return out
 
     def decode(self, offsets: np.ndarray, ids: np.ndarray) -> list[bytes]:
         """Bytes of each list of ids."""
