@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_arrow, strings, table
+from .common import free_name, in_arrow, strings, table
 
 SLICE_CHARS = 4 << 20      # texts encoded together
 KNOWN_CHUNKS = 300_000     # chunks a worker remembers; beyond it starts anew (only speed depends on it)
@@ -274,7 +274,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
     """``df`` with ``out``: the ids of ``text`` as array<int>, without special tokens."""
     keep = [c for c in df.columns if c.lower() != out.lower()]
     # the text goes in under its own name, whatever else the table holds
-    given = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    given = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(free_name(df, "text_")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = engine(ranks_path, pattern)
@@ -294,7 +294,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``: the bytes that the ids stand for (null ids: no bytes)."""
     keep = [c for c in df.columns if c.lower() != out.lower()]
-    given = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids}`").cast("array<int>").alias("__ids"))
+    given = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids}`").cast("array<int>").alias(free_name(df, "ids_")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = engine(ranks_path, pattern)

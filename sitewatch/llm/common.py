@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitewatch.session import ship_package
+
 # One Arrow batch sent to a Python worker holds at most this many bytes (or one
 # row, if that row alone is larger), whatever the length of the texts.
 BATCH_BYTES = 8 << 20
@@ -20,23 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application: their Python need not find it otherwise."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(path))
-    _shipped.add(sc.applicationId)
-
-
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
              schema: str) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes instead of only in rows."""
@@ -67,16 +49,6 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def with_text_key(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with two hashes of its text, __h1 and __h2; with the id they stand for a document."""
-    return df.withColumns({"__h1": F.xxhash64(F.col(f"`{text}`")), "__h2": F.xxhash64(F.lit(1), F.col(f"`{text}`"))})
-
-
-def same_document(docs: DataFrame, found: DataFrame, doc_id: str):
-    """Join condition of documents with a text key and rows (__id, __k1, __k2, ...) about them; null ids are equal."""
-    return docs[doc_id].eqNullSafe(found["__id"]) & (docs["__h1"] == found["__k1"]) & (docs["__h2"] == found["__k2"])
-
-
 def smallest_by_hash(df: DataFrame, key: str, order: list[str], n: int, salts: int = 8) -> DataFrame:
     """The ``n`` first rows of each ``key`` by ``order``, which begins with a hash.
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sitewatch.session import materialize
 
-from .common import held_out, in_arrow, smallest_by_hash, table
+from .common import free_name, held_out, in_arrow, smallest_by_hash, table
 
 DIM = 1 << 14
 NGRAMS = 3
@@ -214,7 +214,7 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 def predict(df: DataFrame, model: Model, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``df`` with the predicted language and its calibrated probability."""
     keep = [c for c in df.columns if c.lower() not in (lang_out.lower(), score_out.lower())]
-    given = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    given = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(free_name(df, "text_")))
     state = df.sparkSession.sparkContext.broadcast(model)       # (DIM + 1) x languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

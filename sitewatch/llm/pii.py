@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from sitewatch.session import materialize
 
-from .common import in_arrow, same_document, table, with_text_key
+from .common import free_name, in_arrow, table
 
 # Forms of address, with the gender they tell (m, f or n: none).
 ADDRESS = {
@@ -238,7 +238,7 @@ def luhn(digits: str) -> bool:
 def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     """The canonical form drawn for an entity; after many attempts it grows longer, so that draws never run out."""
     d = _Draw(key, kind, canon, attempt)
-    extra = attempt // 64
+    extra = attempt // 8
     sort, *rest = kind.split(" ")
     if sort == "initial":       # one cycle through the alphabet, so that equal stays equal and different different
         letters = list(ALPHABETS[rest[0].upper()])
@@ -254,19 +254,20 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
         ends = GIVEN_ENDS if sort == "given" else SURNAME_ENDS
         ends = ends.get((script, gender)) or ends[script, "n" if (script, "n") in ends else "m"]
         return "".join(d.of(SYLLABLES[script]) for _ in range(1 + (sort == "surname") + d.below(2) + extra)) + d.of(ends)
+    if sort == "domain":
+        name, _, top = canon.rpartition(".")
+        return "".join(map(d.like, name)) + "".join(str(d.below(10)) for _ in range(extra)) + "." + top
     if sort == "email":
         local, _, domain = canon.rpartition("@")
-        name, _, top = domain.rpartition(".")
-        of_domain = _Draw(key, "domain", domain)
-        return "".join(map(d.like, local)) + "".join(str(d.below(10)) for _ in range(extra)) + "@" + "".join(map(of_domain.like, name)) + "." + top
+        return "".join(map(d.like, local)) + "".join(str(d.below(10)) for _ in range(extra)) + "@" + surrogate(key, "domain", domain, 0)
     if sort == "ip":
         a, b, *_ = map(int, canon.split("."))
-        if a in (10, 127):
-            head = [a]
-        elif (a, b) == (192, 168) or a == 172 and 16 <= b < 32:
-            head = [a, b]
+        if a in (10, 127) or (a, b) == (192, 168) or a == 172 and 16 <= b < 32:
+            # a private one; of a block that is used up, one of the largest private block, then any
+            head = [[a] if a in (10, 127) else [a, b], [10], []][min(extra, 2)]
         else:
             head = [d.of([x for x in range(1, 224) if x not in (10, 127, 172, 192)])]
+        head = head or [1 + d.below(223)]
         return ".".join(map(str, head + [d.below(256) for _ in range(4 - len(head))]))
     if sort == "iban":
         return canon[:2] + "".join(map(d.like, canon[2:])) + "".join(str(d.below(10)) for _ in range(extra))
@@ -300,8 +301,8 @@ def render(mention: str, kind: str, new: str) -> str:
 
 def mentions(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(__id, __k1, __k2, start, stop, kind, canon) of every entity found."""
-    given = with_text_key(df, text).select(F.col(f"`{doc_id}`").alias("__id"), F.col("__h1").alias("__k1"),
-                                           F.col("__h2").alias("__k2"), F.col(f"`{text}`").cast("string").alias("t"))
+    t = F.col(f"`{text}`")
+    given = df.select(F.col(f"`{doc_id}`").alias("__id"), F.xxhash64(t).alias("__k1"), F.xxhash64(F.lit(1), t).alias("__k2"), t.cast("string").alias("t"))
     kind = given.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,44 +322,78 @@ def mentions(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return in_arrow(given, run, f"__id {kind}, __k1 long, __k2 long, start int, stop int, kind string, canon string")
 
 
-def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canon, new): a surrogate of its own for each distinct (kind, canon)."""
-    entities = materialize(entities.select("kind", "canon").distinct(), "entities")
+def one_gender(found: DataFrame) -> DataFrame:
+    """Mentions of a name have one kind: of the genders told with it anywhere the most frequent, if any is.
 
-    def draw(rows: DataFrame, attempt: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                new = [surrogate(key, k, c, attempt) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=["kind", "canon", "new"])
-        return in_arrow(rows, run, "kind string, canon string, new string")
+    So Mr Alex Smith and Dr Alex Smith get one surrogate.
+    """
+    part = F.split("kind", " ")
+    names = found.where("kind RLIKE '^(given|surname) '").select(F.get(part, F.lit(0)).alias("sort"), F.get(part, F.lit(1)).alias("script"), "canon", F.get(part, F.lit(2)).alias("gender"))
+    told = names.groupBy("sort", "script", "canon", "gender").agg(F.count(F.lit(1)).alias("n"))
+    several = (told.groupBy("sort", "script", "canon")
+               .agg(F.max_by("gender", F.struct(F.col("gender") != "n", "n", "gender")).alias("gender"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+               .select("sort", "script", F.col("canon").alias("name"), "gender"))
+    j = found.withColumn("part", part).join(several, (F.get("part", F.lit(0)) == several["sort"]) & (F.get("part", F.lit(1)) == several["script"])
+                                            & (found["canon"] == several["name"]), "left")
+    kind = F.when(F.col("name").isNull(), F.col("kind")).otherwise(F.concat_ws(" ", "sort", "script", "gender"))
+    return j.select(*[kind.alias("kind") if c == "kind" else F.col(c) for c in found.columns])
 
-    # an alphabet is too small for draws that are no entity: initials have their place in a keyed cycle
-    initials = draw(entities.where("kind LIKE 'initial %'"), 0)
-    settled, todo, attempt = None, entities.where("kind NOT LIKE 'initial %'"), 0
-    while True:
-        drawn = materialize(draw(todo, attempt), "drawn")
+
+def _drawn(rows: DataFrame, key: bytes, attempt: int) -> DataFrame:
+    """(kind, canon, new) of rows (kind, canon, domain): a draw each; an address gets the domain given."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [surrogate(key, k, c, attempt) for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            new = [x if d is None else x.rpartition("@")[0] + "@" + d for x, d in zip(new, b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(new, pa.string())], names=["kind", "canon", "new"])
+    return in_arrow(rows.select("kind", "canon", "domain"), run, "kind string, canon string, new string")
+
+
+def _settled(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, canon, new) for entities (kind, canon, domain); none of two kinds that are written alike share a draw."""
+    alike = F.when(F.col("kind").rlike("^(given|surname) "), F.lit("name")).otherwise(F.col("kind"))
+    taken = entities.select(alike.alias("alike"), F.col("canon").alias("new"))
+    settled, todo, attempt = None, entities, 0
+    while not todo.isEmpty():
+        drawn = materialize(_drawn(todo, key, attempt).withColumn("alike", alike), "drawn")
         # of the entities that drew the same, the first in order has it, if no entity is it and none had it before
-        winners = drawn.groupBy("kind", "new").agg(F.min("canon").alias("canon"))
-        free = winners.join(entities.select("kind", F.col("canon").alias("new")), ["kind", "new"], "left_anti")
+        free = drawn.groupBy("alike", "new").agg(F.min(F.struct("kind", "canon")).alias("x")).join(taken, ["alike", "new"], "left_anti")
         if settled is not None:
-            free = free.join(settled.select("kind", "new"), ["kind", "new"], "left_anti")
-        free = materialize(free.select("kind", "canon", "new"), "settled")
+            free = free.join(settled.select("alike", "new"), ["alike", "new"], "left_anti")
+        free = materialize(free.select("x.kind", "x.canon", "new", "alike"), "settled")
         settled = free if settled is None else settled.unionByName(free)
-        todo = materialize(drawn.select("kind", "canon").join(free.select("kind", "canon"), ["kind", "canon"], "left_anti"), "todo")
-        if todo.isEmpty():
-            return settled.unionByName(initials)
+        todo = materialize(todo.join(free.select("kind", "canon"), ["kind", "canon"], "left_anti"), "todo")
         attempt += 1
+    return (entities.withColumn("new", F.lit("")).limit(0) if settled is None else settled).select("kind", "canon", "new")
+
+
+def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, canon, new): a surrogate of its own for each distinct (kind, canon), and one for each mail domain."""
+    none = F.lit(None).cast("string")
+    entities = materialize(entities.select("kind", "canon").distinct().withColumn("domain", none), "entities")
+    # an alphabet is too small for draws that are no entity: initials have their place in a keyed cycle
+    initials = _drawn(entities.where("kind LIKE 'initial %'"), key, 0)
+    domain = F.substring_index("canon", "@", -1)
+    mail = F.col("kind") == "email"
+    domains = entities.where(mail).select(F.lit("domain").alias("kind"), domain.alias("canon"), "domain").distinct()
+    rest = _settled(entities.where(~mail & ~F.col("kind").startswith("initial ")).unionByName(domains), key)
+    new_domain = rest.where("kind = 'domain'").select(F.col("canon").alias("of"), F.col("new").alias("domain"))
+    mails = entities.where(mail).drop("domain").join(new_domain, domain == F.col("of")).select("kind", "canon", "domain")
+    return rest.where("kind <> 'domain'").unionByName(_settled(materialize(mails, "mails"), key)).unionByName(initials)
 
 
 def replace_entities(df: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text", replaced: str | None = None) -> DataFrame:
     """``df`` with surrogates in ``text``; ``replaced`` names a column for the number of entities."""
-    found = materialize(mentions(df, doc_id, text), "mentions")
+    found = one_gender(materialize(mentions(df, doc_id, text), "mentions"))
     new = surrogates(found, key)
-    spans = (found.join(new, ["kind", "canon"])
-             .groupBy("__id", "__k1", "__k2").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "kind", "new"))).alias("__spans")))
-    docs = with_text_key(df, text)
+    i, a, b, spans_name = (free_name(df, x) for x in ("id_", "h1_", "h2_", "spans_"))
+    spans = (found.join(new, ["kind", "canon"]).groupBy("__id", "__k1", "__k2")
+             .agg(F.array_sort(F.collect_set(F.struct("start", "stop", "kind", "new"))).alias("spans")))
+    spans = spans.select(F.col("__id").alias(i), F.col("__k1").alias(a), F.col("__k2").alias(b), F.col("spans").alias(spans_name))
     keep = [c for c in df.columns if c != replaced]
-    joined = docs.join(spans, same_document(docs, spans, doc_id), "left").select(*[F.col(f"`{c}`") for c in keep], "__spans")
+    t = df[f"`{text}`"]
+    same = df[f"`{doc_id}`"].eqNullSafe(spans[i]) & (F.xxhash64(t) == spans[a]) & (F.xxhash64(F.lit(1), t) == spans[b])
+    joined = df.join(spans, same, "left").select(*[df[f"`{c}`"] for c in keep], spans_name)
     at = keep.index(text)
     out = [*keep, replaced] if replaced else keep
 

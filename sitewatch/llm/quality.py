@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, in_arrow, smallest_by_hash, table
+from .common import free_name, held_out, in_arrow, smallest_by_hash, table
 
 CHUNK, WIDTH, STRIDE, EMBED, FILTERS = 512, 8, 2, 6, 24
 STEP = CHUNK - WIDTH + STRIDE           # from one chunk to the next; no window is lost
@@ -206,7 +206,7 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(df: DataFrame, net: Network, text: str = "text", out: str = "score") -> DataFrame:
     """``df`` with the probability that a document is of label 1."""
     keep = [c for c in df.columns if c.lower() != out.lower()]
-    given = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    given = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(free_name(df, "text_")))
     state = df.sparkSession.sparkContext.broadcast(net)         # a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

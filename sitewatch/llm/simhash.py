@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sitewatch.session import materialize
 
-from .common import in_arrow, table
+from .common import free_name, in_arrow, table
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 PART = 8192                # fingerprints of one trie task, or four times the mean if that is more
@@ -81,7 +81,7 @@ def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = SHINGLE) -> DataFrame:
     """``df`` without ``text`` and with ``out``: the fingerprint as a signed long."""
     keep = [c for c in df.columns if c.lower() not in (text.lower(), out.lower())]
-    given = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    given = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(free_name(df, "text_")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,12 +303,11 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     docs = materialize(with_fingerprint(df.select(key.alias("key"), F.col(f"`{text}`").alias("text")), shingle=shingle)
                        .withColumnRenamed("fingerprint", "fp"), "simhash")
     roots = docs.groupBy("fp").agg(F.min("key").alias("key")).join(classes(docs, distance), "fp")
-    stay = roots.groupBy("root").agg(F.min("key").alias("key")).select(
-        F.col("key.id").alias("__id"), F.col("key.h1").alias("__h1"), F.col("key.h2").alias("__h2"))
-    same = (F.col("__i").eqNullSafe(F.col("__id"))) & (F.col("__a") == F.col("__h1")) & (F.col("__b") == F.col("__h2"))
-    rows = df.withColumns({"__i": F.col(f"`{doc_id}`"), "__a": F.xxhash64(F.col(f"`{text}`")),
-                           "__b": F.xxhash64(F.lit(1), F.col(f"`{text}`"))})
-    return rows.join(stay, same, "left_semi").dropDuplicates(["__i", "__a", "__b"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    mine, theirs = ([free_name(df, f"{of}_{x}") for x in ("id", "h1", "h2")] for of in ("row", "kept"))
+    stay = roots.groupBy("root").agg(F.min("key").alias("key")).select(*[F.col(f"key.{x}").alias(n) for x, n in zip(("id", "h1", "h2"), theirs)])
+    rows = df.withColumns(dict(zip(mine, (F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`")), F.xxhash64(F.lit(1), F.col(f"`{text}`"))))))
+    same = F.col(mine[0]).eqNullSafe(F.col(theirs[0])) & (F.col(mine[1]) == F.col(theirs[1])) & (F.col(mine[2]) == F.col(theirs[2]))
+    return rows.join(stay, same, "left_semi").dropDuplicates(mine).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,3 +105,47 @@ def test_initials_stay_initials(spark):
     parts = [re.fullmatch(r"(\w+) ([A-Z])\. (\w+) and (\w+) de la (\w+), again \1 \2 \3", out[i]) for i in range(26)]
     assert len({m[2] for m in parts}) == 26 and all(m[2] != c for m, c in zip(parts, letters))
     assert not any(w in t for t in out.values() for w in ("John", "Kennedy", "Carlos", "Cruz"))
+
+
+def test_one_name_has_one_surrogate_whatever_is_told_of_it(spark):
+    out = dict(replaced(spark, [(1, "Mr Alex Smith came"), (2, "Dr Alex Smith left"), (3, "Frau Alex Jones"), (4, "Prof Kim Jones"), (5, "Mr Alex Smith")]))
+    names = {i: t.split(" ")[1:3] for i, t in out.items()}
+    assert names[1] == names[2] == names[5] and names[1][0] == names[3][0] and names[3][1] == names[4][1]
+    assert len({names[1][0], names[1][1], names[3][1], names[4][0]}) == 4
+
+
+def test_no_two_names_share_a_surrogate_whatever_their_kinds(spark, monkeypatch):
+    """Given names and surnames that draw from one pool, as people's names read alike."""
+    real = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda k, kind, c, n: f"name{(len(c) + n) % 9}" if n < 20 else real(k, kind, c, n))
+    kinds = ["given latin m", "given latin f", "surname latin n", "given cyrillic f", "surname cyrillic f"]
+    df = spark.createDataFrame([(k, f"n{'x' * i}") for i, k in enumerate(kinds * 4)], "kind string, canon string")
+    rows = pii.surrogates(df, KEY).collect()
+    assert len(rows) == len({r["new"] for r in rows}) == len(kinds) * 4
+
+
+def test_domains_stay_apart_and_together(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(n, f"x@{a}{b}.org y@{a}{b}.org") for n, (a, b) in enumerate((a, b) for a in letters for b in letters)]
+    domains = {}
+    for i, t in replaced(spark, rows):
+        first, second = (m.split("@")[1] for m in t.split(" "))
+        assert first == second
+        domains[i] = first
+    assert len(set(domains.values())) == len(rows) and not set(domains.values()) & {t.split("@")[-1] for _, t in rows}
+
+
+def test_a_full_block_of_addresses_goes_on_elsewhere():
+    for canon in ("192.168.3.4", "172.20.1.1", "10.1.1.1"):
+        assert pii.surrogate(KEY, "ip", canon, 0).split(".")[0] == canon.split(".")[0]
+        assert pii.surrogate(KEY, "ip", canon, 8).startswith("10.")
+        assert len({pii.surrogate(KEY, "ip", canon, n).split(".")[0] for n in range(16, 80)}) > 20
+
+
+NAMES = ["__h1", "__h2", "__k1", "__id", "__spans", "id_", "h1_", "spans_", "start", "canon", "new", "sort", "name", "gender", "part", "t"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(i, "Mr Smith wrote to a@b.example", *[f"{n}{i}" for n in NAMES]) for i in (1, 2)]
+    got = sorted(tuple(r) for r in pii.replace_entities(spark.createDataFrame(rows, ["doc_id", "text", *NAMES]), KEY, replaced="n").collect())
+    assert [(g[0], *g[2:-1], g[-1]) for g in got] == [(r[0], *r[2:], 2) for r in rows] and all(g[1] != rows[0][1] for g in got)
