@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.llm import langid, linededup, packing, pii, simhash
+from sitewatch.llm.common import free_name
 from sitewatch.session import materialize
 
 MIN_SCORE = 0.5
@@ -34,8 +35,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.train(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.predict(docs, model, lang_out="__lang", score_out="__score")
-    return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
+    lang, score = free_name(docs, "lang_"), free_name(docs, "score_")
+    found = langid.predict(docs, model, lang_out=lang, score_out=score)
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
