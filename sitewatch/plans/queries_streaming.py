@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changes as ch
+from ..session import materialize
 from ..streaming import changes as st_changes
 from ..streaming import deliveries as st_deliveries
 from ..streaming import jobs as st_jobs
@@ -97,8 +98,8 @@ def q_change_stream(spark, sf_dir):
     again (what failed answers now), and with new content for some."""
     fx = Fixtures(spark, sf_dir)
     d = stream_dirs(spark, "changes")
-    one = ch.digest_snapshot(fx.fetch).select("project_id", "url", F.col("status_code").cast("int"), "content_sha256",
-                                              F.lit(1).cast("long").alias("seq"))
+    one = materialize(ch.digest_snapshot(fx.fetch).select("project_id", "url", F.col("status_code").cast("int"), "content_sha256",
+                                                          F.lit(1).cast("long").alias("seq")), "fetches")
     two = one.withColumns({"status_code": F.lit(200), "seq": F.lit(2).cast("long"),
                            "content_sha256": F.coalesce("content_sha256", F.sha2("url", 256))})
     three = two.withColumns({"seq": F.lit(3).cast("long"), "content_sha256": F.when(

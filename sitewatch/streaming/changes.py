@@ -42,7 +42,7 @@ class _PageHistory(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         project_id, url = key
-        was = known = self.page.get() if self.page.exists() else (None, None, None)
+        was = known = self.page.get() or (None, None, None)
         # some hundred bytes a fetch of this one URL in this one micro-batch
         for seq, run_id, status, sha in sorted(((r["seq"], r["run_id"], r["status_code"], r["content_sha256"]) for r in rows), key=_order):
             page_id, revision_id, stored = known
