@@ -18,6 +18,8 @@ after its bytes were compared with those at the first one; a line goes if a remo
 window covers it, so each line stays somewhere.  Hashes only say what to compare: a
 collision may keep a copy, and never removes anything else.
 
+Documents of one text are told first, by its hashes and then its bytes: only the one of
+smallest doc_id is cut into lines, and of its copies every window is a repeated one.
 Windows are counted by hash alone, as partial counts.  A Bloom filter of the repeated
 hashes (bounded in size) dismisses the others where they lie; the texts that are moved are
 those with something to compare or to remove.  No place gathers a frequent
@@ -150,8 +152,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
     """``df`` with repeated chunks taken out of ``text``; ``removed`` names a column for their number."""
     t = F.col(f"`{text}`")
-    docs = df.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"),
-                     t.cast("binary").alias("data"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"))
+    others = [c for c in df.columns if c not in (text, removed)]
+    docs = df.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"), t.cast("binary").alias("data"),
+                     F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("row"))
+    docs, copies, whole = _without_copies(docs)
+
     found = materialize(occurrences(docs.select(*KEY, "data")), "windows")
     flat = found.select(*KEY, F.explode("ws").alias("w")).select(*KEY, "w.start", "w.len", "w.a")
     again = materialize(flat.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "repeated")
@@ -169,28 +174,58 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     later = hits.join(bytes_, "a").where(~F.struct(*KEY, "start").eqNullSafe(F.col("f")))
     asked = materialize(later.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "len", "bytes"))).alias("ws")), "asked")
 
-    none = F.array().cast("array<struct<start: int, end: int>>")
+    # only documents with something to remove are moved
     maybe = bloom_filter(asked.select(*KEY), KEY)
-    touched = _met(may_hold(docs, KEY, maybe), asked, "left")
     same = F.filter("ws", lambda w: F.substring("data", w["start"] + 1, w["len"]) == w["bytes"])
-    gone = F.coalesce(F.transform(same, lambda w: F.struct(w["start"].alias("start"), (w["start"] + w["len"]).alias("end"))), none)
-    touched = touched.select("row", "data", gone.alias("gone"))
-    rest = may_hold(docs.withColumn("gone", none), KEY, maybe, absent=True).select("row", "data", "gone")
-    whole = touched.unionByName(rest)
-
-    data = F.col("data")
+    touched = _met(may_hold(docs, KEY, maybe), asked, "left").select("row", "data", F.coalesce(same, F.array().cast(_SPANS)).alias("gone"))
+    touched = touched.select("row", *_cut("gone"))
+    rest = may_hold(docs, KEY, maybe, absent=True).select("row", F.col("data").cast("string").alias("text"), F.lit(0).alias("n"))
+    # of a copy every window stands in the text that it is a copy of
+    first_texts = found.join(whole, (found["h1"] == whole["of_h1"]) & (found["h2"] == whole["of_h2"]) & found["id"].eqNullSafe(whole["of_id"]))
+    left = first_texts.dropDuplicates(["of_h1", "of_h2"]).select("of_h1", "of_h2", *_cut("ws"))
+    copied = copies.join(left, (copies["h1"] == left["of_h1"]) & (copies["h2"] == left["of_h2"])).select("row", "text", "n")
+    out = touched.unionByName(rest).unionByName(copied)
+    cols = [F.col("text").alias(text) if c == text else F.col(f"row.c{others.index(c)}").alias(c) for c in df.columns if c != removed]
+    return out.select(*cols, *([F.col("n").alias(removed)] if removed else []))
+
+
+_SPANS = "array<struct<start: int, len: int, bytes: binary>>"
+
+
+def _without_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents of smallest id of each text (KEY, data, row); the others (h1, h2, row); and the texts
+    that have copies (of_id, of_h1, of_h2, data), whose bytes theirs were compared with.
+
+    Only texts that seem to be held by several documents are moved, once.
+    """
+    order = F.struct(F.col("id").isNull().alias("none"), "id")
+    groups = docs.groupBy("h1", "h2").agg(F.min(order).alias("f"), F.max(order).alias("l")).where("f <> l")
+    groups = materialize(groups.select(F.col("f.id").alias("id"), "h1", "h2"), "copied")
+    by_text = bloom_filter(groups, ["h1", "h2"])
+    alone, some = (may_hold(docs, ["h1", "h2"], by_text, absent=x) for x in (True, False))
+    whole = _met(may_hold(some.select(*KEY, "data"), KEY, bloom_filter(groups, KEY)), groups, "inner").dropDuplicates(["of_h1", "of_h2"])
+    whole = materialize(whole.select("of_id", "of_h1", "of_h2", F.col("data").alias("of_data")), "first-texts")
+    j = some.join(whole, (some["h1"] == whole["of_h1"]) & (some["h2"] == whole["of_h2"]), "left")
+    copy = F.coalesce((F.col("data") == F.col("of_data")) & ~F.col("id").eqNullSafe(F.col("of_id")), F.lit(False))
+    told = j.select(*KEY, "row", copy.alias("copy"), F.when(~copy, F.col("data")).alias("data"))
+    told = materialize(told, "told")
+    kept = alone.select(*KEY, "data", "row").unionByName(told.where("not copy").select(*KEY, "data", "row"))
+    return kept, told.where("copy").select("h1", "h2", "row"), whole.withColumnRenamed("of_data", "data")
+
+
+def _cut(windows: str) -> list:
+    """``data`` without the windows (start, len), as ``text``, and the number ``n`` of chunks that they make."""
+    data, gone = F.col("data"), F.col(windows)
     # what stays: between the end of one removed window, its separator included, and the start of the next
-    ends = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: _behind(data, g["end"])))
-    starts = F.concat(F.transform("gone", lambda g: g["start"]), F.array(F.octet_length(data)))
+    ends = F.concat(F.array(F.lit(0)), F.transform(gone, lambda g: _behind(data, g["start"] + g["len"])))
+    starts = F.concat(F.transform(gone, lambda g: g["start"]), F.array(F.octet_length(data)))
     pieces = F.zip_with(ends, starts, lambda a, b: F.substring(data, a + 1, F.greatest(b - a, F.lit(0))).cast("string"))
-    cols = [F.when(F.size("gone") > 0, F.array_join(pieces, "")).otherwise(F.col(f"row.c{i}")).alias(c) if c == text else F.col(f"row.c{i}").alias(c)
-            for i, c in enumerate(df.columns) if c != removed]
-    if removed:
-        # windows that overlap or touch are one chunk
-        runs = F.size(F.filter(F.zip_with(ends, starts, lambda a, b: b > a), lambda apart: apart))
-        outer = (F.element_at(starts, 1) > 0).cast("int") + (F.element_at(ends, -1) < F.octet_length(data)).cast("int")
-        cols.append(F.when(F.size("gone") > 0, runs - outer + 1).otherwise(F.lit(0)).alias(removed))
-    return whole.select(*cols)
+    # windows that overlap or touch are one chunk
+    apart = F.size(F.filter(F.zip_with(ends, starts, lambda a, b: b > a), lambda x: x))
+    outer = (F.element_at(starts, 1) > 0).cast("int") + (F.element_at(ends, -1) < F.octet_length(data)).cast("int")
+    some = F.size(gone) > 0
+    return [F.when(some, F.array_join(pieces, "")).otherwise(data.cast("string")).alias("text"),
+            F.when(some, apart - outer + 1).otherwise(F.lit(0)).alias("n")]
 
 
 def _met(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
