@@ -83,20 +83,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        out = np.empty(len(self.starts), dtype=np.uint64)
-        i = 0
-        while i < len(out):
-            j = int(np.searchsorted(self.ends, self.starts[i] + SLICE, side="right"))
-            if j == i:      # one word of more than a slice
-                out[i], j = _long_hash(self.data[self.starts[i]:self.ends[i]]), i + 1
-            else:
-                a = self.starts[i]
-                sums = _sums(self.data[a:self.ends[j - 1]])
-                s = self.starts[i:j] - a
-                out[i:j] = (sums[self.ends[i:j] - a] - sums[s]) * _powers()[1][s]
-            i = j
-        out ^= out >> np.uint64(32)
-        return out * MIX
+        return span_hashes(self.data, self.starts, self.ends)
 
     def joined(self) -> tuple[bytes, np.ndarray]:
         """The words with one blank behind each, and where each begins there."""
@@ -107,6 +94,24 @@ class Words:
         return np.where(inside, self.data, np.uint8(32))[keep].tobytes(), begin
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans are in order and apart."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(out):
+        j = int(np.searchsorted(ends, starts[i] + SLICE, side="right"))
+        if j == i:      # one span of more than a slice
+            out[i], j = _long_hash(data[starts[i]:ends[i]]), i + 1
+        else:
+            a = starts[i]
+            sums = _sums(data[a:ends[j - 1]])
+            s = starts[i:j] - a
+            out[i:j] = (sums[ends[i:j] - a] - sums[s]) * _powers()[1][s]
+        i = j
+    out ^= out >> np.uint64(32)
+    return out * MIX
+
+
 _POWERS: list[np.ndarray] = []
 
 

@@ -13,13 +13,12 @@ boundaries depend on the lines beside them alone, come back after a shift, and a
 repeated chunk is found whole, wherever it stands.  A chunk has two lines or more: a
 lone common sentence stays.
 
-A window is removed everywhere but at its first place (smallest doc_id, then place),
-after its bytes were compared with those at the first one; a line goes if a removed
-window covers it, so each line stays somewhere.  Hashes only say what to compare: a
+A window is removed everywhere but at its first place (smallest doc_id, then place).
+Windows of a document that lie alike in one other make a chunk, and its bytes are
+compared with those at that place first; a line goes if a removed chunk covers it, so
+each line stays somewhere.  Hashes only say what to compare: a
 collision may keep a copy, and never removes anything else.
 
-Documents of one text are told first, by its hashes and then its bytes: only the one of
-smallest doc_id is cut into lines, and of its copies every window is a repeated one.
 Windows are counted by hash alone, as partial counts.  A Bloom filter of the repeated
 hashes (bounded in size) dismisses the others where they lie; the texts that are moved are
 those with something to compare or to remove.  No place gathers a frequent
@@ -47,9 +46,10 @@ from sitewatch.operators.bloom import bloom_filter, may_hold
 from sitewatch.session import materialize
 
 from .common import in_arrow, table
+from .decontam import span_hashes
 
 MIN_BYTES = 40                          # of a window of lines
-LONG, WORDS, LETTERS = 96, 8, 16        # bytes of a sentence that is cut, mean words and letters between cuts
+LONG, WORDS, LETTERS = 128, 8, 16       # bytes of a sentence that is cut, mean words and letters between cuts
 # a line end, marks of sentences (with quotes and brackets that close them) before a blank, or of scripts that set none
 BOUNDARY = re.compile(rb"""\n|((?:[.!?]|\xe2\x80\xa6|\xd8\x9f|\xdb\x94|\xe0\xa5\xa4|\xd6\x89)["')\]]*) """
                       rb"|((?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)+(?:\xe3\x80\x8d|\xe3\x80\x8f|\xe2\x80\x9d)*) ?")
@@ -58,7 +58,11 @@ LETTER = re.compile(rb"[^\x80-\xbf][\x80-\xbf]*")
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 BETWEEN, LAST, MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
-KEY = ["id", "h1", "h2"]
+KEY = ["id", "h1"]                      # of a document: its id and a hash of its text
+MARKS, CLOSING, BLANK, LINE_END = np.zeros(256, bool), np.zeros(256, bool), 0x20, 0x0A
+MARKS[list(b".!?")] = CLOSING[list(b"\"')]")] = True
+LONG_MARKS = (b"\xe2\x80\xa6", b"\xd8\x9f", b"\xdb\x94", b"\xe0\xa5\xa4", b"\xd6\x89")      # those of BOUNDARY beside them
+UNSET = (b"\xe3\x80\x82", b"\xef\xbc\x81", b"\xef\xbc\x9f")                              # those that need no blank
 
 
 def lines(data: bytes) -> tuple[array, array]:
@@ -96,27 +100,79 @@ def _add(data: bytes, start: int, end: int, starts: array, ends: array) -> None:
     ends.append(end)
 
 
-def windows(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, rolling hash) of the window of lines at each line that has one."""
-    first, last = lines(data)
-    n = len(first)
-    starts, ends = np.frombuffer(first, dtype=np.int64) if n else np.zeros(0, np.int64), np.frombuffer(last, dtype=np.int64) if n else np.zeros(0, np.int64)
+def _lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts behind one another with a line end behind each, where each begins, and starts and ends of all ``lines``."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+    blank = np.flatnonzero(data == BLANK)
+    blank = blank[blank > 0]
+    # what stands before a blank and the quotes and brackets there
+    before = blank - 1
+    closing = np.flatnonzero(CLOSING[data[before]])
+    while len(closing):
+        before[closing] -= 1
+        closing = closing[before[closing] >= 0]
+        closing = closing[CLOSING[data[before[closing]]]]
+    mark = (before >= 0) & MARKS[data[np.maximum(before, 0)]]
+    for m in LONG_MARKS:
+        here = before >= len(m) - 1
+        for i, x in enumerate(reversed(m)):
+            here &= data[np.maximum(before - i, 0)] == x
+        mark |= here
+    at = np.sort(np.concatenate([np.flatnonzero(data == LINE_END), blank[mark]]))
+    starts, ends = np.concatenate([[0], at[:-1] + 1]), at
+    some = ends > starts
+    starts, ends = starts[some], ends[some]
+    # long lines, and texts with marks that need no blank, go through lines()
+    odd = [i for i, t in enumerate(texts) if any(m in t for m in UNSET)]
+    long = ends - starts > LONG
+    if odd:
+        of = np.searchsorted(begin, starts, side="right") - 1
+        long[np.isin(of, odd)] = False
+        plain = ~np.isin(of, odd)
+        starts, ends, long = starts[plain], ends[plain], long[plain]
+    more: list[tuple[array, array]] = []
+    for a, b in zip(starts[long].tolist(), ends[long].tolist()):
+        parts = array("q"), array("q")
+        _add(data[a:b].tobytes(), 0, b - a, *parts)
+        more.append((np.frombuffer(parts[0], dtype=np.int64) + a, np.frombuffer(parts[1], dtype=np.int64) + a))
+    for i in odd:
+        parts = lines(texts[i])
+        if parts[0]:
+            more.append((np.frombuffer(parts[0], dtype=np.int64) + begin[i], np.frombuffer(parts[1], dtype=np.int64) + begin[i]))
+    if more:
+        starts = np.concatenate([starts[~long], *(x for x, _ in more)])
+        ends = np.concatenate([ends[~long], *(x for _, x in more)])
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+    return data, begin, starts.astype(np.int64), ends.astype(np.int64)
+
+
+def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, length, rolling hash) of the window of lines at each line that has one."""
+    data, begin, starts, ends = _lines_of(texts)
+    n = len(starts)
     # the line at which a window ends: the next one at least
     upto = np.maximum(np.arange(n) + 1, np.searchsorted(ends, starts + MIN_BYTES))
+    of = np.searchsorted(begin, starts, side="right") - 1
     at = np.flatnonzero(upto < n)
+    at = at[of[upto[at]] == of[at]]
     if not len(at):
-        return starts[:0], starts[:0], np.zeros(0, dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
-    line = np.fromiter((digest(data[a:b]) for a, b in zip(first, last)), dtype=np.uint64, count=n)
-    gaps = {b: digest(b) for b in {data[b:a] for b, a in zip(last, first[1:])}}
-    between = np.fromiter((gaps[data[b:a]] for b, a in zip(last, first[1:])), dtype=np.uint64, count=n - 1)
+        return at, at, at, np.zeros(0, dtype=np.uint64)
+    line = span_hashes(data, starts, ends)
+    between = span_hashes(data, ends[:-1], starts[1:])
     power, inverse = _powers(n)
     sums = np.zeros(n, dtype=np.uint64)
     np.cumsum((line[:-1] + between * BETWEEN) * power[:n - 1], out=sums[1:])
     to = upto[at]
     rolled = (sums[to] - sums[at]) * inverse[at] + line[to] * power[to - at] * LAST
     rolled ^= rolled >> np.uint64(31)
-    return starts[at], ends[to] - starts[at], rolled * MIX
+    return of[at], starts[at] - begin[of[at]], ends[to] - starts[at], rolled * MIX
+
+
+def windows(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, rolling hash) of the windows of one text."""
+    return windows_of([data])[1:]
 
 
 _POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -133,58 +189,82 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(id, h1, h2, ws): the windows (start, len, a) of each document (id, h1, h2, data)."""
+    """(id, h1, ws): the windows (start, len, a) of each document (id, h1, data)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [windows(data or b"") for data in batch.column(3).to_pylist()]
-            ends = np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32)
-            flat = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
-            cells = pa.StructArray.from_arrays([pa.array(flat[0].astype(np.int32)), pa.array(flat[1].astype(np.int32)),
-                                                pa.array(flat[2].astype(np.uint64).view(np.int64))], names=["start", "len", "a"])
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)] + [pa.ListArray.from_arrays(pa.array(ends), cells)],
-                                             names=[*KEY, "ws"])
+            of, start, size, rolled = windows_of([x or b"" for x in batch.column(2).to_pylist()])
+            ends = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
+            cells = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)),
+                                                pa.array(rolled.view(np.int64))], names=["start", "len", "a"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(ends), cells)], names=[*KEY, "ws"])
+
+    return in_arrow(docs, run, f"id {kind}, h1 long, ws array<struct<start: int, len: int, a: long>>")
+
+
+def chunks_of(hits: DataFrame) -> DataFrame:
+    """(id, h1, start, len, of_id, of_h1, of_start): runs of windows (start, len, of_id, of_h1, of_start) of a
+    document's ``ws`` (in order) that lie alike in one other document, or in this one at another place."""
+    kind = hits.schema["id"].dataType.simpleString()
 
-    return in_arrow(docs, run, f"id {kind}, h1 long, h2 long, ws array<struct<start: int, len: int, a: long>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            start, size, of_id, of_h1, of_start = lists.flatten().flatten()
+            a, n, f, h = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (start, size, of_start, of_h1))
+            who = of_id.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new = np.ones(len(a), dtype=bool)
+            if len(a):
+                new[1:] = ((row[1:] != row[:-1]) | (who[1:] != who[:-1]) | (h[1:] != h[:-1]) | (a[1:] - f[1:] != a[:-1] - f[:-1])
+                           | (a[1:] > a[:-1] + n[:-1]))
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(a))[:len(first)] - 1
+            at = pa.array(row[first])
+            own = pa.array(first)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(a[first].astype(np.int32)), pa.array((a[last] + n[last] - a[first]).astype(np.int32)),
+                 of_id.take(own), pa.array(h[first]), pa.array(f[first].astype(np.int32))], names=[*KEY, "start", "len", "of_id", "of_h1", "of_start"])
+
+    return in_arrow(hits, run, f"id {kind}, h1 long, start int, len int, of_id {kind}, of_h1 long, of_start int")
 
 
 def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
     """``df`` with repeated chunks taken out of ``text``; ``removed`` names a column for their number."""
     t = F.col(f"`{text}`")
     others = [c for c in df.columns if c not in (text, removed)]
-    docs = df.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"), t.cast("binary").alias("data"),
+    docs = df.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(t).alias("h1"), t.cast("binary").alias("data"),
                      F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("row"))
-    docs, copies, whole = _without_copies(docs)
-
     found = materialize(occurrences(docs.select(*KEY, "data")), "windows")
     flat = found.select(*KEY, F.explode("ws").alias("w")).select(*KEY, "w.start", "w.len", "w.a")
     again = materialize(flat.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "repeated")
-    hits = materialize(may_hold(flat, ["a"], bloom_filter(again, ["a"])).join(again, "a", "left_semi").dropDuplicates([*KEY, "start"]), "hits")
-
+    hits = may_hold(flat, ["a"], bloom_filter(again, ["a"])).join(again, "a", "left_semi")
     place = F.struct(F.col("id").isNull().alias("none"), *KEY, "start")
-    first = hits.groupBy("a").agg(F.min(F.struct(place.alias("p"), "len")).alias("f"))
-    first = materialize(first.select("a", F.col("f.p.id").alias("id"), F.col("f.p.h1").alias("h1"), F.col("f.p.h2").alias("h2"),
-                                     F.col("f.p.start").alias("start"), F.col("f.len").alias("len")), "first")
-    # bytes at the first places, from the documents that hold some
-    holding = first.groupBy(*KEY).agg(F.collect_list(F.struct("a", "start", "len")).alias("ws"))       # as many as the document has
-    cut = _met(may_hold(docs.select(*KEY, "data"), KEY, bloom_filter(first.select(*KEY).distinct(), KEY)).dropDuplicates(KEY), holding, "inner")
-    bytes_ = cut.select(*KEY, "data", F.explode("ws").alias("w")).select(
-        F.col("w.a").alias("a"), F.struct(*KEY, "w.start").alias("f"), F.substring("data", F.col("w.start") + 1, F.col("w.len")).alias("bytes"))
-    later = hits.join(bytes_, "a").where(~F.struct(*KEY, "start").eqNullSafe(F.col("f")))
-    asked = materialize(later.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "len", "bytes"))).alias("ws")), "asked")
+    first = hits.groupBy("a").agg(F.min(place).alias("f"))
+    later = hits.join(first, "a").where(~place.eqNullSafe(F.col("f")))
+    later = later.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct(        # as many as the document has
+        "start", "len", F.col("f.id").alias("of_id"), F.col("f.h1").alias("of_h1"), F.col("f.start").alias("of_start")))).alias("ws"))
+    chunks = materialize(chunks_of(later), "chunks")
+
+    # the bytes at the first places, from the documents that hold some
+    asked = ["of_id", "of_h1", "of_start", "len"]
+    holding = chunks.select(*asked).distinct().groupBy("of_id", "of_h1").agg(F.collect_list(F.struct("of_start", "len")).alias("ws"))
+    held = bloom_filter(chunks.select(F.col("of_id").alias("id"), F.col("of_h1").alias("h1")).distinct(), KEY)
+    cut = _met(may_hold(docs.select(*KEY, "data"), KEY, held).dropDuplicates(KEY), holding, "inner")
+    bytes_ = cut.select("of_id", "of_h1", "data", F.explode("ws").alias("w")).select(
+        "of_id", "of_h1", "w.of_start", "w.len", F.substring("data", F.col("w.of_start") + 1, F.col("w.len")).alias("bytes"))
+    b = bytes_.withColumnsRenamed({c: f"b_{c}" for c in asked})
+    same = chunks["of_id"].eqNullSafe(b["b_of_id"]) & (chunks["of_h1"] == b["b_of_h1"]) & (chunks["of_start"] == b["b_of_start"]) & (chunks["len"] == b["b_len"])
+    compared = chunks.join(b, same).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "len", "bytes"))).alias("ws"))
+    compared = compared.withColumnsRenamed({"id": "of_id", "h1": "of_h1"})
 
     # only documents with something to remove are moved
-    maybe = bloom_filter(asked.select(*KEY), KEY)
-    same = F.filter("ws", lambda w: F.substring("data", w["start"] + 1, w["len"]) == w["bytes"])
-    touched = _met(may_hold(docs, KEY, maybe), asked, "left").select("row", "data", F.coalesce(same, F.array().cast(_SPANS)).alias("gone"))
-    touched = touched.select("row", *_cut("gone"))
+    maybe = bloom_filter(chunks.select(*KEY).distinct(), KEY)
+    gone = F.filter("ws", lambda w: F.substring("data", w["start"] + 1, w["len"]) == w["bytes"])
+    touched = _met(may_hold(docs, KEY, maybe), compared, "left").select("row", "data", F.coalesce(gone, F.array().cast(_SPANS)).alias("gone"))
     rest = may_hold(docs, KEY, maybe, absent=True).select("row", F.col("data").cast("string").alias("text"), F.lit(0).alias("n"))
-    # of a copy every window stands in the text that it is a copy of
-    first_texts = found.join(whole, (found["h1"] == whole["of_h1"]) & (found["h2"] == whole["of_h2"]) & found["id"].eqNullSafe(whole["of_id"]))
-    left = first_texts.dropDuplicates(["of_h1", "of_h2"]).select("of_h1", "of_h2", *_cut("ws"))
-    copied = copies.join(left, (copies["h1"] == left["of_h1"]) & (copies["h2"] == left["of_h2"])).select("row", "text", "n")
-    out = touched.unionByName(rest).unionByName(copied)
+    out = touched.select("row", *_cut("gone")).unionByName(rest)
     cols = [F.col("text").alias(text) if c == text else F.col(f"row.c{others.index(c)}").alias(c) for c in df.columns if c != removed]
     return out.select(*cols, *([F.col("n").alias(removed)] if removed else []))
 
@@ -192,27 +272,6 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
 _SPANS = "array<struct<start: int, len: int, bytes: binary>>"
 
 
-def _without_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents of smallest id of each text (KEY, data, row); the others (h1, h2, row); and the texts
-    that have copies (of_id, of_h1, of_h2, data), whose bytes theirs were compared with.
-
-    Only texts that seem to be held by several documents are moved, once.
-    """
-    order = F.struct(F.col("id").isNull().alias("none"), "id")
-    groups = docs.groupBy("h1", "h2").agg(F.min(order).alias("f"), F.max(order).alias("l")).where("f <> l")
-    groups = materialize(groups.select(F.col("f.id").alias("id"), "h1", "h2"), "copied")
-    by_text = bloom_filter(groups, ["h1", "h2"])
-    alone, some = (may_hold(docs, ["h1", "h2"], by_text, absent=x) for x in (True, False))
-    whole = _met(may_hold(some.select(*KEY, "data"), KEY, bloom_filter(groups, KEY)), groups, "inner").dropDuplicates(["of_h1", "of_h2"])
-    whole = materialize(whole.select("of_id", "of_h1", "of_h2", F.col("data").alias("of_data")), "first-texts")
-    j = some.join(whole, (some["h1"] == whole["of_h1"]) & (some["h2"] == whole["of_h2"]), "left")
-    copy = F.coalesce((F.col("data") == F.col("of_data")) & ~F.col("id").eqNullSafe(F.col("of_id")), F.lit(False))
-    told = j.select(*KEY, "row", copy.alias("copy"), F.when(~copy, F.col("data")).alias("data"))
-    told = materialize(told, "told")
-    kept = alone.select(*KEY, "data", "row").unionByName(told.where("not copy").select(*KEY, "data", "row"))
-    return kept, told.where("copy").select("h1", "h2", "row"), whole.withColumnRenamed("of_data", "data")
-
-
 def _cut(windows: str) -> list:
     """``data`` without the windows (start, len), as ``text``, and the number ``n`` of chunks that they make."""
     data, gone = F.col("data"), F.col(windows)
@@ -229,9 +288,8 @@ def _cut(windows: str) -> list:
 
 
 def _met(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Documents with what was found of them; null ids are equal."""
-    other = found.withColumnsRenamed({k: f"of_{k}" for k in KEY})
-    return docs.join(other, docs["id"].eqNullSafe(other["of_id"]) & (docs["h1"] == other["of_h1"]) & (docs["h2"] == other["of_h2"]), how)
+    """Documents with what was found of them (of_id, of_h1, ...); null ids are equal."""
+    return docs.join(found, docs["id"].eqNullSafe(found["of_id"]) & (docs["h1"] == found["of_h1"]), how)
 
 
 def _behind(data, end):
