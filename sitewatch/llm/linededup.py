@@ -49,7 +49,7 @@ from .common import in_arrow, table
 from .decontam import span_hashes
 
 MIN_BYTES = 40                          # of a window of lines
-LONG, WORDS, LETTERS = 128, 8, 16       # bytes of a sentence that is cut, mean words and letters between cuts
+LONG, WORDS, LETTERS = 128, 7, 16       # bytes of a sentence that is cut, mean words and letters between cuts
 # a line end, marks of sentences (with quotes and brackets that close them) before a blank, or of scripts that set none
 BOUNDARY = re.compile(rb"""\n|((?:[.!?]|\xe2\x80\xa6|\xd8\x9f|\xdb\x94|\xe0\xa5\xa4|\xd6\x89)["')\]]*) """
                       rb"|((?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)+(?:\xe3\x80\x8d|\xe3\x80\x8f|\xe2\x80\x9d)*) ?")
@@ -92,12 +92,18 @@ def _add(data: bytes, start: int, end: int, starts: array, ends: array) -> None:
                         ends.append(x.end())
                         start = x.end()
                     before = x.start()
-            elif b < end and xxhash.xxh64_intdigest(data[a:b]) % WORDS == 0:
+            elif b < end and _cuts(data[a], data[(a + b) // 2], data[b - 1], b - a):
                 starts.append(start)
                 ends.append(b)
                 start = b + 1
-    starts.append(start)
-    ends.append(end)
+    if start < end:
+        starts.append(start)
+        ends.append(end)
+
+
+def _cuts(first, middle, last, size):
+    """Whether a long line is cut behind a word of these bytes and this size; also for arrays of them."""
+    return (first * 167 + middle * 59 + last * 23 + size * 101) % WORDS == 0
 
 
 def _lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,31 +129,34 @@ def _lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     starts, ends = np.concatenate([[0], at[:-1] + 1]), at
     some = ends > starts
     starts, ends = starts[some], ends[some]
-    # long lines, and texts with marks that need no blank, go through lines()
-    odd = [i for i, t in enumerate(texts) if any(m in t for m in UNSET)]
-    long = ends - starts > LONG
-    if odd:
-        of = np.searchsorted(begin, starts, side="right") - 1
-        long[np.isin(of, odd)] = False
-        plain = ~np.isin(of, odd)
-        starts, ends, long = starts[plain], ends[plain], long[plain]
-    more: list[tuple[array, array]] = []
-    for a, b in zip(starts[long].tolist(), ends[long].tolist()):
-        parts = array("q"), array("q")
-        _add(data[a:b].tobytes(), 0, b - a, *parts)
-        more.append((np.frombuffer(parts[0], dtype=np.int64) + a, np.frombuffer(parts[1], dtype=np.int64) + a))
-    for i in odd:
-        parts = lines(texts[i])
-        if parts[0]:
-            more.append((np.frombuffer(parts[0], dtype=np.int64) + begin[i], np.frombuffer(parts[1], dtype=np.int64) + begin[i]))
-    if more:
-        starts = np.concatenate([starts[~long], *(x for x, _ in more)])
-        ends = np.concatenate([ends[~long], *(x for _, x in more)])
-        order = np.argsort(starts, kind="stable")
-        starts, ends = starts[order], ends[order]
+    # texts with marks that need no blank, and long lines with long words, go through lines()
+    odd = np.array([any(m in t for m in UNSET) for t in texts], dtype=bool)
+    long = np.flatnonzero((ends - starts > LONG) & ~odd[np.searchsorted(begin, starts, side="right") - 1])
+    words, behind = _words(data, starts[long], ends[long])
+    of = long[np.searchsorted(ends[long], behind)]
+    odd[np.searchsorted(begin, words[behind - words > LONG], side="right") - 1] = True
+    cut = behind[(behind < ends[of]) & _cuts(*(data[x].astype(np.int64) for x in (words, (words + behind) // 2, behind - 1)), behind - words)]
+    starts, ends = np.sort(np.concatenate([starts, cut + 1])), np.sort(np.concatenate([ends, cut]))
+    some = (ends > starts) & ~odd[np.searchsorted(begin, starts, side="right") - 1]
+    starts, ends = [starts[some]], [ends[some]]
+    for i in np.flatnonzero(odd).tolist():
+        for x, of in zip(lines(texts[i]), (starts, ends)):
+            of.append(np.array(x, dtype=np.int64) + begin[i])
+    starts, ends = np.sort(np.concatenate(starts)), np.sort(np.concatenate(ends))
     return data, begin, starts.astype(np.int64), ends.astype(np.int64)
 
 
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in some lines, between blanks."""
+    step = np.zeros(len(data) + 1, dtype=np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    inside = np.zeros(len(data) + 1, dtype=bool)
+    inside[1:] = (np.cumsum(step[:-1], dtype=np.int8) > 0) & (data != BLANK)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])       # behind each text a line end lies outside
+    return edges[::2], edges[1::2]
+
+
 def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, length, rolling hash) of the window of lines at each line that has one."""
     data, begin, starts, ends = _lines_of(texts)
@@ -239,7 +248,7 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     found = materialize(occurrences(docs.select(*KEY, "data")), "windows")
     flat = found.select(*KEY, F.explode("ws").alias("w")).select(*KEY, "w.start", "w.len", "w.a")
     again = materialize(flat.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "repeated")
-    hits = may_hold(flat, ["a"], bloom_filter(again, ["a"])).join(again, "a", "left_semi")
+    hits = may_hold(flat, ["a"], bloom_filter(again, ["a"]))       # one that is not repeated has its first place where it is
     place = F.struct(F.col("id").isNull().alias("none"), *KEY, "start")
     first = hits.groupBy("a").agg(F.min(place).alias("f"))
     later = hits.join(first, "a").where(~place.eqNullSafe(F.col("f")))
