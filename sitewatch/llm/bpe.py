@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import free_name, in_arrow, strings, table
 
-SLICE_CHARS = 4 << 20      # texts encoded together
+SLICE_CHARS = 1 << 20      # of texts encoded together
+SLICE_IDS = 256 << 10      # decoded together
 KNOWN_CHUNKS = 300_000     # chunks a worker remembers; beyond it starts anew (only speed depends on it)
 PIECE_BYTES = 512 << 10    # bytes of new pieces that one recursive query takes
 MARKS = frozenset(".,!?")
@@ -301,7 +302,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
         for batch in batches:
             col = batch.column(len(keep))
             lens = col.value_lengths().fill_null(0).to_numpy()
-            for a, b in _slices(lens.tolist(), SLICE_CHARS // 16):
+            for a, b in _slices(lens.tolist(), SLICE_IDS):
                 part = col.slice(a, b - a)
                 ends = np.append(0, np.cumsum(lens[a:b]))
                 data = e.decode(ends, part.flatten().to_numpy().astype(np.int32))
