@@ -147,7 +147,7 @@ def new_revisions(dedup: DataFrame, snapshot: DataFrame, run_id: Column | str, n
     same_url = Window.partitionBy(*key)
     several = F.min("content").over(same_url) != F.max("content").over(same_url)
     found = (found.withColumn("_several", several).filter(~F.col("_several") | (text.fingerprint("content") == F.col("content_sha256")))
-             .withColumn("_nth", F.row_number().over(same_url.orderBy("content"))).filter("_nth = 1"))
+             .withColumn("_nth", F.row_number().over(Window.partitionBy(*key, "revision_id").orderBy("content"))).filter("_nth = 1"))
     return found.select(F.col("revision_id").alias("id"), "page_id", F.col("_run").alias("run_id"), "content",
                         "content_sha256", "title", F.col("description").alias("meta_description"),
                         _lit_ts(now).alias("created_at"),
