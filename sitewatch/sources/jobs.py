@@ -32,7 +32,8 @@ def parse_jobs(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """
     parsed = F.from_json(F.col(value_col), schemas.JOB_PAYLOAD)
     carry = [c for c in raw.columns if c != value_col]
-    out = raw.select(*carry, parsed.alias("_j"))
+    # behind a generator a payload is parsed once, whatever filters on its fields
+    out = raw.select(*carry, F.explode(F.array(parsed)).alias("_j"))
     ok = (_present(F.col("_j.id")) & _present(F.col("_j.url")) & _present(F.col("_j.projectId"))
           & _present(F.col("_j.runId")))
     ok = F.coalesce(ok, F.lit(False))

@@ -1,19 +1,19 @@
 """ST1: continuous job intake -- parse, validate, one task per run id, nothing lost.
 
-Which run ids were accepted is keyed state of the stream (RocksDB): a micro-batch
-looks up the run ids it brings and no others, whatever was accepted before.  Run ids
-are kept for good, so neither a late job is dropped nor a late repetition run again.
+Which run ids were accepted is keyed state of the stream (RocksDB), kept by Spark's own
+``dropDuplicates``: a micro-batch looks up the run ids it brings and no others, whatever
+was accepted before.  Run ids are kept for good, so neither a late job is dropped nor a
+late repetition run again.  Beside the jobs the stream brings a mark for each run id that
+is new to it; the sink accepts the first job behind the mark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
-from ..session import ship_package
 from ..sources.jobs import parse_jobs
 from .common import use_rocksdb_state
 
@@ -23,53 +23,31 @@ JOB_SCHEMA = ("id string, url string, projectId string, runId string, isSchedule
 JOB_FIELDS = [x.split()[0] for x in JOB_SCHEMA.split(", ")]
 
 
-class _OncePerRun(StatefulProcessor):
-    """Marks a run id's first job as accepted and all others as repeated; rejected ones pass without state."""
-
-    def init(self, handle) -> None:
-        self.seen = handle.getValueState("seen", "accepted boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        good, _ = key
-        if not good:
-            yield from (Row(**r.asDict() | {"outcome": REJECTED}) for r in map(_job, rows))
-            return
-        first, seen = None, self.seen.exists()
-        for row in map(_job, rows):
-            if not seen and (first is None or _order(row) < _order(first)):
-                first, row = row, first     # the earliest so far is held back
-            if row is not None:
-                yield Row(**row.asDict() | {"outcome": REPEATED})
-        if first is not None:
-            self.seen.update((True,))
-            yield Row(**first.asDict() | {"outcome": ACCEPTED})
-
-    def close(self) -> None:
-        pass
-
-
-def _job(row: Row) -> Row:
-    return Row(**{c: row[c] for c in JOB_FIELDS})
-
+def job_stream(raw: DataFrame, value_col: str = "value") -> DataFrame:
+    """A stream of (value, received_at) as jobs, with ``good``, and rows that only mark a run id: ``is_new``.
 
-def _order(row: Row) -> tuple:
-    return (row["received_at"] is not None, row["received_at"], row["id"], row["url"], row["projectId"])
+    A run id is marked in the micro-batch that brings its first good job, and never again.
+    ``with_outcome`` tells a micro-batch's jobs apart.
+    """
+    use_rocksdb_state(raw.sparkSession)
+    parsed = parse_jobs(raw.select(value_col, "received_at"), value_col).withColumn("scheduledAt", F.col("scheduledAt").cast("long"))
+    jobs = parsed.select(F.col("accepted").alias("good"), F.lit(False).alias("is_new"), *JOB_FIELDS)
+    marks = parsed.filter("accepted").select("runId").dropDuplicates(["runId"])
+    return jobs.unionByName(marks.withColumns({"good": F.lit(True), "is_new": F.lit(True)}), allowMissingColumns=True)
 
 
-def job_stream(raw: DataFrame, value_col: str = "value") -> DataFrame:
-    """A stream of (value, received_at) as jobs with their ``outcome`` and, where rejected, the reason.
+def with_outcome(batch: DataFrame) -> DataFrame:
+    """The jobs of a micro-batch of ``job_stream`` with their ``outcome``.
 
-    Of the jobs of a run id in one micro-batch the earliest (by received_at, id,
-    url, project) is accepted; the others, and any later one, are repeated.
+    Of the jobs of a new run id the earliest (by received_at, id, url, project)
+    is accepted; the others, and any later one, are repeated.
     """
-    spark = raw.sparkSession
-    use_rocksdb_state(spark)
-    ship_package(spark)
-    parsed = parse_jobs(raw.select(value_col, "received_at"), value_col).withColumn("scheduledAt", F.col("scheduledAt").cast("long"))
-    # rejected jobs have no run id to meet at: they are dealt out by what they hold
-    key = F.when(F.col("accepted"), F.col("runId")).otherwise(F.xxhash64(*JOB_FIELDS).cast("string"))
-    keyed = parsed.select(F.col("accepted").alias("good"), key.alias("key"), *JOB_FIELDS)
-    return keyed.groupBy("good", "key").transformWithState(_OncePerRun(), f"{JOB_SCHEMA}, outcome string", "append", "none")
+    # rejected jobs have no run id to meet at: each is alone
+    key = F.when(F.col("good"), F.col("runId")).otherwise(F.monotonically_increasing_id().cast("string"))
+    by_run = Window.partitionBy("good", "key").orderBy(F.desc("is_new"), "received_at", "id", "url", "projectId", "scheduledAt", "isScheduled", "isInitialRun")
+    first = F.coalesce(F.lag("is_new").over(by_run), F.lit(False))
+    outcome = F.when(~F.col("good"), REJECTED).when(first, ACCEPTED).otherwise(REPEATED)
+    return batch.withColumn("key", key).withColumn("outcome", outcome).filter(~F.col("is_new")).select(*JOB_FIELDS, "outcome")
 
 
 class JobIntake:
@@ -81,7 +59,7 @@ class JobIntake:
     def write(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """Write a micro-batch, overwritten as a whole when it is replayed; its accepted jobs."""
         path = f"{self.out_dir}/batch_id={batch_id}"
-        batch.write.mode("overwrite").partitionBy("outcome").parquet(path)
+        with_outcome(batch).write.mode("overwrite").partitionBy("outcome").parquet(path)
         return self._read(path).filter(F.col("outcome") == ACCEPTED).select(*JOB_FIELDS)
 
     def writer(self) -> Callable[[DataFrame, int], None]:

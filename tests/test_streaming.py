@@ -50,6 +50,18 @@ def test_intake_loses_and_repeats_nothing(spark, tmp_path):
     assert len(rejected) == 3 and {r["reject_reason"] for r in rejected} == {"job must contain id+url+project id+run id"}
 
 
+def test_many_run_ids_are_looked_up_by_sparks_own_dedup(spark, tmp_path):
+    table = jobs.JobIntake(spark, f"{tmp_path}/out")
+    intake(spark, tmp_path, [job(str(i % 300), f"12:00:0{i // 300}", url=f"u{i // 300}") for i in range(600)] + [job("", "12:00:00")] * 3, table.writer())
+    intake(spark, tmp_path, [job(str(i), "11:00:00", url="late") for i in range(290, 310)], table.writer())
+    plan = jobs.job_stream(spark.readStream.schema(RAW).parquet(f"{tmp_path}/in"))._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "TransformWithState" not in plan       # no call to Python a run id
+    got = table.jobs(jobs.ACCEPTED).collect()
+    assert sorted(int(r["runId"]) for r in got) == list(range(310))
+    assert {r["url"] for r in got if int(r["runId"]) < 300} == {"u0"}
+    assert table.jobs(jobs.REPEATED).count() == 310 and table.jobs(jobs.REJECTED).count() == 3
+
+
 FETCH = "project_id string, url string, status_code int, content_sha256 string, seq long, run_id string"
 
 
