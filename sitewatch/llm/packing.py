@@ -3,7 +3,8 @@
 ``pieces`` tokenizes whole texts.  The vocabulary's normalizer and pattern never
 look across white space, so a text's ids are those of its blank-separated words
 in order; each distinct word goes through the tokenizer once a worker (words of
-plain letters without the normalizer and the pattern, which leave them alone).
+plain letters, with ASCII marks behind them or without, through its model alone:
+normalizer and pattern leave them whole).
 
 ``pack`` deals the pieces into shards of a set size by a hash of their place in
 the written piece table, and packs each shard alone: a piece goes where the sum
@@ -21,12 +22,12 @@ the table stay out.
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 from math import ceil
 
 import numpy as np
@@ -46,9 +47,22 @@ SHARD = 60_000             # pieces packed together
 KNOWN_WORDS = 1_000_000     # words a worker remembers; beyond it starts anew (only speed depends on it)
 TOGETHER = 1 << 20         # characters whose new words are learned together
 _BEYOND = re.compile(r"[^\x00-įı-ɏ]")
+_LATIN = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c == c.lower() and not _BEYOND.search(c))
+_PLAIN = re.compile(rf"([{_LATIN}]+)([!-/:-@\[-`{{-~]*)").fullmatch      # plain small letters, ASCII marks behind them
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")    # white space to str.split, not to the vocabulary
 
 
+def _byte_letters() -> dict[int, str]:
+    """The plain letters beyond ASCII as the letters that stand for their bytes in byte-level vocabularies."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {ord(c): "".join(letter[b] for b in c.encode()) for c in _LATIN if not c.isascii()}
+
+
+_BYTES = _byte_letters()
+
+
 def _ends_in_a_letter(word: str) -> bool:
     """True if no normal form turns the last letter into one with a mark behind it."""
     return not _BEYOND.search(word) or all(
@@ -62,13 +76,9 @@ class Words:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True     # their strings are ordinary text
-        # words of plain small letters are what normalizer and pattern make of them
-        with open(path, encoding="utf-8") as f:
-            config = json.load(f)
-        config["normalizer"] = None
-        config["pre_tokenizer"] = next(p for p in config["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel")
-        self.letters = Tokenizer.from_str(json.dumps(config))
-        self.letters.model._resize_cache(0)             # each word comes once
+        # words of plain small letters are what normalizer and pattern make of them: the model takes their bytes
+        self.letters = Tokenizer.from_file(path).model
+        self.letters._resize_cache(0)                   # each word comes once
         self.known: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
@@ -85,23 +95,37 @@ class Words:
             group.append(self.split(text))
             size += len(text)
             if size >= TOGETHER or i == len(texts) - 1:
-                self._learn(set().union(*group).difference(self.known))
+                self._learn(set(filterfalse(self.known.__contains__, chain.from_iterable(group))))
                 for words in group:
                     yield b"".join(map(self.known.__getitem__, words))
                 group, size = [], 0
 
     def _learn(self, new: set[str]) -> None:
-        # a mark behind letters is a token run of its own, where the normal form ends in a letter, too
-        marked = {w: w[-1] for w in new if w[-1] in ".," and w[:-1].isalpha() and _ends_in_a_letter(w[:-1])}
-        stems = new.difference(marked).union(w[:-1] for w in marked).union(marked.values()).difference(self.known)
-        plain = {w for w in stems if w.isalpha() and not _BEYOND.search(w) and w == w.lower()}
-        for tokenizer, words in ((self.letters, list(plain)), (self.tokenizer, list(stems.difference(plain)))):
-            for a in range(0, len(words), 4096):
-                part = words[a:a + 4096]
-                for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    self.known[w] = array("I", e.ids).tobytes()
-        for w, m in marked.items():
-            self.known[w] = self.known[w[:-1]] + self.known[m]
+        # marks behind letters are a token run of their own: any in ASCII where the letters are plain,
+        # a full stop or comma where the normal form ends in a letter, too
+        marked, plain, rest = [], set(), []
+        for w in new:
+            if m := _PLAIN(w):
+                stem, marks = m.groups()
+                plain.add(stem)
+                if marks:
+                    marked.append((w, stem, marks))
+                    rest.append(marks)
+            elif w[-1] in ".," and w[:-1].isalpha() and _ends_in_a_letter(w[:-1]):
+                marked.append((w, w[:-1], w[-1]))
+                rest += [w[:-1], w[-1]]
+            else:
+                rest.append(w)
+        known, tokenize = self.known, self.letters.tokenize
+        for w in plain.difference(known):
+            known[w] = array("I", [t.id for t in tokenize(w if w.isascii() else w.translate(_BYTES))]).tobytes()
+        words = list(set(rest).difference(known))
+        for a in range(0, len(words), 4096):
+            part = words[a:a + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[w] = array("I", e.ids).tobytes()
+        for w, stem, marks in marked:
+            known[w] = known[stem] + known[marks]
 
 
 _words: dict[str, Words] = {}

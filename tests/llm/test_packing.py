@@ -115,3 +115,22 @@ def test_every_letter_before_a_mark():
         want = library.encode_batch(part, add_special_tokens=False)
         wrong = [w for w, e, ids in zip(part, want, mine.ids(part)) if list(np.frombuffer(ids, dtype="<u4")) != e.ids]
         assert wrong == []
+
+
+def test_letters_go_through_the_model_alone_with_marks_behind_them_or_without(library):
+    class Asked:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.words = tokenizer, []
+
+        def encode_batch_fast(self, words, **more):
+            self.words += words
+            return self.tokenizer.encode_batch_fast(words, **more)
+
+    w = packing.Words(PATH)
+    w.tokenizer = Asked(w.tokenizer)
+    texts = ["Abc abc,!! Été$$$ naïveté. ſtraße### ŉa", "abc's it'll x1 (a) abc'' 'abc", "".join(f" {c}a{c}{m}" for c in packing._LATIN for m in ("", ".", "<|")),
+             "".join(f" ab{chr(m)} é{chr(m)}{chr(m)}" for m in range(33, 127))]
+    for t, ids in zip(texts, w.ids(texts)):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == library(t)[:-1], repr(t)
+    asked = set(w.tokenizer.words)
+    assert {",!!", "$$$", ".", "###", "'", "''"} < asked and not asked & {"abc", "abc,!!", "été$$$", "naïveté", "naïveté.", "ſtraße###", "ŉa", "abc''"}
