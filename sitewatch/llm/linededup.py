@@ -121,10 +121,11 @@ def _lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         closing = closing[CLOSING[data[before[closing]]]]
     mark = (before >= 0) & MARKS[data[np.maximum(before, 0)]]
     for m in LONG_MARKS:
-        here = before >= len(m) - 1
-        for i, x in enumerate(reversed(m)):
-            here &= data[np.maximum(before - i, 0)] == x
-        mark |= here
+        last = np.flatnonzero(data[before] == m[-1])        # few: in ASCII none (a place before the text is a line end's)
+        here = before[last] >= len(m) - 1
+        for i, x in enumerate(m[::-1][1:], 1):
+            here &= data[np.maximum(before[last] - i, 0)] == x
+        mark[last] |= here
     at = np.sort(np.concatenate([np.flatnonzero(data == LINE_END), blank[mark]]))
     starts, ends = np.concatenate([[0], at[:-1] + 1]), at
     some = ends > starts
@@ -169,7 +170,11 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     if not len(at):
         return at, at, at, np.zeros(0, dtype=np.uint64)
     line = span_hashes(data, starts, ends)
-    between = span_hashes(data, ends[:-1], starts[1:])
+    # what stands between lines is short: its bytes alone, behind one another
+    size = starts[1:] - ends[:-1]
+    upto_size = np.cumsum(size)
+    gaps = data[np.repeat(ends[:-1] + size - upto_size, size) + np.arange(upto_size[-1])]
+    between = span_hashes(gaps, upto_size - size, upto_size)
     power, inverse = _powers(n)
     sums = np.zeros(n, dtype=np.uint64)
     np.cumsum((line[:-1] + between * BETWEEN) * power[:n - 1], out=sums[1:])
@@ -273,7 +278,7 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
     gone = F.filter("ws", lambda w: F.substring("data", w["start"] + 1, w["len"]) == w["bytes"])
     touched = _met(may_hold(docs, KEY, maybe), compared, "left").select("row", "data", F.coalesce(gone, F.array().cast(_SPANS)).alias("gone"))
     rest = may_hold(docs, KEY, maybe, absent=True).select("row", F.col("data").cast("string").alias("text"), F.lit(0).alias("n"))
-    out = touched.select("row", *_cut("gone")).unionByName(rest)
+    out = _cut(touched).unionByName(rest)
     cols = [F.col("text").alias(text) if c == text else F.col(f"row.c{others.index(c)}").alias(c) for c in df.columns if c != removed]
     return out.select(*cols, *([F.col("n").alias(removed)] if removed else []))
 
@@ -281,19 +286,20 @@ def remove_repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "t
 _SPANS = "array<struct<start: int, len: int, bytes: binary>>"
 
 
-def _cut(windows: str) -> list:
-    """``data`` without the windows (start, len), as ``text``, and the number ``n`` of chunks that they make."""
-    data, gone = F.col("data"), F.col(windows)
+def _cut(touched: DataFrame) -> DataFrame:
+    """(row, text, n): ``data`` without the windows (start, len) ``gone``, and the number of chunks that they make."""
+    data, gone = F.col("data"), F.col("gone")
     # what stays: between the end of one removed window, its separator included, and the start of the next
-    ends = F.concat(F.array(F.lit(0)), F.transform(gone, lambda g: _behind(data, g["start"] + g["len"])))
-    starts = F.concat(F.transform(gone, lambda g: g["start"]), F.array(F.octet_length(data)))
+    stays = touched.select("row", "data", "gone", F.concat(F.array(F.lit(0)), F.transform(gone, lambda g: _behind(data, g["start"] + g["len"]))).alias("ends"),
+                           F.concat(F.transform(gone, lambda g: g["start"]), F.array(F.octet_length(data))).alias("starts"))
+    ends, starts = F.col("ends"), F.col("starts")
     pieces = F.zip_with(ends, starts, lambda a, b: F.substring(data, a + 1, F.greatest(b - a, F.lit(0))).cast("string"))
     # windows that overlap or touch are one chunk
     apart = F.size(F.filter(F.zip_with(ends, starts, lambda a, b: b > a), lambda x: x))
     outer = (F.element_at(starts, 1) > 0).cast("int") + (F.element_at(ends, -1) < F.octet_length(data)).cast("int")
     some = F.size(gone) > 0
-    return [F.when(some, F.array_join(pieces, "")).otherwise(data.cast("string")).alias("text"),
-            F.when(some, apart - outer + 1).otherwise(F.lit(0)).alias("n")]
+    return stays.select("row", F.when(some, F.array_join(pieces, "")).otherwise(data.cast("string")).alias("text"),
+                        F.when(some, apart - outer + 1).otherwise(F.lit(0)).alias("n"))
 
 
 def _met(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:

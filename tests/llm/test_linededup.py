@@ -209,3 +209,18 @@ def test_a_lone_long_line_goes_where_it_repeats(spark):
     rows = [(1, line), (2, line), (3, f"One sentence here. Another one.\n{line}\nA third sentence. And one more.")]
     got = {r["doc_id"]: r["text"] for r in L.remove_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: line, 2: "", 3: "One sentence here. Another one.\nA third sentence. And one more."}
+
+
+def test_what_stands_between_lines_is_hashed_alone(monkeypatch):
+    told = []
+
+    def counted(data, starts, ends):
+        told.append(len(data))
+        return hashes(data, starts, ends)
+
+    hashes = linededup.span_hashes
+    monkeypatch.setattr(linededup, "span_hashes", counted)
+    text = b"One sentence here. Another\n\none there\xe2\x80\xa6 " * 50
+    of, start, size, rolled = linededup.windows_of([text, b"", b"\xe3\x80\x82" * 9, text])
+    assert told[0] > 2 * len(text) and told[1] < len(text) // 2
+    assert (rolled[of == 0] == rolled[of == 3]).all() and len(set(rolled.tolist())) < len(rolled) // 4
