@@ -17,6 +17,11 @@ def spark():
     drop_scratch(s)
 
 
+@pytest.fixture(scope="session")
+def sf():
+    return "/root/testdata/sf0.001"
+
+
 def one(df, col):
     rows = df.select(col).collect()
     assert len(rows) == 1

@@ -218,9 +218,9 @@ def test_what_stands_between_lines_is_hashed_alone(monkeypatch):
         told.append(len(data))
         return hashes(data, starts, ends)
 
-    hashes = linededup.span_hashes
-    monkeypatch.setattr(linededup, "span_hashes", counted)
+    hashes = L.span_hashes
+    monkeypatch.setattr(L, "span_hashes", counted)
     text = b"One sentence here. Another\n\none there\xe2\x80\xa6 " * 50
-    of, start, size, rolled = linededup.windows_of([text, b"", b"\xe3\x80\x82" * 9, text])
+    of, start, size, rolled = L.windows_of([text, b"", b"\xe3\x80\x82" * 9, text])
     assert told[0] > 2 * len(text) and told[1] < len(text) // 2
     assert (rolled[of == 0] == rolled[of == 3]).all() and len(set(rolled.tolist())) < len(rolled) // 4
